@@ -234,3 +234,89 @@ query("delay_rate_by_bin", W_FL_MF + DELAY_RATE_SQL)(
     lambda spark, sf: delay_rate_by_bin(mf_of(spark, sf, "flights")))
 query("delay_rate_by_bin_multi_year", W_LI_MF + DELAY_RATE_SQL)(
     lambda spark, sf: delay_rate_by_bin(mf_of(spark, sf, "lineitem")))
+
+
+# ---------------------------------------------------------------- decay
+from knockon.operators import decay as D  # noqa: E402
+
+
+def legs_sql(fx="flights", k=5) -> str:
+    idl = ", ".join(ids(fx))
+    leads = ", ".join(f"lead(DEP_DELAY, {i}) over w as next_dep_delay_{i}" for i in range(1, k + 1))
+    return (cte_chain(fx, "clean").rstrip() + f""",
+legs as (select {idl}, TAIL_NUM, ARR_DELAY, DEP_DELAY, {leads} from clean
+ window w as (partition by TAIL_NUM order by sched_dep_timestamp asc nulls last, {idl})),
+shock as (select * from legs where ARR_DELAY > 15),
+long as (select TAIL_NUM, k as leg_index,
+  case k """ + " ".join(f"when {i} then next_dep_delay_{i}" for i in range(1, k + 1)) + """ end as v
+  from shock cross join range(1, """ + str(k + 1) + """) r(k)),
+tls as (select TAIL_NUM, cast(leg_index as integer) as leg_index, cast(count(*) as bigint) as n_obs,
+  avg(v) as mean_remaining_delay, median(v) as median_remaining_delay
+  from long where v is not null group by TAIL_NUM, leg_index),
+wm_h as (select leg_index, median_remaining_delay as v, sum(n_obs) as w from tls group by 1, 2),
+wm_c as (select *, sum(w) over (partition by leg_index order by v
+   rows between unbounded preceding and current row) as cum,
+  sum(w) over (partition by leg_index) as tot from wm_h),
+wm as (select leg_index, min(v) as median_remaining_delay from wm_c where cum >= tot * 0.5
+  group by leg_index),
+dbl as (select t.leg_index, cast(sum(n_obs) as bigint) as n_obs,
+  sum(n_obs * mean_remaining_delay) / sum(n_obs) as mean_remaining_delay,
+  any_value(wm.median_remaining_delay) as median_remaining_delay
+  from tls t join wm on t.leg_index = wm.leg_index group by t.leg_index)
+""")
+
+
+def legs_of(spark, sf, fx="flights"):
+    return D.later_legs(clean_of(spark, sf, fx), tiebreak=ids(fx))
+
+
+def tls_of(spark, sf, fx="flights"):
+    return D.tail_leg_summary(clean_of(spark, sf, fx), tiebreak=ids(fx))
+
+
+LEG_COLS = [f"next_dep_delay_{i}" for i in range(1, 6)]
+query("later_legs", legs_sql() + "select event_id, " + ", ".join(LEG_COLS) + " from legs")(
+    lambda spark, sf: legs_of(spark, sf).select("event_id", *LEG_COLS))
+query("later_legs_multi_year", legs_sql("lineitem") + "select " + ", ".join(FX.FX_LINEITEM_ORDER)
+      + ", " + ", ".join(LEG_COLS) + " from legs")(
+    lambda spark, sf: legs_of(spark, sf, "lineitem").select(*FX.FX_LINEITEM_ORDER, *LEG_COLS))
+query("shock_filter", legs_sql() + "select event_id, ARR_DELAY, next_dep_delay_1 from shock")(
+    lambda spark, sf: D.shock_rows(legs_of(spark, sf)).select("event_id", "ARR_DELAY",
+                                                              "next_dep_delay_1"))
+query("tail_leg_summary", legs_sql() + """
+select TAIL_NUM, leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remaining_delay,
+ round(median_remaining_delay, 6) as median_remaining_delay from tls""")(
+    lambda spark, sf: tls_of(spark, sf).select(
+        "TAIL_NUM", "leg_index", "n_obs", r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay"),
+        r6(F.col("median_remaining_delay")).alias("median_remaining_delay")))
+query("weighted_median", legs_sql() + "select leg_index, median_remaining_delay from wm")(
+    lambda spark, sf: D.weighted_median(tls_of(spark, sf), ["leg_index"], "median_remaining_delay",
+                                        "n_obs", out="median_remaining_delay"))
+
+
+@query("cumulative_weight", legs_sql() + """
+select leg_index, v as median_remaining_delay, cast(w as bigint) as weight, cast(cum as bigint) as cum_weight
+from wm_c""")
+def q_cumulative_weight(spark, sf):
+    from pyspark.sql import Window
+    t = tls_of(spark, sf).groupBy("leg_index", "median_remaining_delay").agg(
+        F.sum("n_obs").alias("weight"))
+    w = Window.partitionBy("leg_index").orderBy("median_remaining_delay").rowsBetween(
+        Window.unboundedPreceding, 0)
+    return t.withColumn("cum_weight", F.sum("weight").over(w))
+
+
+query("decay_by_leg", legs_sql() + """
+select leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remaining_delay,
+ round(median_remaining_delay, 6) as median_remaining_delay from dbl""")(
+    lambda spark, sf: D.decay_by_leg(tls_of(spark, sf)).select(
+        "leg_index", "n_obs", r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay"),
+        r6(F.col("median_remaining_delay")).alias("median_remaining_delay")))
+
+# Iterative fit: no SQL twin; NumPy parity in tests/test_decay.py.
+query("decay_fit")(lambda spark, sf: D.fit_groups(D.decay_by_leg(tls_of(spark, sf)), []))
+query("decay_parameters")(lambda spark, sf: D.decay_parameters(D.decay_by_leg(tls_of(spark, sf))))
+query("decay_table")(lambda spark, sf: D.decay_table(D.decay_by_leg(tls_of(spark, sf))))
+query("decay_fit_by_carrier")(lambda spark, sf: D.fit_groups(
+    D.decay_by_leg_by(clean_of(spark, sf), ["OP_UNIQUE_CARRIER"], tiebreak=ids()),
+    ["OP_UNIQUE_CARRIER"]))
