@@ -320,3 +320,223 @@ query("decay_table")(lambda spark, sf: D.decay_table(D.decay_by_leg(tls_of(spark
 query("decay_fit_by_carrier")(lambda spark, sf: D.fit_groups(
     D.decay_by_leg_by(clean_of(spark, sf), ["OP_UNIQUE_CARRIER"], tiebreak=ids()),
     ["OP_UNIQUE_CARRIER"]))
+
+
+# ---------------------------------------------------------------- features and simple aggregates
+MF_OUT = [*FX.FX_LINEITEM_ORDER, "current_year", "current_month", "current_day_of_week",
+          "turnaround_bin", "dep_period"]
+query("calendar_features", W_LI_MF + "select " + ", ".join(MF_OUT[:-2]) + " from mf0")(
+    lambda spark, sf: FE.add_features(pairs_of(spark, sf, "lineitem"), keep=ids("lineitem")).select(
+        *MF_OUT[:-2]))
+query("dep_period", W_LI_MF + "select " + ", ".join(FX.FX_LINEITEM_ORDER)
+      + ", current_sched_dep_hour, dep_period from mf0")(
+    lambda spark, sf: FE.add_features(pairs_of(spark, sf, "lineitem"), keep=ids("lineitem")).select(
+        *FX.FX_LINEITEM_ORDER, "current_sched_dep_hour", "dep_period"))
+query("turnaround_bin", W_LI_MF + "select " + ", ".join(FX.FX_LINEITEM_ORDER)
+      + ", scheduled_turnaround_minutes, turnaround_bin from mf0")(
+    lambda spark, sf: FE.add_features(pairs_of(spark, sf, "lineitem"), keep=ids("lineitem")).select(
+        *FX.FX_LINEITEM_ORDER, "scheduled_turnaround_minutes", "turnaround_bin"))
+
+
+@query("prev_delay_bin", W_LI_MF + f"""
+select {", ".join(FX.FX_LINEITEM_ORDER)}, prev_ARR_DELAY, {_BIN} as prev_delay_bin from mf""")
+def q_prev_delay_bin(spark, sf):
+    return mf_of(spark, sf).select(*FX.FX_LINEITEM_ORDER, "prev_ARR_DELAY",
+                                   X.prev_delay_bin("prev_ARR_DELAY").alias("prev_delay_bin"))
+
+
+query("complete_cases", W_LI_MF + "select " + ", ".join(FX.FX_LINEITEM_ORDER) + " from mf")(
+    lambda spark, sf: mf_of(spark, sf).select(*FX.FX_LINEITEM_ORDER))
+
+
+@query("year_window", W_LI_P + """
+select cast(year(current_FL_DATE) as integer) as current_year, cast(count(*) as bigint) as n_pairs
+from pairs where year(current_FL_DATE) between 1994 and 1996 group by 1""")
+def q_year_window(spark, sf):
+    p = FE.year_window(pairs_of(spark, sf, "lineitem"), 1994, 1996)
+    return p.groupBy(F.year("current_FL_DATE").cast("int").alias("current_year")).agg(
+        F.count(F.lit(1)).alias("n_pairs"))
+
+
+query("target_means", W_LI_MF + """
+select cast(count(*) as bigint) as n_obs, round(avg(current_DEP_DELAY), 6) as mean_dep_delay,
+ round(avg(current_dep_delayed_15), 6) as delay_rate_gt15 from mf""")(
+    lambda spark, sf: mf_of(spark, sf).agg(
+        F.count(F.lit(1)).alias("n_obs"), r6(F.avg("current_DEP_DELAY")).alias("mean_dep_delay"),
+        r6(F.avg("current_dep_delayed_15")).alias("delay_rate_gt15")))
+
+query("pairs_by_year", W_LI_MF + """
+select current_year as year, cast(count(*) as bigint) as n_modeling_pairs,
+ round(count(*) / 1000000.0, 6) as pairs_million from mf group by current_year""")(
+    lambda spark, sf: mf_of(spark, sf).groupBy(F.col("current_year").alias("year")).agg(
+        F.count(F.lit(1)).alias("n_modeling_pairs"),
+        r6(F.count(F.lit(1)) / F.lit(1e6)).alias("pairs_million")))
+
+query("year_effect_check", W_LI_MF + """
+select cast(count(distinct current_year) as bigint) as n_years,
+ count(distinct current_year) > 1 as include_year_effect from mf""")(
+    lambda spark, sf: mf_of(spark, sf).agg(F.count_distinct("current_year").alias("n_years")).withColumn(
+        "include_year_effect", F.col("n_years") > 1))
+
+query("quantile_range", W_LI_MF + """
+select round(quantile_cont(prev_ARR_DELAY, 0.01), 6) as q01, round(quantile_cont(prev_ARR_DELAY, 0.99), 6) as q99
+from mf""")(lambda spark, sf: mf_of(spark, sf).agg(
+    F.percentile("prev_ARR_DELAY", [0.01, 0.99]).alias("q")).select(
+    r6(F.col("q")[0]).alias("q01"), r6(F.col("q")[1]).alias("q99")))
+
+
+@query("group_n_obs", W_LI_MF + """
+select 'airline' as grouping, OP_UNIQUE_CARRIER as level, cast(count(*) as bigint) as n_obs
+from mf group by OP_UNIQUE_CARRIER
+union all
+select 'turnaround_bin', l.label, cast(count(mf.turnaround_bin) as bigint)
+from (values ('20-44'), ('45-89'), ('90-179'), ('180-600')) l(label)
+left join mf on mf.turnaround_bin = l.label group by l.label""")
+def q_group_n_obs(spark, sf):
+    mf = mf_of(spark, sf)
+    air = mf.groupBy(F.lit("airline").alias("grouping"),
+                     F.col("OP_UNIQUE_CARRIER").alias("level")).agg(F.count(F.lit(1)).alias("n_obs"))
+    labels = spark.createDataFrame([(lv,) for lv in C.S.TURNAROUND_LABELS], "level string")
+    turn = (mf.groupBy(F.col("turnaround_bin").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+            .join(F.broadcast(labels), "level", "right")
+            .select(F.lit("turnaround_bin").alias("grouping"), "level",
+                    F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n_obs")))
+    return air.unionByName(turn)
+
+
+@query("dataset_totals", cte_chain("lineitem", "pairs") + """
+select (select cast(count(*) as bigint) from clean) as total_cleaned_flights,
+ (select cast(count(*) as bigint) from pairs) as total_flight_pairs,
+ (select cast(count(distinct strftime(FL_DATE, '%Y-%m')) as bigint) from clean) as total_months_used""")
+def q_dataset_totals(spark, sf):
+    from knockon.operators import reports as R
+    clean = clean_of(spark, sf, "lineitem")
+    return R.dataset_totals(clean, P.flight_pairs(clean, tiebreak=ids("lineitem")))
+
+
+@query("sample_pairs", W_LI_MF + """
+select """ + ", ".join(FX.FX_LINEITEM_ORDER) + """, prev_ARR_DELAY, current_DEP_DELAY from mf
+order by md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, cast(l_extendedprice as decimal(18,2)), '42'))
+limit 50000""")
+def q_sample_pairs(spark, sf):
+    from knockon.operators import reports as R
+    keys = [*FX.FX_LINEITEM_ORDER[:3], F.col("l_extendedprice").cast("decimal(18,2)")]
+    return R.sample_rows(mf_of(spark, sf), keys, 50_000, 42).select(
+        *FX.FX_LINEITEM_ORDER, "prev_ARR_DELAY", "current_DEP_DELAY")
+
+
+query("union_inputs", W_LI_P + """
+select cast(year(current_FL_DATE) as integer) as current_year, cast(count(*) as bigint) as n_pairs
+from (select * from pairs where year(current_FL_DATE) < 1996
+      union all select * from pairs where year(current_FL_DATE) >= 1996) u group by 1""")(
+    lambda spark, sf: (lambda p: FE.year_window(p, None, 1995).unionByName(FE.year_window(p, 1996, None)))(
+        pairs_of(spark, sf, "lineitem")).groupBy(F.year("current_FL_DATE").cast("int").alias(
+            "current_year")).agg(F.count(F.lit(1)).alias("n_pairs")))
+
+
+# ---------------------------------------------------------------- single-regressor and ranking checks
+@query("ols_single_regressor", W_LI_MF + """
+select round(regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6) as slope,
+ round(regr_intercept(current_DEP_DELAY, prev_ARR_DELAY), 6) as intercept,
+ round(regr_r2(current_DEP_DELAY, prev_ARR_DELAY), 6) as r_squared from mf""")
+def q_ols_single(spark, sf):
+    mf = mf_of(spark, sf)
+    return mf.agg(r6(F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("slope"),
+                  r6(F.regr_intercept("current_DEP_DELAY", "prev_ARR_DELAY")).alias("intercept"),
+                  r6(F.regr_r2("current_DEP_DELAY", "prev_ARR_DELAY")).alias("r_squared"))
+
+
+@query("slope_by_year", W_LI_MF + """
+select current_year as year, cast(count(*) as bigint) as n_modeling_pairs,
+ round(regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6) as slope,
+ round(10 * regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6) as minutes_per_10
+from mf group by current_year""")
+def q_slope_by_year(spark, sf):
+    return mf_of(spark, sf).groupBy(F.col("current_year").alias("year")).agg(
+        F.count(F.lit(1)).alias("n_modeling_pairs"),
+        r6(F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("slope"),
+        r6(F.lit(10) * F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("minutes_per_10"))
+
+
+from knockon.operators import metrics as ME  # noqa: E402
+
+CURVE_SQL = W_LI_MF + """,
+g as (select cast(prev_ARR_DELAY as double) as score, cast(sum(current_dep_delayed_15) as bigint) as tp,
+  cast(sum(1 - current_dep_delayed_15) as bigint) as fp from mf group by 1),
+c as (select *, sum(tp) over (order by score desc rows between unbounded preceding and current row) as cum_tp,
+  sum(fp) over (order by score desc rows between unbounded preceding and current row) as cum_fp from g)
+""".replace("\n,\n", ",\n")
+
+
+def _curve_sql(tail):
+    return CURVE_SQL + tail
+
+
+query("score_curve", _curve_sql("select score, tp, fp, cast(cum_tp as bigint) as cum_tp, "
+                                "cast(cum_fp as bigint) as cum_fp from c"))(
+    lambda spark, sf: ME.score_curve(mf_of(spark, sf), "prev_ARR_DELAY", "current_dep_delayed_15"))
+
+query("ranking_metrics_prev_delay", _curve_sql("""select
+ round(sum((cum_fp - (cum_fp - fp)) * (cum_tp + (cum_tp - tp)) / 2.0) / (sum(tp) * sum(fp)), 6) as roc_auc,
+ round(sum(tp * (cum_tp * 1.0 / (cum_tp + cum_fp))) / sum(tp), 6) as average_precision from c"""))(
+    lambda spark, sf: ME.ranking_metrics(mf_of(spark, sf), "prev_ARR_DELAY", "current_dep_delayed_15")
+    .select(r6(F.col("roc_auc")).alias("roc_auc"), r6(F.col("average_precision")).alias("average_precision")))
+
+
+# ---------------------------------------------------------------- density grid (hexagonal bins)
+from knockon.operators import reports as R  # noqa: E402
+
+
+def _hex_sql(gridsize=45):
+    import math as _m
+    ny = int(gridsize / _m.sqrt(3))
+    return W_LI_MF + f""",
+bnd as (select min(prev_ARR_DELAY) as x0r, max(prev_ARR_DELAY) as x1r, min(current_DEP_DELAY) as y0,
+  max(current_DEP_DELAY) as y1 from mf),
+b2 as (select x0r - 1e-9 * (x1r - x0r) as x0, x1r + 1e-9 * (x1r - x0r) as x1, y0, y1 from bnd),
+b3 as (select x0, y0, (x1 - x0) / {gridsize} as sx, (y1 - y0) / {ny} as sy from b2),
+p as (select (prev_ARR_DELAY - x0) / sx as ix, (current_DEP_DELAY - y0) / sy as iy, x0, y0, sx, sy
+  from mf, b3),
+q as (select *, cast(round_even(ix, 0) as integer) as ix1, cast(round_even(iy, 0) as integer) as iy1,
+  cast(floor(ix) as integer) as ix2, cast(floor(iy) as integer) as iy2 from p),
+r as (select *, (ix - ix1) * (ix - ix1) + 3.0 * (iy - iy1) * (iy - iy1)
+   < (ix - ix2 - 0.5) * (ix - ix2 - 0.5) + 3.0 * (iy - iy2 - 0.5) * (iy - iy2 - 0.5) as first from q),
+s as (select case when first then 1 else 2 end as lattice,
+  case when first then ix1 else ix2 end as i, case when first then iy1 else iy2 end as j,
+  case when first then ix1 between 0 and {gridsize} and iy1 between 0 and {ny}
+       else ix2 between 0 and {gridsize - 1} and iy2 between 0 and {ny - 1} end as inside,
+  x0, y0, sx, sy from r)
+select lattice, i, j,
+ round(any_value(x0) + (i + case when lattice = 2 then 0.5 else 0.0 end) * any_value(sx), 6) as center_x,
+ round(any_value(y0) + (j + case when lattice = 2 then 0.5 else 0.0 end) * any_value(sy), 6) as center_y,
+ cast(count(*) as bigint) as count
+from s where inside group by lattice, i, j"""
+
+
+@query("density_grid", _hex_sql().replace("\n,\n", ",\n"))
+def q_density_grid(spark, sf):
+    g = R.density_grid(mf_of(spark, sf), "prev_ARR_DELAY", "current_DEP_DELAY")
+    return g.select("lattice", "i", "j", r6(F.col("center_x")).alias("center_x"),
+                    r6(F.col("center_y")).alias("center_y"), "count")
+
+
+@query("rank_airlines_linear", W_LI_MF + """
+select OP_UNIQUE_CARRIER as airline, round(10 * regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6)
+ as minutes_per_10, cast(count(*) as bigint) as n_obs from mf group by 1 order by 2 desc limit 10""")
+def q_rank_airlines_linear(spark, sf):
+    t = mf_of(spark, sf).groupBy(F.col("OP_UNIQUE_CARRIER").alias("airline")).agg(
+        r6(F.lit(10) * F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("minutes_per_10"),
+        F.count(F.lit(1)).alias("n_obs"))
+    return R.rank_by(t, "minutes_per_10", 10)
+
+
+@query("top_bottom_airlines_linear", W_LI_MF + """,
+t as (select OP_UNIQUE_CARRIER as airline, round(10 * regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6)
+ as minutes_per_10, cast(count(*) as bigint) as n_obs from mf group by 1)
+select * from (select *, 'top' as part from t order by minutes_per_10 desc limit 6)
+union all select * from (select *, 'bottom' as part from t order by minutes_per_10 asc limit 6)""".replace("\n,\n", ",\n"))
+def q_top_bottom_linear(spark, sf):
+    t = mf_of(spark, sf).groupBy(F.col("OP_UNIQUE_CARRIER").alias("airline")).agg(
+        r6(F.lit(10) * F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("minutes_per_10"),
+        F.count(F.lit(1)).alias("n_obs"))
+    return R.top_bottom(t, "minutes_per_10", 6)
