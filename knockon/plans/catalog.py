@@ -540,3 +540,94 @@ def q_top_bottom_linear(spark, sf):
         r6(F.lit(10) * F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("minutes_per_10"),
         F.count(F.lit(1)).alias("n_obs"))
     return R.top_bottom(t, "minutes_per_10", 6)
+
+
+# ---------------------------------------------------------------- models (iterative fits: no SQL twin)
+from knockon.operators import models as M  # noqa: E402
+from knockon.plans import suite as SU  # noqa: E402
+
+_SUITE_CACHE: dict = {}
+
+
+def suite_of(spark, sf, fx="lineitem"):
+    key = (id(spark), sf, fx)
+    if key not in _SUITE_CACHE:
+        _SUITE_CACHE[key] = SU.fit_suite(spark, mf_of(spark, sf, fx))
+    return _SUITE_CACHE[key]
+
+
+@query("design_matrix")
+def q_design_matrix(spark, sf):
+    mf = mf_of(spark, sf)
+    levels = M.factor_levels(mf, ["OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS, "current_year"])
+    d = M.build_design(levels, M.model_factors(levels), M.NUMERIC_CONTROLS)
+    safe = [n.replace("(", "_").replace(")", "").replace("[", "_").replace("]", "").replace(".", "_")
+            .replace("-", "_") for n in d.names]
+    return mf.select(*FX.FX_LINEITEM_ORDER, *[e.alias(s) for e, s in zip(d.exprs, safe)])
+
+
+def _coef(model):
+    return lambda spark, sf: suite_of(spark, sf)["coefficients"].where(F.col("model") == model)
+
+
+query("ols_carryover")(_coef("linear"))
+query("logit_carryover")(_coef("logistic"))
+query("logit_airline")(_coef("logistic_airline_interaction"))
+query("logit_turnaround")(_coef("logistic_turnaround_interaction"))
+query("coefficients")(lambda spark, sf: suite_of(spark, sf)["coefficients"])
+query("linear_metrics")(lambda spark, sf: suite_of(spark, sf)["metrics"].where("model = 'linear'").select(
+    "model", "n_obs", "r_squared", "adj_r_squared", "aic", "bic", "mean_target"))
+query("logistic_metrics")(lambda spark, sf: suite_of(spark, sf)["metrics"].where("model = 'logistic'").select(
+    "model", "n_obs", "aic", "deviance", "null_deviance", "roc_auc", "average_precision", "mean_target"))
+query("predict_scores")(lambda spark, sf: suite_of(spark, sf)["predict_scores"].select(
+    "label", F.col("prediction").alias("probability")))
+query("slope_contrast")(lambda spark, sf: suite_of(spark, sf)["coefficients"].where(
+    F.col("term").startswith("prev_ARR_DELAY:")))
+query("airline_carryover")(lambda spark, sf: suite_of(spark, sf)["airline_carryover"])
+query("turnaround_carryover")(lambda spark, sf: suite_of(spark, sf)["turnaround_carryover"])
+query("main_result")(lambda spark, sf: suite_of(spark, sf)["main_result"])
+query("secondary_result")(lambda spark, sf: suite_of(spark, sf)["secondary_result"])
+query("per10_scaling")(lambda spark, sf: suite_of(spark, sf)["coefficients"].where(
+    F.col("term") == "prev_ARR_DELAY").select(
+    "model", "estimate", (F.lit(10.0) * F.col("estimate")).alias("per_10"),
+    F.exp("estimate").alias("ratio_per_1"), X.per10("estimate").alias("ratio_per_10"),
+    X.per10("ci_lower").alias("ratio_per_10_ci_lower"), X.per10("ci_upper").alias("ratio_per_10_ci_upper")))
+query("rank_airlines")(lambda spark, sf: R.rank_by(suite_of(spark, sf)["airline_carryover"],
+                                                   "odds_ratio_per_10_min", 10))
+query("top_bottom_airlines")(lambda spark, sf: R.top_bottom(suite_of(spark, sf)["airline_carryover"],
+                                                            "odds_ratio_per_10_min", 6))
+
+
+@query("fit_by_year")
+def q_fit_by_year(spark, sf):
+    mf = mf_of(spark, sf)
+    return SU.fit_periods(spark, mf, SU.yearly_periods(SU.years_of(mf)))
+
+
+@query("fit_by_window")
+def q_fit_by_window(spark, sf):
+    mf = mf_of(spark, sf)
+    return SU.fit_periods(spark, mf, SU.window_periods(SU.years_of(mf), 3))
+
+
+@query("year_comparison")
+def q_year_comparison(spark, sf):
+    return q_fit_by_year(spark, sf).select(
+        F.col("start_year").alias("year"), "n_modeling_pairs", "linear_coef",
+        "minutes_carried_per_10_min", "linear_r_squared", "logistic_coef", "logistic_or_per_10_min",
+        "logistic_auc", "logistic_average_precision", "current_delay_rate_gt15")
+
+
+@query("yearly_summary")
+def q_yearly_summary(spark, sf):
+    return q_fit_by_year(spark, sf).select(
+        F.col("start_year").alias("year"), "n_modeling_pairs",
+        F.col("logistic_or_per_10_min").alias("logistic_or_per_10min"),
+        F.col("logistic_or10_ci_lower"), F.col("logistic_or10_ci_upper"),
+        F.col("minutes_carried_per_10_min").alias("minutes_carried_per_10min"))
+
+
+@query("presentation_metrics")
+def q_presentation_metrics(spark, sf):
+    s = suite_of(spark, sf)
+    return R.presentation_metrics(spark, s["main_result"], s["metrics"])

@@ -8,6 +8,8 @@ driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +70,54 @@ def _fit_suite(spark, mf, interactions, with_year):
     out["metrics"] = M.metrics_frame(spark, [lin.metrics, logit.metrics])
     out["_fits"] = fits
     return out
+
+
+def fit_periods(spark: SparkSession, mf: DataFrame, periods: list[tuple[str, int, int]]) -> DataFrame:
+    """Refit the pooled linear + logistic models per period (a year or a window of
+    years) over one persisted model frame; one row per period."""
+    mf = mf.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = []
+    try:
+        for label, lo, hi in periods:
+            sub = mf.where(F.col("current_year").between(lo, hi))
+            n = sub.count()
+            if n < S.MIN_MODEL_ROWS:
+                continue
+            res = _fit_suite(spark, sub, interactions=False, with_year=None)
+            lin, logit = res["_fits"]
+            lb, llo, lhi = M.prev_term(lin)
+            gb, glo, ghi = M.prev_term(logit)
+            rows.append((label, lo, hi, n, lb, llo, lhi, 10 * lb, lin.metrics["r_squared"], gb,
+                         math.exp(10 * gb), math.exp(10 * glo), math.exp(10 * ghi),
+                         logit.metrics["roc_auc"], logit.metrics["average_precision"],
+                         logit.metrics["mean_target"]))
+    finally:
+        mf.unpersist()
+    return spark.createDataFrame(rows, PERIOD_SCHEMA)
+
+
+PERIOD_SCHEMA = ("period string, start_year int, end_year int, n_modeling_pairs long, "
+                 "linear_coef double, linear_ci_lower double, linear_ci_upper double, "
+                 "minutes_carried_per_10_min double, linear_r_squared double, logistic_coef double, "
+                 "logistic_or_per_10_min double, logistic_or10_ci_lower double, "
+                 "logistic_or10_ci_upper double, logistic_auc double, logistic_average_precision double, "
+                 "current_delay_rate_gt15 double")
+
+
+def years_of(mf: DataFrame) -> list[int]:
+    """Distinct years of the model frame (one small aggregation)."""
+    return sorted(r[0] for r in mf.select("current_year").distinct().collect())
+
+
+def yearly_periods(years: list[int]) -> list[tuple[str, int, int]]:
+    return [(str(y), y, y) for y in years]
+
+
+def window_periods(years: list[int], width: int = 3) -> list[tuple[str, int, int]]:
+    """Consecutive windows of ``width`` years (the last may be shorter)."""
+    out = []
+    for i in range(0, len(years), width):
+        chunk = years[i:i + width]
+        out.append((f"{chunk[0]}-{chunk[-1]}" if len(chunk) > 1 else str(chunk[0]),
+                    chunk[0], chunk[-1]))
+    return out
