@@ -240,10 +240,10 @@ query("delay_rate_by_bin_multi_year", W_LI_MF + DELAY_RATE_SQL)(
 from knockon.operators import decay as D  # noqa: E402
 
 
-def legs_sql(fx="flights", k=5) -> str:
+def legs_sql(fx="flights", k=5, upto="clean") -> str:
     idl = ", ".join(ids(fx))
     leads = ", ".join(f"lead(DEP_DELAY, {i}) over w as next_dep_delay_{i}" for i in range(1, k + 1))
-    return (cte_chain(fx, "clean").rstrip() + f""",
+    return (cte_chain(fx, upto).rstrip() + f""",
 legs as (select {idl}, TAIL_NUM, ARR_DELAY, DEP_DELAY, {leads} from clean
  window w as (partition by TAIL_NUM order by sched_dep_timestamp asc nulls last, {idl})),
 shock as (select * from legs where ARR_DELAY > 15),
@@ -631,3 +631,108 @@ def q_yearly_summary(spark, sf):
 def q_presentation_metrics(spark, sf):
     s = suite_of(spark, sf)
     return R.presentation_metrics(spark, s["main_result"], s["metrics"])
+
+
+# ---------------------------------------------------------------- bootstrap
+from knockon.operators import bootstrap as B  # noqa: E402
+
+N_REPS, SEED = 20, 42
+
+
+def weights_sql(n_reps=N_REPS, seed=SEED) -> str:
+    return f""",
+btails as (select TAIL_NUM, row_number() over (order by TAIL_NUM) - 1 as idx
+  from (select distinct TAIL_NUM from mf where TAIL_NUM is not null) d),
+bnt as (select count(*) as n from btails),
+bdraws as (select r.range // bnt.n as replicate, r.range % bnt.n as j, bnt.n as n
+  from range(0, {n_reps} * (select n from bnt)) r, bnt),
+bpicked as (select replicate,
+  ('0x' || substr(md5(cast(replicate as varchar) || '|{seed}|' || cast(j as varchar)), 1, 15))::BIGINT % n
+    as idx from bdraws),
+bw as (select cast(replicate as integer) as replicate, TAIL_NUM, cast(count(*) as bigint) as bootstrap_count
+  from bpicked join btails using (idx) group by replicate, TAIL_NUM)
+"""
+
+
+_W_SUFFIX = weights_sql()
+
+
+def boot_sql(base: str, tail: str) -> str:
+    return base.rstrip() + _W_SUFFIX + tail
+
+
+def weights_of(spark, sf, fx="flights"):
+    mf = mf_of(spark, sf, fx)
+    return B.cluster_weights(mf.where(F.col("TAIL_NUM").isNotNull()), N_REPS, SEED)
+
+
+query("cluster_weights", boot_sql(W_FL_MF, "select replicate, TAIL_NUM, bootstrap_count from bw"))(
+    lambda spark, sf: weights_of(spark, sf))
+
+query("boot_row_weights", boot_sql(W_FL_MF, """
+select event_id, cast(bootstrap_count as double) as weight from mf join bw using (TAIL_NUM)
+where replicate = 0 and bootstrap_count > 0"""))(
+    lambda spark, sf: B.row_weights(mf_of(spark, sf, "flights"), weights_of(spark, sf), 0).select(
+        "event_id", "weight"))
+
+
+@query("bootstrap_mean_ci", boot_sql(W_FL_MF, """,
+ts as (select TAIL_NUM, count(*) as n, sum(current_DEP_DELAY) as sy from mf group by TAIL_NUM),
+rm as (select replicate, sum(bootstrap_count * sy) / sum(bootstrap_count * n) as m
+  from ts join bw using (TAIL_NUM) group by replicate)
+select round(quantile_cont(m, 0.025), 6) as mean_dep_delay_ci_lower,
+ round(quantile_cont(m, 0.975), 6) as mean_dep_delay_ci_upper from rm""").replace("\n,\n", ",\n"))
+def q_bootstrap_mean_ci(spark, sf):
+    mf = mf_of(spark, sf, "flights")
+    ts = mf.groupBy("TAIL_NUM").agg(F.count(F.lit(1)).alias("n"), F.sum("current_DEP_DELAY").alias("sy"))
+    rm = (ts.join(weights_of(spark, sf), "TAIL_NUM").groupBy("replicate")
+          .agg((F.sum(F.col("bootstrap_count") * F.col("sy")) / F.sum(F.col("bootstrap_count") * F.col("n")))
+               .alias("mean_dep_delay")))
+    ci = B.bootstrap_ci(rm, ["mean_dep_delay"])
+    return ci.select(r6(F.col("mean_dep_delay_ci_lower")).alias("mean_dep_delay_ci_lower"),
+                     r6(F.col("mean_dep_delay_ci_upper")).alias("mean_dep_delay_ci_upper"))
+
+
+@query("bootstrap_beta_single", boot_sql(W_FL_MF, """,
+ts as (select TAIL_NUM, count(*) as n, sum(prev_ARR_DELAY) as sx, sum(current_DEP_DELAY) as sy,
+  sum(prev_ARR_DELAY * current_DEP_DELAY) as sxy, sum(prev_ARR_DELAY * prev_ARR_DELAY) as sxx
+  from mf group by TAIL_NUM),
+rs as (select replicate, sum(bootstrap_count * n) as n, sum(bootstrap_count * sx) as sx,
+  sum(bootstrap_count * sy) as sy, sum(bootstrap_count * sxy) as sxy, sum(bootstrap_count * sxx) as sxx
+  from ts join bw using (TAIL_NUM) group by replicate)
+select replicate, round((sxy - sx * sy / n) / (sxx - sx * sx / n), 6) as beta_prev_arr_delay from rs""")
+       .replace("\n,\n", ",\n"))
+def q_bootstrap_beta_single(spark, sf):
+    mf = mf_of(spark, sf, "flights")
+    b = B.bootstrap_beta(mf, weights_of(spark, sf), design=B.bootstrap_design(mf, single=True))
+    return b.select("replicate", r6(F.col("beta_prev_arr_delay")).alias("beta_prev_arr_delay"))
+
+
+query("bootstrap_leg_means", boot_sql(legs_sql("flights", upto="mf"), """
+select replicate, tls.leg_index, cast(sum(n_obs * bootstrap_count) as bigint) as n_obs,
+ round(sum(n_obs * bootstrap_count * mean_remaining_delay) / sum(n_obs * bootstrap_count), 6)
+   as mean_remaining_delay
+from tls join bw using (TAIL_NUM) group by replicate, tls.leg_index"""))(
+    lambda spark, sf: B.bootstrap_leg_means(tls_of(spark, sf), weights_of(spark, sf)).select(
+        "replicate", "leg_index", F.col("n_obs").cast("long").alias("n_obs"),
+        r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay")))
+query("boot_tail_join", boot_sql(legs_sql("flights", upto="mf"), """
+select replicate, TAIL_NUM, tls.leg_index, n_obs, bootstrap_count, n_obs * bootstrap_count as weight
+from tls join bw using (TAIL_NUM)"""))(
+    lambda spark, sf: tls_of(spark, sf).join(weights_of(spark, sf), "TAIL_NUM").select(
+        "replicate", "TAIL_NUM", "leg_index", "n_obs", "bootstrap_count",
+        (F.col("n_obs") * F.col("bootstrap_count")).alias("weight")))
+
+# Iterative parts (least squares per replicate with the full design, lambda fits): rows only.
+query("bootstrap_beta")(lambda spark, sf: B.bootstrap_beta(mf_of(spark, sf, "lineitem"),
+                                                           weights_of(spark, sf, "lineitem")))
+query("bootstrap_lambda")(lambda spark, sf: B.bootstrap_lambda(tls_of(spark, sf), weights_of(spark, sf)))
+
+
+def boot_table_of(spark, sf):
+    return B.run_bootstrap(spark, mf_of(spark, sf, "flights"), tls_of(spark, sf), N_REPS, SEED)
+
+
+query("bootstrap_table")(boot_table_of)
+query("bootstrap_ci")(lambda spark, sf: B.bootstrap_ci(boot_table_of(spark, sf),
+                                                       ["beta_prev_arr_delay", "lambda_decay"]))
