@@ -736,3 +736,193 @@ def boot_table_of(spark, sf):
 query("bootstrap_table")(boot_table_of)
 query("bootstrap_ci")(lambda spark, sf: B.bootstrap_ci(boot_table_of(spark, sf),
                                                        ["beta_prev_arr_delay", "lambda_decay"]))
+
+
+# ---------------------------------------------------------------- sources and sinks
+from knockon.session import scratch_path  # noqa: E402
+from knockon.sources import files as SRC  # noqa: E402
+
+# Candidate monthly sources derived from the months present in the multi-year fixture:
+# two ZIP spellings and one other CSV for every month, plus a /data/csv/ extract for the
+# first half of each year and a file with an unsupported name.
+_CANDIDATES_SPARK = [
+    ("'/archive/data/raw/On_Time_Reporting_Carrier_On_Time_Performance_1987_present_' || y || '_' || m || '.zip'", None),
+    ("'/archive/data/raw/ON_TIME_REPORTING_CARRIER_ON_TIME_PERFORMANCE_1987_PRESENT_' || y || '_' || lpad(m, 2, '0') || '.ZIP'", None),
+    ("'/archive/dataset/airlines_' || y || '_' || m || '.csv'", None),
+    ("'/archive/data/csv/flight_data_' || y || '_' || lpad(m, 2, '0') || '.csv'", "m <= 6"),
+    ("'/archive/dataset/notes_' || y || '_' || m || '.txt'", None),
+]
+
+
+def _candidates_sql(months_sql: str) -> str:
+    parts = []
+    for expr, cond in _CANDIDATES_SPARK:
+        e = expr.replace("|| y ||", "|| cast(y as varchar) ||").replace("|| m ||", "|| cast(m as varchar) ||").replace(
+            "lpad(m, 2, '0')", "lpad(cast(m as varchar), 2, '0')")
+        parts.append(f"select {e} as path from ({months_sql}) mm" + (f" where {cond}" if cond else ""))
+    return " union all ".join(parts)
+
+
+def _month_patterns_sql(col="name"):
+    ys = ", ".join(f"case when regexp_matches({col}, '(?i){p}') then cast(regexp_extract({col}, '(?i){p}', 1) as integer) end"
+                   for p in SRC.MONTH_PATTERNS)
+    ms = ", ".join(f"case when regexp_matches({col}, '(?i){p}') then cast(regexp_extract({col}, '(?i){p}', 2) as integer) end"
+                   for p in SRC.MONTH_PATTERNS)
+    return f"coalesce({ys})", f"coalesce({ms})"
+
+
+_YS, _MS = _month_patterns_sql()
+_FX_MONTHS = "select distinct cast(year(FL_DATE) as integer) as y, cast(month(FL_DATE) as integer) as m from clean"
+
+
+@query("source_pick", cte_chain("lineitem", "clean").rstrip() + f""",
+cand as ({_candidates_sql(_FX_MONTHS)}),
+named as (select path, regexp_extract(path, '([^/]*)$', 1) as name from cand),
+parsed as (select path, name, {_YS} as year, {_MS} as month,
+  case when lower(name) like '%.csv' and path like '%/data/csv/%' then 0
+       when lower(name) like '%.zip' then 1 when lower(name) like '%.csv' then 2 else 9 end as priority
+  from named),
+ranked as (select *, row_number() over (partition by year, month order by priority, length(name), path) as rk
+  from parsed where year is not null)
+select year, month, path from ranked where rk = 1""")
+def q_source_pick(spark, sf):
+    months = clean_of(spark, sf, "lineitem").select(
+        F.year("FL_DATE").cast("int").alias("y"), F.month("FL_DATE").cast("int").alias("m")).distinct()
+    cands = None
+    for expr, cond in _CANDIDATES_SPARK:
+        e = expr.replace("|| y ||", "|| cast(y as string) ||").replace("|| m ||", "|| cast(m as string) ||")
+        c = months.where(cond) if cond else months
+        c = c.select(F.expr(e).alias("path"))
+        cands = c if cands is None else cands.unionByName(c)
+    return SRC.source_pick(cands)
+
+
+@query("month_range", cte_chain("lineitem", "clean").rstrip() + """,
+b as (select min(date_trunc('month', FL_DATE)) as a, max(date_trunc('month', FL_DATE)) as z from clean)
+select cast(year(d) as integer) as year, cast(month(d) as integer) as month
+from b, generate_series(b.a, b.z, interval 1 month) g(d)""")
+def q_month_range(spark, sf):
+    b = clean_of(spark, sf, "lineitem").agg(F.date_format(F.min("FL_DATE"), "yyyy-MM").alias("a"),
+                                            F.date_format(F.max("FL_DATE"), "yyyy-MM").alias("z")).first()
+    return SRC.month_range(spark, b["a"], b["z"])
+
+
+_MONTH_COUNTS_SQL = cte_chain("lineitem", "clean") + """
+select strftime(FL_DATE, '%Y-%m') as ym, cast(count(*) as bigint) as clean_rows,
+ cast(count(distinct TAIL_NUM) as bigint) as tails from clean group by 1"""
+
+# Long-form header spellings used for the derived raw files (alias resolution is exercised).
+_LONG_NAMES = {"TAIL_NUM": "Tail_Number", "FL_DATE": "FlightDate", "OP_UNIQUE_CARRIER": "Reporting_Airline",
+               "ORIGIN": "Origin", "DEST": "Dest", "CRS_DEP_TIME": "CRSDepTime", "CRS_ARR_TIME": "CRSArrTime",
+               "DEP_DELAY": "DepDelay", "ARR_DELAY": "ArrDelay", "DISTANCE": "Distance",
+               "CANCELLED": "Cancelled", "DIVERTED": "Diverted"}
+
+
+def _raw_long(spark, sf):
+    raw = raw_flights(spark, sf, "lineitem")
+    return raw.select(*[F.col(c).cast("string").alias(_LONG_NAMES[c]) for c in _LONG_NAMES],
+                      F.substring("FL_DATE", 1, 7).alias("ym"))
+
+
+def _month_counts(clean):
+    return clean.groupBy(F.date_format("FL_DATE", "yyyy-MM").alias("ym")).agg(
+        F.count(F.lit(1)).alias("clean_rows"), F.count_distinct("TAIL_NUM").alias("tails"))
+
+
+@query("read_month_csv", _MONTH_COUNTS_SQL)
+def q_read_month_csv(spark, sf):
+    path = scratch_path(spark, "raw_csv")
+    _raw_long(spark, sf).write.partitionBy("ym").option("header", True).csv(path)
+    raw = SRC.read_month_csv(spark, [path])
+    return _month_counts(C.clean_flights(raw))
+
+
+@query("read_month_zip", _MONTH_COUNTS_SQL)
+def q_read_month_zip(spark, sf):
+    import os
+    import zipfile as _zf
+    path = scratch_path(spark, "raw_zip")
+    local = path.replace("file:", "", 1)
+
+    def write_zips(batches):  # executor side: one archive per month of this task
+        import pandas as _pd
+        frames = list(batches)
+        if not frames:
+            return
+        pdf = _pd.concat(frames)
+        os.makedirs(local, exist_ok=True)
+        out = []
+        for ym, g in pdf.groupby("ym"):
+            y, m = ym.split("-")
+            name = f"On_Time_Reporting_Carrier_On_Time_Performance_1987_present_{y}_{int(m)}"
+            with _zf.ZipFile(f"{local}/{name}.zip", "w", _zf.ZIP_DEFLATED) as z:
+                z.writestr(f"{name}.csv", "\ufeff" + g.drop(columns=["ym"]).to_csv(index=False))
+            out.append((ym, len(g)))
+        yield _pd.DataFrame(out, columns=["ym", "n"])
+
+    long = _raw_long(spark, sf)
+    long.repartition("ym").mapInPandas(write_zips, "ym string, n long").count()
+    raw = SRC.read_month_zip(spark, [f"{path}/*.zip"])
+    return _month_counts(C.clean_flights(raw))
+
+
+@query("write_clean", _MONTH_COUNTS_SQL)
+def q_write_clean(spark, sf):
+    path = scratch_path(spark, "clean")
+    SRC.write_clean(clean_of(spark, sf, "lineitem"), path)
+    return _month_counts(spark.read.parquet(path))
+
+
+@query("read_pairs", W_LI_P + """
+select cast(year(current_FL_DATE) as integer) as current_year, cast(count(*) as bigint) as n_pairs,
+ round(avg(prev_ARR_DELAY), 6) as mean_prev_arr_delay
+from pairs where year(current_FL_DATE) between 1996 and 1998 group by 1""")
+def q_read_pairs(spark, sf):
+    path = scratch_path(spark, "pairs")
+    SRC.write_pairs(pairs_of(spark, sf, "lineitem"), path)
+    p = SRC.read_pairs(spark, path, ["current_year", "prev_ARR_DELAY"], 1996, 1998)
+    return p.groupBy("current_year").agg(F.count(F.lit(1)).alias("n_pairs"),
+                                         r6(F.avg("prev_ARR_DELAY")).alias("mean_prev_arr_delay"))
+
+
+@query("tail_partition")
+def q_tail_partition(spark, sf):
+    path = scratch_path(spark, "tail_parts")
+    SRC.write_tail_partitions(clean_of(spark, sf, "lineitem"), path, 100)
+    return spark.read.parquet(path).select("TAIL_NUM", "partition_id").distinct()
+
+
+query("partition_stats")(lambda spark, sf: P.partition_stats(clean_of(spark, sf, "lineitem"), 100))
+
+
+@query("write_reports", legs_sql() + """
+select leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remaining_delay,
+ round(median_remaining_delay, 6) as median_remaining_delay from dbl""")
+def q_write_reports(spark, sf):
+    path = scratch_path(spark, "report_decay_by_leg")
+    R.write_report(D.decay_by_leg(tls_of(spark, sf)), path)
+    back = spark.read.option("header", True).schema(
+        "leg_index int, n_obs long, mean_remaining_delay double, median_remaining_delay double").csv(path)
+    return back.select("leg_index", "n_obs", r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay"),
+                       r6(F.col("median_remaining_delay")).alias("median_remaining_delay"))
+
+
+@query("trim_columns", cte_chain("lineitem", "clean") + """
+select cast(count(*) as bigint) as n_rows, cast(count(distinct FL_DATE) as bigint) as n_dates,
+ cast(count(distinct OP_UNIQUE_CARRIER) as bigint) as n_carriers from typed""")
+def q_trim_columns(spark, sf):
+    raw = raw_flights(spark, sf, "lineitem")
+    fill = {"Year": F.substring("FL_DATE", 1, 4), "Month": F.substring("FL_DATE", 6, 2),
+            "DayofMonth": F.substring("FL_DATE", 9, 2), "FlightDate": F.col("FL_DATE"),
+            "Reporting_Airline": F.col("OP_UNIQUE_CARRIER"), "Origin": F.col("ORIGIN"),
+            "Dest": F.col("DEST"), "CRSDepTime": F.col("CRS_DEP_TIME"), "DepDelay": F.col("DEP_DELAY"),
+            "CRSArrTime": F.col("CRS_ARR_TIME"), "ArrDelay": F.col("ARR_DELAY"),
+            "Cancelled": F.col("CANCELLED"), "Diverted": F.col("DIVERTED"), "Distance": F.col("DISTANCE")}
+    wide = raw.select(*[(fill[c] if c in fill else F.lit("")).cast("string").alias(c)
+                        for c in C.S.TRIM_COLUMNS],
+                      F.col("TAIL_NUM").alias("Tail_Number"), F.lit("x").alias("Div1Airport"))
+    path = scratch_path(spark, "wide_csv")
+    wide.write.option("header", True).csv(path)
+    t = SRC.trim_columns(spark.read.option("header", True).csv(path))
+    return t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("FlightDate").alias("n_dates"),
+                 F.count_distinct("Reporting_Airline").alias("n_carriers"))
