@@ -127,3 +127,44 @@ def _one_row_join(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.join(f.withColumn("_k", F.lit(1)), "_k", "left")
     return out.drop("_k")
+
+
+def final_summary(totals: DataFrame, coefficients: DataFrame, main: DataFrame,
+                  decay_params: DataFrame | None, boot_ci: DataFrame | None) -> DataFrame:
+    """One-row summary: counts, carry-over coefficients and CIs, odds ratios, decay rate,
+    its bootstrap CI and half-life.  Missing inputs give nulls."""
+    spark = totals.sparkSession
+
+    def coef(model, field, alias):
+        return (coefficients.where((F.col("model") == model) & (F.col("term") == "prev_ARR_DELAY"))
+                .select(F.col(field).alias(alias)))
+
+    parts = [
+        totals.select(F.col("total_months_used").alias("total_raw_files_used"),
+                      "total_cleaned_flights", "total_flight_pairs"),
+        coef("linear", "estimate", "main_carryover_coefficient"),
+        coef("logistic", "estimate", "logistic_prev_delay_coefficient"),
+        coef("logistic", "odds_ratio", "logistic_prev_delay_odds_ratio"),
+        main.select("logistic_odds_ratio_per_10_min", "logistic_or10_ci_lower", "logistic_or10_ci_upper"),
+    ]
+    if boot_ci is not None:
+        parts.append(boot_ci.select(F.col("beta_prev_arr_delay_ci_lower").alias("bootstrap_ci_lower"),
+                                    F.col("beta_prev_arr_delay_ci_upper").alias("bootstrap_ci_upper"),
+                                    F.col("lambda_decay_ci_lower").alias("decay_lambda_ci_lower"),
+                                    F.col("lambda_decay_ci_upper").alias("decay_lambda_ci_upper")))
+    else:
+        parts.append(spark.createDataFrame([(None, None, None, None)],
+                                           "bootstrap_ci_lower double, bootstrap_ci_upper double, "
+                                           "decay_lambda_ci_lower double, decay_lambda_ci_upper double"))
+    if decay_params is not None:
+        parts.append(decay_params.select(F.col("lambda").alias("decay_lambda"),
+                                         F.col("half_life_legs").alias("decay_half_life_legs")))
+    else:
+        parts.append(spark.createDataFrame([(None, None)], "decay_lambda double, decay_half_life_legs double"))
+    wide = _one_row_join(*parts)
+    return wide.select(
+        "total_raw_files_used", "total_cleaned_flights", "total_flight_pairs",
+        "main_carryover_coefficient", "bootstrap_ci_lower", "bootstrap_ci_upper",
+        "logistic_prev_delay_coefficient", "logistic_prev_delay_odds_ratio",
+        "logistic_odds_ratio_per_10_min", "logistic_or10_ci_lower", "logistic_or10_ci_upper",
+        "decay_lambda", "decay_lambda_ci_lower", "decay_lambda_ci_upper", "decay_half_life_legs")

@@ -926,3 +926,46 @@ def q_trim_columns(spark, sf):
     t = SRC.trim_columns(spark.read.option("header", True).csv(path))
     return t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("FlightDate").alias("n_dates"),
                  F.count_distinct("Reporting_Airline").alias("n_carriers"))
+
+
+# ---------------------------------------------------------------- streaming ingest, summaries
+from knockon.streaming import ingest as ST  # noqa: E402
+
+
+@query("stream_clean_ingest", _MONTH_COUNTS_SQL)
+def q_stream_clean_ingest(spark, sf):
+    landing, out, ck = (scratch_path(spark, n) for n in ("landing", "stream_clean", "stream_ckpt"))
+    long = _raw_long(spark, sf)
+    long.drop("ym").write.option("header", True).csv(landing)
+    header = [c for c in long.columns if c != "ym"]
+    ST.run_clean_ingest(spark, landing, header, out, ck)
+    return _month_counts(spark.read.parquet(out))
+
+
+@query("summary_assemble", cte_chain("lineitem", "mf") + """
+select t.total_cleaned_flights, t.total_flight_pairs, m.n_obs, m.mean_dep_delay, s.slope
+from (select (select cast(count(*) as bigint) from clean) as total_cleaned_flights,
+             (select cast(count(*) as bigint) from pairs) as total_flight_pairs) t,
+     (select cast(count(*) as bigint) as n_obs, round(avg(current_DEP_DELAY), 6) as mean_dep_delay from mf) m,
+     (select round(regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6) as slope from mf) s""")
+def q_summary_assemble(spark, sf):
+    clean = clean_of(spark, sf, "lineitem")
+    pairs = P.flight_pairs(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"))
+    mf = FE.model_frame(pairs, keep=ids("lineitem"))
+    t = R.dataset_totals(clean, pairs).select("total_cleaned_flights", "total_flight_pairs")
+    m = mf.agg(F.count(F.lit(1)).alias("n_obs"), r6(F.avg("current_DEP_DELAY")).alias("mean_dep_delay"),
+               r6(F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("slope"))
+    return R._one_row_join(t, m)
+
+
+@query("final_summary")
+def q_final_summary(spark, sf):
+    clean = clean_of(spark, sf, "lineitem")
+    pairs = P.flight_pairs(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"))
+    totals = R.dataset_totals(clean, pairs)
+    suite = suite_of(spark, sf)
+    tls = D.tail_leg_summary(clean, tiebreak=ids("lineitem"))
+    params = D.decay_parameters(D.decay_by_leg(tls))
+    boot = B.run_bootstrap(spark, mf_of(spark, sf, "lineitem"), tls, N_REPS, SEED)
+    ci = B.bootstrap_ci(boot, ["beta_prev_arr_delay", "lambda_decay"])
+    return R.final_summary(totals, suite["coefficients"], suite["main_result"], params, ci)
