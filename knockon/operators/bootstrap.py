@@ -209,6 +209,9 @@ def bootstrap_ci(table: DataFrame, cols: list[str]) -> DataFrame:
 def run_bootstrap(spark: SparkSession, mf: DataFrame, tail_summary: DataFrame | None,
                   n_reps: int, seed: int) -> DataFrame:
     """replicate, seed, beta_prev_arr_delay[, lambda_decay]."""
+    mf = mf.checkpoint(eager=True)  # read by the weights, the means, the levels and the Grams
+    if tail_summary is not None:
+        tail_summary = tail_summary.checkpoint(eager=True)
     w = cluster_weights(mf.where(F.col("TAIL_NUM").isNotNull()), n_reps, seed).checkpoint(eager=True)
     beta = bootstrap_beta(mf, w)
     lam = bootstrap_lambda(tail_summary, w) if tail_summary is not None else None

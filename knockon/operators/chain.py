@@ -13,8 +13,9 @@ the event time by default - and the rows at bucket edges are stitched:
 
 The stitch table holds one row per (entity, bucket) with at most ``k + 1``
 payloads, so it is bounded by the time span, not by the row count.  Everything
-is windows, one aggregation and one equi-join on (entity, bucket); the big side
-is shuffled once (the window's exchange is reused by the join).
+is windows, one aggregation and one equi-join on (entity, bucket).  The input is
+read by two branches (rows and stitch table), so callers pass a materialised
+table (the written / checkpointed clean flights), not a long lineage.
 """
 
 from __future__ import annotations

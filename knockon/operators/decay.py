@@ -166,6 +166,7 @@ def decay_table(decay_by_leg_df: DataFrame, by: list[str] | None = None) -> Data
     """decay_by_leg plus the fitted curve value (null when no fit), per group ``by``."""
     by = list(by or [])
     keys = by or ["_all"]
+    decay_by_leg_df = decay_by_leg_df.checkpoint(eager=True)  # K rows per group, read twice
     rows = decay_by_leg_df if by else decay_by_leg_df.withColumn("_all", F.lit(0))
     params = fit_groups(rows, keys)
     fitted = F.nanvl(F.col("amplitude_A") * F.exp(-F.col("lambda") * F.col("leg_index")),

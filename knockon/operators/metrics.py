@@ -31,7 +31,7 @@ def score_curve(df: DataFrame, score: str, label: str, n_ranges: int = 64) -> Da
          .groupBy(F.col(score).cast("double").alias("score"))
          .agg(F.sum(F.col(label).cast("long")).alias("tp"),
               F.sum((1 - F.col(label)).cast("long")).alias("fp")))
-    g = _ranges(g, "score", n_ranges)
+    g = _ranges(g.checkpoint(eager=True), "score", n_ranges)  # distinct scores, read 3 times
     totals = g.groupBy("_range").agg(F.sum("tp").alias("_rtp"), F.sum("fp").alias("_rfp"))
     before = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -42,7 +42,9 @@ def ids(fx="flights") -> list[str]:
 
 
 def clean_of(spark, sf, fx="flights") -> DataFrame:
-    return C.clean_flights(raw_flights(spark, sf, fx), keep=ids(fx))
+    """Cleaned flights, materialised (the stage boundary the pair/decay chains read twice)."""
+    from knockon.session import materialize
+    return materialize(C.clean_flights(raw_flights(spark, sf, fx), keep=ids(fx)))
 
 
 def typed_of(spark, sf, fx="flights") -> DataFrame:

@@ -57,3 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/knockon-tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage: a reliable checkpoint into the shared checkpoint folder.
+
+    Used at stage boundaries (clean table before pairing, model frame before
+    multi-pass fits, small aggregated tables read by several branches).  Lost
+    executors re-read the checkpoint files instead of recomputing the lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
