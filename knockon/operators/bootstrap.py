@@ -93,8 +93,8 @@ def bootstrap_design(mf: DataFrame, single: bool = False):
 def tail_grams(mf: DataFrame, design, key: str = "TAIL_NUM", label: str = "current_DEP_DELAY") -> DataFrame:
     """Per tail: the packed sums [n, X'X (upper), X'y, y'y] with X = [1, design].
 
-    Partial sums per input batch (mapInPandas, no row shuffle), then summed per
-    tail; a tail's partials number at most the input partitions.
+    Partial sums per input partition (mapInPandas, no row shuffle), then summed
+    per tail; a tail's partials number at most the input partitions.
     """
     p = len(design.names) + 1
     means = mf.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(design.exprs)]).first()
@@ -104,18 +104,20 @@ def tail_grams(mf: DataFrame, design, key: str = "TAIL_NUM", label: str = "curre
     iu = np.triu_indices(p)
 
     def partial(batches):
+        # Running sums per tail over the whole partition: one partial row per
+        # (tail, partition), however many rows a tail has.
+        acc: dict = {}
         for b in batches:
             if len(b) == 0:
                 continue
             X = np.column_stack([np.ones(len(b)), np.vstack(b["x"].to_numpy())])
             y = b["y"].to_numpy(float)
-            out_k, out_v = [], []
             for k, idx in b.groupby("k").indices.items():
                 Xt, yt = X[idx], y[idx]
-                g = Xt.T @ Xt
-                out_k.append(k)
-                out_v.append(np.concatenate([[len(idx)], g[iu], Xt.T @ yt, [yt @ yt]]).tolist())
-            yield pd.DataFrame({"k": out_k, "s": out_v})
+                v = np.concatenate([[len(idx)], (Xt.T @ Xt)[iu], Xt.T @ yt, [yt @ yt]])
+                acc[k] = acc[k] + v if k in acc else v
+        if acc:
+            yield pd.DataFrame({"k": list(acc), "s": [v.tolist() for v in acc.values()]})
 
     parts = rows.mapInPandas(partial, "k string, s array<double>")
 
