@@ -42,9 +42,11 @@ def _bucket_expr(time_col: str, split) -> Column | None:
 
 
 def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead_col=None,
-                max_lead: int = 0, split="day") -> DataFrame:
+                max_lead: int = 0, split="day", position: bool = False) -> DataFrame:
     """Add ``_prev`` (struct of ``prev_cols`` of the previous row, null for the first
-    row of an entity) and ``_next_1.._next_k`` (``lead_col`` k rows later).
+    row of an entity) and ``_next_1.._next_k`` (``lead_col`` k rows later); with
+    ``position`` also ``_pos``, the 1-based place of the row in its entity's chain
+    (bucket sizes prefix-summed over the stitch table plus the rank in the bucket).
 
     ``order[0]`` is the event time (ascending, nulls last); the rest break ties.
     ``split`` is "day", "hour", a Column monotone in ``order[0]``, or None (one
@@ -60,6 +62,8 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
         out = df.withColumn("_prev", F.lag(payload, 1).over(w))
         for k in range(1, max_lead + 1):
             out = out.withColumn(f"_next_{k}", F.lead(lead_col, k).over(w))
+        if position:
+            out = out.withColumn("_pos", F.row_number().over(w).cast("long"))
         return out
 
     rows = df.withColumn(BK, bucket)
@@ -73,7 +77,7 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
 
     # Stitch table: per (entity, bucket) the last row's payload and the first k lead values.
     edge = rows.where((F.col("_rn") == F.col("_n")) | (F.col("_rn") <= max_lead))
-    aggs = [F.max_by(payload, F.col("_rn")).alias("_last")]
+    aggs = [F.max_by(payload, F.col("_rn")).alias("_last"), F.max("_n").alias("_cnt")]
     if max_lead:
         aggs.append(F.sort_array(F.collect_list(F.when(
             F.col("_rn") <= max_lead,
@@ -85,6 +89,9 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
         link_cols.append(F.transform(
             F.flatten(F.collect_list("_head").over(ws.rowsBetween(1, max_lead))),
             lambda s: s["v"]).alias("_next_heads"))
+    if position:
+        link_cols.append(F.coalesce(F.sum("_cnt").over(
+            ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("_before"))
     links = summ.select(*link_cols)
 
     out = rows.join(links, on=[entity, BK], how="left")
@@ -94,6 +101,8 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
             f"_next_{k}",
             F.when(F.col("_rn") + k <= F.col("_n"), F.col(f"_ld_{k}")).otherwise(
                 F.try_element_at(F.col("_next_heads"), (F.col("_rn") + k - F.col("_n")).cast("int"))))
+    if position:
+        out = out.withColumn("_pos", F.col("_before") + F.col("_rn")).drop("_before")
     drop = ["_lag", "_rn", "_n", "_prev_last", BK] + [f"_ld_{k}" for k in range(1, max_lead + 1)]
     if max_lead:
         drop.append("_next_heads")

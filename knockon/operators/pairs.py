@@ -83,3 +83,10 @@ def partition_stats(clean: DataFrame, n_partitions: int = S.DEFAULT_TAIL_PARTITI
     """Rows assigned per tail bucket."""
     return (partition_ids(clean, n_partitions).groupBy("partition_id")
             .agg(F.count(F.lit(1)).alias("rows")))
+
+
+def chain_sort(clean: DataFrame, tiebreak=(), split="day") -> DataFrame:
+    """Each flight with its 1-based position in its tail's chain (scheduled departure,
+    nulls last, then row id)."""
+    linked = chain_links(clean, "TAIL_NUM", chain_order(tiebreak), split=split, position=True)
+    return linked.drop("_prev").withColumnRenamed("_pos", "chain_position")

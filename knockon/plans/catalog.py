@@ -971,3 +971,33 @@ def q_final_summary(spark, sf):
     boot = B.run_bootstrap(spark, mf_of(spark, sf, "lineitem"), tls, N_REPS, SEED)
     ci = B.bootstrap_ci(boot, ["beta_prev_arr_delay", "lambda_decay"])
     return R.final_summary(totals, suite["coefficients"], suite["main_result"], params, ci)
+
+
+
+# ---------------------------------------------------------------- chain order, decay curve evaluation
+@query("chain_sort", W_FL + """
+select event_id, TAIL_NUM, cast(row_number() over (partition by TAIL_NUM
+  order by sched_dep_timestamp asc nulls last, event_id) as bigint) as chain_position from clean""")
+def q_chain_sort(spark, sf):
+    return P.chain_sort(clean_of(spark, sf), tiebreak=ids()).select("event_id", "TAIL_NUM", "chain_position")
+
+
+@query("chain_sort_multi_year", cte_chain("lineitem", "clean") + """
+select l_orderkey, l_linenumber, l_partkey, l_extendedprice, cast(row_number() over (partition by TAIL_NUM
+  order by sched_dep_timestamp asc nulls last, l_orderkey, l_linenumber, l_partkey, l_extendedprice) as bigint)
+  as chain_position from clean""")
+def q_chain_sort_multi_year(spark, sf):
+    return P.chain_sort(clean_of(spark, sf, "lineitem"), tiebreak=ids("lineitem")).select(
+        *FX.FX_LINEITEM_ORDER, "chain_position")
+
+
+@query("decay_eval")
+def q_decay_eval(spark, sf):
+    """A*exp(-lambda*k) on the fitted curve and the half-life (null unless lambda > 0)."""
+    params = D.fit_groups(D.decay_by_leg(tls_of(spark, sf)), [])
+    legs = spark.range(1, 6).select(F.col("id").cast("int").alias("leg_index"))
+    return (legs.withColumn("_all", F.lit(0))
+            .join(params.withColumn("_all", F.lit(0)), "_all").drop("_all")
+            .select("leg_index", "amplitude_A", "lambda",
+                    X.decay_value("amplitude_A", "lambda", "leg_index").alias("decay_value"),
+                    X.half_life("lambda").alias("half_life_legs")))
