@@ -24,39 +24,44 @@ def _ranges(scores: DataFrame, col: str, n_ranges: int) -> DataFrame:
                       handleInvalid="keep").transform(scores)
 
 
-def score_curve(df: DataFrame, score: str, label: str, n_ranges: int = 64) -> DataFrame:
-    """One row per distinct score: tp/fp at that score and cumulative TP/FP of all scores
-    >= it (descending sweep)."""
+def score_curve(df: DataFrame, score: str, label: str, n_ranges: int = 64, by=()) -> DataFrame:
+    """One row per (group, distinct score): tp/fp at that score and cumulative TP/FP of
+    all scores >= it within the group (descending sweep)."""
+    by = list(by)
     g = (df.where(F.col(score).isNotNull())
-         .groupBy(F.col(score).cast("double").alias("score"))
+         .groupBy(*by, F.col(score).cast("double").alias("score"))
          .agg(F.sum(F.col(label).cast("long")).alias("tp"),
               F.sum((1 - F.col(label)).cast("long")).alias("fp")))
     g = _ranges(g.checkpoint(eager=True), "score", n_ranges)  # distinct scores, read 3 times
-    totals = g.groupBy("_range").agg(F.sum("tp").alias("_rtp"), F.sum("fp").alias("_rfp"))
-    before = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = g.groupBy(*by, "_range").agg(F.sum("tp").alias("_rtp"), F.sum("fp").alias("_rfp"))
+    before = Window.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(
+        Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_range",
+        *by, "_range",
         F.coalesce(F.sum("_rtp").over(before), F.lit(0)).alias("_otp"),
         F.coalesce(F.sum("_rfp").over(before), F.lit(0)).alias("_ofp"))
-    run = Window.partitionBy("_range").orderBy(F.col("score").desc()).rowsBetween(
+    run = Window.partitionBy(*by, "_range").orderBy(F.col("score").desc()).rowsBetween(
         Window.unboundedPreceding, 0)
-    return (g.join(F.broadcast(offsets), "_range")
+    # offsets: at most groups x n_ranges rows
+    return (g.join(F.broadcast(offsets), [*by, "_range"])
             .withColumn("cum_tp", F.col("_otp") + F.sum("tp").over(run))
             .withColumn("cum_fp", F.col("_ofp") + F.sum("fp").over(run))
             .drop("_range", "_otp", "_ofp"))
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str, n_ranges: int = 64) -> DataFrame:
-    """One row: roc_auc (trapezoid over the ROC steps) and average_precision
-    (sum of recall steps times precision); null when only one class is present."""
-    c = score_curve(df, score, label, n_ranges)
+def ranking_metrics(df: DataFrame, score: str, label: str, n_ranges: int = 64, by=()) -> DataFrame:
+    """Per group: roc_auc (trapezoid over the ROC steps) and average_precision (sum of
+    recall steps times precision); null when only one class is present."""
+    by = list(by)
+    c = score_curve(df, score, label, n_ranges, by)
     prev_tp = F.col("cum_tp") - F.col("tp")
     prev_fp = F.col("cum_fp") - F.col("fp")
-    agg = c.agg(
-        F.sum(F.col("tp")).alias("P"), F.sum(F.col("fp")).alias("N"),
-        F.sum((F.col("cum_fp") - prev_fp) * (F.col("cum_tp") + prev_tp) / 2.0).alias("_area"),
-        F.sum(F.col("tp") * (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")))).alias("_ap"))
+    aggs = [F.sum(F.col("tp")).alias("P"), F.sum(F.col("fp")).alias("N"),
+            F.sum((F.col("cum_fp") - prev_fp) * (F.col("cum_tp") + prev_tp) / 2.0).alias("_area"),
+            F.sum(F.col("tp") * (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")))).alias("_ap")]
+    agg = c.groupBy(*by).agg(*aggs) if by else c.agg(*aggs)
     ok = (F.col("P") > 0) & (F.col("N") > 0)
     return agg.select(
+        *by,
         F.when(ok, F.col("_area") / (F.col("P") * F.col("N"))).alias("roc_auc"),
         F.when(ok, F.col("_ap") / F.col("P")).alias("average_precision"))

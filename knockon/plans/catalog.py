@@ -603,13 +603,13 @@ query("top_bottom_airlines")(lambda spark, sf: R.top_bottom(suite_of(spark, sf)[
 @query("fit_by_year")
 def q_fit_by_year(spark, sf):
     mf = mf_of(spark, sf)
-    return SU.fit_periods(spark, mf, SU.yearly_periods(SU.years_of(mf)))
+    return SU.fit_periods_grouped(spark, mf, SU.yearly_periods(SU.years_of(mf)))
 
 
 @query("fit_by_window")
 def q_fit_by_window(spark, sf):
     mf = mf_of(spark, sf)
-    return SU.fit_periods(spark, mf, SU.window_periods(SU.years_of(mf), 3))
+    return SU.fit_periods_grouped(spark, mf, SU.window_periods(SU.years_of(mf), 3))
 
 
 @query("year_comparison")

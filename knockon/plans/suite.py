@@ -121,3 +121,25 @@ def window_periods(years: list[int], width: int = 3) -> list[tuple[str, int, int
         out.append((f"{chunk[0]}-{chunk[-1]}" if len(chunk) > 1 else str(chunk[0]),
                     chunk[0], chunk[-1]))
     return out
+
+
+def fit_periods_grouped(spark: SparkSession, mf: DataFrame, periods: list[tuple[str, int, int]]) -> DataFrame:
+    """Same table as ``fit_periods`` but all periods are solved together (grouped
+    normal equations / grouped IRLS): passes over the rows do not grow with the
+    number of periods.  Periods must not overlap."""
+    from knockon.operators import grouped as G
+    label = None
+    for name, lo, hi in periods:
+        cond = F.col("current_year").between(lo, hi)
+        label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
+    framed = mf.withColumn("_period", label).where(F.col("_period").isNotNull())
+    framed = framed.checkpoint(eager=True)
+    levels = M.factor_levels(framed, ["OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS, "current_year"])
+    design = M.build_design(levels, M.model_factors(levels, with_year=len(levels["current_year"]) > 1),
+                            M.NUMERIC_CONTROLS)
+    table = G.period_table(spark, framed, design, "_period")
+    bounds = spark.createDataFrame([(n, lo, hi) for n, lo, hi in periods],
+                                   "period string, start_year int, end_year int")
+    return (table.join(F.broadcast(bounds), "period")
+            .where(F.col("n_modeling_pairs") >= S.MIN_MODEL_ROWS)
+            .select("period", "start_year", "end_year", *[c for c in table.columns if c != "period"]))

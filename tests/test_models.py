@@ -125,3 +125,15 @@ def test_ranking_metrics_one_class_is_null(spark):
 def test_too_few_rows_errors(spark, mf):
     with pytest.raises(ValueError):
         fit_suite(spark, mf.limit(50))
+
+
+def test_grouped_period_fits_equal_separate_fits(spark, mf):
+    from knockon.plans import suite as SU
+    years = SU.years_of(mf)
+    for periods in (SU.yearly_periods(years), SU.window_periods(years, 3)):
+        a = SU.fit_periods(spark, mf, periods).toPandas().sort_values("period").reset_index(drop=True)
+        b = SU.fit_periods_grouped(spark, mf, periods).toPandas().sort_values("period").reset_index(drop=True)
+        assert list(a.period) == list(b.period)
+        for c in a.columns:
+            if c != "period":
+                assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-8, equal_nan=True), c
