@@ -67,6 +67,41 @@ def r6(c):
     return F.round(c, 6)
 
 
+# Dates and timestamps leave the registered queries as ISO text (the layout the
+# reference writes to its CSV outputs), so both engines present them identically.
+TEMPORAL = {"FL_DATE": "date", "current_FL_DATE": "date", "sched_dep_timestamp": "ts",
+            "sched_arr_timestamp": "ts", "prev_sched_arr_timestamp": "ts",
+            "current_sched_dep_timestamp": "ts", "dep_timestamp": "ts", "arr_timestamp": "ts"}
+
+
+def iso(df: DataFrame) -> DataFrame:
+    """Render date / timestamp columns as 'yyyy-MM-dd' / 'yyyy-MM-dd HH:mm:ss' text."""
+    out = []
+    for c in df.columns:
+        kind = TEMPORAL.get(c)
+        if kind == "date":
+            out.append(F.date_format(c, "yyyy-MM-dd").alias(c))
+        elif kind == "ts":
+            out.append(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
+def iso_sql(cols: list[str]) -> str:
+    """DuckDB select list matching ``iso``."""
+    items = []
+    for c in cols:
+        kind = TEMPORAL.get(c)
+        if kind == "date":
+            items.append(f"strftime({c}, '%Y-%m-%d') as {c}")
+        elif kind == "ts":
+            items.append(f"strftime({c}, '%Y-%m-%d %H:%M:%S') as {c}")
+        else:
+            items.append(c)
+    return ", ".join(items)
+
+
 W_FL = cte_chain("flights", "clean")
 W_FL_P = cte_chain("flights", "pairs")
 W_LI_P = cte_chain("lineitem", "pairs")
@@ -74,22 +109,20 @@ W_LI_MF = cte_chain("lineitem", "mf")
 W_FL_MF = cte_chain("flights", "mf")
 
 # ---------------------------------------------------------------- sources / projections
-query("coerce_types", W_FL + """
-select event_id, TAIL_NUM, FL_DATE, CRS_DEP_TIME, CRS_ARR_TIME, DEP_DELAY, ARR_DELAY,
- DISTANCE, CANCELLED, DIVERTED from typed""")(lambda spark, sf: typed_of(spark, sf).select(
-    "event_id", "TAIL_NUM", "FL_DATE", "CRS_DEP_TIME", "CRS_ARR_TIME", "DEP_DELAY", "ARR_DELAY",
-    "DISTANCE", "CANCELLED", "DIVERTED"))
+TYPED_OUT = ["event_id", "TAIL_NUM", "FL_DATE", "CRS_DEP_TIME", "CRS_ARR_TIME", "DEP_DELAY", "ARR_DELAY",
+             "DISTANCE", "CANCELLED", "DIVERTED"]
+query("coerce_types", W_FL + "select " + iso_sql(TYPED_OUT) + " from typed")(
+    lambda spark, sf: iso(typed_of(spark, sf).select(*TYPED_OUT)))
 
-query("resolve_columns", W_FL + """
-select event_id, TAIL_NUM, FL_DATE, OP_UNIQUE_CARRIER, ORIGIN, DEST from typed""")(
-    lambda spark, sf: typed_of(spark, sf).select("event_id", "TAIL_NUM", "FL_DATE",
-                                                 "OP_UNIQUE_CARRIER", "ORIGIN", "DEST"))
+RESOLVED_OUT = ["event_id", "TAIL_NUM", "FL_DATE", "OP_UNIQUE_CARRIER", "ORIGIN", "DEST"]
+query("resolve_columns", W_FL + "select " + iso_sql(RESOLVED_OUT) + " from typed")(
+    lambda spark, sf: iso(typed_of(spark, sf).select(*RESOLVED_OUT)))
 
 query("filter_valid_keys", W_FL + """
-select event_id, TAIL_NUM, FL_DATE from typed
+select event_id, TAIL_NUM, strftime(FL_DATE, '%Y-%m-%d') as FL_DATE from typed
 where TAIL_NUM is not null and TAIL_NUM <> '' and FL_DATE is not null
   and CRS_DEP_TIME is not null and CRS_ARR_TIME is not null""")(
-    lambda spark, sf: (lambda t: t.where(C.valid_keys(t)).select("event_id", "TAIL_NUM", "FL_DATE"))(
+    lambda spark, sf: (lambda t: iso(t.where(C.valid_keys(t)).select("event_id", "TAIL_NUM", "FL_DATE")))(
         typed_of(spark, sf)))
 
 query("filter_operated", W_FL + """
@@ -99,25 +132,27 @@ where coalesce(CANCELLED, 0) <> 1 and coalesce(DIVERTED, 0) <> 1""")(
 
 
 @query("hhmm_ts", W_FL.replace("from kept)", "from typed)", 1) + """
-select event_id, dep_ts as dep_timestamp, arr_ts0 as arr_timestamp from hh4""")
+select event_id, strftime(dep_ts, '%Y-%m-%d %H:%M:%S') as dep_timestamp,
+ strftime(arr_ts0, '%Y-%m-%d %H:%M:%S') as arr_timestamp from hh4""")
 def q_hhmm_ts(spark, sf):
     t = typed_of(spark, sf)
-    return t.select("event_id", X.hhmm_timestamp("FL_DATE", "CRS_DEP_TIME").alias("dep_timestamp"),
-                    X.hhmm_timestamp("FL_DATE", "CRS_ARR_TIME").alias("arr_timestamp"))
+    return iso(t.select("event_id", X.hhmm_timestamp("FL_DATE", "CRS_DEP_TIME").alias("dep_timestamp"),
+                        X.hhmm_timestamp("FL_DATE", "CRS_ARR_TIME").alias("arr_timestamp")))
 
 
 @query("sched_hours", W_FL.replace("from kept)", "from typed)", 1) + """
-select event_id, cast(case when dv and FL_DATE is not null then dc // 100 end as integer) as dep_hour,
- cast(case when av and FL_DATE is not null then ac // 100 end as integer) as arr_hour from hh4""")
+select event_id, cast(case when dv and FL_DATE is not null then dc // 100 end as double) as dep_hour,
+ cast(case when av and FL_DATE is not null then ac // 100 end as double) as arr_hour from hh4""")
 def q_sched_hours(spark, sf):
+    # nullable hours leave as double: both engines then hand the same column kind to pandas
     t = typed_of(spark, sf)
-    return t.select("event_id", X.hhmm_hour("FL_DATE", "CRS_DEP_TIME").alias("dep_hour"),
-                    X.hhmm_hour("FL_DATE", "CRS_ARR_TIME").alias("arr_hour"))
+    return t.select("event_id", X.hhmm_hour("FL_DATE", "CRS_DEP_TIME").cast("double").alias("dep_hour"),
+                    X.hhmm_hour("FL_DATE", "CRS_ARR_TIME").cast("double").alias("arr_hour"))
 
 
-query("overnight_fix", W_FL + """
-select event_id, sched_dep_timestamp, sched_arr_timestamp from clean""")(
-    lambda spark, sf: clean_of(spark, sf).select("event_id", "sched_dep_timestamp", "sched_arr_timestamp"))
+query("overnight_fix", W_FL + "select " + iso_sql(["event_id", "sched_dep_timestamp", "sched_arr_timestamp"])
+      + " from clean")(lambda spark, sf: iso(clean_of(spark, sf).select(
+          "event_id", "sched_dep_timestamp", "sched_arr_timestamp")))
 
 query("calendar_fill", W_FL + "select event_id, month, day_of_week from clean")(
     lambda spark, sf: clean_of(spark, sf).select("event_id", "month", "day_of_week"))
@@ -129,8 +164,12 @@ CLEAN_COLS = ["event_id", "TAIL_NUM", "FL_DATE", "OP_UNIQUE_CARRIER", "ORIGIN",
               "CRS_DEP_TIME", "CRS_ARR_TIME", "DEP_DELAY", "ARR_DELAY", "DISTANCE", "CANCELLED",
               "DIVERTED", "sched_dep_hour", "sched_arr_hour", "month", "day_of_week", "route",
               "sched_dep_timestamp", "sched_arr_timestamp"]
-query("clean_flights", W_FL + "select " + ", ".join(CLEAN_COLS) + " from clean")(
-    lambda spark, sf: clean_of(spark, sf).select(*CLEAN_COLS))
+query("clean_flights", W_FL + "select " + iso_sql(CLEAN_COLS).replace(
+    "sched_dep_hour, sched_arr_hour", "cast(sched_dep_hour as double) as sched_dep_hour, "
+    "cast(sched_arr_hour as double) as sched_arr_hour") + " from clean")(
+    lambda spark, sf: iso(clean_of(spark, sf).select(*CLEAN_COLS)).withColumn(
+        "sched_dep_hour", F.col("sched_dep_hour").cast("double")).withColumn(
+        "sched_arr_hour", F.col("sched_arr_hour").cast("double")))
 
 
 @query("clean_summary", W_FL + """
@@ -164,18 +203,17 @@ def q_clean_summary_by_month(spark, sf):
 
 # ---------------------------------------------------------------- pairs
 PAIR_OUT = ["event_id", *C.S.PAIR_COLUMNS]
-query("flight_pairs", W_FL_P + "select " + ", ".join(PAIR_OUT) + " from pairs")(
-    lambda spark, sf: pairs_of(spark, sf).select(*PAIR_OUT))
+query("flight_pairs", W_FL_P + "select " + iso_sql(PAIR_OUT) + " from pairs")(
+    lambda spark, sf: iso(pairs_of(spark, sf).select(*PAIR_OUT)))
 
 LI_PAIR_OUT = [*FX.FX_LINEITEM_ORDER, *C.S.PAIR_COLUMNS]
-query("flight_pairs_multi_year", W_LI_P + "select " + ", ".join(LI_PAIR_OUT) + " from pairs")(
-    lambda spark, sf: pairs_of(spark, sf, "lineitem").select(*LI_PAIR_OUT))
-
-query("turnaround_minutes", W_FL_P + """
-select event_id, prev_sched_arr_timestamp, current_sched_dep_timestamp, scheduled_turnaround_minutes
-from cand""")(lambda spark, sf: cand_of(spark, sf).select(
-    "event_id", "prev_sched_arr_timestamp", "current_sched_dep_timestamp",
-    "scheduled_turnaround_minutes"))
+query("flight_pairs_multi_year", W_LI_P + "select " + iso_sql(LI_PAIR_OUT) + " from pairs")(
+    lambda spark, sf: iso(pairs_of(spark, sf, "lineitem").select(*LI_PAIR_OUT)))
+
+TURN_OUT = ["event_id", "prev_sched_arr_timestamp", "current_sched_dep_timestamp",
+            "scheduled_turnaround_minutes"]
+query("turnaround_minutes", W_FL_P + "select " + iso_sql(TURN_OUT) + " from cand")(
+    lambda spark, sf: iso(cand_of(spark, sf).select(*TURN_OUT)))
 
 query("same_airport", W_FL_P + "select event_id, prev_DEST, current_ORIGIN, same_airport_connection from cand")(
     lambda spark, sf: cand_of(spark, sf).select("event_id", "prev_DEST", "current_ORIGIN",
