@@ -59,13 +59,17 @@ def q_bootstrap(spark, sf):
     K.QUERIES["bootstrap_table"](spark, sf).collect()
 
 
+def q_yearly_models(spark, sf):
+    K.QUERIES["fit_by_year"](spark, sf).collect()
+
+
 def q_density(spark, sf):
     K.QUERIES["density_grid"](spark, sf).collect()
 
 
 QUERIES = {"clean": q_clean, "pairs": q_pairs, "pairs_dirty": q_pairs_dirty,
            "delay_rate_by_bin": q_delay_rate, "decay": q_decay, "models": q_models,
-           "ranking_metrics": q_ranking, "bootstrap": q_bootstrap, "density_grid": q_density}
+           "ranking_metrics": q_ranking, "bootstrap": q_bootstrap, "yearly_models": q_yearly_models, "density_grid": q_density}
 
 
 def main():

@@ -28,13 +28,14 @@ from knockon.operators import models as M
 # ------------------------------------------------------------------ cluster weights
 
 
-def dense_index(keys: DataFrame, key: str, n_ranges: int = 16) -> DataFrame:
+def dense_index(keys: DataFrame, key: str, n_ranges: int | None = None) -> DataFrame:
     """(key, idx) with idx = 0-based rank of key in sorted order, computed distributed.
 
     Keys are range-partitioned and checkpointed (so partition ids are fixed), each
     partition counts its keys, the small count table is prefix-summed, and each
     key's index is its partition offset plus its rank inside the partition.
     """
+    n_ranges = n_ranges or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = (keys.select(key).distinct().repartitionByRange(n_ranges, key)
               .sortWithinPartitions(key).checkpoint(eager=True))
     tagged = ranged.withColumn("_pid", F.spark_partition_id())

@@ -24,10 +24,16 @@ def _ranges(scores: DataFrame, col: str, n_ranges: int) -> DataFrame:
                       handleInvalid="keep").transform(scores)
 
 
-def score_curve(df: DataFrame, score: str, label: str, n_ranges: int = 64, by=()) -> DataFrame:
+def _default_ranges(df: DataFrame) -> int:
+    """Value ranges for the sweep: the session's shuffle width (at least 64)."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def score_curve(df: DataFrame, score: str, label: str, n_ranges: int | None = None, by=()) -> DataFrame:
     """One row per (group, distinct score): tp/fp at that score and cumulative TP/FP of
     all scores >= it within the group (descending sweep)."""
     by = list(by)
+    n_ranges = n_ranges or _default_ranges(df)
     g = (df.where(F.col(score).isNotNull())
          .groupBy(*by, F.col(score).cast("double").alias("score"))
          .agg(F.sum(F.col(label).cast("long")).alias("tp"),
@@ -42,14 +48,14 @@ def score_curve(df: DataFrame, score: str, label: str, n_ranges: int = 64, by=()
         F.coalesce(F.sum("_rfp").over(before), F.lit(0)).alias("_ofp"))
     run = Window.partitionBy(*by, "_range").orderBy(F.col("score").desc()).rowsBetween(
         Window.unboundedPreceding, 0)
-    # offsets: at most groups x n_ranges rows
+    # offsets: at most groups x n_ranges rows (a bounded broadcast)
     return (g.join(F.broadcast(offsets), [*by, "_range"])
             .withColumn("cum_tp", F.col("_otp") + F.sum("tp").over(run))
             .withColumn("cum_fp", F.col("_ofp") + F.sum("fp").over(run))
             .drop("_range", "_otp", "_ofp"))
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str, n_ranges: int = 64, by=()) -> DataFrame:
+def ranking_metrics(df: DataFrame, score: str, label: str, n_ranges: int | None = None, by=()) -> DataFrame:
     """Per group: roc_auc (trapezoid over the ROC steps) and average_precision (sum of
     recall steps times precision); null when only one class is present."""
     by = list(by)
