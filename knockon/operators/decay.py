@@ -42,7 +42,16 @@ def tail_leg_summary(clean: DataFrame, max_leg: int = S.MAX_LEG,
     ``median`` is Spark's exact percentile, whose buffer is a value->count map merged
     map-side, so a hot tail costs distinct delay values, not rows.
     """
-    shocks = shock_rows(later_legs(clean, max_leg, tiebreak, split), threshold)
+    return tail_leg_summary_of_legs(later_legs(clean, max_leg, tiebreak, split), max_leg, threshold)
+
+
+def tail_leg_summary_of_legs(legs: DataFrame, max_leg: int = S.MAX_LEG,
+                             threshold: float = S.SHOCK_THRESHOLD,
+                             arr_col: str = "ARR_DELAY") -> DataFrame:
+    """Tail-leg summary from rows that already carry ``next_dep_delay_1..k``
+    (e.g. pair candidates built with ``max_lead``, whose arrival delay is
+    ``current_ARR_DELAY``)."""
+    shocks = legs.where(F.col(arr_col) > F.lit(threshold))
     long = shocks.select("TAIL_NUM", F.explode(F.array(*[
         F.struct(F.lit(k).alias("leg_index"), F.col(f"next_dep_delay_{k}").alias("v"))
         for k in range(1, max_leg + 1)])).alias("x")).select("TAIL_NUM", "x.leg_index", "x.v")

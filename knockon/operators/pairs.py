@@ -17,14 +17,17 @@ def chain_order(tiebreak=()) -> list[str]:
     return ["sched_dep_timestamp", *tiebreak]
 
 
-def pair_candidates(clean: DataFrame, tiebreak=(), split="day", keep=()) -> DataFrame:
+def pair_candidates(clean: DataFrame, tiebreak=(), split="day", keep=(), max_lead: int = 0) -> DataFrame:
     """Every cleaned flight with its previous flight's fields and the pair flags
-    (before the connection filter)."""
+    (before the connection filter).  ``max_lead`` > 0 also carries the departure
+    delays of the next k flights (``next_dep_delay_k``) from the same chain pass,
+    so pairs and later-leg views share one shuffle."""
     linked = chain_links(clean, "TAIL_NUM", chain_order(tiebreak), prev_cols=PREV_FIELDS,
-                         split=split)
+                         lead_col="DEP_DELAY" if max_lead else None, max_lead=max_lead, split=split)
     p = F.col("_prev")
+    leads = [F.col(f"_next_{k}").alias(f"next_dep_delay_{k}") for k in range(1, max_lead + 1)]
     out = linked.select(
-        *[F.col(k) for k in keep],
+        *[F.col(k) for k in keep], *leads,
         F.col("TAIL_NUM"),
         F.col("OP_UNIQUE_CARRIER"),
         F.col("FL_DATE").alias("current_FL_DATE"),

@@ -1000,11 +1000,14 @@ def q_summary_assemble(spark, sf):
 
 @query("final_summary")
 def q_final_summary(spark, sf):
+    from knockon.session import materialize
     clean = clean_of(spark, sf, "lineitem")
-    pairs = P.flight_pairs(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"))
+    # one chain pass serves the pairs and the later-leg view
+    cand = materialize(P.pair_candidates(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"), max_lead=5))
+    pairs = cand.where(P.connection_filter()).select(*ids("lineitem"), *C.S.PAIR_COLUMNS)
     totals = R.dataset_totals(clean, pairs)
     suite = suite_of(spark, sf)
-    tls = D.tail_leg_summary(clean, tiebreak=ids("lineitem"))
+    tls = D.tail_leg_summary_of_legs(cand, arr_col="current_ARR_DELAY")
     params = D.decay_parameters(D.decay_by_leg(tls))
     boot = B.run_bootstrap(spark, mf_of(spark, sf, "lineitem"), tls, N_REPS, SEED)
     ci = B.bootstrap_ci(boot, ["beta_prev_arr_delay", "lambda_decay"])
@@ -1039,3 +1042,15 @@ def q_decay_eval(spark, sf):
             .select("leg_index", "amplitude_A", "lambda",
                     X.decay_value("amplitude_A", "lambda", "leg_index").alias("decay_value"),
                     X.half_life("lambda").alias("half_life_legs")))
+
+
+@query("tail_leg_summary_shared_chain", legs_sql() + """
+select TAIL_NUM, leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remaining_delay,
+ round(median_remaining_delay, 6) as median_remaining_delay from tls""")
+def q_tls_shared(spark, sf):
+    """Tail-leg summary read off the pair candidates (one chain pass for W1 and W2)."""
+    cand = P.pair_candidates(clean_of(spark, sf), tiebreak=ids(), keep=ids(), max_lead=5)
+    t = D.tail_leg_summary_of_legs(cand, arr_col="current_ARR_DELAY")
+    return t.select("TAIL_NUM", "leg_index", "n_obs",
+                    r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay"),
+                    r6(F.col("median_remaining_delay")).alias("median_remaining_delay"))
