@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knockon import schema as S
+from knockon.functions import scalar as X
 from knockon.operators import metrics as ME
 from knockon.operators import models as M
 
@@ -65,7 +66,8 @@ def _fit_suite(spark, mf, interactions, with_year):
             spark, air, mf, "OP_UNIQUE_CARRIER", levels["OP_UNIQUE_CARRIER"], "airline"
         ).orderBy(F.col("odds_ratio_per_10_min").desc_nulls_last())
         out["turnaround_carryover"] = M.level_slopes(
-            spark, turn, mf, "turnaround_bin", S.TURNAROUND_LABELS, "turnaround_bin")
+            spark, turn, mf, "turnaround_bin", S.TURNAROUND_LABELS, "turnaround_bin"
+        ).orderBy(X.turnaround_bin_rank("turnaround_bin"))
     out["coefficients"] = M.coefficients(spark, fits)
     out["metrics"] = M.metrics_frame(spark, [lin.metrics, logit.metrics])
     out["_fits"] = fits
