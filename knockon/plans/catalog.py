@@ -1054,3 +1054,8 @@ def q_tls_shared(spark, sf):
     return t.select("TAIL_NUM", "leg_index", "n_obs",
                     r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay"),
                     r6(F.col("median_remaining_delay")).alias("median_remaining_delay"))
+
+
+query("pair_summary_by_partition")(
+    lambda spark, sf: P.pair_summary(P.partition_ids(clean_of(spark, sf, "lineitem"), 100),
+                                     by=["partition_id"], tiebreak=ids("lineitem")))

@@ -111,3 +111,25 @@ def test_alias_resolution(spark):
                                "ArrDelay string, Distance string, Cancelled string, Diverted string, Month string")
     r = C.clean_flights(df).collect()[0]
     assert (r.TAIL_NUM, r.OP_UNIQUE_CARRIER, r.month, r.route) == ("N1", "AA", 4, "X-Y")
+
+
+def test_trimmed_wide_layout_cannot_feed_cleaning(spark):
+    from knockon import schema as S
+    from knockon.sources import files as SRC
+    wide = spark.createDataFrame([tuple("1" for _ in S.TRIM_COLUMNS)], ", ".join(f"`{c}` string" for c in S.TRIM_COLUMNS))
+    trimmed = SRC.trim_columns(wide)
+    assert trimmed.columns == S.TRIM_COLUMNS
+    with pytest.raises(C.MissingColumnsError):
+        C.clean_flights(trimmed)
+
+
+def test_month_range_validation(spark):
+    from knockon.sources import files as SRC
+    assert [tuple(r) for r in SRC.month_range(spark, "2023-11", "2024-02").collect()] == [
+        (2023, 11), (2023, 12), (2024, 1), (2024, 2)]
+    with pytest.raises(ValueError):
+        SRC.month_range(spark, "2024-13", "2024-14")
+    with pytest.raises(ValueError):
+        SRC.month_range(spark, "2024-03", "2024-01")
+    assert [tuple(r) for r in SRC.month_list(spark, ["2024-2", "2023-12", "2024-02"]).collect()] == [
+        (2023, 12), (2024, 2)]
