@@ -69,7 +69,9 @@ def flight_pairs(clean: DataFrame, tiebreak=(), split="day", keep=()) -> DataFra
 
 def pair_summary(clean: DataFrame, by=(), tiebreak=(), split="day") -> DataFrame:
     """Raw rows, candidate pairs (previous arrival time known) and output pairs."""
-    cand = pair_candidates(clean, tiebreak, split)
+    carry = [b for b in by if isinstance(b, str) and b in clean.columns
+             and b not in ("TAIL_NUM", "OP_UNIQUE_CARRIER")]
+    cand = pair_candidates(clean, tiebreak, split, keep=carry)
     aggs = [F.count(F.lit(1)).alias("raw_rows"),
             F.count("prev_sched_arr_timestamp").alias("candidate_pairs"),
             F.count(F.when(F.col("same_airport_connection") == 1, F.lit(1))).alias("same_airport_pairs"),
