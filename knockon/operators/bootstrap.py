@@ -17,6 +17,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,6 +71,37 @@ def cluster_weights(tails: DataFrame, n_reps: int, seed: int, key: str = "TAIL_N
                                             "bootstrap_count")
 
 
+def poisson_thresholds(max_count: int = 20) -> list[float]:
+    """Cumulative Poisson(1) probabilities P(X <= k), k = 0..max_count-1."""
+    out, term, acc = [], math.exp(-1.0), 0.0
+    for k in range(max_count):
+        acc += term
+        out.append(acc)
+        term /= (k + 1)
+    return out
+
+
+def hash_uniform(*parts) -> F.Column:
+    """Uniform [0, 1) from the first 52 bits of md5(parts joined by '|')."""
+    h = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
+
+
+def poisson_weights(tails: DataFrame, n_reps: int, seed: int, key: str = "TAIL_NUM") -> DataFrame:
+    """(replicate, key, bootstrap_count) with independent Poisson(1) counts per tail and
+    replicate (inverse CDF of a hash uniform): the large-T form of the cluster bootstrap.
+    Needs no tail ranking and no draw table; zero counts are omitted."""
+    u = hash_uniform(F.col("replicate"), F.lit(str(seed)), F.col(key))
+    count = None
+    for k, c in enumerate(poisson_thresholds()):
+        count = F.when(u < F.lit(c), F.lit(k)) if count is None else count.when(u < F.lit(c), F.lit(k))
+    count = count.otherwise(F.lit(len(poisson_thresholds())))
+    per_tail = tails.select(key).distinct().select(
+        key, F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))).alias("replicate"))
+    return (per_tail.select("replicate", key, count.cast("long").alias("bootstrap_count"))
+            .where(F.col("bootstrap_count") > 0))
+
+
 def row_weights(rows: DataFrame, weights: DataFrame, replicate: int, key: str = "TAIL_NUM") -> DataFrame:
     """Rows of one replicate with their tail's count as weight (missing -> 0, kept if > 0)."""
     w = weights.where(F.col("replicate") == replicate).select(key, "bootstrap_count")
@@ -210,12 +243,17 @@ def bootstrap_ci(table: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def run_bootstrap(spark: SparkSession, mf: DataFrame, tail_summary: DataFrame | None,
-                  n_reps: int, seed: int) -> DataFrame:
-    """replicate, seed, beta_prev_arr_delay[, lambda_decay]."""
+                  n_reps: int, seed: int, scheme: str = "multinomial") -> DataFrame:
+    """replicate, seed, beta_prev_arr_delay[, lambda_decay].
+
+    ``scheme``: "multinomial" draws T tails with replacement per replicate (the
+    classic cluster bootstrap); "poisson" gives each tail an independent
+    Poisson(1) count (no ranking, no draw table: the form for very many tails)."""
     mf = mf.checkpoint(eager=True)  # read by the weights, the means, the levels and the Grams
     if tail_summary is not None:
         tail_summary = tail_summary.checkpoint(eager=True)
-    w = cluster_weights(mf.where(F.col("TAIL_NUM").isNotNull()), n_reps, seed).checkpoint(eager=True)
+    make = poisson_weights if scheme == "poisson" else cluster_weights
+    w = make(mf.where(F.col("TAIL_NUM").isNotNull()), n_reps, seed).checkpoint(eager=True)
     beta = bootstrap_beta(mf, w)
     lam = bootstrap_lambda(tail_summary, w) if tail_summary is not None else None
     return bootstrap_table(beta, lam, seed)

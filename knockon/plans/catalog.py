@@ -1059,3 +1059,24 @@ def q_tls_shared(spark, sf):
 query("pair_summary_by_partition")(
     lambda spark, sf: P.pair_summary(P.partition_ids(clean_of(spark, sf, "lineitem"), 100),
                                      by=["partition_id"], tiebreak=ids("lineitem")))
+
+
+
+def _poisson_case_sql(u: str) -> str:
+    th = B.poisson_thresholds()
+    return ("case " + " ".join(f"when {u} < {c!r} then {k}" for k, c in enumerate(th))
+            + f" else {len(th)} end")
+
+
+@query("cluster_weights_poisson", W_FL_MF.rstrip() + f""",
+pt as (select distinct TAIL_NUM from mf where TAIL_NUM is not null),
+pr as (select TAIL_NUM, r.range as replicate from pt, range(0, {N_REPS}) r),
+pu as (select replicate, TAIL_NUM,
+  cast(('0x' || substr(md5(cast(replicate as varchar) || '|{SEED}|' || TAIL_NUM), 1, 13))::BIGINT as double)
+    / {float(2 ** 52)!r} as u from pr)
+select cast(replicate as integer) as replicate, TAIL_NUM,
+ cast({_poisson_case_sql("u")} as bigint) as bootstrap_count
+from pu where {_poisson_case_sql("u")} > 0""")
+def q_cluster_weights_poisson(spark, sf):
+    mf = mf_of(spark, sf, "flights")
+    return B.poisson_weights(mf.where(F.col("TAIL_NUM").isNotNull()), N_REPS, SEED)

@@ -137,3 +137,12 @@ def test_grouped_period_fits_equal_separate_fits(spark, mf):
         for c in a.columns:
             if c != "period":
                 assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-8, equal_nan=True), c
+
+
+def test_poisson_weights_have_unit_mean(spark, mf):
+    w = B.poisson_weights(mf, 40, 11)
+    tails = mf.select("TAIL_NUM").distinct().count()
+    total = w.agg(F.sum("bootstrap_count")).first()[0]
+    assert abs(total / (40 * tails) - 1.0) < 0.1
+    t = B.run_bootstrap(spark, mf, None, 3, 5, scheme="poisson").collect()
+    assert len(t) == 3 and all(r.beta_prev_arr_delay is not None for r in t)
