@@ -75,14 +75,23 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
     for k in range(1, max_lead + 1):
         rows = rows.withColumn(f"_ld_{k}", F.lead(lead_col, k).over(w))
 
-    # Stitch table: per (entity, bucket) the last row's payload and the first k lead values.
-    edge = rows.where((F.col("_rn") == F.col("_n")) | (F.col("_rn") <= max_lead))
-    aggs = [F.max_by(payload, F.col("_rn")).alias("_last"), F.max("_n").alias("_cnt")]
+    # Stitch table: per (entity, bucket) the last row's payload (and, for leads, the
+    # first k lead values).
     if max_lead:
-        aggs.append(F.sort_array(F.collect_list(F.when(
-            F.col("_rn") <= max_lead,
-            F.struct(F.col("_rn").alias("rn"), F.col(lead_col).alias("v"))))).alias("_head"))
-    summ = edge.groupBy(entity, BK).agg(*aggs)
+        edge = rows.where((F.col("_rn") == F.col("_n")) | (F.col("_rn") <= max_lead))
+        summ = edge.groupBy(entity, BK).agg(
+            F.max_by(payload, F.col("_rn")).alias("_last"), F.max("_n").alias("_cnt"),
+            F.sort_array(F.collect_list(F.when(
+                F.col("_rn") <= max_lead,
+                F.struct(F.col("_rn").alias("rn"), F.col(lead_col).alias("v"))))).alias("_head"))
+    else:
+        # Lag only: the last row per bucket is a partial (map-side) aggregation of the
+        # input itself, so this branch shuffles one small row per bucket per task and
+        # does not recompute the window.  Order key: each column as (is_null, value) so
+        # nulls sort last, as in the window.
+        order_key = F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in order])
+        summ = df.withColumn(BK, bucket).groupBy(entity, BK).agg(
+            F.max_by(payload, order_key).alias("_last"), F.count(F.lit(1)).alias("_cnt"))
     ws = Window.partitionBy(entity).orderBy(BK)
     link_cols = [F.col(entity), F.col(BK), F.lag("_last", 1).over(ws).alias("_prev_last")]
     if max_lead:
