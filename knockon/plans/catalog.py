@@ -1080,3 +1080,17 @@ from pu where {_poisson_case_sql("u")} > 0""")
 def q_cluster_weights_poisson(spark, sf):
     mf = mf_of(spark, sf, "flights")
     return B.poisson_weights(mf.where(F.col("TAIL_NUM").isNotNull()), N_REPS, SEED)
+
+
+query("decay_by_leg_by_carrier", legs_sql().replace(
+    "legs as (select event_id, TAIL_NUM, ARR_DELAY, DEP_DELAY,",
+    "legs as (select event_id, TAIL_NUM, OP_UNIQUE_CARRIER, ARR_DELAY, DEP_DELAY,") + """,
+lc as (select OP_UNIQUE_CARRIER, k as leg_index,
+  case k """ + " ".join(f"when {i} then next_dep_delay_{i}" for i in range(1, 6)) + """ end as v
+  from shock cross join range(1, 6) r(k))
+select OP_UNIQUE_CARRIER, cast(leg_index as integer) as leg_index, cast(count(*) as bigint) as n_obs,
+ round(avg(v), 6) as mean_remaining_delay
+from lc where v is not null group by OP_UNIQUE_CARRIER, leg_index""".replace("\n,\n", ",\n"))(
+    lambda spark, sf: D.decay_by_leg_by(clean_of(spark, sf), ["OP_UNIQUE_CARRIER"], tiebreak=ids()).select(
+        "OP_UNIQUE_CARRIER", "leg_index", "n_obs",
+        r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay")))
