@@ -1094,3 +1094,21 @@ from lc where v is not null group by OP_UNIQUE_CARRIER, leg_index""".replace("\n
     lambda spark, sf: D.decay_by_leg_by(clean_of(spark, sf), ["OP_UNIQUE_CARRIER"], tiebreak=ids()).select(
         "OP_UNIQUE_CARRIER", "leg_index", "n_obs",
         r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay")))
+
+
+
+@query("clean_summary_by_file", cte_chain("lineitem", "clean") + """
+select strftime(FL_DATE, '%Y-%m') as input_month, cast(count(*) as bigint) as input_rows,
+ cast(count(*) filter (where coalesce(CANCELLED, 0) <> 1 and coalesce(DIVERTED, 0) <> 1) as bigint)
+   as output_rows,
+ cast(count(distinct case when coalesce(CANCELLED, 0) <> 1 and coalesce(DIVERTED, 0) <> 1
+   then TAIL_NUM end) as bigint) as distinct_tail_numbers,
+""" + ",\n".join(f" cast(count(*) filter (where {c} is null) as bigint) as missing_{c}"
+                 for c in C.S.REQUIRED_COLUMNS) + " from typed group by 1")
+def q_clean_summary_by_file(spark, sf):
+    """Per raw input file (one per month): rows in / out, tails, nulls per required column."""
+    path = scratch_path(spark, "raw_csv_by_file")
+    _raw_long(spark, sf).write.partitionBy("ym").option("header", True).csv(path)
+    raw = SRC.read_month_csv(spark, [path], with_source=True)
+    month = F.regexp_extract("source_path", r"ym=([0-9]{4}-[0-9]{2})", 1).alias("input_month")
+    return C.clean_summary(raw, by=[month], keep=["source_path"])

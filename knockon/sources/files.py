@@ -112,10 +112,11 @@ def _strip_bom(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_month_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def read_month_csv(spark: SparkSession, paths: list[str] | str, with_source: bool = False) -> DataFrame:
     """Raw monthly CSV(s) with canonical columns (text); unnamed trailing columns dropped.
 
     Files whose headers differ are read per header group and unioned by name.
+    ``with_source`` adds ``source_path`` (the file each row came from).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     groups: dict[tuple, list[str]] = {}
@@ -125,8 +126,9 @@ def read_month_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     frames = []
     for _, ps in groups.items():
         df = _strip_bom(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(ps))
-        df = df.select([c for c in df.columns if not (c.startswith("_c") or c.startswith("Unnamed:"))])
-        frames.append(C.to_canonical(df))
+        df = df.select([c for c in df.columns if not (c.startswith("_c") or c.startswith("Unnamed:"))]
+                       + ([F.col("_metadata.file_path").alias("source_path")] if with_source else []))
+        frames.append(C.to_canonical(df, keep=["source_path"] if with_source else []))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
