@@ -26,7 +26,7 @@ def coerce_double(c, dtype=None) -> Column:
 
 
 # Date formats accepted for the flight date (ISO first, then US style).
-DATE_FORMATS = ["yyyy-MM-dd", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd"]
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy-M-d", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd"]
 
 
 def parse_date(c, dtype=None) -> Column:

@@ -133,3 +133,11 @@ def test_month_range_validation(spark):
         SRC.month_range(spark, "2024-03", "2024-01")
     assert [tuple(r) for r in SRC.month_list(spark, ["2024-2", "2023-12", "2024-02"]).collect()] == [
         (2023, 12), (2024, 2)]
+
+
+def test_date_formats(spark):
+    df = spark.createDataFrame([("2024-01-05",), ("2024-1-5",), ("1/5/2024",), ("2024-01-05 00:00:00",),
+                                ("20240105",), ("2024-13-01",), ("",), (None,)], "d string")
+    got = [r[0] for r in df.select(X.parse_date("d")).collect()]
+    assert got[:5] == [dt.date(2024, 1, 5)] * 5
+    assert got[5:] == [None, None, None]
