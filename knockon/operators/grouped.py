@@ -106,18 +106,20 @@ def grouped_ols(df: DataFrame, group: str, design: M.Design, label: str = "curre
         se = np.full(p, np.nan)
         beta[keep], se[keep] = beta_k, np.sqrt(np.diag(cov))
         tss = yty - sy * sy / n
-        res[g] = {"n": n, "beta": beta, "se": se, "r2": 1 - rss / tss, "df_resid": dfr,
+        res[g] = {"n": n, "beta": beta, "se": se, "r2": 1 - rss / tss, "df_resid": dfr, "keep": keep,
                   "ci_mult": M.t_quantile(0.975, dfr), "mean_target": sy / n}
     return res
 
 
 def grouped_logit(df: DataFrame, group: str, design: M.Design, label: str = "current_dep_delayed_15",
-                  max_iter: int = 100, tol: float = 1e-10) -> dict:
+                  max_iter: int = 100, tol: float = 1e-10, keeps: dict | None = None) -> dict:
+    """``keeps``: per-group column masks (e.g. from ``grouped_ols``) to skip the X'X pass."""
     p = len(design.names) + 1
     factors = _factor_columns(design)
-    first = _accumulate(df, group, design, label, None, p)
-    keeps = {g: _keep_columns(v[1], v[0], factors) for g, v in first.items()}
-    betas = {g: np.zeros(p) for g in first}
+    if keeps is None:
+        first = _accumulate(df, group, design, label, None, p)
+        keeps = {g: _keep_columns(v[1], v[0], factors) for g, v in first.items()}
+    betas = {g: np.zeros(p) for g in keeps}
     stats = {}
     for _ in range(max_iter):
         stats = _accumulate(df, group, design, label, betas, p)
@@ -166,7 +168,7 @@ def period_table(spark: SparkSession, mf: DataFrame, design: M.Design, period_co
     """One row per period: n, linear beta/CI/10*beta/R^2, logit beta/OR10/CI, AUC, AP, delay rate."""
     col = 1 + design.names.index(M.PREV)
     lin = grouped_ols(mf, period_col, design)
-    logit = grouped_logit(mf, period_col, design)
+    logit = grouped_logit(mf, period_col, design, keeps={g: v["keep"] for g, v in lin.items()})
     scores = grouped_scores(mf, period_col, design, {g: v["beta"] for g, v in logit.items()})
     ranks = {r["g"]: (r["roc_auc"], r["average_precision"])
              for r in ME.ranking_metrics(scores, "score", "label", by=["g"]).collect()}

@@ -51,6 +51,11 @@ def factor_levels(df: DataFrame, factors: list[str]) -> dict[str, list]:
     if not factors:
         return {}
     row = df.agg(*[F.sort_array(F.collect_set(f)).alias(f) for f in factors]).first()
+    return levels_from_row(row, factors)
+
+
+def levels_from_row(row, factors: list[str]) -> dict[str, list]:
+    """Base-first level lists from a row of sorted level sets."""
     out = {}
     for f in factors:
         seen = list(row[f] or [])

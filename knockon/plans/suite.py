@@ -30,13 +30,15 @@ def fit_suite(spark: SparkSession, mf: DataFrame, interactions: bool = True,
 
 
 def _fit_suite(spark, mf, interactions, with_year):
+    level_cols = ["OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS, "current_year", "turnaround_bin"]
+    # one pass: row count, target means and the (bounded) level sets of every factor
     stats = mf.agg(F.count(F.lit(1)).alias("n"), F.avg("current_DEP_DELAY").alias("mean_dep"),
-                   F.avg("current_dep_delayed_15").alias("mean_flag")).first()
+                   F.avg("current_dep_delayed_15").alias("mean_flag"),
+                   *[F.sort_array(F.collect_set(f)).alias(f) for f in level_cols]).first()
     n = int(stats["n"])
     if n < S.MIN_MODEL_ROWS:
         raise ValueError(f"Only {n} usable pairs remain after filtering; too few to fit models.")
-    levels = M.factor_levels(mf, ["OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS, "current_year",
-                                  "turnaround_bin"])
+    levels = M.levels_from_row(stats, level_cols)
     factors = M.model_factors(levels, with_year)
     design = M.build_design(levels, factors, M.NUMERIC_CONTROLS)
 
