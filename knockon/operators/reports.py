@@ -168,3 +168,18 @@ def final_summary(totals: DataFrame, coefficients: DataFrame, main: DataFrame,
         "logistic_prev_delay_coefficient", "logistic_prev_delay_odds_ratio",
         "logistic_odds_ratio_per_10_min", "logistic_or10_ci_lower", "logistic_or10_ci_upper",
         "decay_lambda", "decay_lambda_ci_lower", "decay_lambda_ci_upper", "decay_half_life_legs")
+
+
+def quantile_range(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99,
+                   exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+    """The (lo, hi) quantiles of ``col`` (the plotting range of the previous delay).
+
+    ``exact`` uses the interpolated percentile, whose buffer is a value->count map
+    (bounded by distinct values, fine for minute delays); ``exact=False`` uses the
+    mergeable approximate sketch for inputs with unbounded distinct values."""
+    if exact:
+        q = F.percentile(F.col(col), [lo, hi])
+    else:
+        q = F.percentile_approx(F.col(col), [lo, hi], accuracy)
+    return df.agg(q.alias("q")).select(F.col("q")[0].cast("double").alias("q_lo"),
+                                       F.col("q")[1].cast("double").alias("q_hi"))

@@ -420,9 +420,8 @@ select cast(count(distinct current_year) as bigint) as n_years,
 
 query("quantile_range", W_LI_MF + """
 select round(quantile_cont(prev_ARR_DELAY, 0.01), 6) as q01, round(quantile_cont(prev_ARR_DELAY, 0.99), 6) as q99
-from mf""")(lambda spark, sf: mf_of(spark, sf).agg(
-    F.percentile("prev_ARR_DELAY", [0.01, 0.99]).alias("q")).select(
-    r6(F.col("q")[0]).alias("q01"), r6(F.col("q")[1]).alias("q99")))
+from mf""")(lambda spark, sf: R.quantile_range(
+    mf_of(spark, sf), "prev_ARR_DELAY").select(r6(F.col("q_lo")).alias("q01"), r6(F.col("q_hi")).alias("q99")))
 
 
 @query("group_n_obs", W_LI_MF + """
