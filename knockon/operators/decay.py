@@ -171,18 +171,28 @@ def decay_parameters(decay_table: DataFrame, threshold: float = S.SHOCK_THRESHOL
         F.lit("future_departure_delay").alias("delay_measure"))
 
 
-def decay_table(decay_by_leg_df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """decay_by_leg plus the fitted curve value (null when no fit), per group ``by``."""
+def decay_table(decay_by_leg_df: DataFrame, by: list[str] | None = None, k: str = "leg_index",
+                y: str = "mean_remaining_delay") -> DataFrame:
+    """decay_by_leg plus the fitted curve value (null when no fit), per group ``by``.
+
+    One grouped pass: each curve (at most K rows) is fitted and returned with its
+    fitted values, so no join back to the parameters is needed."""
     by = list(by or [])
-    keys = by or ["_all"]
-    decay_by_leg_df = decay_by_leg_df.checkpoint(eager=True)  # K rows per group, read twice
-    rows = decay_by_leg_df if by else decay_by_leg_df.withColumn("_all", F.lit(0))
-    params = fit_groups(rows, keys)
-    fitted = F.nanvl(F.col("amplitude_A") * F.exp(-F.col("lambda") * F.col("leg_index")),
-                     F.lit(None).cast("double"))
-    return (rows.join(params, keys, "left")
-            .withColumn("fitted_decay_value", fitted)
-            .drop("amplitude_A", "lambda", *([] if by else ["_all"])))
+    fields = [f for f in decay_by_leg_df.schema.fields]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields]
+                       + ["fitted_decay_value double"])
+    names = [f.name for f in fields]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, lam = fit_exponential(pdf[k].to_numpy(float), pdf[y].to_numpy(float))
+        out = pdf[names].copy()
+        out["fitted_decay_value"] = (a * np.exp(-lam * pdf[k].to_numpy(float))
+                                     if math.isfinite(lam) else np.nan)
+        return out
+
+    grouped = decay_by_leg_df.groupBy(*by) if by else decay_by_leg_df.groupBy(F.lit(0).alias("_all"))
+    res = grouped.applyInPandas(fit, schema=schema)
+    return res.withColumn("fitted_decay_value", nan_to_null("fitted_decay_value")).orderBy(*by, k)
 
 
 def decay_by_leg_by(clean: DataFrame, by: list[str], max_leg: int = S.MAX_LEG,

@@ -122,11 +122,15 @@ def presentation_metrics(spark: SparkSession, main: DataFrame, metrics: DataFram
 
 
 def _one_row_join(*frames: DataFrame) -> DataFrame:
-    """Combine one-row frames side by side with an equi-join on a constant key."""
-    out = frames[0].withColumn("_k", F.lit(1))
+    """Combine one-row frames side by side without a join: stack them (missing columns
+    null) and keep each column's single non-null value."""
+    out = frames[0]
     for f in frames[1:]:
-        out = out.join(f.withColumn("_k", F.lit(1)), "_k", "left")
-    return out.drop("_k")
+        out = out.unionByName(f, allowMissingColumns=True)
+    cols = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in cols]
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
 def final_summary(totals: DataFrame, coefficients: DataFrame, main: DataFrame,

@@ -1033,28 +1033,15 @@ def q_chain_sort_multi_year(spark, sf):
 
 @query("decay_eval")
 def q_decay_eval(spark, sf):
-    """A*exp(-lambda*k) on the fitted curve and the half-life (null unless lambda > 0)."""
+    """A*exp(-lambda*k) on the fitted curve for k = 1..5 and the half-life (null unless lambda > 0)."""
     params = D.fit_groups(D.decay_by_leg(tls_of(spark, sf)), [])
-    legs = spark.range(1, 6).select(F.col("id").cast("int").alias("leg_index"))
-    return (legs.withColumn("_all", F.lit(0))
-            .join(params.withColumn("_all", F.lit(0)), "_all").drop("_all")
+    return (params.select("amplitude_A", "lambda",
+                          F.explode(F.sequence(F.lit(1), F.lit(5))).alias("leg_index"))
             .select("leg_index", "amplitude_A", "lambda",
                     X.decay_value("amplitude_A", "lambda", "leg_index").alias("decay_value"),
                     X.half_life("lambda").alias("half_life_legs")))
 
 
-@query("tail_leg_summary_shared_chain", legs_sql() + """
-select TAIL_NUM, leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remaining_delay,
- round(median_remaining_delay, 6) as median_remaining_delay from tls""")
-def q_tls_shared(spark, sf):
-    """Tail-leg summary read off the pair candidates (one chain pass for W1 and W2)."""
-    cand = P.pair_candidates(clean_of(spark, sf), tiebreak=ids(), keep=ids(), max_lead=5)
-    t = D.tail_leg_summary_of_legs(cand, arr_col="current_ARR_DELAY")
-    return t.select("TAIL_NUM", "leg_index", "n_obs",
-                    r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay"),
-                    r6(F.col("median_remaining_delay")).alias("median_remaining_delay"))
-
-
 query("pair_summary_by_partition")(
     lambda spark, sf: P.pair_summary(P.partition_ids(clean_of(spark, sf, "lineitem"), 100),
                                      by=["partition_id"], tiebreak=ids("lineitem")))
@@ -1111,3 +1098,15 @@ def q_clean_summary_by_file(spark, sf):
     raw = SRC.read_month_csv(spark, [path], with_source=True)
     month = F.regexp_extract("source_path", r"ym=([0-9]{4}-[0-9]{2})", 1).alias("input_month")
     return C.clean_summary(raw, by=[month], keep=["source_path"])
+
+
+@query("tail_leg_summary_shared_chain", legs_sql() + """
+select TAIL_NUM, leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remaining_delay,
+ round(median_remaining_delay, 6) as median_remaining_delay from tls""")
+def q_tls_shared(spark, sf):
+    """Tail-leg summary read off the pair candidates (one chain pass for W1 and W2)."""
+    cand = P.pair_candidates(clean_of(spark, sf), tiebreak=ids(), keep=ids(), max_lead=5)
+    t = D.tail_leg_summary_of_legs(cand, arr_col="current_ARR_DELAY")
+    return t.select("TAIL_NUM", "leg_index", "n_obs",
+                    r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay"),
+                    r6(F.col("median_remaining_delay")).alias("median_remaining_delay"))
