@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knockon.llm import exact_dedup, simhash
+from knockon.llm import decontam, exact_dedup, langid, simhash, toxicity
 
 SHINGLE_WORDS = 3
 SIMHASH_DISTANCE = 2
@@ -29,11 +29,36 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.with_hits(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                               _table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h.item)))
+    out = found.select("doc_id", F.col("__n_words").alias("n_words"),
+                       decontam.hit_words(F.col("__hits")).alias("n_hit"),
+                       F.size(items).cast("long").alias("n_items"),
+                       F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", decontam.is_contaminated(F.col("n_hit"), F.col("n_words")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op9_language_id": op9_language_id,
 }
 
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+
 ORACLES = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_SQL_LOWER.format('text')} AS t FROM documents)
@@ -43,4 +68,24 @@ ORACLES = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
                sha256(t) AS text_sha256
         FROM d""",
+    "op6_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format(_SQL_LOWER.format('text'))} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(_SQL_LOWER.format('text'))} AS w
+              FROM benchmark),
+        bw AS (SELECT DISTINCT item, least(len(w), 13) AS size, array_to_string(w[at:at + 12], ' ') AS words
+               FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS at
+                     FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT size FROM bw),
+        dw AS (SELECT doc_id, at, size, array_to_string(w[at:at + size - 1], ' ') AS words
+               FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS at
+                     FROM d, sizes WHERE len(w) >= size)),
+        hit AS (SELECT doc_id, at, dw.size AS size, item FROM dw JOIN bw USING (size, words)),
+        spots AS (SELECT doc_id, count(DISTINCT spot) AS n
+                  FROM (SELECT doc_id, unnest(range(at, at + size)) AS spot FROM hit) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+                  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(spots.n, 0) AS n_hit,
+               coalesce(items.n, 0) AS n_items, sha256(coalesce(items.names, '')) AS items_sha256,
+               coalesce(spots.n, 0) > 0 AND 20 * coalesce(spots.n, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }
