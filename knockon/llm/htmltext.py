@@ -105,8 +105,8 @@ class Flow:
             self.lines.append(self.open.rstrip())
             self.open = ""
             self.gap = max(self.gap, 1)
-        elif self.lines and not self.gap:
-            self.lines.append("")
+        elif self.lines:
+            self.gap += 1
 
     def rendered(self) -> str:
         self.end_line()

@@ -19,6 +19,7 @@ columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,8 +34,10 @@ PER_CLASS = 4000
 THRESHOLD = 0.3
 #: Words on either side of a match that make up its context.
 CONTEXT = 6
-#: Least log-likelihood ratio, times the share among clean texts, and number of terms learned.
-LEAST_EVIDENCE, LEAST_RATIO, MOST_TERMS = 14.0, 8.0, 400
+#: What a learned term needs: log-likelihood ratio, times its share among clean texts, words before it.
+LEAST_EVIDENCE, LEAST_RATIO, LEAST_SETTINGS = 20.0, 8.0, 4
+#: Most terms learned, and rounds of learning.
+MOST_TERMS, ROUNDS = 400, 6
 #: Shortest and longest stem learned.
 STEMS = range(3, 9)
 #: Word forms a task remembers before it starts anew.
@@ -173,41 +176,80 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """(term, stem, n0, n1): texts of either label with the word, or with a longer word from the stem."""
+    """(term, stem, n0, n1, settings): texts of either label with the word, or with a longer word
+    from the stem, and how many different words come before it in toxic texts.
+
+    ``settings`` is the bits set in a map of 64, so near copies of one text add nothing to it.
+    """
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = Counter(), Counter()
+        seen, before = (Counter(), Counter()), Counter()
         for batch in batches:
             for text, label in zip(batch.text, batch.label):
-                words = set(_WORD.findall((text or "").lower()))
-                keys = {(w[:40], False) for w in words if len(w) >= 3}
-                keys |= {(w[:n], True) for w in words for n in STEMS if n < len(w)}
-                seen[label].update(keys)
-        rows = [(t, s, seen[0][t, s], seen[1][t, s]) for t, s in {*seen[0], *seen[1]}]
-        yield pd.DataFrame(rows, columns=["term", "stem", "n0", "n1"])
-    return (texts.mapInPandas(count, "term string, stem boolean, n0 long, n1 long")
-            .groupBy("term", "stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-
-
-def learn_terms(texts: DataFrame) -> dict[tuple[str, bool], float]:
-    """Toxic words and stems with their weights; a stem takes the place of its forms."""
+                words = _WORD.findall((text or "").lower())
+                last = dict(zip(words[1:], words)) if label else {}
+                keys: dict[tuple[str, bool], int] = {}
+                for word in set(words):
+                    bit = 1 << zlib.crc32(last.get(word, "").encode()) % 63
+                    if len(word) >= 3:
+                        keys[word[:40], False] = bit
+                    for n in STEMS:
+                        if n < len(word):
+                            keys[word[:n], True] = keys.get((word[:n], True), 0) | bit
+                seen[label].update(keys.keys())
+                if label:
+                    for key, bits in keys.items():
+                        before[key] |= bits
+        rows = [(t, s, seen[0][t, s], n, before[t, s]) for (t, s), n in seen[1].items()]
+        rows += [(t, s, n, 0, 0) for (t, s), n in seen[0].items() if (t, s) not in seen[1]]
+        yield pd.DataFrame(rows, columns=["term", "stem", "n0", "n1", "settings"])
+    return (texts.mapInPandas(count, "term string, stem boolean, n0 long, n1 long, settings long")
+            .groupBy("term", "stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
+                                         F.bit_count(F.bit_or("settings")).alias("settings")))
+
+
+def telling_terms(texts: DataFrame) -> list:
+    """Terms with enough evidence, the strongest first; the longest of those that are equally strong."""
     sizes = {r.label: r.n for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
-        return {}
+        return []
     n0, n1 = float(sizes[0]), float(sizes[1])
     share1 = F.lit(n1 / (n0 + n1))
     total = F.col("n0") + F.col("n1")
     evidence = 2 * (F.col("n1") * F.log(F.col("n1") / (total * share1))
                     + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (total * (1 - share1)))).otherwise(0.0))
     ratio = ((F.col("n1") + 0.5) / n1) / ((F.col("n0") + 0.5) / n0)
-    rows = (term_counts(texts).where("n1 >= 3").withColumn("evidence", evidence).withColumn("ratio", ratio)
+    return (term_counts(texts).where((F.col("n1") >= 3) & (F.col("settings") >= LEAST_SETTINGS))
+            .withColumn("evidence", evidence).withColumn("ratio", ratio)
             .where((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("ratio") >= LEAST_RATIO))
-            .orderBy(F.desc("evidence"), F.desc(F.length("term")), "stem", "term").limit(20 * MOST_TERMS).collect())
-    chosen: dict[tuple[str, bool], float] = {}
-    for row in rows:
-        if len(chosen) == MOST_TERMS or any((row.term[:n], True) in chosen for n in range(1, len(row.term) + 1)):
-            continue
-        chosen[row.term, row.stem] = float(min(1.0, np.log(row.ratio) / np.log(100)))
-    return chosen
+            .orderBy(F.desc("evidence"), F.desc(F.length("term")), "stem", "term").limit(MOST_TERMS).collect())
+
+
+def holds_term(detector: Detector):
+    """UDF: some word is a term, unedited."""
+    @F.pandas_udf("boolean")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: any((m := detector.form(w)) and not m[1]
+                                       for w in set(_WORD.findall((t or "").lower())))).astype(bool)
+    return run
+
+
+def learn_terms(texts: DataFrame, fixed: dict[tuple[str, bool], float]) -> dict[tuple[str, bool], float]:
+    """Toxic words and stems with their weights.
+
+    Each round looks only at texts that hold no term yet, so a part of a known
+    term, or a word that merely comes with one, gains no evidence from it.
+    """
+    terms: dict[tuple[str, bool], float] = {}
+    for _ in range(ROUNDS):
+        rest = texts.where(~holds_term(Detector({**fixed, **terms}))("text"))
+        new: dict[tuple[str, bool], float] = {}
+        for row in telling_terms(rest):
+            if not any(t.startswith(row.term) or row.term.startswith(t) for t, _ in new):
+                new[row.term, row.stem] = float(min(1.0, np.log(row.ratio) / np.log(100)))
+        if not new or len(terms) + len(new) > MOST_TERMS:
+            break
+        terms.update(new)
+    return terms
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -245,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn terms, harmless look-alikes and the regression from the bounded sample."""
     fixed = {(word, False): 1.0 for word in INSULTS}
     texts, counts = sample(docs, labels, id_col, text_col, label_col, limit)
-    terms = learn_terms(texts)
+    terms = learn_terms(texts, fixed)
     if not terms and len(counts) < 2:
         return ToxicityModel(Detector(fixed), DEFAULT_BETA)
     detector = Detector({**fixed, **terms})
