@@ -34,8 +34,11 @@ PER_CLASS = 4000
 THRESHOLD = 0.3
 #: Words on either side of a match that make up its context.
 CONTEXT = 6
-#: What a learned term needs: log-likelihood ratio, times its share among clean texts, words before it.
-LEAST_EVIDENCE, LEAST_RATIO, LEAST_SETTINGS = 20.0, 8.0, 4
+#: What a learned term needs: log-likelihood ratio, times its share among clean texts, and of the
+#: different words that unrelated texts would have before it.
+LEAST_EVIDENCE, LEAST_RATIO, LEAST_SETTINGS = 24.0, 30.0, 0.5
+#: Toxic texts a learned term is in, and their share of all toxic texts of the sample.
+LEAST_TEXTS, LEAST_SHARE = 6, 0.015
 #: Most terms learned, and rounds of learning.
 MOST_TERMS, ROUNDS = 400, 6
 #: Shortest and longest stem learned.
@@ -207,8 +210,8 @@ def term_counts(texts: DataFrame) -> DataFrame:
                                          F.bit_count(F.bit_or("settings")).alias("settings")))
 
 
-def telling_terms(texts: DataFrame) -> list:
-    """Terms with enough evidence, the strongest first; the longest of those that are equally strong."""
+def telling_terms(texts: DataFrame, least: float) -> list:
+    """Terms in ``least`` toxic texts with enough evidence, strongest first, then longest."""
     sizes = {r.label: r.n for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return []
@@ -217,8 +220,9 @@ def telling_terms(texts: DataFrame) -> list:
     total = F.col("n0") + F.col("n1")
     evidence = 2 * (F.col("n1") * F.log(F.col("n1") / (total * share1))
                     + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (total * (1 - share1)))).otherwise(0.0))
+    expected = LEAST_SETTINGS * 63 * (1 - F.exp(-F.col("n1") / 63.0))
     ratio = ((F.col("n1") + 0.5) / n1) / ((F.col("n0") + 0.5) / n0)
-    return (term_counts(texts).where((F.col("n1") >= 3) & (F.col("settings") >= LEAST_SETTINGS))
+    return (term_counts(texts).where((F.col("n1") >= least) & (F.col("settings") >= expected))
             .withColumn("evidence", evidence).withColumn("ratio", ratio)
             .where((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("ratio") >= LEAST_RATIO))
             .orderBy(F.desc("evidence"), F.desc(F.length("term")), "stem", "term").limit(MOST_TERMS).collect())
@@ -240,10 +244,11 @@ def learn_terms(texts: DataFrame, fixed: dict[tuple[str, bool], float]) -> dict[
     term, or a word that merely comes with one, gains no evidence from it.
     """
     terms: dict[tuple[str, bool], float] = {}
+    least = max(LEAST_TEXTS, LEAST_SHARE * texts.where("label = 1").count())
     for _ in range(ROUNDS):
         rest = texts.where(~holds_term(Detector({**fixed, **terms}))("text"))
         new: dict[tuple[str, bool], float] = {}
-        for row in telling_terms(rest):
+        for row in telling_terms(rest, least):
             if not any(t.startswith(row.term) or row.term.startswith(t) for t, _ in new):
                 new[row.term, row.stem] = float(min(1.0, np.log(row.ratio) / np.log(100)))
         if not new or len(terms) + len(new) > MOST_TERMS:
