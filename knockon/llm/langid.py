@@ -30,8 +30,8 @@ from knockon.llm.common import is_held_out, shared_table
 
 UNDETERMINED = "und"
 #: Labelled texts of one language that the classifiers learn from.
-PER_LANGUAGE = 500
-DIMENSIONS = 1 << 13
+PER_LANGUAGE = 400
+DIMENSIONS = 1 << 12
 #: Letters of one text whose n-grams are counted at once.
 COUNT_CHUNK = 1 << 20
 
@@ -71,7 +71,7 @@ def features(letters: str) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, rounds: int = 60) -> np.ndarray:
     """Weights (the last is the bias) of an L1-loss SVM, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     classes = np.where(y > 0, len(y) / max(2 * (y > 0).sum(), 1), len(y) / max(2 * (y < 0).sum(), 1))
     limit = penalty * classes
     alpha, weights, norms = np.zeros(len(x)), np.zeros(x.shape[1]), (x * x).sum(axis=1)
@@ -117,7 +117,7 @@ class LanguageModel:
     """Family classifier and the pairwise machines inside each family."""
 
     def __init__(self, texts: list[str], langs: list[str], families: dict[str, str]):
-        x = np.array([features(letters_of(t)) for t in texts]).reshape(-1, DIMENSIONS)
+        x = np.array([features(letters_of(t)) for t in texts], np.float32).reshape(-1, DIMENSIONS)
         langs = np.array(langs, dtype=object)
         family = np.array([families.get(lang, f"only {lang}") for lang in langs], dtype=object)
         self.families = one_versus_one(x, family)
