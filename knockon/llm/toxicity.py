@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from knockon.llm.common import is_held_out, shared_table
 
-PER_CLASS = 4000
+PER_CLASS = 2500
 THRESHOLD = 0.3
 #: Words on either side of a match that make up its context.
 CONTEXT = 6
@@ -66,39 +66,53 @@ def allowed_edits(term: str) -> int:
 
 
 class Trie:
-    """Terms by letter; a node's entry at ``""`` is (term, is a stem, weight)."""
+    """Terms by letter; a node is (children, entries (term, is a stem, weight), most edits allowed below)."""
 
     def __init__(self, terms: dict[tuple[str, bool], float]):
-        self.root: dict = {}
-        for (term, stem), weight in sorted(terms.items()):
-            node = self.root
-            for letter in term:
-                node = node.setdefault(letter, {})
-            node.setdefault("", []).append((term, stem, weight))
+        self.root = self._node({(t, s): (t, s, w) for (t, s), w in terms.items()}, 0)
+        # a form within d edits holds one of d + 1 pieces of its term unchanged
+        pieces = set()
+        for term, _ in terms:
+            n = allowed_edits(term) + 1
+            cuts = [round(i * len(term) / n) for i in range(n + 1)]
+            pieces.update(term[x:y] for x, y in zip(cuts, cuts[1:]))
+        self.pieces = re.compile("|".join(sorted(map(re.escape, pieces))) or r"(?!)")
+
+    def _node(self, terms: dict, depth: int) -> tuple:
+        below: dict[str, dict] = {}
+        entries = []
+        for key, (term, stem, weight) in sorted(terms.items()):
+            if len(term) == depth:
+                entries.append((term, stem, weight))
+            else:
+                below.setdefault(term[depth], {})[key] = (term, stem, weight)
+        children = {letter: self._node(own, depth + 1) for letter, own in below.items()}
+        limit = max([allowed_edits(t) for t, _, _ in entries] + [c[2] for c in children.values()], default=-1)
+        return children, entries, limit
 
     def match(self, word: str) -> tuple[str, int, float] | None:
         """(term, edits, weight) of the nearest term, or None.
 
         The automaton's state after some letters of the trie is the row of edit
         distances to each prefix of the word; a branch ends when no entry can
-        come back within the allowed edits.
+        come back within the edits that the terms below it allow.
         """
+        if not self.pieces.search(word):
+            return None
         best = None
         stack = [(self.root, list(range(len(word) + 1)))]
         while stack:
-            node, row = stack.pop()
-            for letter, below in node.items():
-                if letter == "":
-                    for term, stem, weight in below:
-                        edits = min(row) if stem else row[-1]
-                        if edits <= allowed_edits(term) and (best is None or (edits, -weight, term) < best[0]):
-                            best = (edits, -weight, term), (term, edits, weight)
-                    continue
+            (children, entries, _), row = stack.pop()
+            for term, stem, weight in entries:
+                edits = min(row) if stem else row[-1]
+                if edits <= allowed_edits(term) and (best is None or (edits, -weight, term) < best[0]):
+                    best = (edits, -weight, term), (term, edits, weight)
+            for letter, node in children.items():
                 new = [row[0] + 1]
                 for j, own in enumerate(word):
                     new.append(min(row[j] + (own != letter), row[j + 1] + 1, new[j] + 1))
-                if min(new) <= 2:
-                    stack.append((below, new))
+                if min(new) <= node[2]:
+                    stack.append((node, new))
         return best and best[1]
 
 
@@ -228,11 +242,15 @@ def telling_terms(texts: DataFrame, least: float) -> list:
             .orderBy(F.desc("evidence"), F.desc(F.length("term")), "stem", "term").limit(MOST_TERMS).collect())
 
 
-def holds_term(detector: Detector):
+def holds_term(terms):
     """UDF: some word is a term, unedited."""
+    words = {t for t, stem in terms if not stem}
+    stems = {t for t, stem in terms if stem}
+    lengths = sorted({len(t) for t in stems})
+
     @F.pandas_udf("boolean")
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: any((m := detector.form(w)) and not m[1]
+        return batch.map(lambda t: any(w in words or any(w[:n] in stems for n in lengths)
                                        for w in set(_WORD.findall((t or "").lower())))).astype(bool)
     return run
 
@@ -246,7 +264,7 @@ def learn_terms(texts: DataFrame, fixed: dict[tuple[str, bool], float]) -> dict[
     terms: dict[tuple[str, bool], float] = {}
     least = max(LEAST_TEXTS, LEAST_SHARE * texts.where("label = 1").count())
     for _ in range(ROUNDS):
-        rest = texts.where(~holds_term(Detector({**fixed, **terms}))("text"))
+        rest = texts.where(~holds_term({**fixed, **terms})("text"))
         new: dict[tuple[str, bool], float] = {}
         for row in telling_terms(rest, least):
             if not any(t.startswith(row.term) or row.term.startswith(t) for t, _ in new):
