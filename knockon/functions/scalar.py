@@ -15,18 +15,31 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: White space as text tools strip it: Unicode separators and the control characters that count as space.
+_SPACE = r"[\p{Z}\t-\r\x1c-\x1f\x85]+"
+_NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?)$"
+
+
+def strip(c) -> Column:
+    """Text without white space at either end."""
+    return F.regexp_replace(_c(c).cast("string"), f"^{_SPACE}|{_SPACE}$", "")
+
+
 def coerce_double(c, dtype=None) -> Column:
-    """Text or number -> double; unparsable text and NaN become null."""
+    """Text or number -> double; text that is no plain number, and NaN, become null."""
     col = _c(c)
     if dtype is None or isinstance(dtype, StringType):
-        col = F.trim(col.cast("string")).try_cast("double")
+        text = strip(col)
+        col = F.when(text.rlike(_NUMBER), text).try_cast("double")
     else:
         col = col.cast("double")
     return F.nanvl(col, F.lit(None).cast("double"))
 
 
-# Date formats accepted for the flight date (ISO first, then US style).
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-M-d", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd"]
+# Date layouts accepted for the flight date; a clock time may follow and is ignored.
+DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "yyyyMMdd"]
+_DATE = (r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{8})"
+         r"(?:[T ]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?: ?[AaPp][Mm])?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$")
 
 
 def parse_date(c, dtype=None) -> Column:
@@ -34,8 +47,8 @@ def parse_date(c, dtype=None) -> Column:
     col = _c(c)
     if dtype is not None and not isinstance(dtype, StringType):
         return col.cast("date")
-    txt = F.trim(col.cast("string"))
-    return F.coalesce(*[F.try_to_date(txt, fmt) for fmt in DATE_FORMATS])
+    day = F.regexp_extract(strip(col), _DATE, 1)
+    return F.coalesce(*[F.try_to_date(day, fmt) for fmt in DATE_FORMATS])
 
 
 def hhmm_parts(hhmm) -> tuple[Column, Column, Column]:
@@ -110,15 +123,6 @@ def dep_period(hour) -> Column:
     return out
 
 
-def dep_period_rank(label) -> Column:
-    """Declared order index of a dep_period label (for ordered output)."""
-    out = None
-    for i, (_, _, name) in enumerate(S.DEP_PERIODS):
-        cond = _c(label) == name
-        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
-    return out
-
-
 def turnaround_bin(minutes) -> Column:
     m = _c(minutes)
     out = None
@@ -175,6 +179,6 @@ def half_life(lam) -> Column:
 
 
 def tail_bucket(tail, n_partitions: int) -> Column:
-    """crc32(utf8(trim(tail))) % n; a null tail goes to bucket 0."""
-    return F.coalesce(F.crc32(F.trim(_c(tail)).cast("binary")) % F.lit(n_partitions),
+    """crc32(utf8(stripped tail)) % n; a null tail goes to bucket 0."""
+    return F.coalesce(F.crc32(strip(tail).cast("binary")) % F.lit(n_partitions),
                       F.lit(0)).cast("int")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -76,32 +77,30 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
             .option("pathGlobFilter", glob).load(root).select("path"))
 
 
+def _month_number(text: str) -> int:
+    """Months since year 0 of a 'YYYY-MM' value."""
+    year, _, month = text.strip().partition("-")
+    if not (len(year) == 4 and year.isdecimal() and month.isdecimal() and len(month) <= 2 and 0 < int(month) < 13):
+        raise ValueError(f"{text!r} is not a month; write it as 2024-01")
+    return int(year) * 12 + int(month) - 1
+
+
+def _months(numbers: DataFrame) -> DataFrame:
+    return numbers.select(F.expr("id div 12").cast("int").alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"))
+
+
 def month_range(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """Inclusive list of months between two 'YYYY-MM' values (validated)."""
-    import re
-    for v in (start, end):
-        mt = re.fullmatch(r"(\d{4})-(\d{1,2})", v.strip())
-        if not mt or not 1 <= int(mt.group(2)) <= 12:
-            raise ValueError(f"invalid year-month '{v}', expected YYYY-MM")
-    a = [int(x) for x in start.strip().split("-")]
-    b = [int(x) for x in end.strip().split("-")]
-    if a[0] * 12 + a[1] > b[0] * 12 + b[1]:
-        raise ValueError("start must be earlier than or equal to end")
-    seq = F.sequence(F.make_date(F.lit(a[0]), F.lit(a[1]), F.lit(1)),
-                     F.make_date(F.lit(b[0]), F.lit(b[1]), F.lit(1)), F.expr("INTERVAL 1 MONTH"))
-    return (spark.range(1).select(F.explode(seq).alias("d"))
-            .select(F.year("d").alias("year"), F.month("d").alias("month")))
+    """All months from ``start`` to ``end``, both 'YYYY-MM' and both included."""
+    first, last = _month_number(start), _month_number(end)
+    if first > last:
+        raise ValueError(f"month range runs backwards: {start} to {end}")
+    return _months(spark.range(first, last + 1))
 
 
 def month_list(spark: SparkSession, values: list[str]) -> DataFrame:
-    """Explicit 'YYYY-MM' values, de-duplicated and sorted."""
-    rows = []
-    for v in values:
-        a = month_range(spark, v, v)  # validates
-        del a
-        y, m = (int(x) for x in v.strip().split("-"))
-        rows.append((y, m))
-    return spark.createDataFrame(sorted(set(rows)), "year int, month int")
+    """The given 'YYYY-MM' months, each once, in order."""
+    numbers = sorted({_month_number(v) for v in values})
+    return _months(spark.createDataFrame([(n,) for n in numbers], "id long"))
 
 
 # ------------------------------------------------------------------ raw readers
@@ -112,23 +111,43 @@ def _strip_bom(df: DataFrame) -> DataFrame:
     return df
 
 
+def _expand(spark: SparkSession, paths: list[str] | str) -> list[str]:
+    """The files behind files, folders and globs (a listing; nothing is read)."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+              .select("path").distinct().orderBy("path"))
+    return [r.path for r in listed.toLocalIterator()]
+
+
+def headers_of(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header row; the first rows are read in parallel, one small task each."""
+    def header(path: str) -> tuple[str, ...]:
+        return tuple(_strip_bom(spark.read.option("header", True).csv(path)).columns)
+    with ThreadPoolExecutor(16) as pool:
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for path, columns in zip(files, pool.map(header, files)):
+            groups.setdefault(columns, []).append(path)
+    return groups
+
+
 def read_month_csv(spark: SparkSession, paths: list[str] | str, with_source: bool = False) -> DataFrame:
-    """Raw monthly CSV(s) with canonical columns (text); unnamed trailing columns dropped.
+    """Raw monthly CSV files, folders or globs with canonical columns (text).
 
-    Files whose headers differ are read per header group and unioned by name.
-    ``with_source`` adds ``source_path`` (the file each row came from).
+    Every file is read by its own header: files are grouped by header row, each
+    group is one scan, and a group without month or weekday gets them from the
+    flight date.  Unnamed trailing columns are dropped.  ``with_source`` adds
+    ``source_path`` (the file each row came from).
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    groups: dict[tuple, list[str]] = {}
-    for p in paths:
-        cols = tuple(_strip_bom(spark.read.option("header", True).csv(p)).columns)
-        groups.setdefault(cols, []).append(p)
+    files = _expand(spark, paths)
+    if not files:
+        raise FileNotFoundError(f"no monthly files under {paths}")
+    keep = ["source_path"] if with_source else []
     frames = []
-    for _, ps in groups.items():
-        df = _strip_bom(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(ps))
+    for group in headers_of(spark, files).values():
+        df = _strip_bom(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(group))
         df = df.select([c for c in df.columns if not (c.startswith("_c") or c.startswith("Unnamed:"))]
-                       + ([F.col("_metadata.file_path").alias("source_path")] if with_source else []))
-        frames.append(C.to_canonical(df, keep=["source_path"] if with_source else []))
+                       + [F.col("_metadata.file_path").alias(c) for c in keep])
+        frames.append(C.fill_calendar(C.to_canonical(df, keep=keep)))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -136,50 +155,47 @@ def read_month_csv(spark: SparkSession, paths: list[str] | str, with_source: boo
 
 
 def read_month_zip(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Raw monthly ZIP archives, each holding exactly one CSV member (else error).
+    """Raw monthly ZIP archives with one CSV file each, canonical columns as text plus ``source_path``.
 
-    binaryFile scan -> mapInPandas: one task unzips one archive and parses its
-    member as text (utf-8 with BOM).  Output: canonical columns as strings plus
-    ``source_path``.
+    A task unzips the archives it scanned and parses them in chunks; the bytes
+    are not shuffled.  Month and weekday come from the flight date where an
+    archive has no such column.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     wanted = S.REQUIRED_COLUMNS + S.OPTIONAL_COLUMNS
-    schema = ", ".join([f"{c} string" for c in wanted] + ["source_path string"])
+    schema = ", ".join(f"{c} string" for c in (*wanted, "source_path")) + ", _no_month boolean, _no_weekday boolean"
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
     def unzip(batches):
-        for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    members = [n for n in zf.namelist() if n.lower().endswith(".csv")]
-                    if len(members) != 1:
-                        raise ValueError(f"Expected exactly one CSV member inside {path}, found {members}")
-                    with zf.open(members[0]) as h:
-                        for chunk in pd.read_csv(io.TextIOWrapper(h, encoding="utf-8-sig"), dtype=str,
-                                                 keep_default_na=False, chunksize=200_000):
-                            yield _canonical_pandas(chunk, wanted, path)
-
-    # binaryFile packs whole archives into scan tasks (never splits one), so the
-    # unzip runs where the bytes were read - no shuffle of file contents.
-    return files.mapInPandas(unzip, schema)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(only_csv(archive, path)) as member:
+                    for chunk in pd.read_csv(io.TextIOWrapper(member, encoding="utf-8-sig"), dtype=str,
+                                             keep_default_na=False, chunksize=200_000):
+                        yield _canonical_pandas(chunk, wanted, path)
+
+    rows = files.mapInPandas(unzip, schema)
+    filled = C.fill_calendar(rows, {"MONTH": F.col("_no_month"), "DAY_OF_WEEK": F.col("_no_weekday")})
+    return filled.drop("_no_month", "_no_weekday")
+
+
+def only_csv(archive: zipfile.ZipFile, path: str) -> str:
+    """The archive's CSV file; any other number than one is an error."""
+    names = [info.filename for info in archive.infolist() if info.filename[-4:].lower() == ".csv"]
+    if len(names) == 1:
+        return names[0]
+    raise ValueError(f"{path} holds {len(names)} CSV files, one is needed: {names}")
 
 
 def _canonical_pandas(chunk: pd.DataFrame, wanted: list[str], path: str) -> pd.DataFrame:
-    out = {}
-    missing = []
-    for canon in wanted:
-        raw = next((a for a in S.COLUMN_ALIASES[canon] if a in chunk.columns), None)
-        if raw is None:
-            if canon in S.REQUIRED_COLUMNS:
-                missing.append(canon)
-            out[canon] = None
-        else:
-            out[canon] = chunk[raw].where(chunk[raw] != "", None)
-    if missing:
-        raise C.MissingColumnsError(f"Missing required columns in {path}: {', '.join(missing)}")
-    df = pd.DataFrame(out, index=chunk.index)
-    df["source_path"] = path
-    return df
+    found = C.known_columns(chunk.columns)
+    absent = [c for c in S.REQUIRED_COLUMNS if c not in found]
+    if absent:
+        raise C.MissingColumnsError(f"{path} has no column for {', '.join(absent)}")
+    raw = chunk[[found[c] for c in wanted if c in found]]
+    out = raw.where(raw != "", None).set_axis([c for c in wanted if c in found], axis=1).reindex(columns=wanted)
+    return out.astype(object).where(out.notna(), None).assign(
+        source_path=path, _no_month="MONTH" not in found, _no_weekday="DAY_OF_WEEK" not in found)
 
 
 def trim_columns(df: DataFrame, columns: list[str] = S.TRIM_COLUMNS) -> DataFrame:
@@ -193,8 +209,12 @@ def trim_columns(df: DataFrame, columns: list[str] = S.TRIM_COLUMNS) -> DataFram
 
 # ------------------------------------------------------------------ sinks
 def write_clean(clean: DataFrame, path: str) -> None:
-    """Clean flights as Parquet partitioned by year / month of the flight date."""
-    (clean.withColumn("year", F.year("FL_DATE")).repartition("year", "month")
+    """Clean flights as Parquet partitioned by year / month of the flight date.
+
+    ``rebalance`` gathers a month's rows and splits months that are large, so a
+    month is as many files as its size asks for.
+    """
+    (clean.withColumn("year", F.year("FL_DATE")).hint("rebalance", "year", "month")
      .write.mode("overwrite").partitionBy("year", "month").parquet(path))
 
 
@@ -208,6 +228,8 @@ def read_pairs(spark: SparkSession, path: str, columns: list[str] | None = None,
                start_year: int | None = None, end_year: int | None = None) -> DataFrame:
     """Pairs with column pruning and an inclusive year range (partition pruning)."""
     df = spark.read.parquet(path)
+    if df.isEmpty():
+        raise ValueError(f"no pairs under {path}")
     if start_year is not None:
         df = df.where(F.col("current_year") >= start_year)
     if end_year is not None:
@@ -217,7 +239,7 @@ def read_pairs(spark: SparkSession, path: str, columns: list[str] | None = None,
 
 def write_tail_partitions(clean: DataFrame, path: str,
                           n_partitions: int = S.DEFAULT_TAIL_PARTITIONS) -> None:
-    """Clean flights laid out by stable tail bucket (crc32(trim(tail)) % n)."""
+    """Clean flights laid out by stable tail bucket (crc32 of the stripped tail, modulo n); large buckets split."""
     (clean.withColumn("partition_id", X.tail_bucket("TAIL_NUM", n_partitions))
-     .repartition(n_partitions, "partition_id")
+     .hint("rebalance", "partition_id")
      .write.mode("overwrite").partitionBy("partition_id").parquet(path))
