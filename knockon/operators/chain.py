@@ -24,21 +24,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BK = "_chain_bucket"
-_NULL_BUCKET = 2 ** 62  # rows without an event time sort after every bucket
+#: Rows without an event time come after every bucket, in buckets of their tie-break.
+_NULL_BUCKET = 2 ** 62
+NULL_SPAN = 100_000
 
 
-def _bucket_expr(time_col: str, split) -> Column | None:
+def _bucket_expr(df: DataFrame, order: list[str], split) -> Column | None:
+    """Bucket number, rising with the order.
+
+    Rows without a time have only the tie-break: a whole-number one is cut into
+    spans, so that they do not all meet in one bucket.
+    """
     if split is None:
         return None
+    time = F.col(order[0])
     if isinstance(split, Column):
         expr = split
     elif split == "day":
-        expr = F.unix_date(F.col(time_col).cast("date")).cast("long")
+        expr = F.unix_date(time.cast("date")).cast("long")
     elif split == "hour":
-        expr = F.floor(F.unix_seconds(F.col(time_col).cast("timestamp")) / 3600).cast("long")
+        expr = F.floor(F.unix_seconds(time.cast("timestamp")) / 3600).cast("long")
     else:
         raise ValueError(f"unknown split {split!r}")
-    return F.coalesce(expr, F.lit(_NULL_BUCKET).cast("long"))
+    late = F.lit(_NULL_BUCKET).cast("long")
+    if len(order) > 1 and df.schema[order[1]].dataType.simpleString() in ("int", "bigint", "smallint"):
+        late = late + F.coalesce(F.floor(F.col(order[1]) / NULL_SPAN).cast("long"), F.lit(2 ** 60).cast("long"))
+    return F.coalesce(expr, late)
 
 
 def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead_col=None,
@@ -52,10 +63,9 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
     ``split`` is "day", "hour", a Column monotone in ``order[0]``, or None (one
     window partition per entity).
     """
-    time_col = order[0]
     ordering = [F.col(c).asc_nulls_last() for c in order]
     payload = F.struct(*[F.col(c).alias(c) for c in prev_cols])
-    bucket = _bucket_expr(time_col, split)
+    bucket = _bucket_expr(df, order, split)
 
     if bucket is None:
         w = Window.partitionBy(entity).orderBy(*ordering)

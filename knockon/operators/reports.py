@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knockon import schema as S
+from knockon.session import materialize
 
 
 def _c(x) -> Column:
@@ -16,68 +17,74 @@ def _c(x) -> Column:
 
 def sample_rows(df: DataFrame, keys, n: int = S.DEFAULT_SAMPLE_SIZE,
                 seed: int = S.DEFAULT_SAMPLE_SEED) -> DataFrame:
-    """Deterministic sample of up to n rows: order by md5(keys | seed), take n.
+    """Deterministic sample of up to n rows: the first n by md5(keys | seed).
 
-    Planned as a top-k (TakeOrderedAndProject): each task keeps at most n rows.
+    A bound on the hash, from the number of rows, leaves a few more than n rows
+    before the sort, so the sort sees about n rows however large the input.
     """
     h = F.md5(F.concat_ws("|", *[_c(k).cast("string") for k in keys], F.lit(str(seed))))
-    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")
-
-
-def rank_by(df: DataFrame, col: str, limit: int | None = None) -> DataFrame:
-    """Sort descending by ``col``; optional head (a top-k report)."""
-    out = df.orderBy(F.col(col).desc_nulls_last())
+    hashed = df.withColumn("_h", h)
+    total = df.count()
+    if total > 2 * n:
+        share = (n + 10 * math.sqrt(n) + 100) / total
+        near = hashed.where(F.col("_h") <= f"{int(min(share, 1.0) * (16 ** 8 - 1)):08x}" + "f" * 24)
+        if near.count() >= n:
+            hashed = near
+    return hashed.orderBy("_h").limit(n).drop("_h")
+
+
+def rank_by(df: DataFrame, col: str, limit: int | None = None, tie: str | None = None) -> DataFrame:
+    """Sort descending by ``col``, ties by ``tie``; optional head (a top-k report)."""
+    out = df.orderBy(F.col(col).desc_nulls_last(), *([tie] if tie else []))
     return out.limit(limit) if limit else out
 
 
-def top_bottom(df: DataFrame, col: str, k: int = 6) -> DataFrame:
-    """k strongest and k weakest rows (both in descending order), unioned."""
-    top = df.orderBy(F.col(col).desc_nulls_last()).limit(k).withColumn("part", F.lit("top"))
-    bottom = df.orderBy(F.col(col).asc_nulls_first()).limit(k).withColumn("part", F.lit("bottom"))
+def top_bottom(df: DataFrame, col: str, k: int = 6, tie: str | None = None) -> DataFrame:
+    """k strongest and k weakest rows, ties by ``tie``; rows without a value are neither."""
+    known, ties = df.where(F.col(col).isNotNull()), [tie] if tie else []
+    top = known.orderBy(F.col(col).desc(), *ties).limit(k).withColumn("part", F.lit("top"))
+    bottom = known.orderBy(F.col(col).asc(), *ties).limit(k).withColumn("part", F.lit("bottom"))
     return top.unionByName(bottom)
 
 
 def density_grid(df: DataFrame, x: str, y: str, gridsize: int = S.HEX_GRID_SIZE) -> DataFrame:
-    """Hexagonal-bin counts of (x, y) on two offset lattices (non-empty cells only).
+    """Counts of (x, y) on a hexagonal grid (non-empty cells only).
 
-    The bounds come from one small aggregation; cell assignment is a column
-    expression and the counts one grouped aggregation.
+    Hexagonal binning (Carr, Littlefield, Nicholson and Littlefield, 1987): cell
+    centres are two rectangular lattices, the second shifted by half a cell both
+    ways; a point belongs to the nearer of the nearest centre of each.  The
+    points are written once; bounds and counts are an aggregation each.
     """
-    pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    b = pts.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"),
-                F.max(y).alias("y1")).first()
-    if b["x0"] is None:
-        return pts.sparkSession.createDataFrame(
+    points = materialize(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "points")
+    edge = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if edge[0] is None:
+        return points.sparkSession.createDataFrame(
             [], "lattice int, i int, j int, center_x double, center_y double, count long")
-    nx = gridsize
-    ny = int(nx / math.sqrt(3))
-    x0, x1 = _nonsingular(float(b["x0"]), float(b["x1"]))
-    y0, y1 = _nonsingular(float(b["y0"]), float(b["y1"]))
-    pad = 1e-9 * (x1 - x0)
-    x0, x1 = x0 - pad, x1 + pad
-    sx, sy = (x1 - x0) / nx, (y1 - y0) / ny
-    ix = (F.col(x) - F.lit(x0)) / F.lit(sx)
-    iy = (F.col(y) - F.lit(y0)) / F.lit(sy)
-    g = pts.select(ix.alias("ix"), iy.alias("iy"))
-    g = g.select("ix", "iy", F.rint("ix").cast("int").alias("ix1"), F.rint("iy").cast("int").alias("iy1"),
-                 F.floor("ix").cast("int").alias("ix2"), F.floor("iy").cast("int").alias("iy2"))
-    d1 = (F.col("ix") - F.col("ix1")) ** 2 + 3.0 * (F.col("iy") - F.col("iy1")) ** 2
-    d2 = (F.col("ix") - F.col("ix2") - 0.5) ** 2 + 3.0 * (F.col("iy") - F.col("iy2") - 0.5) ** 2
-    first = d1 < d2
-    in1 = F.col("ix1").between(0, nx) & F.col("iy1").between(0, ny)
-    in2 = F.col("ix2").between(0, nx - 1) & F.col("iy2").between(0, ny - 1)
-    cell = g.select(
+    across, up = gridsize, int(gridsize / math.sqrt(3))
+    left, right = _nonsingular(edge[0], edge[1])
+    low, high = _nonsingular(edge[2], edge[3])
+    margin = 1e-9 * (right - left)
+    left, right = left - margin, right + margin
+    width, height = (right - left) / across, (high - low) / up
+    u, v = (F.col("x") - left) / width, (F.col("y") - low) / height
+    at = points.select(u.alias("u"), v.alias("v")).select(
+        "u", "v", F.rint("u").cast("int").alias("i1"), F.rint("v").cast("int").alias("j1"),
+        F.floor("u").cast("int").alias("i2"), F.floor("v").cast("int").alias("j2"))
+
+    def distance(i, j, shift):  # rows are sqrt(3) apart in units of the column width
+        return (F.col("u") - F.col(i) - shift) ** 2 + 3.0 * (F.col("v") - F.col(j) - shift) ** 2
+
+    first = distance("i1", "j1", 0.0) < distance("i2", "j2", 0.5)
+    inside = F.when(first, F.col("i1").between(0, across) & F.col("j1").between(0, up)).otherwise(
+        F.col("i2").between(0, across - 1) & F.col("j2").between(0, up - 1))
+    cells = at.where(inside).groupBy(
         F.when(first, 1).otherwise(2).alias("lattice"),
-        F.when(first, F.col("ix1")).otherwise(F.col("ix2")).alias("i"),
-        F.when(first, F.col("iy1")).otherwise(F.col("iy2")).alias("j"),
-        F.when(first, in1).otherwise(in2).alias("_in"))
-    counts = cell.where("_in").groupBy("lattice", "i", "j").agg(F.count(F.lit(1)).alias("count"))
-    off = F.when(F.col("lattice") == 2, 0.5).otherwise(0.0)
-    return counts.select(
-        "lattice", "i", "j",
-        (F.lit(x0) + (F.col("i") + off) * F.lit(sx)).alias("center_x"),
-        (F.lit(y0) + (F.col("j") + off) * F.lit(sy)).alias("center_y"),
-        "count")
+        F.when(first, F.col("i1")).otherwise(F.col("i2")).alias("i"),
+        F.when(first, F.col("j1")).otherwise(F.col("j2")).alias("j")).agg(F.count(F.lit(1)).alias("count"))
+    shift = F.when(F.col("lattice") == 2, 0.5).otherwise(0.0)
+    return cells.select("lattice", "i", "j", (left + (F.col("i") + shift) * width).alias("center_x"),
+                        (low + (F.col("j") + shift) * height).alias("center_y"), "count")
 
 
 def _nonsingular(lo: float, hi: float, expander: float = 0.1) -> tuple[float, float]:

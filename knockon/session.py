@@ -1,15 +1,17 @@
 """Spark session helpers.
 
-The library never creates machine-local scratch space on a cluster: lineage is
-cut with ``DataFrame.checkpoint()`` into the shared folder named by
-``spark.checkpoint.dir``.  Only when that setting is absent (local tests) do we
-pick a folder ourselves.
+The library never creates machine-local scratch space on a cluster: stage
+boundaries are Parquet tables and checkpoints in the shared folder named by
+``spark.checkpoint.dir``.  Only a local master may do without that setting; a
+cluster without it is an error.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,25 +48,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        # Only reached in local tests: nothing names a shared folder.
-        conf_dir = tempfile.mkdtemp(prefix="knockon-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="knockon-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location for written tables."""
-    import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/knockon-tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Cut lineage: a reliable checkpoint into the shared checkpoint folder.
+def materialize(df, name: str = "stage"):
+    """Cut lineage: write a Parquet table into the shared folder and read it back.
 
-    Used at stage boundaries (clean table before pairing, model frame before
-    multi-pass fits, small aggregated tables read by several branches).  Lost
-    executors re-read the checkpoint files instead of recomputing the lineage.
+    For stage boundaries that several branches or passes read.  Later readers
+    prune columns and push filters down, and lost executors reread files.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed.
+
+    Python steps import it there; Spark serves the archive to every executor.
+    """
+    base = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="knockon-pkg-"), "knockon"), "zip",
+                                  base, "knockon")
+    spark.sparkContext.addPyFile(archive)
