@@ -6,10 +6,10 @@
   (range partitioning + partition offsets over a checkpointed tail table).
 * beta: a frequency-weighted least-squares fit only needs the weighted sums of
   the per-tail Gram blocks, sum_t c_rt * [X_t'X_t, X_t'y_t].  The Gram blocks are
-  built once (partial per input partition, summed per tail), then each block of
+  built once, in rows gathered by tail (large tails in parts), then each block of
   tails multiplies its replicate x tail count matrix by its Gram matrix
-  (cogroup by tail block), the partial sums are added per replicate and each
-  replicate solves p x p.  Cost: one pass over the rows for any number of
+  (cogroup by tail block), the partial sums are added cell by cell per replicate
+  and each replicate solves p x p.  Cost: one pass over the rows for any number of
   replicates; no row is weighted or copied per replicate.
 * lambda: the tail-leg summary joined to the counts, weighted leg means per
   replicate and the grouped exponential fit.
@@ -21,11 +21,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knockon.operators import decay as D
+from knockon.operators import features as FE
+from knockon.operators import grouped as G
 from knockon.operators import models as M
+from knockon.session import materialize
 
 # ------------------------------------------------------------------ cluster weights
 
@@ -39,7 +43,7 @@ def dense_index(keys: DataFrame, key: str, n_ranges: int | None = None) -> DataF
     """
     n_ranges = n_ranges or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = (keys.select(key).distinct().repartitionByRange(n_ranges, key)
-              .sortWithinPartitions(key).checkpoint(eager=True))
+              .sortWithinPartitions(key).checkpoint(eager=True))  # partition ids must not change between reads
     tagged = ranged.withColumn("_pid", F.spark_partition_id())
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
@@ -60,7 +64,7 @@ def cluster_weights(tails: DataFrame, n_reps: int, seed: int, key: str = "TAIL_N
     index = dense_index(tails, key)
     n = index.count()
     if n == 0:
-        raise ValueError("No non-missing tail numbers are available for the cluster bootstrap.")
+        raise ValueError("the cluster bootstrap needs at least one tail, found none")
     spark = tails.sparkSession
     draws = spark.range(0, n_reps * n).select(
         (F.col("id") / F.lit(n)).cast("long").alias("replicate"),
@@ -71,13 +75,14 @@ def cluster_weights(tails: DataFrame, n_reps: int, seed: int, key: str = "TAIL_N
                                             "bootstrap_count")
 
 
-def poisson_thresholds(max_count: int = 20) -> list[float]:
-    """Cumulative Poisson(1) probabilities P(X <= k), k = 0..max_count-1."""
-    out, term, acc = [], math.exp(-1.0), 0.0
-    for k in range(max_count):
-        acc += term
-        out.append(acc)
-        term /= (k + 1)
+def poisson_thresholds() -> list[float]:
+    """Cumulative Poisson(1) probabilities P(X <= k), up to the last below 1 at the 52 bits of the hash."""
+    out, term, total, k = [], math.exp(-1.0), 0.0, 0
+    while term > 2.0 ** -53:
+        total += term
+        out.append(total)
+        k += 1
+        term /= k
     return out
 
 
@@ -116,7 +121,7 @@ def bootstrap_design(mf: DataFrame, single: bool = False):
     """Bootstrap design: prev + numeric controls + carrier, year, month, weekday and
     period factors (period as plain text, so its base level is alphabetical)."""
     if single:
-        return M.Design(names=[M.PREV], exprs=[F.col(M.PREV).cast("double")])
+        return M.build_design({}, [], [])
     factors = ["OP_UNIQUE_CARRIER", "current_year", "current_month", "current_day_of_week",
                "dep_period"]
     levels = M.factor_levels(mf, factors)
@@ -124,42 +129,56 @@ def bootstrap_design(mf: DataFrame, single: bool = False):
     return M.build_design(levels, factors, M.NUMERIC_CONTROLS)
 
 
+#: Tails with more than this share of all rows are gathered in parts; at most 1 / LARGE_TAIL tails are so large.
+LARGE_TAIL = 1e-3
+
+
+def gathered_by_tail(rows: DataFrame, key: str = "k") -> DataFrame:
+    """Rows shuffled and sorted by tail; a large tail goes to as many tasks as it is times too large."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(1, int(total * LARGE_TAIL))
+    large = counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("long").alias("parts"))
+    # at most 1 / LARGE_TAIL keys
+    spread = rows.join(F.broadcast(large), key, "left").withColumn("part", F.when(
+        F.col("parts").isNotNull(), F.pmod(F.xxhash64("y", "x"), F.col("parts"))).otherwise(0)).drop("parts")
+    return spread.repartition(key, "part").sortWithinPartitions(key, "part")
+
+
 def tail_grams(mf: DataFrame, design, key: str = "TAIL_NUM", label: str = "current_DEP_DELAY") -> DataFrame:
-    """Per tail: the packed sums [n, X'X (upper), X'y, y'y] with X = [1, design].
+    """Packed sums [n, X'X (upper), X'y, y'y] with X = [1, design]: a row per tail, several for large tails.
 
-    Partial sums per input partition (mapInPandas, no row shuffle), then summed
-    per tail; a tail's partials number at most the input partitions.
+    Rows come sorted by tail, so a task holds the sums of one tail at a time.
     """
     p = len(design.names) + 1
     means = mf.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(design.exprs)]).first()
     centred = [e - F.lit(float(means[f"m{i}"] or 0.0)) for i, e in enumerate(design.exprs)]
     rows = mf.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y"),
-                     F.array(*centred).alias("x"))
-    iu = np.triu_indices(p)
-
-    def partial(batches):
-        # Running sums per tail over the whole partition: one partial row per
-        # (tail, partition), however many rows a tail has.
-        acc: dict = {}
-        for b in batches:
-            if len(b) == 0:
-                continue
-            X = np.column_stack([np.ones(len(b)), np.vstack(b["x"].to_numpy())])
-            y = b["y"].to_numpy(float)
-            for k, idx in b.groupby("k").indices.items():
-                Xt, yt = X[idx], y[idx]
-                v = np.concatenate([[len(idx)], (Xt.T @ Xt)[iu], Xt.T @ yt, [yt @ yt]])
-                acc[k] = acc[k] + v if k in acc else v
-        if acc:
-            yield pd.DataFrame({"k": list(acc), "s": [v.tolist() for v in acc.values()]})
-
-    parts = rows.mapInPandas(partial, "k string, s array<double>")
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        tot = np.sum(np.vstack(pdf["s"].to_numpy()), axis=0)
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "s": [tot.tolist()]})
-
-    return parts.groupBy("k").applyInPandas(add, "k string, s array<double>").withColumnRenamed("k", key)
+                     F.array(*centred).alias("x")).where(F.col("k").isNotNull())
+    upper = np.triu_indices(p)
+
+    def batch_of(done):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in done]), pa.array([v.tolist() for _, v in done], pa.list_(pa.float64()))],
+            names=["k", "s"])
+
+    def run(state, tails, X, y):
+        done = []
+        if tails is None:
+            return batch_of(list(state.items())) if state else None
+        for tail, at in G.by_group(tails):
+            Xt, yt = X[at], y[at]
+            v = np.concatenate([[len(at)], (Xt.T @ Xt)[upper], Xt.T @ yt, [yt @ yt]])
+            if tail in state:
+                state[tail] = state[tail] + v
+            else:
+                done.extend(state.items())
+                state.clear()
+                state[tail] = v
+        return batch_of(done) if done else None
+
+    return G.design_batches(gathered_by_tail(rows).select("k", "y", "x"), p, run,
+                            "k string, s array<double>").withColumnRenamed("k", key)
 
 
 def _unpack(s: np.ndarray, p: int):
@@ -186,26 +205,24 @@ def bootstrap_beta(mf: DataFrame, weights: DataFrame, design=None, key: str = "T
     def combine(gp: pd.DataFrame, wp: pd.DataFrame) -> pd.DataFrame:
         if len(gp) == 0 or len(wp) == 0:
             return pd.DataFrame({"replicate": pd.Series([], dtype="int32"), "s": []})
-        tails = {t: i for i, t in enumerate(gp[key])}
-        G = np.vstack(gp["s"].to_numpy())
-        wp = wp[wp[key].isin(tails)]
-        reps = np.sort(wp["replicate"].unique())
-        ri = {r: i for i, r in enumerate(reps)}
-        Cm = np.zeros((len(reps), len(tails)))
-        Cm[wp["replicate"].map(ri).to_numpy(), wp[key].map(tails).to_numpy()] = wp["bootstrap_count"].to_numpy()
-        S = Cm @ G
-        return pd.DataFrame({"replicate": reps.astype("int32"), "s": list(S)})
+        counts = wp.pivot(index="replicate", columns=key, values="bootstrap_count")
+        per_row = counts.reindex(columns=gp[key]).fillna(0).to_numpy(float)  # a column per Gram row
+        return pd.DataFrame({"replicate": counts.index.to_numpy("int32"),
+                             "s": list(per_row @ np.vstack(gp["s"].to_numpy()))})
 
     part = g.groupBy("_blk").cogroup(w.groupBy("_blk")).applyInPandas(
         combine, "replicate int, s array<double>")
+    cells = (part.select("replicate", F.posexplode("s").alias("at", "v"))
+             .groupBy("replicate", "at").agg(F.sum("v").alias("v")))
+    sums = cells.groupBy("replicate").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "v"))), lambda c: c.v).alias("s"))  # p(p+1)/2 + p + 2 cells
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.sum(np.vstack(pdf["s"].to_numpy()), axis=0)
-        A, b = _unpack(s, p)
-        beta = np.linalg.lstsq(A, b, rcond=None)[0]
-        return pd.DataFrame({"replicate": [int(pdf["replicate"].iloc[0])], "beta_prev_arr_delay": [beta[col]]})
+    def solve(batches):
+        for batch in batches:
+            beta = [np.linalg.lstsq(*_unpack(np.asarray(s), p), rcond=None)[0][col] for s in batch["s"]]
+            yield pd.DataFrame({"replicate": batch["replicate"], "beta_prev_arr_delay": beta})
 
-    return part.groupBy("replicate").applyInPandas(solve, "replicate int, beta_prev_arr_delay double")
+    return sums.mapInPandas(solve, "replicate int, beta_prev_arr_delay double")
 
 
 # ------------------------------------------------------------------ lambda
@@ -243,17 +260,18 @@ def bootstrap_ci(table: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def run_bootstrap(spark: SparkSession, mf: DataFrame, tail_summary: DataFrame | None,
-                  n_reps: int, seed: int, scheme: str = "multinomial") -> DataFrame:
-    """replicate, seed, beta_prev_arr_delay[, lambda_decay].
+                  n_reps: int, seed: int, scheme: str = "multinomial", single: bool = False) -> DataFrame:
+    """replicate, seed, beta_prev_arr_delay[, lambda_decay].  ``single``: no controls in the regression.
 
     ``scheme``: "multinomial" draws T tails with replacement per replicate (the
     classic cluster bootstrap); "poisson" gives each tail an independent
     Poisson(1) count (no ranking, no draw table: the form for very many tails)."""
-    mf = mf.checkpoint(eager=True)  # read by the weights, the means, the levels and the Grams
+    # read by the weights, the means, the levels and the Grams
+    mf = materialize(mf.select("TAIL_NUM", *FE.MODEL_COLUMNS), "bootstrap-frame")
     if tail_summary is not None:
-        tail_summary = tail_summary.checkpoint(eager=True)
+        tail_summary = materialize(tail_summary, "tail-legs")
     make = poisson_weights if scheme == "poisson" else cluster_weights
-    w = make(mf.where(F.col("TAIL_NUM").isNotNull()), n_reps, seed).checkpoint(eager=True)
-    beta = bootstrap_beta(mf, w)
+    w = materialize(make(mf.where(F.col("TAIL_NUM").isNotNull()), n_reps, seed), "weights")
+    beta = bootstrap_beta(mf, w, bootstrap_design(mf, single))
     lam = bootstrap_lambda(tail_summary, w) if tail_summary is not None else None
     return bootstrap_table(beta, lam, seed)

@@ -95,43 +95,50 @@ def decay_by_leg(tail_summary: DataFrame) -> DataFrame:
 def fit_exponential(k: np.ndarray, y: np.ndarray, lam0: float = S.DECAY_LAMBDA_START):
     """Least squares of y ~ A*exp(-lambda*k) with A, lambda >= 0 on points with y > 0.
 
-    A is closed-form given lambda, so the fit is a 1-D bounded search on lambda
-    (coarse log grid, then golden-section refinement).  Fewer than 2 points -> NaN.
+    A is closed-form given lambda, so the fit is a one-dimensional search: a log
+    grid that grows until the error rises at its end, then bisection of its slope.  The
+    error can only keep falling while exp(-lambda) is above the precision of
+    doubles, which ends the growth.  Fewer than 2 points -> NaN.
     """
     mask = np.isfinite(y) & (y > 0)
     k, y = np.asarray(k, float)[mask], np.asarray(y, float)[mask]
     if len(k) < 2:
         return math.nan, math.nan
+    first = k.min()
+    after = k - first  # powers relative to the first leg do not underflow
 
-    def amp(lam):
-        e = np.exp(-lam * k)
-        return max(float(e @ y) / float(e @ e), 0.0)
+    def level(lam):
+        e = np.exp(-lam * after)
+        return max(float(e @ y) / float(e @ e), 0.0), e
 
     def sse(lam):
-        a = amp(lam)
-        r = y - a * np.exp(-lam * k)
-        return float(r @ r)
-
-    grid = np.concatenate([[0.0], np.geomspace(1e-6, 50.0, 600)])
-    vals = np.array([sse(g) for g in grid])
-    i = int(np.argmin(vals))
-    a, b = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
-    g = (math.sqrt(5.0) - 1.0) / 2.0
-    c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = sse(c), sse(d)
-    for _ in range(300):
-        if b - a <= 1e-14 * max(1.0, b):
+        a, e = level(lam)
+        return float(((y - a * e) ** 2).sum())
+
+    top = 8.0 * max(lam0, 0.25)
+    while True:
+        grid = np.concatenate([[0.0], np.geomspace(1e-6, top, 600)])
+        vals = np.array([sse(g) for g in grid])
+        i = int(np.argmin(vals))
+        if i < len(grid) - 1 or top * max(first, 1.0) > 600.0:
             break
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = sse(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = sse(d)
-    lam = min([(sse((a + b) / 2), (a + b) / 2), (vals[i], float(grid[i]))])[1]
-    return amp(lam), float(lam)
+        top *= 2.0
+    low, high = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
+
+    def falling(lam):
+        """The error still falls beyond lam (sign of the score)."""
+        e = np.exp(-lam * after)
+        return float(y @ e) * float(after @ (e * e)) > float(e @ e) * float(after @ (y * e))
+
+    lam = float(grid[i])
+    if (i > 0 or falling(0.0)) and not falling(high):
+        for _ in range(200):
+            middle = (low + high) / 2
+            if middle in (low, high):
+                break
+            low, high = (middle, high) if falling(middle) else (low, middle)
+        lam = float((low + high) / 2)
+    return level(lam)[0] * math.exp(lam * first), lam
 
 
 FIT_SCHEMA = "amplitude_A double, lambda double"
@@ -161,7 +168,9 @@ def nan_to_null(c: str):
 
 def decay_parameters(decay_table: DataFrame, threshold: float = S.SHOCK_THRESHOLD,
                      max_leg: int = S.MAX_LEG) -> DataFrame:
-    """One row: amplitude, lambda, half-life (null unless lambda > 0), settings."""
+    """One row: amplitude, lambda, half-life (null unless lambda > 0), settings; no legs is an error."""
+    if decay_table.isEmpty():
+        raise ValueError(f"no later leg follows a delay over {threshold:g} minutes")
     fit = fit_groups(decay_table, [])
     return fit.select(
         nan_to_null("amplitude_A"), nan_to_null("lambda"),

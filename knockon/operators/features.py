@@ -49,9 +49,8 @@ def model_frame(pairs: DataFrame, keep=(), start_year=None, end_year=None) -> Da
     return add_features(year_window(pairs, start_year, end_year), keep).dropna(subset=MODEL_COLUMNS)
 
 
-def require_rows(df: DataFrame, minimum: int = S.MIN_MODEL_ROWS) -> int:
-    """Guard: error if fewer than ``minimum`` usable rows (one count job)."""
-    n = df.count()
+def enough_rows(n: int, minimum: int = S.MIN_MODEL_ROWS) -> int:
+    """``n`` if that many complete pairs can be fitted, else an error."""
     if n < minimum:
-        raise ValueError(f"Only {n} usable pairs remain after filtering; too few to fit models.")
+        raise ValueError(f"models need {minimum} complete pairs, found {n}")
     return n

@@ -3,14 +3,17 @@
 Refitting the pooled models per year or per window of years is a loop of fits
 in the reference (one job per year).  Here every group is solved together: a
 pass over the rows accumulates, per group, the Gram matrix and moment vectors
-(partial per partition with mapInPandas, summed per group), and the driver
-solves one p x p system per group.  OLS takes one pass; the logit takes one
-pass per IRLS step (the current coefficients of every group travel in the task
-closure: groups x p numbers).  Driver state is O(groups * p^2).
+(one vector per group and partition, added up cell by cell with partial
+aggregation), and the driver solves one p x p system per group.  OLS takes one
+pass; the logit takes one pass per IRLS step (the current coefficients of every
+group travel in the task closure: groups x p numbers).  Driver state is
+O(groups * p^2).
 
 Each group keeps the column space a separate fit on that group would have:
-columns that are all zero in the group are dropped, and when a factor's base
-level is absent from the group its first present level becomes the base.
+columns that are all zero, constant or otherwise dependent in the group are
+dropped, and when a factor's base level is absent from the group its first
+present level becomes the base.  A group that cannot be fitted gets null
+coefficients and says why in its status; it never stops the others.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knockon import schema as S
 from knockon.operators import metrics as ME
 from knockon.operators import models as M
 
@@ -43,147 +47,271 @@ def _keep_columns(xtx: np.ndarray, n: float, factors: dict[str, list[int]]) -> n
         present = [c for c in cols if diag[c] > 0]
         if present and sum(diag[c] for c in present) >= n:   # base level absent in this group
             keep[present[0]] = False
-    # numeric columns constant within the group are collinear with the intercept
-    return keep
+    return independent_columns(xtx, keep)
+
+
+def independent_columns(gram: np.ndarray, keep: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """``keep`` without the columns that the kept columns before them already span.
+
+    Eliminates the kept columns one by one; what is left of a column's own
+    square is its part outside the span.
+    """
+    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    left = gram / np.outer(scale, scale)
+    kept = np.zeros(len(keep), bool)
+    for j in np.flatnonzero(keep):
+        if left[j, j] <= tolerance:
+            continue
+        kept[j] = True
+        left = left - np.outer(left[:, j], left[j]) / left[j, j]
+    return kept
+
+
+def solve_kept(gram: np.ndarray, moments: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and the diagonal of the inverse, over the kept columns of a scaled system."""
+    scale = np.sqrt(np.diag(gram)[keep])
+    inverse = np.linalg.inv(gram[np.ix_(keep, keep)] / np.outer(scale, scale))
+    return inverse @ (moments[keep] / scale) / scale, np.diag(inverse) / scale ** 2
+
+
+def design_batches(rows: DataFrame, p: int, run, schema: str) -> DataFrame:
+    """``run(groups, X, y)`` per Arrow batch and, with None, once at the end of a partition.
+
+    The rows' arrays are one flat Arrow buffer, so a batch becomes a matrix without
+    a Python object per row.  ``run`` returns a RecordBatch or None.
+    """
+    def part(batches):
+        state: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, p - 1)
+                X = np.column_stack([np.ones(batch.num_rows), flat])
+                out = run(state, batch.column(0), X, batch.column(1).to_numpy(zero_copy_only=False))
+                if out is not None:
+                    yield out
+        out = run(state, None, None, None)
+        if out is not None:
+            yield out
+    return rows.mapInArrow(part, schema)
+
+
+def _rows(df: DataFrame, group: str, design: M.Design, label: str) -> DataFrame:
+    return df.select(F.col(group).cast("string").alias("g"), F.col(label).cast("double").alias("y"),
+                     F.array(*design.exprs).alias("x"))
+
+
+def by_group(groups: pa.Array):
+    """(group, row numbers) of a batch."""
+    coded = groups.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    for i, name in enumerate(coded.dictionary.to_pylist()):
+        yield name, np.flatnonzero(codes == i)
 
 
 def _accumulate(df: DataFrame, group: str, design: M.Design, label: str, betas: dict | None,
                 p: int) -> dict:
     """One pass: per group packed sums.  Without betas: [n, X'X, X'y, y'y, sum y].
     With betas (logit IRLS): [n, X'WX, X'Wz, deviance, sum y]."""
-    rows = df.select(F.col(group).cast("string").alias("g"), F.col(label).cast("double").alias("y"),
-                     F.array(*design.exprs).alias("x"))
-    m = p * p
+    upper = np.triu_indices(p)
 
-    def part(batches):
-        acc: dict = {}
-        for b in batches:
-            if len(b) == 0:
+    def run(state, groups, X, y):
+        if groups is None:
+            if not state:
+                return None
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(state)), pa.array([v.tolist() for v in state.values()], pa.list_(pa.float64()))],
+                names=["g", "s"])
+        for g, at in by_group(groups):
+            Xg, yg = X[at], y[at]
+            if betas is None:
+                v = np.concatenate([[len(at)], (Xg.T @ Xg)[upper], Xg.T @ yg, [yg @ yg, yg.sum()]])
+            elif g not in betas:
                 continue
-            X = np.column_stack([np.ones(len(b)), np.vstack(b["x"].to_numpy())])
-            y = b["y"].to_numpy(float)
-            for g, idx in b.groupby("g").indices.items():
-                Xg, yg = X[idx], y[idx]
-                if betas is None:
-                    v = np.concatenate([[len(idx)], (Xg.T @ Xg).ravel(), Xg.T @ yg, [yg @ yg, yg.sum()]])
-                else:
-                    eta = Xg @ betas[g]
-                    mu = 1.0 / (1.0 + np.exp(-eta))
-                    w = np.clip(mu * (1 - mu), 1e-300, None)
-                    z = eta + (yg - mu) / w
-                    mu_c = np.clip(mu, 1e-300, 1 - 1e-16)
-                    dev = -2.0 * np.sum(yg * np.log(mu_c) + (1 - yg) * np.log1p(-mu_c))
-                    v = np.concatenate([[len(idx)], (Xg.T @ (Xg * w[:, None])).ravel(),
-                                        Xg.T @ (w * z), [dev, yg.sum()]])
-                acc[g] = acc[g] + v if g in acc else v
-        if acc:
-            yield pd.DataFrame({"g": list(acc), "s": [v.tolist() for v in acc.values()]})
-
-    parts = rows.mapInPandas(part, "g string, s array<double>")
-    summed = parts.groupBy("g").agg(
-        F.aggregate(F.collect_list("s"), F.array_repeat(F.lit(0.0), m + p + 3),
-                    lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("s"))
+            else:
+                eta = np.clip(Xg @ betas[g], -500, 500)
+                mu = 1.0 / (1.0 + np.exp(-eta))
+                w = np.clip(mu * (1 - mu), 1e-300, None)
+                mu_c = np.clip(mu, 1e-300, 1 - 1e-16)
+                deviance = -2.0 * np.sum(yg * np.log(mu_c) + (1 - yg) * np.log1p(-mu_c))
+                # X'Wz without z, whose residual part overflows where the weight vanishes
+                v = np.concatenate([[len(at)], (Xg.T @ (Xg * w[:, None]))[upper],
+                                    Xg.T @ (w * eta + yg - mu), [deviance, yg.sum()]])
+            state[g] = state[g] + v if g in state else v
+        return None
+
+    cells = (design_batches(_rows(df, group, design, label), p, run, "g string, s array<double>")
+             .select("g", F.posexplode("s").alias("at", "v"))
+             .groupBy("g", "at").agg(F.sum("v").alias("v")))
+    sums: dict[str, np.ndarray] = {}
+    m = len(upper[0])
+    for r in cells.collect():   # groups x (p(p+1)/2 + p + 3) numbers
+        sums.setdefault(r["g"], np.zeros(m + p + 3))[r["at"]] = r["v"]
     out = {}
-    for r in summed.collect():   # one row per group: groups x (p^2 + p + 3) numbers
-        s = np.asarray(r["s"])
-        out[r["g"]] = (s[0], s[1:1 + m].reshape(p, p), s[1 + m:1 + m + p], s[1 + m + p], s[2 + m + p])
+    for g, s in sums.items():
+        gram = np.zeros((p, p))
+        gram[upper] = s[1:1 + m]
+        out[g] = (s[0], gram + np.triu(gram, 1).T, s[1 + m:1 + m + p], s[1 + m + p], s[2 + m + p])
     return out
 
 
 def grouped_ols(df: DataFrame, group: str, design: M.Design, label: str = "current_DEP_DELAY") -> dict:
+    """Per group: n, beta, se, r2 and the kept columns; null (NaN) entries for dropped columns."""
     p = len(design.names) + 1
     factors = _factor_columns(design)
     res = {}
     for g, (n, xtx, xty, yty, sy) in _accumulate(df, group, design, label, None, p).items():
         keep = _keep_columns(xtx, n, factors)
-        A, b = xtx[np.ix_(keep, keep)], xty[keep]
-        beta_k = np.linalg.solve(A, b)
-        rss = yty - 2 * beta_k @ b + beta_k @ A @ beta_k
-        k = int(keep.sum())
-        dfr = n - k
-        cov = np.linalg.inv(A) * rss / dfr
-        beta = np.zeros(p)
-        se = np.full(p, np.nan)
-        beta[keep], se[keep] = beta_k, np.sqrt(np.diag(cov))
+        beta, se = np.full(p, np.nan), np.full(p, np.nan)
+        beta[keep], spread = solve_kept(xtx, xty, keep)
+        rss = max(yty - float(beta[keep] @ xty[keep]), 0.0)
+        dfr = int(n) - int(keep.sum())
+        if dfr > 0:
+            se[keep] = np.sqrt(spread * rss / dfr)
         tss = yty - sy * sy / n
-        res[g] = {"n": n, "beta": beta, "se": se, "r2": 1 - rss / tss, "df_resid": dfr, "keep": keep,
-                  "ci_mult": M.t_quantile(0.975, dfr), "mean_target": sy / n}
+        res[g] = {"n": n, "beta": beta, "se": se, "rss": rss, "r2": 1 - rss / tss if tss > 0 else math.nan, "df_resid": dfr,
+                  "keep": keep, "ci_mult": M.t_quantile(0.975, dfr), "mean_target": sy / n}
     return res
 
 
 def grouped_logit(df: DataFrame, group: str, design: M.Design, label: str = "current_dep_delayed_15",
                   max_iter: int = 100, tol: float = 1e-10, keeps: dict | None = None) -> dict:
-    """``keeps``: per-group column masks (e.g. from ``grouped_ols``) to skip the X'X pass."""
+    """Per group: the same, with deviances and ``converged``.
+
+    ``keeps``: per-group column masks (e.g. from ``grouped_ols``) to skip the X'X
+    pass.  A group whose weights vanish (perfect separation) stops unconverged.
+    """
     p = len(design.names) + 1
     factors = _factor_columns(design)
     if keeps is None:
         first = _accumulate(df, group, design, label, None, p)
         keeps = {g: _keep_columns(v[1], v[0], factors) for g, v in first.items()}
     betas = {g: np.zeros(p) for g in keeps}
-    stats = {}
+    going, converged = set(keeps), dict.fromkeys(keeps, False)
     for _ in range(max_iter):
-        stats = _accumulate(df, group, design, label, betas, p)
-        delta = 0.0
-        for g, (n, xwx, xwz, dev, sy) in stats.items():
-            k = keeps[g]
-            nb = np.zeros(p)
-            nb[k] = np.linalg.solve(xwx[np.ix_(k, k)], xwz[k])
-            delta = max(delta, float(np.max(np.abs(nb - betas[g]))))
-            betas[g] = nb
-        if delta < tol:
+        if not going:
             break
-    final = _accumulate(df, group, design, label, betas, p)
+        for g, (n, xwx, xwz, _, sy) in _accumulate(df, group, design, label, {g: betas[g] for g in going}, p).items():
+            k = keeps[g]
+            new = np.zeros(p)
+            try:
+                new[k] = solve_kept(xwx, xwz, k)[0]
+            except np.linalg.LinAlgError:
+                new[:] = np.nan
+            if not np.isfinite(new).all() or np.abs(new[k]).max() > 1e6:
+                going.discard(g)
+                continue
+            if np.abs(new - betas[g]).max() < tol * max(1.0, np.abs(new).max()):
+                converged[g] = True
+                going.discard(g)
+            betas[g] = new
     res = {}
-    for g, (n, xwx, _, dev, sy) in final.items():
+    for g, (n, xwx, _, dev, sy) in _accumulate(df, group, design, label, betas, p).items():
         k = keeps[g]
-        se = np.full(p, np.nan)
-        se[k] = np.sqrt(np.diag(np.linalg.inv(xwx[np.ix_(k, k)])))
+        beta, cov = np.full(p, np.nan), np.full((p, p), np.nan)
+        if converged[g]:
+            beta[k] = betas[g][k]
+            scale = np.sqrt(np.diag(xwx)[k])
+            cov[np.ix_(k, k)] = np.linalg.inv(xwx[np.ix_(k, k)] / np.outer(scale, scale)) / np.outer(scale, scale)
+        se = np.sqrt(np.diag(cov))
         ybar = sy / n
         null_dev = -2 * (sy * math.log(ybar) + (n - sy) * math.log(1 - ybar)) if 0 < ybar < 1 else 0.0
-        res[g] = {"n": n, "beta": betas[g], "se": se, "deviance": dev, "null_deviance": null_dev,
-                  "aic": dev + 2 * int(k.sum()), "ci_mult": M.Z975, "mean_target": ybar}
+        res[g] = {"n": n, "beta": beta, "se": se, "deviance": dev, "null_deviance": null_dev,
+                  "aic": dev + 2 * int(k.sum()), "ci_mult": M.Z975, "mean_target": ybar, "converged": converged[g],
+                  "cov": cov}
     return res
 
 
+def fit_ols(df: DataFrame, design: M.Design, label: str = "current_DEP_DELAY", model: str = "linear") -> M.FitResult:
+    """One pooled OLS with t-based errors and the likelihood metrics of its residuals."""
+    fit = grouped_ols(df.withColumn("_all", F.lit("all")), "_all", design, label)["all"]
+    n, k = fit["n"], int(fit["keep"].sum())
+    likelihood = -n / 2.0 * (math.log(2 * math.pi) + math.log(max(fit["rss"], 1e-300) / n) + 1.0)
+    r2 = fit["r2"]
+    metrics = {"model": model, "n_obs": n, "r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / max(n - k, 1),
+               "aic": -2 * likelihood + 2 * k, "bic": -2 * likelihood + k * math.log(n), "df_resid": fit["df_resid"]}
+    p = [M.t_tail(b / e, fit["df_resid"]) if e > 0 else math.nan for b, e in zip(fit["beta"], fit["se"])]
+    return M.FitResult(model, ["Intercept", *design.names], fit["beta"].tolist(), fit["se"].tolist(), p,
+                       fit["ci_mult"], metrics)
+
+
+def fit_logit(df: DataFrame, design: M.Design, label: str = "current_dep_delayed_15",
+              model: str = "logistic") -> M.FitResult:
+    """One pooled logit with the covariance of its estimates; one that does not converge is an error."""
+    fit = grouped_logit(df.withColumn("_all", F.lit("all")), "_all", design, label)["all"]
+    if not fit["converged"]:
+        raise ValueError(f"{model}: the logit did not converge; some level may separate the outcomes")
+    metrics = {"model": model, "n_obs": fit["n"], "aic": fit["aic"], "deviance": fit["deviance"],
+               "null_deviance": fit["null_deviance"], "mean_target": fit["mean_target"], "converged": True}
+    return M.FitResult(model, ["Intercept", *design.names], fit["beta"].tolist(), fit["se"].tolist(),
+                       [math.erfc(abs(x) / math.sqrt(2)) for x in fit["beta"] / fit["se"]], M.Z975, metrics,
+                       cov=fit["cov"])
+
+
+def predict(df: DataFrame, design: M.Design, fit: M.FitResult, label: str = "current_dep_delayed_15") -> DataFrame:
+    """(label, prediction) of a fitted logit."""
+    scored = grouped_scores(df.withColumn("_all", F.lit("all")), "_all", design, {"all": np.array(fit.estimates)}, label)
+    return scored.select("label", F.col("score").alias("prediction"))
+
+
 def grouped_scores(df: DataFrame, group: str, design: M.Design, betas: dict,
                    label: str = "current_dep_delayed_15") -> DataFrame:
-    """(group, score, label) with each group's own fitted probability."""
-    rows = df.select(F.col(group).cast("string").alias("g"), F.col(label).cast("double").alias("label"),
-                     F.array(*design.exprs).alias("x"))
+    """(g, score, label) with each group's own fitted probability; dropped columns count as zero."""
+    filled = {g: np.nan_to_num(b) for g, b in betas.items()}
 
-    def score(batches):
-        for b in batches:
-            X = np.column_stack([np.ones(len(b)), np.vstack(b["x"].to_numpy())]) if len(b) else None
-            if X is None:
-                continue
-            eta = np.empty(len(b))
-            for g, idx in b.groupby("g").indices.items():
-                eta[idx] = X[idx] @ betas[g]
-            yield pd.DataFrame({"g": b["g"], "score": 1 / (1 + np.exp(-eta)), "label": b["label"]})
+    def run(state, groups, X, y):
+        if groups is None:
+            return None
+        eta = np.empty(len(y))
+        for g, at in by_group(groups):
+            eta[at] = X[at] @ filled[g]
+        return pa.RecordBatch.from_arrays([groups, pa.array(1 / (1 + np.exp(-eta))), pa.array(y)],
+                                          names=["g", "score", "label"])
+
+    rows = _rows(df, group, design, label).where(F.col("g").isin(list(filled)))
+    return design_batches(rows, len(design.names) + 1, run, "g string, score double, label double")
 
-    return rows.mapInPandas(score, "g string, score double, label double")
 
+PERIOD_TABLE = (
+    "period string, status string, n_modeling_pairs long, linear_coef double, linear_ci_lower double, "
+    "linear_ci_upper double, minutes_carried_per_10_min double, linear_r_squared double, "
+    "logistic_coef double, logistic_or_per_10_min double, logistic_or10_ci_lower double, "
+    "logistic_or10_ci_upper double, logistic_auc double, logistic_average_precision double, "
+    "current_delay_rate_gt15 double")
 
-def period_table(spark: SparkSession, mf: DataFrame, design: M.Design, period_col: str) -> DataFrame:
-    """One row per period: n, linear beta/CI/10*beta/R^2, logit beta/OR10/CI, AUC, AP, delay rate."""
+
+def period_table(spark: SparkSession, mf: DataFrame, design: M.Design, period_col: str,
+                 min_rows: int = S.MIN_MODEL_ROWS) -> DataFrame:
+    """One row per period: n, linear beta/CI/10*beta/R^2, logit beta/OR10/CI, AUC, AP, delay rate.
+
+    ``status`` is ``ok``; ``too few rows`` (below ``min_rows``: no fit is
+    reported); ``no previous delay`` (it does not vary); or ``not converged``
+    (the logit ended without a maximum).  What could not be fitted is null.
+    """
     col = 1 + design.names.index(M.PREV)
     lin = grouped_ols(mf, period_col, design)
-    logit = grouped_logit(mf, period_col, design, keeps={g: v["keep"] for g, v in lin.items()})
-    scores = grouped_scores(mf, period_col, design, {g: v["beta"] for g, v in logit.items()})
-    ranks = {r["g"]: (r["roc_auc"], r["average_precision"])
-             for r in ME.ranking_metrics(scores, "score", "label", by=["g"]).collect()}
+    large = {g for g, fit in lin.items() if fit["n"] >= min_rows}
+    sized = mf.where(F.col(period_col).cast("string").isin(list(large)))
+    logit = grouped_logit(sized, period_col, design, keeps={g: lin[g]["keep"] for g in large}) if large else {}
+    done = {g: fit["beta"] for g, fit in logit.items() if fit["converged"]}
+    ranks = {}
+    if done:
+        scores = grouped_scores(sized, period_col, design, done)
+        ranks = {r["g"]: (r["roc_auc"], r["average_precision"])
+                 for r in ME.ranking_metrics(scores, "score", "label", by=["g"]).collect()}
+
+    def known(x):
+        return float(x) if x is not None and math.isfinite(x) else None
+
     rows = []
     for g in sorted(lin):
-        a, b = lin[g], logit[g]
-        lb, lse = a["beta"][col], a["se"][col]
-        gb, gse = b["beta"][col], b["se"][col]
-        rows.append((g, int(a["n"]), float(lb), float(lb - a["ci_mult"] * lse), float(lb + a["ci_mult"] * lse),
-                     float(10 * lb), float(a["r2"]), float(gb), math.exp(10 * gb),
-                     math.exp(10 * (gb - b["ci_mult"] * gse)), math.exp(10 * (gb + b["ci_mult"] * gse)),
-                     ranks.get(g, (None, None))[0], ranks.get(g, (None, None))[1], float(b["mean_target"])))
-    return spark.createDataFrame(rows, (
-        "period string, n_modeling_pairs long, linear_coef double, linear_ci_lower double, "
-        "linear_ci_upper double, minutes_carried_per_10_min double, linear_r_squared double, "
-        "logistic_coef double, logistic_or_per_10_min double, logistic_or10_ci_lower double, "
-        "logistic_or10_ci_upper double, logistic_auc double, logistic_average_precision double, "
-        "current_delay_rate_gt15 double"))
+        a, b = lin[g], logit.get(g)
+        status = ("too few rows" if g not in large else "no previous delay" if not a["keep"][col]
+                  else "ok" if b["converged"] else "not converged")
+        lb, lse = (a["beta"][col], a["se"][col]) if g in large else (math.nan, math.nan)
+        gb, gse = (b["beta"][col], b["se"][col]) if b else (math.nan, math.nan)
+        half, wide = a["ci_mult"] * lse, M.Z975 * gse
+        rows.append((g, status, int(a["n"]), *map(known, (
+            lb, lb - half, lb + half, 10 * lb, a["r2"] if g in large else None, gb, np.exp(10 * gb),
+            np.exp(10 * (gb - wide)), np.exp(10 * (gb + wide)), *ranks.get(g, (None, None)))),
+            float(b["mean_target"]) if b else None))
+    return spark.createDataFrame(rows, PERIOD_TABLE)

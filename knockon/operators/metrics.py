@@ -10,35 +10,39 @@ grouped aggregation or a window partitioned by range.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knockon.session import materialize
+
+#: Distinct scores in one running sum.
+SCORES_PER_RANGE = 100_000
+
 
 def _ranges(scores: DataFrame, col: str, n_ranges: int) -> DataFrame:
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = scores.approxQuantile(col, probs, 1e-4) if n_ranges > 1 else []
-    splits = sorted({float(c) for c in cuts})
-    splits = [float("-inf"), *splits, float("inf")]
-    return Bucketizer(splits=splits, inputCol=col, outputCol="_range",
-                      handleInvalid="keep").transform(scores)
+    """``_range``: how many of the (bounded number of) quantile cuts lie at or below the score."""
+    cuts = []
+    if n_ranges > 1:
+        cuts = scores.approxQuantile(col, [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges)
+    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
+    return scores.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col(col))))
 
 
-def _default_ranges(df: DataFrame) -> int:
-    """Value ranges for the sweep: the session's shuffle width (at least 64)."""
-    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+def _default_ranges(scores: DataFrame) -> int:
+    """Value ranges for the sweep: by the number of distinct scores, at most 1,000."""
+    return min(1000, 1 + scores.count() // SCORES_PER_RANGE)
 
 
 def score_curve(df: DataFrame, score: str, label: str, n_ranges: int | None = None, by=()) -> DataFrame:
     """One row per (group, distinct score): tp/fp at that score and cumulative TP/FP of
     all scores >= it within the group (descending sweep)."""
     by = list(by)
-    n_ranges = n_ranges or _default_ranges(df)
     g = (df.where(F.col(score).isNotNull())
          .groupBy(*by, F.col(score).cast("double").alias("score"))
          .agg(F.sum(F.col(label).cast("long")).alias("tp"),
               F.sum((1 - F.col(label)).cast("long")).alias("fp")))
-    g = _ranges(g.checkpoint(eager=True), "score", n_ranges)  # distinct scores, read 3 times
+    g = materialize(g, "scores")  # distinct scores, read 3 times
+    g = _ranges(g, "score", n_ranges or _default_ranges(g))
     totals = g.groupBy(*by, "_range").agg(F.sum("tp").alias("_rtp"), F.sum("fp").alias("_rfp"))
     before = Window.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
@@ -60,11 +64,11 @@ def ranking_metrics(df: DataFrame, score: str, label: str, n_ranges: int | None
     recall steps times precision); null when only one class is present."""
     by = list(by)
     c = score_curve(df, score, label, n_ranges, by)
-    prev_tp = F.col("cum_tp") - F.col("tp")
-    prev_fp = F.col("cum_fp") - F.col("fp")
-    aggs = [F.sum(F.col("tp")).alias("P"), F.sum(F.col("fp")).alias("N"),
-            F.sum((F.col("cum_fp") - prev_fp) * (F.col("cum_tp") + prev_tp) / 2.0).alias("_area"),
-            F.sum(F.col("tp") * (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")))).alias("_ap")]
+    # counts as doubles: their products pass the range of long before the counts do
+    tp, fp, cum_tp, cum_fp = (F.col(x).cast("double") for x in ("tp", "fp", "cum_tp", "cum_fp"))
+    aggs = [F.sum(tp).alias("P"), F.sum(fp).alias("N"),
+            F.sum(fp * (cum_tp - tp / 2.0)).alias("_area"),
+            F.sum(tp * (cum_tp / (cum_tp + cum_fp))).alias("_ap")]
     agg = c.groupBy(*by).agg(*aggs) if by else c.agg(*aggs)
     ok = (F.col("P") > 0) & (F.col("N") > 0)
     return agg.select(

@@ -1,17 +1,14 @@
-"""Distributed carry-over models (Spark ML): OLS minutes model, logit risk model,
-per-level slope models, and the tables built from them.
+"""Carry-over models: designs, fit results, and the tables built from them.
 
 Design matrix: treatment-coded factors (first level is the base: alphabetical /
 numeric order, except the declared order of ``dep_period`` and
 ``turnaround_bin``), numeric controls and an intercept.  Levels are found with
 one small aggregation (bounded by the number of levels); dummies are plain
-column expressions assembled JVM-side with ``array_to_vector``.  Each fit is a
-tree aggregate of a p x p Gram (normal-equation OLS / IRLS), so executors hold
-O(p^2) and the driver solves p x p.
+column expressions.  ``grouped`` does the fits.
 
-Per-level slopes use cell-slope coding (``level dummies + prev:level`` for every
-level, no lone ``prev``), which spans the same model as ``prev * C(level)`` but
-reads each level's slope and its standard error straight off the fit.
+Interaction models are treatment-coded (``prev``, level dummies, and ``prev:level``
+for every level but the first).  A level's slope is the contrast ``prev +
+prev:level``, with its standard error from the covariance of the two.
 """
 
 from __future__ import annotations
@@ -20,8 +17,6 @@ import math
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +41,12 @@ def t_quantile(p: float, df: float) -> float:
     return z + g1 / df + g2 / df ** 2 + g3 / df ** 3 + g4 / df ** 4
 
 
+def t_tail(t: float, df: float) -> float:
+    """Two-sided tail of Student's t by Wallace's normal transform (relative error below 1e-4 from df 50 on)."""
+    z = (8 * df + 1) / (8 * df + 3) * math.sqrt(df * math.log1p(t * t / df))
+    return math.erfc(z / math.sqrt(2))
+
+
 def factor_levels(df: DataFrame, factors: list[str]) -> dict[str, list]:
     """Observed levels per factor in base-first order (one aggregation; O(levels))."""
     if not factors:
@@ -75,9 +76,6 @@ class Design:
         self.names.append(name)
         self.exprs.append(expr.cast("double"))
 
-    def vector(self):
-        return array_to_vector(F.array(*self.exprs))
-
 
 def _dummy(f, lv):
     return F.when(F.col(f) == F.lit(lv), 1.0).otherwise(0.0)
@@ -87,11 +85,10 @@ def build_design(levels: dict[str, list], factors: list[str], numerics: list[str
                  slope_by: str | None = None, include_prev: bool = True) -> Design:
     """Treatment-coded design (no intercept column: the estimators add it).
 
-    ``slope_by``: add one ``prev:level`` slope column per level of that factor
-    instead of a single ``prev`` column (cell-slope coding).
+    ``slope_by``: also one ``prev:level`` column per level of that factor but the first.
     """
     d = Design()
-    if slope_by is None and include_prev:
+    if include_prev:
         d.add(PREV, F.col(PREV))
     for f in factors:
         for lv in levels[f][1:]:
@@ -99,11 +96,15 @@ def build_design(levels: dict[str, list], factors: list[str], numerics: list[str
     for c in numerics:
         d.add(c, F.col(c))
     if slope_by is not None:
-        for lv in levels[slope_by]:
-            d.add(f"{PREV}:C({slope_by})[{lv}]", F.col(PREV) * _dummy(slope_by, lv))
+        for lv in levels[slope_by][1:]:
+            d.add(slope_term(slope_by, lv), F.col(PREV) * _dummy(slope_by, lv))
     return d
 
 
+def slope_term(by: str, level) -> str:
+    return f"{PREV}:C({by})[T.{level}]"
+
+
 def model_factors(levels: dict[str, list], with_year: bool | None = None) -> list[str]:
     """Carrier + calendar factors; the year factor only when more than one year is present."""
     fs = ["OP_UNIQUE_CARRIER", *CALENDAR_FACTORS]
@@ -124,99 +125,63 @@ class FitResult:
     p_values: list[float]
     ci_mult: float
     metrics: dict
-    fitted: object = None
+    cov: object = None  # covariance of the estimates
+
+
+def _known(x) -> float | None:
+    """A finite number, else null."""
+    return float(x) if x is not None and math.isfinite(x) else None
+
+
+def _exp(x: float) -> float:
+    """exp that is infinite, not an error, beyond the range of doubles."""
+    return math.exp(x) if x < 709.0 else math.inf
+
 
+def coefficients(spark: SparkSession, fits: list[FitResult]) -> DataFrame:
+    """Long coefficient table of all fitted models (t-based CIs for OLS, z for logit).
 
-def _coef_rows(spark: SparkSession, fits: list[FitResult]) -> DataFrame:
+    Columns that a fit had to drop have null estimates.
+    """
     rows = []
     for r in fits:
         logistic = r.model.startswith("logistic")
-        for t, b, se, p in zip(r.terms, r.estimates, r.std_errs, r.p_values):
-            lo, hi = b - r.ci_mult * se, b + r.ci_mult * se
-            rows.append((r.model, t, float(b), float(se), float(lo), float(hi), float(p),
-                         math.exp(b) if logistic else None,
-                         math.exp(10.0 * b) if logistic else None))
+        for term, b, se, p in zip(r.terms, r.estimates, r.std_errs, r.p_values):
+            rows.append((r.model, term, *map(_known, (
+                b, se, b - r.ci_mult * se, b + r.ci_mult * se, p,
+                _exp(b) if logistic else None, _exp(10.0 * b) if logistic else None))))
     return spark.createDataFrame(rows, "model string, term string, estimate double, std_err double, "
                                        "ci_lower double, ci_upper double, p_value double, "
                                        "odds_ratio double, odds_ratio_per_10 double")
 
 
-def coefficients(spark: SparkSession, fits: list[FitResult]) -> DataFrame:
-    """Long coefficient table of all fitted models (t-based CIs for OLS, z for logit)."""
-    return _coef_rows(spark, fits)
-
-
-def _features(mf: DataFrame, design: Design, label: str, extra=()) -> DataFrame:
-    return mf.select(*extra, F.col(label).cast("double").alias("label"),
-                     design.vector().alias("features"))
-
-
-def fit_ols(mf: DataFrame, design: Design, label: str = "current_DEP_DELAY",
-            model: str = "linear", weight: str | None = None) -> FitResult:
-    """Normal-equation OLS with standard errors, R^2, AIC/BIC from the RSS."""
-    data = _features(mf, design, label, extra=[weight] if weight else [])
-    lr = LinearRegression(solver="normal", regParam=0.0, elasticNetParam=0.0, fitIntercept=True,
-                          standardization=False, featuresCol="features", labelCol="label",
-                          weightCol=weight or "")
-    if not weight:
-        lr.clear(lr.weightCol)
-    m = lr.fit(data)
-    s = m.summary
-    n = float(s.numInstances)
-    k = len(design.names) + 1
-    terms = ["Intercept", *design.names]
-    est = [m.intercept, *m.coefficients.toArray().tolist()]
-    se = list(s.coefficientStandardErrors)
-    pv = list(s.pValues)
-    se = [se[-1], *se[:-1]]
-    pv = [pv[-1], *pv[:-1]]
-    rss = s.meanSquaredError * n
-    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(rss / n) + 1.0)
-    df_resid = n - k
-    metrics = {"model": model, "n_obs": n, "r_squared": s.r2, "adj_r_squared": s.r2adj,
-               "aic": -2 * llf + 2 * k, "bic": -2 * llf + k * math.log(n), "df_resid": df_resid}
-    return FitResult(model, terms, est, se, pv, t_quantile(0.975, df_resid), metrics, m)
-
-
-def fit_logit(mf: DataFrame, design: Design, label: str = "current_dep_delayed_15",
-              model: str = "logistic") -> FitResult:
-    """Binomial GLM (logit link) by IRLS with Wald standard errors."""
-    data = _features(mf, design, label)
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100, tol=1e-10,
-                                      regParam=0.0, fitIntercept=True, featuresCol="features",
-                                      labelCol="label")
-    m = glr.fit(data)
-    s = m.summary
-    terms = ["Intercept", *design.names]
-    est = [m.intercept, *m.coefficients.toArray().tolist()]
-    se = list(s.coefficientStandardErrors)
-    pv = list(s.pValues)
-    se = [se[-1], *se[:-1]]
-    pv = [pv[-1], *pv[:-1]]
-    metrics = {"model": model, "n_obs": float(s.numInstances), "aic": s.aic,
-               "deviance": s.deviance, "null_deviance": s.nullDeviance}
-    return FitResult(model, terms, est, se, pv, Z975, metrics, m)
-
-
 def prev_term(r: FitResult) -> tuple[float, float, float]:
     i = r.terms.index(PREV)
     b, se = r.estimates[i], r.std_errs[i]
     return b, b - r.ci_mult * se, b + r.ci_mult * se
 
 
+def slope_of(r: FitResult, by: str, level, base) -> tuple[float, float]:
+    """Slope of one level and its standard error: ``prev`` plus the level's interaction."""
+    i = r.terms.index(PREV)
+    if level == base:
+        return r.estimates[i], math.sqrt(r.cov[i, i])
+    j = r.terms.index(slope_term(by, level))
+    return r.estimates[i] + r.estimates[j], math.sqrt(r.cov[i, i] + r.cov[j, j] + 2 * r.cov[i, j])
+
+
 def level_slopes(spark: SparkSession, r: FitResult, mf: DataFrame, by: str,
-                 levels: list, key: str) -> DataFrame:
-    """Per-level carry-over slope table (log-odds per minute, SE, 1.96-CI, OR10, n)."""
+                 levels: list, key: str, present: list | None = None) -> DataFrame:
+    """Per-level carry-over slope table (log-odds per minute, SE, 1.96-CI, OR10, n).
+
+    ``present`` are the levels of the fit, base first; other levels get null slopes.
+    """
+    present = levels if present is None else present
     rows = []
     for lv in levels:
-        t = f"{PREV}:C({by})[{lv}]"
-        if t in r.terms:
-            i = r.terms.index(t)
-            b, se = r.estimates[i], r.std_errs[i]
-            rows.append((str(lv), b, se, b - 1.96 * se, b + 1.96 * se, math.exp(10 * b),
-                         math.exp(10 * (b - 1.96 * se)), math.exp(10 * (b + 1.96 * se))))
-        else:
-            rows.append((str(lv), None, None, None, None, None, None, None))
+        b, se = slope_of(r, by, lv, present[0]) if lv in present else (math.nan, math.nan)
+        lo, hi = b - 1.96 * se, b + 1.96 * se
+        rows.append((str(lv), *map(_known, (b, se, lo, hi, _exp(10 * b), _exp(10 * lo), _exp(10 * hi)))))
     table = spark.createDataFrame(
         rows, f"{key} string, carryover_log_odds_per_1_min double, std_err double, "
               "ci_lower double, ci_upper double, odds_ratio_per_10_min double, "
@@ -233,11 +198,11 @@ def group_n_obs(mf: DataFrame, by: str, key: str | None = None) -> DataFrame:
 
 
 def metrics_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    cols = ["model", "n_obs", "r_squared", "adj_r_squared", "aic", "bic", "deviance",
+    """One row per model; a linear fit is solved directly and counts as converged."""
+    cols = ["n_obs", "r_squared", "adj_r_squared", "aic", "bic", "deviance",
             "null_deviance", "roc_auc", "average_precision", "mean_target"]
-    data = [tuple(None if r.get(c) is None else (r[c] if c == "model" else float(r[c]))
-                  for c in cols) for r in rows]
-    return spark.createDataFrame(data, "model string, " + ", ".join(f"{c} double" for c in cols[1:]))
+    data = [(r["model"], *(_known(r.get(c)) for c in cols), r.get("converged", True)) for r in rows]
+    return spark.createDataFrame(data, "model string, " + ", ".join(f"{c} double" for c in cols) + ", converged boolean")
 
 
 def main_result(spark: SparkSession, n_obs: int, lin: FitResult, logit: FitResult):

@@ -7,6 +7,7 @@ both sides (engines sum in different orders).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from knockon.operators import clean as C
 from knockon.operators import features as FE
 from knockon.operators import pairs as P
 from knockon.plans.oracle import cte_chain
+from knockon.session import materialize, scratch_path
 from knockon.sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,9 +44,13 @@ def ids(fx="flights") -> list[str]:
 
 
 def clean_of(spark, sf, fx="flights") -> DataFrame:
-    """Cleaned flights, materialised (the stage boundary the pair/decay chains read twice)."""
-    from knockon.session import materialize
-    return materialize(C.clean_flights(raw_flights(spark, sf, fx), keep=ids(fx)))
+    """Cleaned flights; nothing runs until they are used."""
+    return C.clean_flights(raw_flights(spark, sf, fx), keep=ids(fx))
+
+
+def stage_of(spark, sf, fx="flights") -> DataFrame:
+    """Cleaned flights as a written table, for chains, which read their input more than once."""
+    return materialize(clean_of(spark, sf, fx), "clean")
 
 
 def typed_of(spark, sf, fx="flights") -> DataFrame:
@@ -52,11 +58,11 @@ def typed_of(spark, sf, fx="flights") -> DataFrame:
 
 
 def cand_of(spark, sf, fx="flights") -> DataFrame:
-    return P.pair_candidates(clean_of(spark, sf, fx), tiebreak=ids(fx), keep=ids(fx))
+    return P.pair_candidates(stage_of(spark, sf, fx), tiebreak=ids(fx), keep=ids(fx))
 
 
 def pairs_of(spark, sf, fx="flights") -> DataFrame:
-    return P.flight_pairs(clean_of(spark, sf, fx), tiebreak=ids(fx), keep=ids(fx))
+    return P.flight_pairs(stage_of(spark, sf, fx), tiebreak=ids(fx), keep=ids(fx))
 
 
 def mf_of(spark, sf, fx="lineitem") -> DataFrame:
@@ -236,7 +242,7 @@ select OP_UNIQUE_CARRIER, cast(count(*) as bigint) as raw_rows,
  cast(count(*) filter (where same_airport_connection = 1
    and scheduled_turnaround_minutes between 20 and 600) as bigint) as output_pairs
 from cand group by OP_UNIQUE_CARRIER""")(
-    lambda spark, sf: P.pair_summary(clean_of(spark, sf), by=["OP_UNIQUE_CARRIER"], tiebreak=ids()))
+    lambda spark, sf: P.pair_summary(stage_of(spark, sf), by=["OP_UNIQUE_CARRIER"], tiebreak=ids()))
 
 
 def _prev_bin_sql(col="prev_ARR_DELAY"):
@@ -307,11 +313,11 @@ dbl as (select t.leg_index, cast(sum(n_obs) as bigint) as n_obs,
 
 
 def legs_of(spark, sf, fx="flights"):
-    return D.later_legs(clean_of(spark, sf, fx), tiebreak=ids(fx))
+    return D.later_legs(stage_of(spark, sf, fx), tiebreak=ids(fx))
 
 
 def tls_of(spark, sf, fx="flights"):
-    return D.tail_leg_summary(clean_of(spark, sf, fx), tiebreak=ids(fx))
+    return D.tail_leg_summary(stage_of(spark, sf, fx), tiebreak=ids(fx))
 
 
 LEG_COLS = [f"next_dep_delay_{i}" for i in range(1, 6)]
@@ -353,13 +359,71 @@ select leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remaining_delay,
         "leg_index", "n_obs", r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay"),
         r6(F.col("median_remaining_delay")).alias("median_remaining_delay")))
 
-# Iterative fit: no SQL twin; NumPy parity in tests/test_decay.py.
-query("decay_fit")(lambda spark, sf: D.fit_groups(D.decay_by_leg(tls_of(spark, sf)), []))
-query("decay_parameters")(lambda spark, sf: D.decay_parameters(D.decay_by_leg(tls_of(spark, sf))))
-query("decay_table")(lambda spark, sf: D.decay_table(D.decay_by_leg(tls_of(spark, sf))))
-query("decay_fit_by_carrier")(lambda spark, sf: D.fit_groups(
-    D.decay_by_leg_by(clean_of(spark, sf), ["OP_UNIQUE_CARRIER"], tiebreak=ids()),
-    ["OP_UNIQUE_CARRIER"]))
+# The fit's score equation has one sign change, so SQL finds lambda by bisection over the few points of
+# a curve: 100 halvings of [0, 64] over lists.
+def fit_sql(points: str, by: str = "grp") -> str:
+    """CTE ``fitted`` (by, amplitude_A, lambda) of the curves in ``points`` (by, leg_index, mean_remaining_delay)."""
+    def falls(lam):
+        return (f"list_sum(list_transform(range(1, len(ks) + 1), lambda i: ys[i] * exp(-{lam} * (ks[i] - ks[1]))))"
+                f" * list_sum(list_transform(range(1, len(ks) + 1), lambda i: (ks[i] - ks[1]) * exp(-2 * {lam} * (ks[i] - ks[1]))))"
+                f" > list_sum(list_transform(range(1, len(ks) + 1), lambda i: exp(-2 * {lam} * (ks[i] - ks[1]))))"
+                f" * list_sum(list_transform(range(1, len(ks) + 1), lambda i: (ks[i] - ks[1]) * ys[i] * exp(-{lam} * (ks[i] - ks[1]))))")
+    return f"""curves as (select {by}, list(cast(leg_index as double) order by leg_index) as ks,
+  list(mean_remaining_delay order by leg_index) as ys from {points}
+  where mean_remaining_delay > 0 group by {by}),
+halved as (select {by}, ks, ys, 0 as step, cast(0 as double) as low,
+   case when len(ks) > 1 and {falls('0.0')} then cast(64 as double) else 0 end as high from curves
+  union all
+  select {by}, ks, ys, step + 1,
+   case when {falls('((low + high) / 2)')} then (low + high) / 2 else low end,
+   case when {falls('((low + high) / 2)')} then high else (low + high) / 2 end
+  from halved where step < 100),
+fitted as (select {by}, case when len(ks) > 1 then (low + high) / 2 end as lam,
+  case when len(ks) > 1 then list_sum(list_transform(range(1, len(ks) + 1), lambda i: ys[i] * exp(-low * ks[i])))
+    / list_sum(list_transform(range(1, len(ks) + 1), lambda i: exp(-2 * low * ks[i]))) end as amplitude_A
+  from halved where step = 100)"""
+
+
+def recursive(sql: str) -> str:
+    """The same query with a recursive WITH."""
+    return re.sub(r"^\s*with\b", "with recursive", sql, count=1)
+
+
+ONE_CURVE = recursive(legs_sql().rstrip() + ", one as (select 1 as grp, * from dbl), " + fit_sql("one"))
+PER_CARRIER = recursive(legs_sql().replace(
+    "legs as (select event_id, TAIL_NUM, ARR_DELAY, DEP_DELAY,",
+    "legs as (select event_id, TAIL_NUM, OP_UNIQUE_CARRIER, ARR_DELAY, DEP_DELAY,").rstrip() + """,
+lc as (select OP_UNIQUE_CARRIER, k as leg_index,
+  case k """ + " ".join(f"when {i} then next_dep_delay_{i}" for i in range(1, 6)) + """ end as v
+  from shock cross join range(1, 6) r(k)),
+lcm as (select OP_UNIQUE_CARRIER, leg_index, avg(v) as mean_remaining_delay from lc where v is not null
+  group by OP_UNIQUE_CARRIER, leg_index), """ + fit_sql("lcm", "OP_UNIQUE_CARRIER"))
+A_LAMBDA = 'round(amplitude_A, 5) as amplitude_A, round(lam, 6) as "lambda"'
+
+
+def a_lambda(df: DataFrame, *keep) -> DataFrame:
+    return df.select(*keep, F.round(D.nan_to_null("amplitude_A"), 5).alias("amplitude_A"),
+                     r6(D.nan_to_null("lambda")).alias("lambda"))
+
+
+query("decay_fit", ONE_CURVE + f" select {A_LAMBDA} from fitted")(
+    lambda spark, sf: a_lambda(D.fit_groups(D.decay_by_leg(tls_of(spark, sf)), [])))
+query("decay_parameters", ONE_CURVE + f""" select {A_LAMBDA},
+ case when lam > 0 then round(ln(2) / lam, 5) end as half_life_legs, cast(15 as double) as shock_threshold,
+ 5 as max_leg, 'future_departure_delay' as delay_measure from fitted""")(
+    lambda spark, sf: a_lambda(D.decay_parameters(D.decay_by_leg(tls_of(spark, sf))), F.round(
+        "half_life_legs", 5).alias("half_life_legs"), "shock_threshold", "max_leg", "delay_measure"))
+query("decay_table", ONE_CURVE + """ select leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remaining_delay,
+ round(median_remaining_delay, 6) as median_remaining_delay,
+ round(amplitude_A * exp(-lam * leg_index), 5) as fitted_decay_value from dbl, fitted""")(
+    lambda spark, sf: D.decay_table(D.decay_by_leg(tls_of(spark, sf))).select(
+        "leg_index", "n_obs", r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay"),
+        r6(F.col("median_remaining_delay")).alias("median_remaining_delay"),
+        F.round("fitted_decay_value", 5).alias("fitted_decay_value")))
+query("decay_fit_by_carrier", PER_CARRIER + f" select OP_UNIQUE_CARRIER, {A_LAMBDA} from fitted")(
+    lambda spark, sf: a_lambda(D.fit_groups(
+        D.decay_by_leg_by(stage_of(spark, sf), ["OP_UNIQUE_CARRIER"], tiebreak=ids()),
+        ["OP_UNIQUE_CARRIER"]), "OP_UNIQUE_CARRIER"))
 
 
 # ---------------------------------------------------------------- features and simple aggregates
@@ -449,7 +513,7 @@ select (select cast(count(*) as bigint) from clean) as total_cleaned_flights,
  (select cast(count(distinct strftime(FL_DATE, '%Y-%m')) as bigint) from clean) as total_months_used""")
 def q_dataset_totals(spark, sf):
     from knockon.operators import reports as R
-    clean = clean_of(spark, sf, "lineitem")
+    clean = stage_of(spark, sf, "lineitem")
     return R.dataset_totals(clean, P.flight_pairs(clean, tiebreak=ids("lineitem")))
 
 
@@ -473,28 +537,210 @@ from (select * from pairs where year(current_FL_DATE) < 1996
             "current_year")).agg(F.count(F.lit(1)).alias("n_pairs")))
 
 
-# ---------------------------------------------------------------- single-regressor and ranking checks
-@query("ols_single_regressor", W_LI_MF + """
-select round(regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6) as slope,
- round(regr_intercept(current_DEP_DELAY, prev_ARR_DELAY), 6) as intercept,
- round(regr_r2(current_DEP_DELAY, prev_ARR_DELAY), 6) as r_squared from mf""")
+# ---------------------------------------------------------------- fits with closed forms
+# The library's own fits on designs whose solution SQL can state: one regressor for the linear model, and a
+# 0/1 regressor for the logit, where a cell's log odds ratio is the slope and the cell rates are the scores.
+from knockon.operators import grouped as G  # noqa: E402
+from knockon.operators import models as M  # noqa: E402
+from knockon.plans import suite as SU  # noqa: E402
+
+def single() -> M.Design:
+    """The previous delay alone."""
+    return M.build_design({}, [], [])
+
+
+_SLOPE_SQL = """count(*) as n, regr_slope(current_DEP_DELAY, prev_ARR_DELAY) as b,
+ regr_intercept(current_DEP_DELAY, prev_ARR_DELAY) as a, regr_r2(current_DEP_DELAY, prev_ARR_DELAY) as r2,
+ sqrt((regr_syy(current_DEP_DELAY, prev_ARR_DELAY) - regr_slope(current_DEP_DELAY, prev_ARR_DELAY)
+       * regr_sxy(current_DEP_DELAY, prev_ARR_DELAY)) / (count(*) - 2)
+      / regr_sxx(current_DEP_DELAY, prev_ARR_DELAY)) as se"""
+_LINE = "round(a, 6) as intercept, round(b, 6) as slope, round(se, 6) as std_err, round(r2, 6) as r_squared"
+LINES = "intercept double, slope double, std_err double, r_squared double"
+
+
+def _line(b, se, r2):
+    return tuple(round(float(x), 6) for x in (b[0], b[1], se[1], r2))
+
+
+@query("ols_single_regressor", W_LI_MF + f" select {_LINE} from (select {_SLOPE_SQL} from mf) t")
 def q_ols_single(spark, sf):
-    mf = mf_of(spark, sf)
-    return mf.agg(r6(F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("slope"),
-                  r6(F.regr_intercept("current_DEP_DELAY", "prev_ARR_DELAY")).alias("intercept"),
-                  r6(F.regr_r2("current_DEP_DELAY", "prev_ARR_DELAY")).alias("r_squared"))
+    fit = G.fit_ols(mf_of(spark, sf), single())
+    return spark.createDataFrame([_line(fit.estimates, fit.std_errs, fit.metrics["r_squared"])], LINES)
 
 
-@query("slope_by_year", W_LI_MF + """
-select current_year as year, cast(count(*) as bigint) as n_modeling_pairs,
- round(regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6) as slope,
- round(10 * regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6) as minutes_per_10
-from mf group by current_year""")
+def lines_by(spark, mf, by, key):
+    """One regressor per group, all groups in one pass of the grouped fit."""
+    fits = G.grouped_ols(mf, by, single())
+    return spark.createDataFrame([(g, int(v["n"]), *_line(v["beta"], v["se"], v["r2"])) for g, v in sorted(fits.items())],
+                                 f"{key} string, n_obs long, {LINES}")
+
+
+@query("slope_by_year", W_LI_MF + f"""
+select cast(current_year as varchar) as year, cast(n as bigint) as n_obs, {_LINE}
+from (select current_year, {_SLOPE_SQL} from mf group by current_year) t""")
 def q_slope_by_year(spark, sf):
-    return mf_of(spark, sf).groupBy(F.col("current_year").alias("year")).agg(
-        F.count(F.lit(1)).alias("n_modeling_pairs"),
-        r6(F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("slope"),
-        r6(F.lit(10) * F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("minutes_per_10"))
+    return lines_by(spark, materialize(mf_of(spark, sf), "mf"), "current_year", "year")
+
+
+def binary_of(spark, sf) -> DataFrame:
+    """The model frame with the previous delay as a 0/1 flag (late by more than 15 minutes)."""
+    return mf_of(spark, sf).withColumn(M.PREV, (F.col(M.PREV) > 15).cast("double"))
+
+
+def cells_sql(by: str | None = None) -> str:
+    """CTEs on the binary frame: ``cell`` counts and ``odds`` (log odds ratio ``g`` and its error ``se``) per ``grp``."""
+    grp = by or "'all'"
+    return W_LI_MF.rstrip() + f""",
+bin as (select {grp} as grp, cast(prev_ARR_DELAY > 15 as integer) as x, current_dep_delayed_15 as y,
+  current_DEP_DELAY as d from mf),
+cell as (select grp, cast(count(*) as double) as n, cast(sum(x * y) as double) as n11,
+  cast(sum(x * (1 - y)) as double) as n10, cast(sum((1 - x) * y) as double) as n01,
+  cast(sum((1 - x) * (1 - y)) as double) as n00, regr_slope(d, x) as lb, regr_intercept(d, x) as la,
+  regr_r2(d, x) as lr2, avg(d) as mean_d,
+  sqrt((regr_syy(d, x) - regr_slope(d, x) * regr_sxy(d, x)) / (count(*) - 2) / regr_sxx(d, x)) as lse
+  from bin group by grp),
+odds as (select *, ln(n11 * n00 / (n10 * n01)) as g, ln(n01 / n00) as g0,
+  sqrt(1 / n11 + 1 / n10 + 1 / n01 + 1 / n00) as se, sqrt(1 / n01 + 1 / n00) as se0,
+  (n11 * n00 + (n11 * n10 + n01 * n00) / 2) / ((n11 + n01) * (n10 + n00)) as auc,
+  (n11 * n11 / (n11 + n10) + n01 * (n11 + n01) / n) / (n11 + n01) as ap,
+  -2 * (n11 * ln(n11 / (n11 + n10)) + n10 * ln(n10 / (n11 + n10)) + n01 * ln(n01 / (n01 + n00))
+        + n00 * ln(n00 / (n01 + n00))) as dev,
+  -2 * ((n11 + n01) * ln((n11 + n01) / n) + (n10 + n00) * ln((n10 + n00) / n)) as dev0 from cell)
+"""
+
+
+Z = repr(M.Z975)
+# Student's t quantile by the same expansion as the fits use
+_T = (f"({Z} + {(M.Z975 ** 3 + M.Z975) / 4!r} / (n - 2) + {(5 * M.Z975 ** 5 + 16 * M.Z975 ** 3 + 3 * M.Z975) / 96!r} / (n - 2) ** 2"
+      f" + {(3 * M.Z975 ** 7 + 19 * M.Z975 ** 5 + 17 * M.Z975 ** 3 - 15 * M.Z975) / 384!r} / (n - 2) ** 3"
+      f" + {(79 * M.Z975 ** 9 + 776 * M.Z975 ** 7 + 1482 * M.Z975 ** 5 - 1920 * M.Z975 ** 3 - 945 * M.Z975) / 92160!r} / (n - 2) ** 4)")
+
+
+def binary_suite(spark, sf, *models) -> dict:
+    return SU.fit_suite(spark, binary_of(spark, sf), models=models, factors=[], numerics=[])
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded for comparison; other columns as they are."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+query("coefficients_binary", cells_sql() + f""", est as (
+ select 'linear' as model, 'prev_ARR_DELAY' as term, lb as estimate, lse as std_err, {_T} as mult from odds
+ union all select 'logistic', 'Intercept', g0, se0, {Z} from odds
+ union all select 'logistic', 'prev_ARR_DELAY', g, se, {Z} from odds)
+select model, term, round(estimate, 5) as estimate, round(std_err, 5) as std_err,
+ round(estimate - mult * std_err, 5) as ci_lower, round(estimate + mult * std_err, 5) as ci_upper,
+ case when model = 'logistic' then round(exp(estimate), 5) end as odds_ratio from est""")(
+    lambda spark, sf: rounded(binary_suite(spark, sf, "linear", "logistic")["coefficients"].where(
+        "model = 'logistic' or term = 'prev_ARR_DELAY'").select(
+        "model", "term", "estimate", "std_err", "ci_lower", "ci_upper", "odds_ratio"), 5))
+
+query("metrics_binary", cells_sql() + """
+select 'linear' as model, n as n_obs, round(lr2, 6) as r_squared, null::double as deviance,
+ null::double as null_deviance, null::double as aic, null::double as roc_auc, null::double as average_precision,
+ round(mean_d, 6) as mean_target from odds
+union all select 'logistic', n, null, round(dev, 4), round(dev0, 4), round(dev + 4, 4), round(auc, 6), round(ap, 6),
+ round((n11 + n01) / n, 6) from odds""")(
+    lambda spark, sf: binary_suite(spark, sf, "linear", "logistic")["metrics"].select(
+        "model", "n_obs", r6(F.col("r_squared")).alias("r_squared"), F.round("deviance", 4).alias("deviance"),
+        F.round("null_deviance", 4).alias("null_deviance"),
+        F.round(F.when(F.col("model") == "logistic", F.col("aic")), 4).alias("aic"),
+        r6(F.col("roc_auc")).alias("roc_auc"), r6(F.col("average_precision")).alias("average_precision"),
+        r6(F.col("mean_target")).alias("mean_target")))
+
+_MAIN_SQL = f"""select cast(n as bigint) as n_modeling_pairs, round(g, 5) as logistic_prev_arr_delay_coef,
+ round(g - {Z} * se, 5) as logistic_ci_lower, round(g + {Z} * se, 5) as logistic_ci_upper,
+ round(exp(g), 5) as logistic_odds_ratio_per_1_min, round(g * 10, 4) as ln_or10,
+ round(lb, 5) as linear_prev_arr_delay_coef, round(lb - {_T} * lse, 5) as linear_ci_lower,
+ round(lb + {_T} * lse, 5) as linear_ci_upper, round(10 * lb, 5) as minutes_carried_per_10_min_prev_delay from odds"""
+query("main_result_binary", cells_sql() + _MAIN_SQL)(
+    lambda spark, sf: rounded(binary_suite(spark, sf, "linear", "logistic")["main_result"].withColumn(
+        "ln_or10", F.round(F.log("logistic_odds_ratio_per_10_min"), 4)).drop(
+        "logistic_odds_ratio_per_10_min", "logistic_or10_ci_lower", "logistic_or10_ci_upper"), 5))
+
+query("secondary_result_binary", cells_sql() + f"""
+select round(lb, 5) as linear_prev_arr_delay_coef, round(lb - {_T} * lse, 5) as linear_ci_lower,
+ round(lb + {_T} * lse, 5) as linear_ci_upper, round(10 * lb, 5) as minutes_carried_per_10_min_prev_delay from odds""")(
+    lambda spark, sf: rounded(binary_suite(spark, sf, "linear", "logistic")["secondary_result"], 5))
+
+query("presentation_metrics_binary", cells_sql() + """, wide as (
+ select n, 10 * lb as m, 10 * g as ln_or, auc, ap, lr2 from odds)
+select 'n_modeling_pairs' as metric, round(n, 5) as value from wide
+union all select 'linear_minutes_carried_per_10_min_prev_delay', round(m, 5) from wide
+union all select 'logistic_odds_ratio_per_10_min_prev_delay', round(ln_or, 5) from wide
+union all select 'logistic_roc_auc', round(auc, 5) from wide
+union all select 'logistic_average_precision', round(ap, 5) from wide
+union all select 'linear_r_squared', round(lr2, 5) from wide""")(
+    lambda spark, sf: (lambda out: R.presentation_metrics(spark, out["main_result"], out["metrics"]).select(
+        "metric", F.round(F.when(F.col("metric").contains("odds_ratio"), F.log("value")).otherwise(F.col("value")), 5)
+        .alias("value")))(binary_suite(spark, sf, "linear", "logistic")))
+
+query("predict_scores_binary", cells_sql() + """
+select round(case when x = 1 then n11 / (n11 + n10) else n01 / (n01 + n00) end, 6) as probability,
+ cast(y as double) as label, cast(count(*) as bigint) as n from bin, odds group by all""")(
+    lambda spark, sf: binary_suite(spark, sf, "logistic")["predict_scores"].groupBy(
+        F.round("prediction", 6).alias("probability"), "label").agg(F.count(F.lit(1)).alias("n")))
+
+_LEVELS_SQL = f"""round(g, 5) as carryover_log_odds_per_1_min, round(se, 5) as std_err,
+ round(g - 1.96 * se, 5) as ci_lower, round(g + 1.96 * se, 5) as ci_upper, cast(n as bigint) as n_obs from odds"""
+
+
+def _levels(table: DataFrame, key: str) -> DataFrame:
+    return rounded(table.select(key, "carryover_log_odds_per_1_min", "std_err", "ci_lower", "ci_upper", "n_obs"), 5)
+
+
+query("airline_carryover_binary", cells_sql("OP_UNIQUE_CARRIER") + f" select grp as airline, {_LEVELS_SQL}")(
+    lambda spark, sf: _levels(binary_suite(spark, sf, "airline")["airline_carryover"], "airline"))
+query("turnaround_carryover_binary", cells_sql("turnaround_bin") + f" select grp as turnaround_bin, {_LEVELS_SQL}")(
+    lambda spark, sf: _levels(binary_suite(spark, sf, "turnaround")["turnaround_carryover"], "turnaround_bin"))
+
+# the treatment-coded terms behind those slopes: the base level's slope, and each other level's difference from it
+_TERMS_SQL = """, base as (select * from odds order by {order} limit 1)
+select 'prev_ARR_DELAY' as term, round(g, 5) as estimate, round(se, 5) as std_err from base
+union all select 'prev_ARR_DELAY:C({by})[T.' || o.grp || ']', round(o.g - b.g, 5), round(sqrt(o.se * o.se + b.se * b.se), 5)
+ from odds o, base b where o.grp <> b.grp"""
+
+
+def _terms(out: dict) -> DataFrame:
+    return rounded(out["coefficients"].where(F.col("term").startswith("prev_ARR_DELAY")).select(
+        "term", "estimate", "std_err"), 5)
+
+
+query("logit_airline_binary", cells_sql("OP_UNIQUE_CARRIER") + _TERMS_SQL.format(by="OP_UNIQUE_CARRIER", order="grp"))(
+    lambda spark, sf: _terms(binary_suite(spark, sf, "airline")))
+query("logit_turnaround_binary", cells_sql("turnaround_bin") + _TERMS_SQL.format(
+    by="turnaround_bin", order="cast(split_part(grp, '-', 1) as integer)"))(
+    lambda spark, sf: _terms(binary_suite(spark, sf, "turnaround")))
+
+
+def periods_binary(spark, sf, periods) -> DataFrame:
+    mf = materialize(binary_of(spark, sf), "mf")
+    return SU.fit_periods(spark, mf, periods(SU.years_of(mf)), factors=[], numerics=[])
+
+
+_PERIOD_SQL = """round(lb, 5) as linear_coef, round(10 * lb, 5) as minutes_carried_per_10_min,
+ round(lr2, 5) as linear_r_squared, round(g, 5) as logistic_coef, round(auc, 5) as logistic_auc,
+ round(ap, 5) as logistic_average_precision, round((n11 + n01) / n, 5) as current_delay_rate_gt15 from odds"""
+_PERIOD_COLS = ["linear_coef", "minutes_carried_per_10_min", "linear_r_squared", "logistic_coef", "logistic_auc",
+                "logistic_average_precision", "current_delay_rate_gt15"]
+query("fit_by_year_binary", cells_sql("cast(current_year as varchar)") + f"""
+ select grp as period, 'ok' as status, cast(n as bigint) as n_modeling_pairs, {_PERIOD_SQL}""")(
+    lambda spark, sf: rounded(periods_binary(spark, sf, SU.yearly_periods).select(
+        "period", "status", "n_modeling_pairs", *_PERIOD_COLS), 5))
+_WINDOW = "cast(current_year - (current_year - (select min(current_year) from mf)) % 3 as integer)"
+query("fit_by_window_binary", cells_sql(_WINDOW) + f"""
+ select grp as start_year, 'ok' as status, cast(n as bigint) as n_modeling_pairs, {_PERIOD_SQL}""")(
+    lambda spark, sf: rounded(periods_binary(spark, sf, SU.window_periods).select(
+        "start_year", "status", "n_modeling_pairs", *_PERIOD_COLS), 5))
+query("yearly_summary_binary", cells_sql("current_year") + f"""
+ select grp as year, cast(n as bigint) as n_modeling_pairs, round(10 * g, 4) as ln_or10,
+ round(10 * (g - {Z} * se), 4) as ln_or10_ci_lower, round(10 * (g + {Z} * se), 4) as ln_or10_ci_upper,
+ round(10 * lb, 4) as minutes_carried_per_10min from odds""")(
+    lambda spark, sf: rounded(yearly_summary(periods_binary(spark, sf, SU.yearly_periods)).select(
+        "year", "n_modeling_pairs", F.log("logistic_or_per_10min").alias("ln_or10"),
+        F.log("logistic_or10_ci_lower").alias("ln_or10_ci_lower"),
+        F.log("logistic_or10_ci_upper").alias("ln_or10_ci_upper"), "minutes_carried_per_10min"), 4))
 
 
 from knockon.operators import metrics as ME  # noqa: E402
@@ -559,116 +805,134 @@ def q_density_grid(spark, sf):
                     r6(F.col("center_y")).alias("center_y"), "count")
 
 
-@query("rank_airlines_linear", W_LI_MF + """
-select OP_UNIQUE_CARRIER as airline, round(10 * regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6)
- as minutes_per_10, cast(count(*) as bigint) as n_obs from mf group by 1 order by 2 desc limit 10""")
-def q_rank_airlines_linear(spark, sf):
-    t = mf_of(spark, sf).groupBy(F.col("OP_UNIQUE_CARRIER").alias("airline")).agg(
-        r6(F.lit(10) * F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("minutes_per_10"),
-        F.count(F.lit(1)).alias("n_obs"))
-    return R.rank_by(t, "minutes_per_10", 10)
+_RANK_SQL = f"t as (select OP_UNIQUE_CARRIER as airline, cast(n as bigint) as n_obs, {_LINE} from (select OP_UNIQUE_CARRIER, {_SLOPE_SQL} from mf group by 1) t0)"
 
 
-@query("top_bottom_airlines_linear", W_LI_MF + """,
-t as (select OP_UNIQUE_CARRIER as airline, round(10 * regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6)
- as minutes_per_10, cast(count(*) as bigint) as n_obs from mf group by 1)
-select * from (select *, 'top' as part from t order by minutes_per_10 desc limit 6)
-union all select * from (select *, 'bottom' as part from t order by minutes_per_10 asc limit 6)""".replace("\n,\n", ",\n"))
-def q_top_bottom_linear(spark, sf):
-    t = mf_of(spark, sf).groupBy(F.col("OP_UNIQUE_CARRIER").alias("airline")).agg(
-        r6(F.lit(10) * F.regr_slope("current_DEP_DELAY", "prev_ARR_DELAY")).alias("minutes_per_10"),
-        F.count(F.lit(1)).alias("n_obs"))
-    return R.top_bottom(t, "minutes_per_10", 6)
+def airline_lines(spark, sf):
+    return lines_by(spark, materialize(mf_of(spark, sf), "mf"), "OP_UNIQUE_CARRIER", "airline")
 
 
-# ---------------------------------------------------------------- models (iterative fits: no SQL twin)
-from knockon.operators import models as M  # noqa: E402
-from knockon.plans import suite as SU  # noqa: E402
+query("rank_airlines_linear", W_LI_MF.rstrip() + f", {_RANK_SQL} select * from t order by slope desc, airline limit 10")(
+    lambda spark, sf: R.rank_by(airline_lines(spark, sf), "slope", 10, tie="airline"))
+query("top_bottom_airlines_linear", W_LI_MF.rstrip() + f""", {_RANK_SQL}
+select * from (select *, 'top' as part from t order by slope desc, airline limit 6)
+union all select * from (select *, 'bottom' as part from t order by slope, airline limit 6)""")(
+    lambda spark, sf: R.top_bottom(airline_lines(spark, sf), "slope", 6, tie="airline"))
+
+
+# ---------------------------------------------------------------- models with all controls
+# Iterative fits over 38 columns: no SQL twin; tests/test_models.py compares them with NumPy.
+def suite_of(spark, sf, *models, fx="lineitem"):
+    return SU.fit_suite(spark, mf_of(spark, sf, fx), models=models or SU.MODELS)
+
 
-_SUITE_CACHE: dict = {}
+_LEVEL_VALUES = {"OP_UNIQUE_CARRIER": [f"C{i}" for i in range(7)], "current_month": list(range(1, 13)),
+                 "current_day_of_week": list(range(1, 8)), "dep_period": C.S.DEP_PERIOD_LABELS,
+                 "current_year": list(range(1995, 2002))}
 
 
-def suite_of(spark, sf, fx="lineitem"):
-    key = (id(spark), sf, fx)
-    if key not in _SUITE_CACHE:
-        _SUITE_CACHE[key] = SU.fit_suite(spark, mf_of(spark, sf, fx))
-    return _SUITE_CACHE[key]
+def _safe(term: str) -> str:
+    return (term.replace("(", "_").replace(")", "").replace("[", "_").replace("]", "").replace(".", "_")
+            .replace("-", "_"))
 
 
-@query("design_matrix")
+def _design_sql() -> str:
+    """Dummies of the fixture's levels (every one of them occurs at each scale)."""
+    cells = ["prev_ARR_DELAY"]
+    for f, values in _LEVEL_VALUES.items():
+        for v in values[1:]:
+            cells.append(f"cast({f} = {v!r} as double) as " + _safe(f"C({f})[T.{v}]"))
+    return ", ".join(cells + [f"cast({c} as double) as {c}" for c in M.NUMERIC_CONTROLS])
+
+
+@query("design_matrix", W_LI_MF + "select " + ", ".join(FX.FX_LINEITEM_ORDER) + ", " + _design_sql() + " from mf")
 def q_design_matrix(spark, sf):
     mf = mf_of(spark, sf)
     levels = M.factor_levels(mf, ["OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS, "current_year"])
     d = M.build_design(levels, M.model_factors(levels), M.NUMERIC_CONTROLS)
-    safe = [n.replace("(", "_").replace(")", "").replace("[", "_").replace("]", "").replace(".", "_")
-            .replace("-", "_") for n in d.names]
-    return mf.select(*FX.FX_LINEITEM_ORDER, *[e.alias(s) for e, s in zip(d.exprs, safe)])
+    return mf.select(*FX.FX_LINEITEM_ORDER, *[e.alias(_safe(n)) for e, n in zip(d.exprs, d.names)])
 
 
 def _coef(model):
-    return lambda spark, sf: suite_of(spark, sf)["coefficients"].where(F.col("model") == model)
+    return lambda spark, sf: suite_of(spark, sf, model)["coefficients"]
 
 
 query("ols_carryover")(_coef("linear"))
 query("logit_carryover")(_coef("logistic"))
-query("logit_airline")(_coef("logistic_airline_interaction"))
-query("logit_turnaround")(_coef("logistic_turnaround_interaction"))
+query("logit_airline")(_coef("airline"))
+query("logit_turnaround")(_coef("turnaround"))
 query("coefficients")(lambda spark, sf: suite_of(spark, sf)["coefficients"])
-query("linear_metrics")(lambda spark, sf: suite_of(spark, sf)["metrics"].where("model = 'linear'").select(
+query("linear_metrics")(lambda spark, sf: suite_of(spark, sf, "linear")["metrics"].select(
     "model", "n_obs", "r_squared", "adj_r_squared", "aic", "bic", "mean_target"))
-query("logistic_metrics")(lambda spark, sf: suite_of(spark, sf)["metrics"].where("model = 'logistic'").select(
-    "model", "n_obs", "aic", "deviance", "null_deviance", "roc_auc", "average_precision", "mean_target"))
-query("predict_scores")(lambda spark, sf: suite_of(spark, sf)["predict_scores"].select(
+query("logistic_metrics")(lambda spark, sf: suite_of(spark, sf, "logistic")["metrics"].select(
+    "model", "n_obs", "aic", "deviance", "null_deviance", "roc_auc", "average_precision", "mean_target", "converged"))
+query("predict_scores")(lambda spark, sf: suite_of(spark, sf, "logistic")["predict_scores"].select(
     "label", F.col("prediction").alias("probability")))
-query("slope_contrast")(lambda spark, sf: suite_of(spark, sf)["coefficients"].where(
-    F.col("term").startswith("prev_ARR_DELAY:")))
-query("airline_carryover")(lambda spark, sf: suite_of(spark, sf)["airline_carryover"])
-query("turnaround_carryover")(lambda spark, sf: suite_of(spark, sf)["turnaround_carryover"])
-query("main_result")(lambda spark, sf: suite_of(spark, sf)["main_result"])
-query("secondary_result")(lambda spark, sf: suite_of(spark, sf)["secondary_result"])
-query("per10_scaling")(lambda spark, sf: suite_of(spark, sf)["coefficients"].where(
-    F.col("term") == "prev_ARR_DELAY").select(
-    "model", "estimate", (F.lit(10.0) * F.col("estimate")).alias("per_10"),
-    F.exp("estimate").alias("ratio_per_1"), X.per10("estimate").alias("ratio_per_10"),
-    X.per10("ci_lower").alias("ratio_per_10_ci_lower"), X.per10("ci_upper").alias("ratio_per_10_ci_upper")))
-query("rank_airlines")(lambda spark, sf: R.rank_by(suite_of(spark, sf)["airline_carryover"],
-                                                   "odds_ratio_per_10_min", 10))
-query("top_bottom_airlines")(lambda spark, sf: R.top_bottom(suite_of(spark, sf)["airline_carryover"],
-                                                            "odds_ratio_per_10_min", 6))
-
-
-@query("fit_by_year")
-def q_fit_by_year(spark, sf):
-    mf = mf_of(spark, sf)
-    return SU.fit_periods_grouped(spark, mf, SU.yearly_periods(SU.years_of(mf)))
 
 
-@query("fit_by_window")
-def q_fit_by_window(spark, sf):
-    mf = mf_of(spark, sf)
-    return SU.fit_periods_grouped(spark, mf, SU.window_periods(SU.years_of(mf), 3))
+@query("slope_contrast")
+def q_slope_contrast(spark, sf):
+    """Slope of every airline and turnaround bin: previous delay plus the level's interaction."""
+    out = suite_of(spark, sf, "airline", "turnaround")
+    return out["airline_carryover"].withColumnRenamed("airline", "level").unionByName(
+        out["turnaround_carryover"].withColumnRenamed("turnaround_bin", "level")).select(
+        "level", "carryover_log_odds_per_1_min", "std_err")
+
+
+query("airline_carryover")(lambda spark, sf: suite_of(spark, sf, "airline")["airline_carryover"])
+query("turnaround_carryover")(lambda spark, sf: suite_of(spark, sf, "turnaround")["turnaround_carryover"])
+query("main_result")(lambda spark, sf: suite_of(spark, sf, "linear", "logistic")["main_result"])
+query("secondary_result")(lambda spark, sf: suite_of(spark, sf, "linear", "logistic")["secondary_result"])
+
+
+@query("per10_scaling", W_LI_MF + f"""
+select current_year as year, round(b, 6) as estimate, round(10 * b, 6) as per_10, round(exp(b), 6) as ratio_per_1,
+ round(exp(10 * b), 5) as ratio_per_10 from (select current_year, {_SLOPE_SQL} from mf group by 1) t""")
+def q_per10_scaling(spark, sf):
+    """Per-minute coefficients of each year scaled to ten minutes, as differences and as ratios."""
+    fits = G.grouped_ols(materialize(mf_of(spark, sf), "mf"), "current_year", single())
+    rows = spark.createDataFrame([(int(g), float(v["beta"][1])) for g, v in fits.items()], "year int, estimate double")
+    return rows.select("year", r6(F.col("estimate")).alias("estimate"), r6(10 * F.col("estimate")).alias("per_10"),
+                       r6(F.exp("estimate")).alias("ratio_per_1"), F.round(X.per10("estimate"), 5).alias("ratio_per_10"))
+
+
+query("rank_airlines")(lambda spark, sf: R.rank_by(suite_of(spark, sf, "airline")["airline_carryover"],
+                                                   "odds_ratio_per_10_min", 10, tie="airline"))
+query("top_bottom_airlines")(lambda spark, sf: R.top_bottom(suite_of(spark, sf, "airline")["airline_carryover"],
+                                                            "odds_ratio_per_10_min", 6, tie="airline"))
+
+
+def periods_of(spark, sf, periods) -> DataFrame:
+    mf = materialize(mf_of(spark, sf), "mf")
+    return SU.fit_periods(spark, mf, periods(SU.years_of(mf)))
+
+
+query("fit_by_year")(lambda spark, sf: periods_of(spark, sf, SU.yearly_periods))
+query("fit_by_window")(lambda spark, sf: periods_of(spark, sf, SU.window_periods))
 
 
 @query("year_comparison")
 def q_year_comparison(spark, sf):
-    return q_fit_by_year(spark, sf).select(
+    return periods_of(spark, sf, SU.yearly_periods).select(
         F.col("start_year").alias("year"), "n_modeling_pairs", "linear_coef",
         "minutes_carried_per_10_min", "linear_r_squared", "logistic_coef", "logistic_or_per_10_min",
         "logistic_auc", "logistic_average_precision", "current_delay_rate_gt15")
 
 
-@query("yearly_summary")
-def q_yearly_summary(spark, sf):
-    return q_fit_by_year(spark, sf).select(
+def yearly_summary(periods: DataFrame) -> DataFrame:
+    return periods.select(
         F.col("start_year").alias("year"), "n_modeling_pairs",
         F.col("logistic_or_per_10_min").alias("logistic_or_per_10min"),
         F.col("logistic_or10_ci_lower"), F.col("logistic_or10_ci_upper"),
         F.col("minutes_carried_per_10_min").alias("minutes_carried_per_10min"))
 
 
+query("yearly_summary")(lambda spark, sf: yearly_summary(periods_of(spark, sf, SU.yearly_periods)))
+
+
 @query("presentation_metrics")
 def q_presentation_metrics(spark, sf):
-    s = suite_of(spark, sf)
+    s = suite_of(spark, sf, "linear", "logistic")
     return R.presentation_metrics(spark, s["main_result"], s["metrics"])
 
 
@@ -742,8 +1006,9 @@ rs as (select replicate, sum(bootstrap_count * n) as n, sum(bootstrap_count * sx
 select replicate, round((sxy - sx * sy / n) / (sxx - sx * sx / n), 6) as beta_prev_arr_delay from rs""")
        .replace("\n,\n", ",\n"))
 def q_bootstrap_beta_single(spark, sf):
-    mf = mf_of(spark, sf, "flights")
-    b = B.bootstrap_beta(mf, weights_of(spark, sf), design=B.bootstrap_design(mf, single=True))
+    mf = materialize(mf_of(spark, sf, "flights"), "mf")
+    weights = B.cluster_weights(mf.where(F.col("TAIL_NUM").isNotNull()), N_REPS, SEED)
+    b = B.bootstrap_beta(mf, weights, design=B.bootstrap_design(mf, single=True))
     return b.select("replicate", r6(F.col("beta_prev_arr_delay")).alias("beta_prev_arr_delay"))
 
 
@@ -763,22 +1028,56 @@ from tls join bw using (TAIL_NUM)"""))(
         (F.col("n_obs") * F.col("bootstrap_count")).alias("weight")))
 
 # Iterative parts (least squares per replicate with the full design, lambda fits): rows only.
-query("bootstrap_beta")(lambda spark, sf: B.bootstrap_beta(mf_of(spark, sf, "lineitem"),
-                                                           weights_of(spark, sf, "lineitem")))
-query("bootstrap_lambda")(lambda spark, sf: B.bootstrap_lambda(tls_of(spark, sf), weights_of(spark, sf)))
+@query("bootstrap_beta")
+def q_bootstrap_beta(spark, sf):
+    mf = materialize(mf_of(spark, sf, "lineitem"), "mf")
+    return B.bootstrap_beta(mf, B.cluster_weights(mf.where(F.col("TAIL_NUM").isNotNull()), N_REPS, SEED))
+
+
+query("bootstrap_lambda", recursive(boot_sql(legs_sql("flights", upto="mf"), """,
+blm as (select replicate, leg_index, sum(n_obs * bootstrap_count * mean_remaining_delay) / sum(n_obs * bootstrap_count)
+  as mean_remaining_delay from tls join bw using (TAIL_NUM) group by replicate, leg_index), """.replace("\n,\n", ",\n")
+    + fit_sql("blm", "replicate") + " select replicate, round(lam, 6) as lambda_decay from fitted")))(
+    lambda spark, sf: B.bootstrap_lambda(tls_of(spark, sf), weights_of(spark, sf)).select(
+        "replicate", r6(F.col("lambda_decay")).alias("lambda_decay")))
 
 
 def boot_table_of(spark, sf):
     return B.run_bootstrap(spark, mf_of(spark, sf, "flights"), tls_of(spark, sf), N_REPS, SEED)
 
 
+BOOT_SINGLE_SQL = recursive(boot_sql(legs_sql("flights", upto="mf"), """,
+bts as (select TAIL_NUM, count(*) as n, sum(prev_ARR_DELAY) as sx, sum(current_DEP_DELAY) as sy,
+  sum(prev_ARR_DELAY * current_DEP_DELAY) as sxy, sum(prev_ARR_DELAY * prev_ARR_DELAY) as sxx
+  from mf group by TAIL_NUM),
+brs as (select replicate, sum(bootstrap_count * n) as n, sum(bootstrap_count * sx) as sx,
+  sum(bootstrap_count * sy) as sy, sum(bootstrap_count * sxy) as sxy, sum(bootstrap_count * sxx) as sxx
+  from bts join bw using (TAIL_NUM) group by replicate),
+blm as (select replicate, leg_index, sum(n_obs * bootstrap_count * mean_remaining_delay) / sum(n_obs * bootstrap_count)
+  as mean_remaining_delay from tls join bw using (TAIL_NUM) group by replicate, leg_index), """.replace("\n,\n", ",\n")
+    + fit_sql("blm", "replicate") + """,
+boot as (select replicate, 42 as seed, (sxy - sx * sy / n) / (sxx - sx * sx / n) as beta_prev_arr_delay,
+  lam as lambda_decay from brs left join fitted using (replicate))
+"""))
+
+
+def boot_single_of(spark, sf):
+    return B.run_bootstrap(spark, mf_of(spark, sf, "flights"), tls_of(spark, sf), N_REPS, SEED, single=True)
+
+
+query("bootstrap_table_single", BOOT_SINGLE_SQL + """select replicate, seed,
+ round(beta_prev_arr_delay, 6) as beta_prev_arr_delay, round(lambda_decay, 6) as lambda_decay from boot""")(
+    lambda spark, sf: rounded(boot_single_of(spark, sf)))
+query("bootstrap_ci_single", BOOT_SINGLE_SQL + "select " + ", ".join(
+    f"round(quantile_cont({c}, {q}), 6) as {c}_ci_{side}" for c in ("beta_prev_arr_delay", "lambda_decay")
+    for q, side in ((0.025, "lower"), (0.975, "upper"))) + " from boot")(
+    lambda spark, sf: rounded(B.bootstrap_ci(boot_single_of(spark, sf), ["beta_prev_arr_delay", "lambda_decay"])))
 query("bootstrap_table")(boot_table_of)
 query("bootstrap_ci")(lambda spark, sf: B.bootstrap_ci(boot_table_of(spark, sf),
                                                        ["beta_prev_arr_delay", "lambda_decay"]))
 
 
 # ---------------------------------------------------------------- sources and sinks
-from knockon.session import scratch_path  # noqa: E402
 from knockon.sources import files as SRC  # noqa: E402
 
 # Candidate monthly sources derived from the months present in the multi-year fixture:
@@ -924,16 +1223,6 @@ def q_read_pairs(spark, sf):
                                          r6(F.avg("prev_ARR_DELAY")).alias("mean_prev_arr_delay"))
 
 
-@query("tail_partition")
-def q_tail_partition(spark, sf):
-    path = scratch_path(spark, "tail_parts")
-    SRC.write_tail_partitions(clean_of(spark, sf, "lineitem"), path, 100)
-    return spark.read.parquet(path).select("TAIL_NUM", "partition_id").distinct()
-
-
-query("partition_stats")(lambda spark, sf: P.partition_stats(clean_of(spark, sf, "lineitem"), 100))
-
-
 @query("write_reports", legs_sql() + """
 select leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remaining_delay,
  round(median_remaining_delay, 6) as median_remaining_delay from dbl""")
@@ -988,7 +1277,7 @@ from (select (select cast(count(*) as bigint) from clean) as total_cleaned_fligh
      (select cast(count(*) as bigint) as n_obs, round(avg(current_DEP_DELAY), 6) as mean_dep_delay from mf) m,
      (select round(regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6) as slope from mf) s""")
 def q_summary_assemble(spark, sf):
-    clean = clean_of(spark, sf, "lineitem")
+    clean = stage_of(spark, sf, "lineitem")
     pairs = P.flight_pairs(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"))
     mf = FE.model_frame(pairs, keep=ids("lineitem"))
     t = R.dataset_totals(clean, pairs).select("total_cleaned_flights", "total_flight_pairs")
@@ -999,19 +1288,17 @@ def q_summary_assemble(spark, sf):
 
 @query("final_summary")
 def q_final_summary(spark, sf):
-    from knockon.session import materialize
-    clean = clean_of(spark, sf, "lineitem")
-    # one chain pass serves the pairs and the later-leg view
-    cand = materialize(P.pair_candidates(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"), max_lead=5))
+    """Totals, models, decay and bootstrap from one clean table and one chain pass."""
+    clean = stage_of(spark, sf, "lineitem")
+    cand = materialize(P.pair_candidates(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"), max_lead=5), "chain")
     pairs = cand.where(P.connection_filter()).select(*ids("lineitem"), *C.S.PAIR_COLUMNS)
-    totals = R.dataset_totals(clean, pairs)
-    suite = suite_of(spark, sf)
+    mf = FE.model_frame(pairs, keep=ids("lineitem"))
+    suite = SU.fit_suite(spark, mf, models=("linear", "logistic"))
     tls = D.tail_leg_summary_of_legs(cand, arr_col="current_ARR_DELAY")
     params = D.decay_parameters(D.decay_by_leg(tls))
-    boot = B.run_bootstrap(spark, mf_of(spark, sf, "lineitem"), tls, N_REPS, SEED)
+    boot = B.run_bootstrap(spark, mf, tls, N_REPS, SEED)
     ci = B.bootstrap_ci(boot, ["beta_prev_arr_delay", "lambda_decay"])
-    return R.final_summary(totals, suite["coefficients"], suite["main_result"], params, ci)
-
+    return R.final_summary(R.dataset_totals(clean, pairs), suite["coefficients"], suite["main_result"], params, ci)
 
 
 # ---------------------------------------------------------------- chain order, decay curve evaluation
@@ -1019,7 +1306,7 @@ def q_final_summary(spark, sf):
 select event_id, TAIL_NUM, cast(row_number() over (partition by TAIL_NUM
   order by sched_dep_timestamp asc nulls last, event_id) as bigint) as chain_position from clean""")
 def q_chain_sort(spark, sf):
-    return P.chain_sort(clean_of(spark, sf), tiebreak=ids()).select("event_id", "TAIL_NUM", "chain_position")
+    return P.chain_sort(stage_of(spark, sf), tiebreak=ids()).select("event_id", "TAIL_NUM", "chain_position")
 
 
 @query("chain_sort_multi_year", cte_chain("lineitem", "clean") + """
@@ -1027,25 +1314,53 @@ select l_orderkey, l_linenumber, l_partkey, l_extendedprice, cast(row_number() o
   order by sched_dep_timestamp asc nulls last, l_orderkey, l_linenumber, l_partkey, l_extendedprice) as bigint)
   as chain_position from clean""")
 def q_chain_sort_multi_year(spark, sf):
-    return P.chain_sort(clean_of(spark, sf, "lineitem"), tiebreak=ids("lineitem")).select(
+    return P.chain_sort(stage_of(spark, sf, "lineitem"), tiebreak=ids("lineitem")).select(
         *FX.FX_LINEITEM_ORDER, "chain_position")
 
 
-@query("decay_eval")
+@query("decay_eval", ONE_CURVE + f""" select cast(k as integer) as leg_index, {A_LAMBDA},
+ round(amplitude_A * exp(-lam * k), 5) as decay_value,
+ case when lam > 0 then round(ln(2) / lam, 5) end as half_life_legs from fitted, range(1, 6) r(k)""")
 def q_decay_eval(spark, sf):
     """A*exp(-lambda*k) on the fitted curve for k = 1..5 and the half-life (null unless lambda > 0)."""
     params = D.fit_groups(D.decay_by_leg(tls_of(spark, sf)), [])
-    return (params.select("amplitude_A", "lambda",
-                          F.explode(F.sequence(F.lit(1), F.lit(5))).alias("leg_index"))
-            .select("leg_index", "amplitude_A", "lambda",
-                    X.decay_value("amplitude_A", "lambda", "leg_index").alias("decay_value"),
-                    X.half_life("lambda").alias("half_life_legs")))
+    legs = params.select("amplitude_A", "lambda", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("leg_index"))
+    return a_lambda(legs, "leg_index", F.round(X.decay_value("amplitude_A", "lambda", "leg_index"), 5).alias(
+        "decay_value"), F.round(X.half_life("lambda"), 5).alias("half_life_legs"))
+
+
+# zlib's crc32, bit by bit over the (ASCII) tails: step s takes in byte s / 8 at its first bit
+CRC_SQL = recursive(cte_chain("lineitem", "cand").rstrip() + """,
+bits as (select TAIL_NUM, 0 as s, cast(4294967295 as bigint) as crc from (select distinct TAIL_NUM from clean) t
+ union all
+ select TAIL_NUM, s + 1, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end
+ from (select TAIL_NUM, s, case when s % 8 = 0 then xor(crc, cast(ascii(substr(TAIL_NUM, s // 8 + 1, 1)) as bigint))
+                           else crc end as x from bits where s < 8 * length(TAIL_NUM)) b),
+buckets as (select TAIL_NUM, cast(xor(crc, 4294967295) % 100 as integer) as partition_id
+ from bits where s = 8 * length(TAIL_NUM))
+""")
+query("pair_summary_by_partition", CRC_SQL + """
+select partition_id, cast(count(*) as bigint) as raw_rows,
+ cast(count(prev_sched_arr_timestamp) as bigint) as candidate_pairs,
+ cast(count(*) filter (where same_airport_connection = 1) as bigint) as same_airport_pairs,
+ cast(count(*) filter (where same_airport_connection = 1
+   and scheduled_turnaround_minutes between 20 and 600) as bigint) as output_pairs
+from cand join buckets using (TAIL_NUM) group by partition_id""")(
+    lambda spark, sf: P.pair_summary(P.partition_ids(stage_of(spark, sf, "lineitem"), 100),
+                                     by=["partition_id"], tiebreak=ids("lineitem")))
 
 
-query("pair_summary_by_partition")(
-    lambda spark, sf: P.pair_summary(P.partition_ids(clean_of(spark, sf, "lineitem"), 100),
-                                     by=["partition_id"], tiebreak=ids("lineitem")))
 
+@query("tail_partition", CRC_SQL + " select TAIL_NUM, partition_id from buckets")
+def q_tail_partition(spark, sf):
+    path = scratch_path(spark, "tail_parts")
+    SRC.write_tail_partitions(clean_of(spark, sf, "lineitem"), path, 100)
+    return spark.read.parquet(path).select("TAIL_NUM", "partition_id").distinct()
+
+
+query("partition_stats", CRC_SQL + """ select partition_id, cast(count(*) as bigint) as rows
+from clean join buckets using (TAIL_NUM) group by partition_id""")(
+    lambda spark, sf: P.partition_stats(clean_of(spark, sf, "lineitem"), 100))
 
 
 def _poisson_case_sql(u: str) -> str:
@@ -1077,7 +1392,7 @@ lc as (select OP_UNIQUE_CARRIER, k as leg_index,
 select OP_UNIQUE_CARRIER, cast(leg_index as integer) as leg_index, cast(count(*) as bigint) as n_obs,
  round(avg(v), 6) as mean_remaining_delay
 from lc where v is not null group by OP_UNIQUE_CARRIER, leg_index""".replace("\n,\n", ",\n"))(
-    lambda spark, sf: D.decay_by_leg_by(clean_of(spark, sf), ["OP_UNIQUE_CARRIER"], tiebreak=ids()).select(
+    lambda spark, sf: D.decay_by_leg_by(stage_of(spark, sf), ["OP_UNIQUE_CARRIER"], tiebreak=ids()).select(
         "OP_UNIQUE_CARRIER", "leg_index", "n_obs",
         r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay")))
 
@@ -1105,7 +1420,7 @@ select TAIL_NUM, leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remain
  round(median_remaining_delay, 6) as median_remaining_delay from tls""")
 def q_tls_shared(spark, sf):
     """Tail-leg summary read off the pair candidates (one chain pass for W1 and W2)."""
-    cand = P.pair_candidates(clean_of(spark, sf), tiebreak=ids(), keep=ids(), max_lead=5)
+    cand = P.pair_candidates(stage_of(spark, sf), tiebreak=ids(), keep=ids(), max_lead=5)
     t = D.tail_leg_summary_of_legs(cand, arr_col="current_ARR_DELAY")
     return t.select("TAIL_NUM", "leg_index", "n_obs",
                     r6(F.col("mean_remaining_delay")).alias("mean_remaining_delay"),

@@ -1,113 +1,95 @@
 """Model suite: the pooled linear + logistic fits, metrics, headline tables and
 the per-carrier / per-turnaround slope models over one model frame.
 
-The model frame is persisted (memory and disk) while the fits read it; every
-fit is distributed, only p x p matrices and small result tables reach the
-driver.
+The model frame is one Parquet stage with the columns that the fits read.  Only
+the models asked for are fitted; every fit is distributed, and only p x p
+matrices and small result tables reach the driver.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knockon import schema as S
 from knockon.functions import scalar as X
+from knockon.operators import features as FE
+from knockon.operators import grouped as G
 from knockon.operators import metrics as ME
 from knockon.operators import models as M
-
-
-def fit_suite(spark: SparkSession, mf: DataFrame, interactions: bool = True,
-              with_year: bool | None = None) -> dict[str, DataFrame]:
-    mf = mf.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _fit_suite(spark, mf, interactions, with_year)
-    finally:
-        mf.unpersist()
-
-
-def _fit_suite(spark, mf, interactions, with_year):
-    level_cols = ["OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS, "current_year", "turnaround_bin"]
-    # one pass: row count, target means and the (bounded) level sets of every factor
-    stats = mf.agg(F.count(F.lit(1)).alias("n"), F.avg("current_DEP_DELAY").alias("mean_dep"),
-                   F.avg("current_dep_delayed_15").alias("mean_flag"),
-                   *[F.sort_array(F.collect_set(f)).alias(f) for f in level_cols]).first()
-    n = int(stats["n"])
-    if n < S.MIN_MODEL_ROWS:
-        raise ValueError(f"Only {n} usable pairs remain after filtering; too few to fit models.")
-    levels = M.levels_from_row(stats, level_cols)
-    factors = M.model_factors(levels, with_year)
-    design = M.build_design(levels, factors, M.NUMERIC_CONTROLS)
-
-    lin = M.fit_ols(mf, design, model="linear")
-    lin.metrics["mean_target"] = stats["mean_dep"]
-    logit = M.fit_logit(mf, design, model="logistic")
-    scored = logit.fitted.transform(mf.select(
-        F.col("current_dep_delayed_15").cast("double").alias("label"),
-        design.vector().alias("features")))
-    rank = ME.ranking_metrics(scored, "prediction", "label").first()
-    logit.metrics.update({"roc_auc": rank["roc_auc"], "average_precision": rank["average_precision"],
-                          "mean_target": stats["mean_flag"]})
-    fits = [lin, logit]
-    out = {}
-    out["main_result"], out["secondary_result"] = M.main_result(spark, n, lin, logit)
-    out["predict_scores"] = scored
-    if interactions:
-        non_carrier = [f for f in factors if f != "OP_UNIQUE_CARRIER"]
-        d_air = M.build_design(levels, ["OP_UNIQUE_CARRIER", *non_carrier], M.NUMERIC_CONTROLS,
-                               slope_by="OP_UNIQUE_CARRIER")
-        air = M.fit_logit(mf, d_air, model="logistic_airline_interaction")
-        d_turn = M.build_design(levels, ["turnaround_bin", *factors], M.NUMERIC_CONTROLS,
-                                slope_by="turnaround_bin")
-        turn = M.fit_logit(mf, d_turn, model="logistic_turnaround_interaction")
-        fits += [air, turn]
-        out["airline_carryover"] = M.level_slopes(
-            spark, air, mf, "OP_UNIQUE_CARRIER", levels["OP_UNIQUE_CARRIER"], "airline"
-        ).orderBy(F.col("odds_ratio_per_10_min").desc_nulls_last())
-        out["turnaround_carryover"] = M.level_slopes(
-            spark, turn, mf, "turnaround_bin", S.TURNAROUND_LABELS, "turnaround_bin"
-        ).orderBy(X.turnaround_bin_rank("turnaround_bin"))
-    out["coefficients"] = M.coefficients(spark, fits)
-    out["metrics"] = M.metrics_frame(spark, [lin.metrics, logit.metrics])
+from knockon.session import materialize
+
+MODELS = ("linear", "logistic", "airline", "turnaround")
+LEVEL_COLUMNS = ["OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS, "current_year", "turnaround_bin"]
+
+
+@dataclass
+class Frame:
+    """A written model frame with its row count, target means and factor levels."""
+    rows: DataFrame
+    n: int
+    mean_dep: float
+    mean_flag: float
+    levels: dict
+
+
+def frame_of(mf: DataFrame) -> Frame:
+    """Write the model columns once and look at them in one pass."""
+    rows = materialize(mf.select(*FE.MODEL_COLUMNS), "model-frame")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("current_DEP_DELAY").alias("mean_dep"),
+                     F.avg("current_dep_delayed_15").alias("mean_flag"),
+                     *[F.sort_array(F.collect_set(f)).alias(f) for f in LEVEL_COLUMNS]).first()
+    n = FE.enough_rows(int(stats["n"]))
+    return Frame(rows, n, stats["mean_dep"], stats["mean_flag"], M.levels_from_row(stats, LEVEL_COLUMNS))
+
+
+def fit_suite(spark: SparkSession, mf: DataFrame, models=MODELS, with_year: bool | None = None,
+              factors: list[str] | None = None, numerics: list[str] | None = None) -> dict:
+    """The models asked for and their tables.
+
+    ``factors`` and ``numerics`` replace the standard controls (empty lists give
+    the models of the previous delay alone).  Keys: ``coefficients``,
+    ``metrics``; ``main_result`` and ``secondary_result`` with both pooled
+    models; ``predict_scores`` with the logistic one; ``airline_carryover`` and
+    ``turnaround_carryover`` with theirs.
+    """
+    frame = frame_of(mf)
+    levels, rows = frame.levels, frame.rows
+    factors = M.model_factors(levels, with_year) if factors is None else factors
+    numerics = M.NUMERIC_CONTROLS if numerics is None else numerics
+    pooled = M.build_design(levels, factors, numerics)
+    out, fits, metrics = {}, {}, []
+    if "linear" in models:
+        fits["linear"] = lin = G.fit_ols(rows, pooled, model="linear")
+        lin.metrics["mean_target"] = frame.mean_dep
+        metrics.append(lin.metrics)
+    if "logistic" in models:
+        fits["logistic"] = logit = G.fit_logit(rows, pooled, model="logistic")
+        scored = G.predict(rows, pooled, logit)
+        rank = ME.ranking_metrics(scored, "prediction", "label").first()
+        logit.metrics |= {"roc_auc": rank["roc_auc"], "average_precision": rank["average_precision"],
+                          "mean_target": frame.mean_flag}
+        metrics.append(logit.metrics)
+        out["predict_scores"] = scored
+    if "linear" in fits and "logistic" in fits:
+        out["main_result"], out["secondary_result"] = M.main_result(spark, frame.n, fits["linear"], fits["logistic"])
+    for name, by, key, shown in (("airline", "OP_UNIQUE_CARRIER", "airline", levels["OP_UNIQUE_CARRIER"]),
+                                 ("turnaround", "turnaround_bin", "turnaround_bin", S.TURNAROUND_LABELS)):
+        if name in models:
+            design = M.build_design(levels, [by, *[f for f in factors if f != by]], numerics, slope_by=by)
+            fits[name] = G.fit_logit(rows, design, model=f"logistic_{name}_interaction")
+            table = M.level_slopes(spark, fits[name], rows, by, shown, key, present=levels[by])
+            out[f"{name}_carryover"] = table.orderBy(
+                X.turnaround_bin_rank(key) if name == "turnaround" else F.col("odds_ratio_per_10_min").desc_nulls_last(),
+                key)
+    out["coefficients"] = M.coefficients(spark, list(fits.values()))
+    out["metrics"] = M.metrics_frame(spark, metrics) if metrics else None
     out["_fits"] = fits
     return out
 
 
-def fit_periods(spark: SparkSession, mf: DataFrame, periods: list[tuple[str, int, int]]) -> DataFrame:
-    """Refit the pooled linear + logistic models per period (a year or a window of
-    years) over one persisted model frame; one row per period."""
-    mf = mf.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    try:
-        for label, lo, hi in periods:
-            sub = mf.where(F.col("current_year").between(lo, hi))
-            n = sub.count()
-            if n < S.MIN_MODEL_ROWS:
-                continue
-            res = _fit_suite(spark, sub, interactions=False, with_year=None)
-            lin, logit = res["_fits"]
-            lb, llo, lhi = M.prev_term(lin)
-            gb, glo, ghi = M.prev_term(logit)
-            rows.append((label, lo, hi, n, lb, llo, lhi, 10 * lb, lin.metrics["r_squared"], gb,
-                         math.exp(10 * gb), math.exp(10 * glo), math.exp(10 * ghi),
-                         logit.metrics["roc_auc"], logit.metrics["average_precision"],
-                         logit.metrics["mean_target"]))
-    finally:
-        mf.unpersist()
-    return spark.createDataFrame(rows, PERIOD_SCHEMA)
-
-
-PERIOD_SCHEMA = ("period string, start_year int, end_year int, n_modeling_pairs long, "
-                 "linear_coef double, linear_ci_lower double, linear_ci_upper double, "
-                 "minutes_carried_per_10_min double, linear_r_squared double, logistic_coef double, "
-                 "logistic_or_per_10_min double, logistic_or10_ci_lower double, "
-                 "logistic_or10_ci_upper double, logistic_auc double, logistic_average_precision double, "
-                 "current_delay_rate_gt15 double")
-
-
 def years_of(mf: DataFrame) -> list[int]:
     """Distinct years of the model frame (one small aggregation)."""
     return sorted(r[0] for r in mf.select("current_year").distinct().collect())
@@ -127,23 +109,24 @@ def window_periods(years: list[int], width: int = 3) -> list[tuple[str, int, int
     return out
 
 
-def fit_periods_grouped(spark: SparkSession, mf: DataFrame, periods: list[tuple[str, int, int]]) -> DataFrame:
-    """Same table as ``fit_periods`` but all periods are solved together (grouped
-    normal equations / grouped IRLS): passes over the rows do not grow with the
-    number of periods.  Periods must not overlap."""
-    from knockon.operators import grouped as G
-    label = None
+def fit_periods(spark: SparkSession, mf: DataFrame, periods: list[tuple[str, int, int]],
+                factors: list[str] | None = None, numerics: list[str] | None = None) -> DataFrame:
+    """The pooled models of every period (name, first year, last year), one row each.
+
+    All periods are solved together (grouped normal equations, grouped IRLS), so
+    the passes over the rows do not grow with their number.  Periods must not
+    overlap.  A period that cannot be fitted keeps its row, with a status.
+    """
+    label = F.lit(None).cast("string")
     for name, lo, hi in periods:
-        cond = F.col("current_year").between(lo, hi)
-        label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
-    framed = mf.withColumn("_period", label).where(F.col("_period").isNotNull())
-    framed = framed.checkpoint(eager=True)
+        label = F.when(F.col("current_year").between(lo, hi), F.lit(name)).otherwise(label)
+    framed = materialize(mf.select(*FE.MODEL_COLUMNS, label.alias("_period")).where(F.col("_period").isNotNull()),
+                         "period-frame")
     levels = M.factor_levels(framed, ["OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS, "current_year"])
-    design = M.build_design(levels, M.model_factors(levels, with_year=len(levels["current_year"]) > 1),
-                            M.NUMERIC_CONTROLS)
+    if factors is None:
+        factors = M.model_factors(levels, with_year=len(levels["current_year"]) > 1)
+    design = M.build_design(levels, factors, M.NUMERIC_CONTROLS if numerics is None else numerics)
     table = G.period_table(spark, framed, design, "_period")
-    bounds = spark.createDataFrame([(n, lo, hi) for n, lo, hi in periods],
-                                   "period string, start_year int, end_year int")
-    return (table.join(F.broadcast(bounds), "period")
-            .where(F.col("n_modeling_pairs") >= S.MIN_MODEL_ROWS)
-            .select("period", "start_year", "end_year", *[c for c in table.columns if c != "period"]))
+    bounds = spark.createDataFrame(periods, "period string, start_year int, end_year int")
+    return table.join(bounds, "period").select(
+        "period", "start_year", "end_year", *[c for c in table.columns if c != "period"])
