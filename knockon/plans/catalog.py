@@ -528,6 +528,19 @@ def q_sample_pairs(spark, sf):
         *FX.FX_LINEITEM_ORDER, "prev_ARR_DELAY", "current_DEP_DELAY")
 
 
+_SAMPLE_KEYS = [*FX.FX_LINEITEM_ORDER[:3], "l_extendedprice"]
+
+
+@query("sample_pairs_small", W_LI_MF + """
+select """ + ", ".join(FX.FX_LINEITEM_ORDER) + """ from mf
+order by md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, cast(l_extendedprice as decimal(18,2)), '42'))
+limit 1000""")
+def q_sample_pairs_small(spark, sf):
+    """A sample far below the row count."""
+    keys = [*_SAMPLE_KEYS[:3], F.col("l_extendedprice").cast("decimal(18,2)")]
+    return R.sample_rows(materialize(mf_of(spark, sf), "mf"), keys, 1000, 42).select(*FX.FX_LINEITEM_ORDER)
+
+
 query("union_inputs", W_LI_P + """
 select cast(year(current_FL_DATE) as integer) as current_year, cast(count(*) as bigint) as n_pairs
 from (select * from pairs where year(current_FL_DATE) < 1996
@@ -1145,9 +1158,16 @@ def q_month_range(spark, sf):
     return SRC.month_range(spark, b["a"], b["z"])
 
 
-_MONTH_COUNTS_SQL = cte_chain("lineitem", "clean") + """
-select strftime(FL_DATE, '%Y-%m') as ym, cast(count(*) as bigint) as clean_rows,
- cast(count(distinct TAIL_NUM) as bigint) as tails from clean group by 1"""
+# Per month: sums of every number, and distinct values and total length of every text, of the cleaned columns.
+_MONTH_NUMBERS = ["CRS_DEP_TIME", "CRS_ARR_TIME", "DEP_DELAY", "ARR_DELAY", "DISTANCE", "CANCELLED", "DIVERTED",
+                  "sched_dep_hour", "sched_arr_hour", "month", "day_of_week"]
+_MONTH_TEXTS = ["TAIL_NUM", "OP_UNIQUE_CARRIER", "ORIGIN", "DEST", "route"]
+_MONTH_TIMES = ["sched_dep_timestamp", "sched_arr_timestamp"]
+_MONTH_VALUES_SQL = cte_chain("lineitem", "clean") + """
+select strftime(FL_DATE, '%Y-%m') as ym, cast(count(*) as bigint) as clean_rows, """ + ", ".join(
+    [f"cast(sum({c}) as double) as sum_{c}" for c in _MONTH_NUMBERS]
+    + [f"cast(count(distinct {c}) as bigint) as n_{c}, cast(sum(length({c})) as bigint) as len_{c}" for c in _MONTH_TEXTS]
+    + [f"cast(sum(epoch({c})) as bigint) as sum_{c}" for c in _MONTH_TIMES]) + " from clean group by 1"
 
 # Long-form header spellings used for the derived raw files (alias resolution is exercised).
 _LONG_NAMES = {"TAIL_NUM": "Tail_Number", "FL_DATE": "FlightDate", "OP_UNIQUE_CARRIER": "Reporting_Airline",
@@ -1162,20 +1182,52 @@ def _raw_long(spark, sf):
                       F.substring("FL_DATE", 1, 7).alias("ym"))
 
 
-def _month_counts(clean):
+def _month_values(clean):
     return clean.groupBy(F.date_format("FL_DATE", "yyyy-MM").alias("ym")).agg(
-        F.count(F.lit(1)).alias("clean_rows"), F.count_distinct("TAIL_NUM").alias("tails"))
+        F.count(F.lit(1)).alias("clean_rows"),
+        *[F.sum(c).cast("double").alias(f"sum_{c}") for c in _MONTH_NUMBERS],
+        *[f(c).cast("long").alias(f"{name}_{c}") for c in _MONTH_TEXTS
+          for name, f in (("n", F.count_distinct), ("len", lambda c: F.sum(F.length(c))))],
+        *[F.sum(F.unix_seconds(F.col(c).cast("timestamp"))).alias(f"sum_{c}") for c in _MONTH_TIMES])
 
 
-@query("read_month_csv", _MONTH_COUNTS_SQL)
+@query("read_month_csv", _MONTH_VALUES_SQL)
 def q_read_month_csv(spark, sf):
     path = scratch_path(spark, "raw_csv")
     _raw_long(spark, sf).write.partitionBy("ym").option("header", True).csv(path)
     raw = SRC.read_month_csv(spark, [path])
-    return _month_counts(C.clean_flights(raw))
+    return _month_values(C.clean_flights(raw))
 
 
-@query("read_month_zip", _MONTH_COUNTS_SQL)
+_MIXED_COLS = [*_MONTH_TEXTS, "FL_DATE", *_MONTH_TIMES, *_MONTH_NUMBERS]
+
+
+@query("read_month_mixed", cte_chain("lineitem", "clean") + "select " + ", ".join(
+    f"cast({c} as double) as {c}" if c in _MONTH_NUMBERS else iso_sql([c]) for c in _MIXED_COLS) + " from clean")
+def q_read_month_mixed(spark, sf):
+    """One folder, three header layouts: plain; origin/destination and the delays swapped with dates that carry a
+    clock; canonical names with month and weekday columns.  Compared row by row."""
+    path = scratch_path(spark, "raw_mixed")
+    long = _raw_long(spark, sf)
+    kind = F.substring("ym", 6, 2).cast("int") % 3
+    long.where(kind == 0).drop("ym").write.option("header", True).csv(f"{path}/plain")
+    order = [c for c in long.columns if c != "ym"]
+    for x, y in (("Origin", "Dest"), ("DepDelay", "ArrDelay")):
+        i, j = order.index(x), order.index(y)
+        order[i], order[j] = y, x
+    clocked = long.where(kind == 1).withColumn(
+        "FlightDate", F.date_format(F.to_date("FlightDate"), "M/d/yyyy' 12:00:00 AM'"))
+    clocked.select(*order).write.option("header", True).csv(f"{path}/swapped")
+    back = {v: k for k, v in _LONG_NAMES.items()}
+    day = F.to_date("FlightDate")
+    long.where(kind == 2).select(
+        *[F.col(c).alias(back[c]) for c in long.columns if c != "ym"], F.month(day).alias("MONTH"),
+        X.iso_weekday(day).alias("DAY_OF_WEEK")).write.option("header", True).csv(f"{path}/canonical")
+    clean = iso(C.clean_flights(SRC.read_month_csv(spark, path)).select(*_MIXED_COLS))
+    return clean.withColumns({c: F.col(c).cast("double") for c in _MONTH_NUMBERS})
+
+
+@query("read_month_zip", _MONTH_VALUES_SQL)
 def q_read_month_zip(spark, sf):
     import os
     import zipfile as _zf
@@ -1201,14 +1253,14 @@ def q_read_month_zip(spark, sf):
     long = _raw_long(spark, sf)
     long.repartition("ym").mapInPandas(write_zips, "ym string, n long").count()
     raw = SRC.read_month_zip(spark, [f"{path}/*.zip"])
-    return _month_counts(C.clean_flights(raw))
+    return _month_values(C.clean_flights(raw))
 
 
-@query("write_clean", _MONTH_COUNTS_SQL)
+@query("write_clean", _MONTH_VALUES_SQL)
 def q_write_clean(spark, sf):
     path = scratch_path(spark, "clean")
     SRC.write_clean(clean_of(spark, sf, "lineitem"), path)
-    return _month_counts(spark.read.parquet(path))
+    return _month_values(spark.read.parquet(path))
 
 
 @query("read_pairs", W_LI_P + """
@@ -1235,39 +1287,43 @@ def q_write_reports(spark, sf):
                        r6(F.col("median_remaining_delay")).alias("median_remaining_delay"))
 
 
-@query("trim_columns", cte_chain("lineitem", "clean") + """
-select cast(count(*) as bigint) as n_rows, cast(count(distinct FL_DATE) as bigint) as n_dates,
- cast(count(distinct OP_UNIQUE_CARRIER) as bigint) as n_carriers from typed""")
+_WIDE = {"Year": "substr(FL_DATE, 1, 4)", "Month": "substr(FL_DATE, 6, 2)", "DayofMonth": "substr(FL_DATE, 9, 2)",
+         "FlightDate": "FL_DATE", "Reporting_Airline": "OP_UNIQUE_CARRIER", "Origin": "ORIGIN", "Dest": "DEST",
+         "CRSDepTime": "CRS_DEP_TIME", "DepDelay": "DEP_DELAY", "CRSArrTime": "CRS_ARR_TIME", "ArrDelay": "ARR_DELAY",
+         "Cancelled": "CANCELLED", "Diverted": "DIVERTED", "Distance": "DISTANCE"}
+_WIDE |= {c: f"concat('{c[:3]}', cast(l_partkey % {7 + i} as varchar(9)))"
+          for i, c in enumerate(C.S.TRIM_COLUMNS) if c not in _WIDE}
+
+
+@query("trim_columns", cte_chain("lineitem", "clean").rstrip() + ", wide as (select " + ", ".join(
+    f"coalesce(cast({e} as varchar), '') as {c}" for c, e in _WIDE.items()) + """ from fx)
+select cast(count(*) as bigint) as n_rows, """ + ", ".join(
+    f"cast(count(distinct {c}) as bigint) as n_{c}, cast(sum(length({c})) as bigint) as len_{c}, min({c}) as min_{c}, max({c}) as max_{c}"
+    for c in C.S.TRIM_COLUMNS) + " from wide")
 def q_trim_columns(spark, sf):
     raw = raw_flights(spark, sf, "lineitem")
-    fill = {"Year": F.substring("FL_DATE", 1, 4), "Month": F.substring("FL_DATE", 6, 2),
-            "DayofMonth": F.substring("FL_DATE", 9, 2), "FlightDate": F.col("FL_DATE"),
-            "Reporting_Airline": F.col("OP_UNIQUE_CARRIER"), "Origin": F.col("ORIGIN"),
-            "Dest": F.col("DEST"), "CRSDepTime": F.col("CRS_DEP_TIME"), "DepDelay": F.col("DEP_DELAY"),
-            "CRSArrTime": F.col("CRS_ARR_TIME"), "ArrDelay": F.col("ARR_DELAY"),
-            "Cancelled": F.col("CANCELLED"), "Diverted": F.col("DIVERTED"), "Distance": F.col("DISTANCE")}
-    wide = raw.select(*[(fill[c] if c in fill else F.lit("")).cast("string").alias(c)
-                        for c in C.S.TRIM_COLUMNS],
+    wide = raw.select(*[F.expr(f"cast({_WIDE[c]} as string)").alias(c) for c in C.S.TRIM_COLUMNS],
                       F.col("TAIL_NUM").alias("Tail_Number"), F.lit("x").alias("Div1Airport"))
     path = scratch_path(spark, "wide_csv")
     wide.write.option("header", True).csv(path)
     t = SRC.trim_columns(spark.read.option("header", True).csv(path))
-    return t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("FlightDate").alias("n_dates"),
-                 F.count_distinct("Reporting_Airline").alias("n_carriers"))
+    return t.agg(F.count(F.lit(1)).alias("n_rows"), *[
+        f(c).alias(f"{name}_{c}") for c in C.S.TRIM_COLUMNS
+        for name, f in (("n", F.count_distinct), ("len", lambda c: F.sum(F.length(c))), ("min", F.min), ("max", F.max))])
 
 
 # ---------------------------------------------------------------- streaming ingest, summaries
 from knockon.streaming import ingest as ST  # noqa: E402
 
 
-@query("stream_clean_ingest", _MONTH_COUNTS_SQL)
+@query("stream_clean_ingest", _MONTH_VALUES_SQL)
 def q_stream_clean_ingest(spark, sf):
     landing, out, ck = (scratch_path(spark, n) for n in ("landing", "stream_clean", "stream_ckpt"))
     long = _raw_long(spark, sf)
     long.drop("ym").write.option("header", True).csv(landing)
     header = [c for c in long.columns if c != "ym"]
     ST.run_clean_ingest(spark, landing, header, out, ck)
-    return _month_counts(spark.read.parquet(out))
+    return _month_values(spark.read.parquet(out))
 
 
 @query("summary_assemble", cte_chain("lineitem", "mf") + """
