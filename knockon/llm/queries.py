@@ -81,8 +81,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(
             ":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, kind=kind: s.kind == kind)).cast("long").alias(f"n_{kind}")
-              for kind in pii.KINDS]
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts,
                         F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 

@@ -1,5 +1,7 @@
 """Registered queries against DuckDB, and the pipeline against its parts."""
 
+import hashlib
+
 import pytest
 
 import corpus_pipeline
@@ -7,6 +9,8 @@ from knockon.llm import queries
 from tests.llm.helpers import EDGE_ROWS, docs
 from tests.llm.test_decontam import brute as brute_hits
 from tests.llm.test_exact_dedup import low
+from tests.llm.test_pii import PATTERNS
+from tests.llm.test_pii import brute as brute_spans
 from tests.llm.test_simhash import brute_components, brute_print, near
 from tests.oracle_compare import compare, duck
 
@@ -35,7 +39,16 @@ def test_contract_columns_and_rows(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert set(CONTRACT[name].split()) <= set(got.columns)
     table = "pages" if "page_id" in got.columns else "documents"
-    assert got.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert len(got.collect()) == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_pii_digest_of_the_documents_matches_the_patterns(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op7_pii(spark, SF).collect():
+        spans = [(k, *s) for k in PATTERNS for s in brute_spans(texts[r.doc_id], k)]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in PATTERNS]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans == joined
 
 
 def test_near_dedup_of_the_documents_matches_all_pairs(spark):
