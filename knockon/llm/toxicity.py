@@ -70,13 +70,23 @@ class Trie:
 
     def __init__(self, terms: dict[tuple[str, bool], float]):
         self.root = self._node({(t, s): (t, s, w) for (t, s), w in terms.items()}, 0)
-        # a form within d edits holds one of d + 1 pieces of its term unchanged
-        pieces = set()
-        for term, _ in terms:
-            n = allowed_edits(term) + 1
-            cuts = [round(i * len(term) / n) for i in range(n + 1)]
-            pieces.update(term[x:y] for x, y in zip(cuts, cuts[1:]))
-        self.pieces = re.compile("|".join(sorted(map(re.escape, pieces))) or r"(?!)")
+        self.near = re.compile("|".join(self._shapes(terms)) or r"(?!)")
+
+    @staticmethod
+    def _shapes(terms) -> list[str]:
+        """Patterns that every form within d edits of a term fits: its length, and one of d + 1 pieces of the
+        term unchanged, at most d letters from its place."""
+        shapes: dict[tuple[int, bool], set[str]] = {}
+        for term, stem in terms:
+            d = allowed_edits(term)
+            cuts = [round(i * len(term) / (d + 1)) for i in range(d + 2)]
+            shapes.setdefault((len(term), stem), set()).update(
+                f".{{{max(0, x - d)},{x + d}}}{re.escape(term[x:y])}" for x, y in zip(cuts, cuts[1:]))
+        out = []
+        for (n, stem), pieces in sorted(shapes.items()):
+            d = allowed_edits("x" * n)
+            out.append(f"(?=.{{{n - d},{'' if stem else n + d}}}$)(?:{'|'.join(sorted(pieces))})")
+        return out
 
     def _node(self, terms: dict, depth: int) -> tuple:
         below: dict[str, dict] = {}
@@ -97,7 +107,7 @@ class Trie:
         distances to each prefix of the word; a branch ends when no entry can
         come back within the edits that the terms below it allow.
         """
-        if not self.pieces.search(word):
+        if not self.near.match(word):
             return None
         best = None
         stack = [(self.root, list(range(len(word) + 1)))]
@@ -141,11 +151,11 @@ class Detector:
             return found
 
     def features(self, text: str | None) -> list[float]:
-        """Weights of plain, near and quoted matches, distinct terms, density, address."""
+        """Plain matches (sum of weights, largest), near, quoted, distinct terms, density, address."""
         low = (text or "").lower()
         words = _WORD.findall(low)
         hot = {w for w in set(words) if self.form(w)}
-        plain = near = quoted = address = 0.0
+        plain = strongest = near = quoted = address = 0.0
         terms = set()
         if hot:
             spans = [m.span() for m in _WORD.finditer(low)]
@@ -161,9 +171,10 @@ class Detector:
                     near += weight / (1 + edits)
                 else:
                     plain += weight
+                    strongest = max(strongest, weight)
                 address += not ADDRESS.isdisjoint(around)
         total = plain + near + quoted
-        return [np.log1p(plain), float(plain > 0), np.log1p(near), np.log1p(quoted), np.log1p(len(terms)),
+        return [np.log1p(plain), strongest, np.log1p(near), np.log1p(quoted), np.log1p(len(terms)),
                 np.log1p(100 * total / max(len(words), 1)), np.log1p(address)]
 
 

@@ -45,7 +45,7 @@ def test_context_tells_quotation_from_abuse():
 
 def test_stems_are_learned_and_held_out_labels_are_not(spark):
     draw = np.random.default_rng(6)
-    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    words = [a + b for a in ("al", "be", "ga", "del", "om") for b in ("pha", "ta", "mma", "to", "ga", "ro", "ni", "sel")]
     rows, marks = [], []
     for i in range(400):
         toxic = int(i % 5 == 0)
