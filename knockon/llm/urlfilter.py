@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from knockon.llm.common import ascii_lower, shared_table
 
 _SEPARATORS = "[^a-z0-9-]+"
+#: Rules whose index is broadcast; parts of a token in the join of larger indexes; rules that may lack a literal.
+BROADCAST_RULES, SALTS, ALWAYS_RULES = 20_000, 64, 200
 
 
 @dataclass(frozen=True)
@@ -63,40 +65,59 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    return spark.createDataFrame([(r.name, r.verdict, r.regex, list(r.literals), r.site) for r in rules],
-                                 "rule string, verdict string, regex string, literals array<string>, site boolean")
+def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """The rules as a table: rule, verdict, regex, literals, site."""
+    shape = "array<struct<rule:string,verdict:string,regex:string,literals:array<string>,site:boolean>>"
+    rows = [F.struct(F.lit(r.name), F.lit(r.verdict), F.lit(r.regex), F.array(*map(F.lit, r.literals)).cast("array<string>"),
+                     F.lit(r.site)) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows).cast(shape)))
 
 
-def rarest_tokens(rules: DataFrame, tokens: DataFrame) -> DataFrame:
+def _with_index(tokens: DataFrame, index: DataFrame, small: bool) -> DataFrame:
+    """``tokens`` joined to ``index`` on token; neither way gathers the URLs of a frequent token in one task."""
+    if small:
+        return tokens.join(F.broadcast(index), "token")
+    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return tokens.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(
+        salted, ["token", "salt"]).drop("salt")
+
+
+def rarest_tokens(rules: DataFrame, tokens: DataFrame, small: bool = True) -> DataFrame:
     """``rules`` with ``token``: of each rule's literals the one in fewest URLs, null without literals."""
     wanted = rules.select("rule", "regex", F.explode("literals").alias("token")).distinct()
-    counts = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(
+    counts = _with_index(tokens, wanted.select("token").distinct(), small).groupBy("token").agg(
         F.count(F.lit(1)).alias("n"))
     rarest = (wanted.join(counts, "token", "left").groupBy("rule", "regex")
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("t")))
     return rules.join(rarest, ["rule", "regex"], "left").withColumn("token", F.col("t.token")).drop("t")
 
 
-def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", id_col: str = "page_id",
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, url_col: str = "url", id_col: str = "page_id",
           default: str = "allow") -> DataFrame:
-    """One row per input row: id, host, path, rule (site rule or null), pattern (other rule or null), verdict."""
+    """One row per input row: id, host, path, rule (site rule or null), pattern (other rule or null), verdict.
+
+    ``rules`` is a list, or a table shaped like ``rules_table``.  Up to
+    ``BROADCAST_RULES`` rules the index is broadcast, beyond that it is joined by
+    salted tokens.
+    """
     spark = pages.sparkSession
+    rules = rules_table(spark, rules) if isinstance(rules, list) else shared_table(rules, "url-patterns")
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"),
                         path_of(F.col(url_col)).alias("path"))
     urls = shared_table(rows.select("host", "path").where("host <> ''").distinct(), "urls")
     tokens = (urls.select("host", "path", F.explode(F.array_distinct(F.split(
         ascii_lower(F.concat("host", "path")), _SEPARATORS))).alias("token")).where("token <> ''"))
-    table = rarest_tokens(_rules_table(spark, rules), tokens)
-    indexed = shared_table(table.drop("literals"), "url-rules")
-    candidates = tokens.join(indexed.where("token is not null"), "token").select(
-        "host", "path", "rule", "verdict", "regex", "site")
-    always = [r for r in rules if not r.literals]
+    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    indexed = shared_table(rarest_tokens(rules, tokens, small).drop("literals"), "url-rules")
+    kept = ["host", "path", "rule", "verdict", "regex", "site"]
+    candidates = _with_index(tokens, indexed.where("token is not null"), small).select(*kept)
+    # rules without a literal meet every URL: a stated set, bounded, in one row of lists
+    always = indexed.where("token is null").select("rule", "verdict", "regex", "site").limit(ALWAYS_RULES + 1).collect()
+    if len(always) > ALWAYS_RULES:
+        raise ValueError(f"more than {ALWAYS_RULES} rules have no literal token")
     if always:
-        each = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"),
-                                  F.lit(r.regex).alias("regex"), F.lit(r.site).alias("site")) for r in always])
-        candidates = candidates.unionByName(urls.select("host", "path", F.explode(each).alias("r")).select(
-            "host", "path", "r.*"))
+        each = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in kept[2:]]) for r in sorted(always)])
+        candidates = candidates.unionByName(urls.select("host", "path", F.inline(each)).select(*kept))
     fits = candidates.where(F.regexp_like(F.concat("host", "path"), F.col("regex")))
     order = F.struct((-F.length("rule")).alias("length"), (F.col("verdict") != "block").alias("allows"),
                      F.col("rule"), F.col("verdict"))

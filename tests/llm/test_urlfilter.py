@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from knockon.llm import urlfilter
@@ -54,9 +55,20 @@ def test_matches_brute_force(spark):
     assert rows == sorted((brute(u) for u in urls()), key=repr)
 
 
+def test_a_large_index_is_joined_by_salted_tokens(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 3)
+    rules = urlfilter.rules_table(spark, SITE_RULES + URL_PATTERNS)
+    got = urlfilter.judge(table(spark, urls()), rules)
+    rows = sorted(((r.host, r.path, r.rule, r.verdict) for r in got.collect()), key=repr)
+    assert rows == sorted((brute(u) for u in urls()), key=repr)
+    monkeypatch.setattr(urlfilter, "ALWAYS_RULES", 1)
+    with pytest.raises(ValueError):
+        urlfilter.judge(table(spark, urls()), rules)
+
+
 def test_only_candidates_are_tried_and_the_rarest_token_leads(spark):
     tokens = spark.createDataFrame([("h1", "com"), ("h2", "com"), ("h3", "com"), ("h1", "example")], "host string, token string")
-    rules = urlfilter._rules_table(spark, SITE_RULES + URL_PATTERNS)
+    rules = urlfilter.rules_table(spark, SITE_RULES + URL_PATTERNS)
     lead = {r.rule: r.token for r in urlfilter.rarest_tokens(rules, tokens).collect()}
     assert lead["com/"] == "com" and lead["www.example.com/en/"] in ("www", "en")
     assert lead["spam-farm host"] == "spam-farm" and lead["adult path"] is None
