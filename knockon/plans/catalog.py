@@ -834,7 +834,8 @@ union all select * from (select *, 'bottom' as part from t order by slope, airli
 
 
 # ---------------------------------------------------------------- models with all controls
-# Iterative fits over 38 columns: no SQL twin; tests/test_models.py compares them with NumPy.
+# The SQL twins solve the same systems: Gauss-Jordan elimination in a recursive CTE, once for the linear model,
+# once per step for the logits.  tests/test_models.py also compares the fits with NumPy.
 def suite_of(spark, sf, *models, fx="lineitem"):
     return SU.fit_suite(spark, mf_of(spark, sf, fx), models=models or SU.MODELS)
 
@@ -866,36 +867,223 @@ def q_design_matrix(spark, sf):
     return mf.select(*FX.FX_LINEITEM_ORDER, *[e.alias(_safe(n)) for e, n in zip(d.exprs, d.names)])
 
 
+def ols_sql() -> str:
+    """CTEs of the full linear model: the normal equations, inverted by Gauss-Jordan elimination row by row.
+
+    ``beta`` has a row per term: its place, name, estimate and the diagonal of the inverse; ``fit`` has n, k, rss, tss.
+    """
+    names, cells = ["Intercept", M.PREV], ["1.0", "prev_ARR_DELAY"]
+    for f, values in _LEVEL_VALUES.items():
+        for v in values[1:]:
+            names.append(f"C({f})[T.{v}]")
+            cells.append(f"cast({f} = {v!r} as double)")
+    names += M.NUMERIC_CONTROLS
+    cells += M.NUMERIC_CONTROLS
+    p = len(cells)
+    x = ", ".join(f"cast({c} as double) as x{i}" for i, c in enumerate(cells, 1))
+    sums = ", ".join([f"sum(x{i} * x{j}) as g{i}_{j}" for i in range(1, p + 1) for j in range(i, p + 1)]
+                     + [f"sum(x{i} * y) as b{i}" for i in range(1, p + 1)])
+    rows = " union all ".join(
+        f"select {i} as i, {names[i - 1]!r} as term, b{i} as moment, [" + ", ".join(
+            [f"g{min(i, j)}_{max(i, j)}" for j in range(1, p + 1)] + [f"b{i}"]
+            + ["1.0" if i == j else "0.0" for j in range(1, p + 1)]) + "] as cells from gram" for i in range(1, p + 1))
+    return recursive(W_LI_MF.rstrip() + f""",
+design as (select {x}, cast(current_DEP_DELAY as double) as y from mf),
+gram as (select {sums} from design),
+system as ({rows}),
+solved as (select 0 as step, i, term, moment, cells from system
+ union all
+ select step + 1, i, term, moment, case when i = step + 1 then list_transform(cells, lambda v: v / cells[step + 1])
+  else list_transform(range(1, len(cells) + 1), lambda j: cells[j] - cells[step + 1] * lead_row[j] / lead_row[step + 1]) end
+ from (select *, max(case when i = step + 1 then cells end) over () as lead_row from solved where step < {p}) t),
+beta as (select i, term, moment, cells[{p + 1}] as estimate, cells[{p + 1} + i] as spread from solved where step = {p}),
+fit as (select count(*) as n, {p} as k, sum(y * y) - (select sum(estimate * moment) from beta) as rss,
+  sum(y * y) - sum(y) * sum(y) / count(*) as tss, avg(y) as mean_y from design)
+""")
+
+
+def _t_sql(df: str) -> str:
+    """Student's t 97.5 % point by the expansion that the fits use."""
+    return _T.replace("(n - 2)", f"({df})")
+
+
+OLS_SQL = ols_sql()
+
+
+@query("ols_carryover", OLS_SQL + f"""select 'linear' as model, term, round(estimate, 6) as estimate,
+ round(sqrt(spread * rss / (n - k)), 6) as std_err,
+ round(estimate - {_t_sql('n - k')} * sqrt(spread * rss / (n - k)), 6) as ci_lower,
+ round(estimate + {_t_sql('n - k')} * sqrt(spread * rss / (n - k)), 6) as ci_upper from beta, fit""")
+def q_ols_carryover(spark, sf):
+    return rounded(suite_of(spark, sf, "linear")["coefficients"].select(
+        "model", "term", "estimate", "std_err", "ci_lower", "ci_upper"))
+
+
+query("linear_metrics", OLS_SQL + """select 'linear' as model, cast(n as double) as n_obs, round(1 - rss / tss, 6) as r_squared,
+ round(1 - (rss / (n - k)) / (tss / (n - 1)), 6) as adj_r_squared,
+ round(n * (ln(2 * pi()) + ln(rss / n) + 1) + 2 * k, 4) as aic,
+ round(n * (ln(2 * pi()) + ln(rss / n) + 1) + k * ln(n), 4) as bic, round(mean_y, 6) as mean_target from fit""")(
+    lambda spark, sf: suite_of(spark, sf, "linear")["metrics"].select(
+        "model", "n_obs", r6(F.col("r_squared")).alias("r_squared"), r6(F.col("adj_r_squared")).alias("adj_r_squared"),
+        F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"), r6(F.col("mean_target")).alias("mean_target")))
+
+
+def terms_of(*factors: str, slope_by: str | None = None) -> list[tuple[str, str]]:
+    """(term, SQL) of a design over the fixture's levels, intercept first."""
+    out = [("Intercept", "1.0"), (M.PREV, M.PREV)]
+    values = _LEVEL_VALUES | {"turnaround_bin": C.S.TURNAROUND_LABELS}
+    out += [(f"C({f})[T.{v}]", f"({f} = {v!r})") for f in factors for v in values[f][1:]]
+    out += [(c, c) for c in M.NUMERIC_CONTROLS]
+    if slope_by:
+        out += [(M.slope_term(slope_by, v), f"{M.PREV} * cast({slope_by} = {v!r} as integer)") for v in values[slope_by][1:]]
+    return out
+
+
+def logit_sql(terms: list[tuple[str, str]], steps: int = 9) -> str:
+    """CTEs of a logit: ``steps`` weighted least squares steps, each solved by Gauss-Jordan elimination.
+
+    ``beta`` has a row per term (i, term, estimate) and its row ``cov`` of the covariance; ``fit`` has n, dev, dev0.
+    """
+    p = len(terms)
+    parts = ["design as (select [" + ", ".join(f"cast({c} as double)" for _, c in terms)
+             + "] as x, cast(current_dep_delayed_15 as double) as y from mf)",
+             f"b0 as (select list_transform(range({p}), lambda v: 0.0::double) as beta)"]
+    for k in range(1, steps + 1):
+        parts.append(f"""w{k} as (select x, m * (1 - m) as w, m * (1 - m) * eta + y - m as u from (
+  select x, y, eta, 1 / (1 + exp(-eta)) as m from (
+   select x, y, list_dot_product(x, beta) as eta from design, b{k - 1}) t) t)""")
+        parts.append(f"""g{k} as (select i, list(v order by j) as cells from (
+  select i, j, sum(w * x[i] * x[j]) as v from w{k}, range(1, {p + 1}) a(i), range(1, {p + 1}) c(j) group by i, j) t group by i)""")
+        parts.append(f"r{k} as (select i, sum(x[i] * u) as v from w{k}, range(1, {p + 1}) a(i) group by i)")
+        unit = (f", list_transform(range(1, {p + 1}), lambda j: case when j = i then 1.0::double else 0.0 end)"
+                if k == steps else ", []::double[]")
+        parts.append(f"""s{k} as (select 0 as step, i, list_concat(list_concat(cells, [v]){unit}) as cells from g{k} join r{k} using (i)
+ union all
+ select step + 1, i, case when i = step + 1 then list_transform(cells, lambda v: v / cells[step + 1])
+  else list_transform(range(1, len(cells) + 1), lambda j: cells[j] - cells[step + 1] * lead_row[j] / lead_row[step + 1]) end
+ from (select *, max(case when i = step + 1 then cells end) over () as lead_row from s{k} where step < {p}) t)""")
+        parts.append(f"b{k} as (select list(cells[{p + 1}] order by i) as beta from s{k} where step = {p})")
+    parts.append("names(i, term) as (values " + ", ".join(f"({i}, '{t}')" for i, (t, _) in enumerate(terms, 1)) + ")")
+    parts.append(f"""beta as (select i, term, cells[{p + 1}] as estimate, cells[{p + 2}:] as cov
+  from s{steps} join names using (i) where step = {p})""")
+    parts.append(f"""scored as (select y, 1 / (1 + exp(-list_dot_product(x, beta))) as score from design, b{steps})""")
+    parts.append("""fit as (select cast(count(*) as double) as n, -2 * sum(y * ln(score) + (1 - y) * ln(1 - score)) as dev,
+  -2 * count(*) * (avg(y) * ln(avg(y)) + (1 - avg(y)) * ln(1 - avg(y))) as dev0, avg(y) as rate from scored)""")
+    return recursive(W_LI_MF.rstrip() + ", " + ",\n".join(parts) + "\n")
+
+
+_CONTROLS = ["OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS, "current_year"]
+LOGIT_SQL = logit_sql(terms_of(*_CONTROLS))
+AIRLINE_SQL = logit_sql(terms_of(*_CONTROLS, slope_by="OP_UNIQUE_CARRIER"))
+TURNAROUND_SQL = logit_sql(terms_of("turnaround_bin", *_CONTROLS, slope_by="turnaround_bin"))
+_COEF_SQL = f"""select '%s' as model, term, round(estimate, 6) as estimate, round(sqrt(cov[i]), 6) as std_err,
+ round(estimate - {Z} * sqrt(cov[i]), 6) as ci_lower, round(estimate + {Z} * sqrt(cov[i]), 6) as ci_upper,
+ round(exp(estimate), 5) as odds_ratio from beta"""
+# areas of the score curve: tied scores are one step
+_AREA_SQL = """, tied as (select score, sum(y) as tp, sum(1 - y) as fp from scored group by score),
+curve as (select *, sum(tp) over w as ctp, sum(fp) over w as cfp from tied
+  window w as (order by score desc rows between unbounded preceding and current row)),
+area as (select sum(fp * (ctp - tp / 2)) / (sum(tp) * sum(fp)) as auc, sum(tp * ctp / (ctp + cfp)) / sum(tp) as ap from curve)
+"""
+
+
 def _coef(model):
-    return lambda spark, sf: suite_of(spark, sf, model)["coefficients"]
+    return lambda spark, sf: suite_of(spark, sf, model)["coefficients"].select(
+        "model", "term", *[r6(F.col(c)).alias(c) for c in ("estimate", "std_err", "ci_lower", "ci_upper")],
+        F.round("odds_ratio", 5).alias("odds_ratio"))
 
 
-query("ols_carryover")(_coef("linear"))
-query("logit_carryover")(_coef("logistic"))
-query("logit_airline")(_coef("airline"))
-query("logit_turnaround")(_coef("turnaround"))
+query("logit_carryover", LOGIT_SQL + _COEF_SQL % "logistic")(_coef("logistic"))
+query("logit_airline", AIRLINE_SQL + _COEF_SQL % "logistic_airline_interaction")(_coef("airline"))
+query("logit_turnaround", TURNAROUND_SQL + _COEF_SQL % "logistic_turnaround_interaction")(_coef("turnaround"))
 query("coefficients")(lambda spark, sf: suite_of(spark, sf)["coefficients"])
-query("linear_metrics")(lambda spark, sf: suite_of(spark, sf, "linear")["metrics"].select(
-    "model", "n_obs", "r_squared", "adj_r_squared", "aic", "bic", "mean_target"))
-query("logistic_metrics")(lambda spark, sf: suite_of(spark, sf, "logistic")["metrics"].select(
-    "model", "n_obs", "aic", "deviance", "null_deviance", "roc_auc", "average_precision", "mean_target", "converged"))
-query("predict_scores")(lambda spark, sf: suite_of(spark, sf, "logistic")["predict_scores"].select(
-    "label", F.col("prediction").alias("probability")))
+query("logistic_metrics", LOGIT_SQL + _AREA_SQL + """select 'logistic' as model, n as n_obs,
+ round(dev + 2 * (select count(*) from beta), 4) as aic, round(dev, 4) as deviance, round(dev0, 4) as null_deviance,
+ round(auc, 6) as roc_auc, round(ap, 6) as average_precision, round(rate, 6) as mean_target, true as converged
+ from fit, area""")(
+    lambda spark, sf: suite_of(spark, sf, "logistic")["metrics"].select(
+        "model", "n_obs", *[F.round(c, 4).alias(c) for c in ("aic", "deviance", "null_deviance")],
+        *[r6(F.col(c)).alias(c) for c in ("roc_auc", "average_precision", "mean_target")], "converged"))
+query("predict_scores", LOGIT_SQL + """select round(score, 4) as probability, y as label,
+ cast(count(*) as bigint) as n from scored group by all""")(
+    lambda spark, sf: suite_of(spark, sf, "logistic")["predict_scores"].groupBy(
+        F.round("prediction", 4).alias("probability"), "label").agg(F.count(F.lit(1)).alias("n")))
+
+
+def slopes_sql(sql: str, by: str, levels: list) -> str:
+    """``slopes`` (level, b, se): the previous delay's slope at each level, by its contrast."""
+    base = levels[0]
+    return sql + f""", prev as (select estimate, cov, i from beta where term = '{M.PREV}'),
+slopes as (select '{base}' as level, estimate as b, sqrt(cov[i]) as se from prev
+ union all select split_part(split_part(t.term, '[T.', 2), ']', 1), p.estimate + t.estimate,
+  sqrt(p.cov[p.i] + t.cov[t.i] + 2 * p.cov[t.i]) from prev p, beta t where t.term like '{M.PREV}:%'),
+counts as (select cast({by} as varchar) as level, cast(count(*) as bigint) as n_obs from mf group by 1)
+"""
+
+
+_AIR_SLOPES = slopes_sql(AIRLINE_SQL, "OP_UNIQUE_CARRIER", _LEVEL_VALUES["OP_UNIQUE_CARRIER"])
+_TURN_SLOPES = slopes_sql(TURNAROUND_SQL, "turnaround_bin", C.S.TURNAROUND_LABELS)
+_SLOPE_COLS = """round(b, 6) as carryover_log_odds_per_1_min, round(se, 6) as std_err, round(b - 1.96 * se, 6) as ci_lower,
+ round(b + 1.96 * se, 6) as ci_upper, round(exp(10 * b), 4) as odds_ratio_per_10_min,
+ round(exp(10 * (b - 1.96 * se)), 4) as or10_ci_lower, round(exp(10 * (b + 1.96 * se)), 4) as or10_ci_upper,
+ n_obs from slopes join counts using (level)"""
 
 
-@query("slope_contrast")
+def _slopes(table: DataFrame) -> DataFrame:
+    return table.select(table.columns[0], *[r6(F.col(c)).alias(c) for c in table.columns[1:5]],
+                        *[F.round(c, 4).alias(c) for c in table.columns[5:8]], "n_obs")
+
+
+query("airline_carryover", _AIR_SLOPES + f"select level as airline, {_SLOPE_COLS}")(
+    lambda spark, sf: _slopes(suite_of(spark, sf, "airline")["airline_carryover"]))
+query("turnaround_carryover", _TURN_SLOPES + f"select level as turnaround_bin, {_SLOPE_COLS}")(
+    lambda spark, sf: _slopes(suite_of(spark, sf, "turnaround")["turnaround_carryover"]))
+
+
+@query("slope_contrast", _TURN_SLOPES + "select level, round(b, 6) as carryover_log_odds_per_1_min, round(se, 6) as std_err from slopes")
 def q_slope_contrast(spark, sf):
-    """Slope of every airline and turnaround bin: previous delay plus the level's interaction."""
-    out = suite_of(spark, sf, "airline", "turnaround")
-    return out["airline_carryover"].withColumnRenamed("airline", "level").unionByName(
-        out["turnaround_carryover"].withColumnRenamed("turnaround_bin", "level")).select(
-        "level", "carryover_log_odds_per_1_min", "std_err")
+    """Slope of every turnaround bin: previous delay plus the bin's interaction."""
+    return rounded(suite_of(spark, sf, "turnaround")["turnaround_carryover"].select(
+        F.col("turnaround_bin").alias("level"), "carryover_log_odds_per_1_min", "std_err"))
+
+
+query("rank_airlines", _AIR_SLOPES + f"select level as airline, {_SLOPE_COLS} order by b desc, level limit 10")(
+    lambda spark, sf: _slopes(R.rank_by(suite_of(spark, sf, "airline")["airline_carryover"],
+                                        "odds_ratio_per_10_min", 10, tie="airline")))
+query("top_bottom_airlines", _AIR_SLOPES + f""", shown as (select level as airline, b, {_SLOPE_COLS})
+select * exclude (b) from (select *, 'top' as part from shown order by b desc, airline limit 6)
+union all select * exclude (b) from (select *, 'bottom' as part from shown order by b, airline limit 6)""")(
+    lambda spark, sf: (lambda t: t.select(
+        "airline", *[r6(F.col(c)).alias(c) for c in t.columns[1:5]], *[F.round(c, 4).alias(c) for c in t.columns[5:8]],
+        "n_obs", "part"))(R.top_bottom(suite_of(spark, sf, "airline")["airline_carryover"],
+                                       "odds_ratio_per_10_min", 6, tie="airline")))
+
+
+def joined_sql() -> str:
+    """The full linear and logistic models side by side: ``odds``-like row ``pair_fit``."""
+    linear = OLS_SQL[OLS_SQL.index("design as ("):]
+    for name in ("design", "gram", "system", "solved", "beta", "fit"):
+        linear = re.sub(rf"\b{name}\b", f"l_{name}", linear)
+    return LOGIT_SQL.rstrip() + ", " + linear.rstrip() + f""",
+pair_fit as (select f.n, f.rate, b.estimate as g, sqrt(b.cov[b.i]) as gse, lb.estimate as l,
+  sqrt(lb.spread * lf.rss / (lf.n - lf.k)) as lse, {_t_sql('lf.n - lf.k')} as mult, 1 - lf.rss / lf.tss as r2
+  from fit f, l_fit lf, beta b join l_beta lb using (term) where term = '{M.PREV}')
+"""
 
 
-query("airline_carryover")(lambda spark, sf: suite_of(spark, sf, "airline")["airline_carryover"])
-query("turnaround_carryover")(lambda spark, sf: suite_of(spark, sf, "turnaround")["turnaround_carryover"])
-query("main_result")(lambda spark, sf: suite_of(spark, sf, "linear", "logistic")["main_result"])
-query("secondary_result")(lambda spark, sf: suite_of(spark, sf, "linear", "logistic")["secondary_result"])
+BOTH_SQL = joined_sql()
+_LINEAR_RESULT = """round(l, 6) as linear_prev_arr_delay_coef, round(l - mult * lse, 6) as linear_ci_lower,
+ round(l + mult * lse, 6) as linear_ci_upper, round(10 * l, 6) as minutes_carried_per_10_min_prev_delay from pair_fit"""
+query("main_result", BOTH_SQL + f"""select cast(n as bigint) as n_modeling_pairs, round(g, 6) as logistic_prev_arr_delay_coef,
+ round(g - {Z} * gse, 6) as logistic_ci_lower, round(g + {Z} * gse, 6) as logistic_ci_upper,
+ round(exp(g), 6) as logistic_odds_ratio_per_1_min, round(exp(10 * g), 5) as logistic_odds_ratio_per_10_min,
+ round(exp(10 * (g - {Z} * gse)), 5) as logistic_or10_ci_lower, round(exp(10 * (g + {Z} * gse)), 5) as logistic_or10_ci_upper,
+ {_LINEAR_RESULT}""")(
+    lambda spark, sf: (lambda t: t.select(*[F.round(c, 5 if "10" in c and "logistic" in c else 6).alias(c) if k == "double"
+                                            else F.col(c) for c, k in t.dtypes]))(
+        suite_of(spark, sf, "linear", "logistic")["main_result"]))
+query("secondary_result", BOTH_SQL + f"select {_LINEAR_RESULT}")(
+    lambda spark, sf: rounded(suite_of(spark, sf, "linear", "logistic")["secondary_result"]))
 
 
 @query("per10_scaling", W_LI_MF + f"""
@@ -909,24 +1097,83 @@ def q_per10_scaling(spark, sf):
                        r6(F.exp("estimate")).alias("ratio_per_1"), F.round(X.per10("estimate"), 5).alias("ratio_per_10"))
 
 
-query("rank_airlines")(lambda spark, sf: R.rank_by(suite_of(spark, sf, "airline")["airline_carryover"],
-                                                   "odds_ratio_per_10_min", 10, tie="airline"))
-query("top_bottom_airlines")(lambda spark, sf: R.top_bottom(suite_of(spark, sf, "airline")["airline_carryover"],
-                                                            "odds_ratio_per_10_min", 6, tie="airline"))
-
-
 def periods_of(spark, sf, periods) -> DataFrame:
     mf = materialize(mf_of(spark, sf), "mf")
     return SU.fit_periods(spark, mf, periods(SU.years_of(mf)))
 
 
-query("fit_by_year")(lambda spark, sf: periods_of(spark, sf, SU.yearly_periods))
+def grouped_sql(terms: list[tuple[str, str]], grp: str, steps: int = 10) -> str:
+    """CTEs of a linear model and a logit for every group at once; a column that is zero in a group drops out.
+
+    ``period`` has a row per group: n, l and lse (linear slope and error), r2, df, g and gse (logit), auc, ap, rate.
+    """
+    p = len(terms)
+
+    def solved(k: str, w: str, u: str) -> list[str]:
+        unit = f"list_transform(range(1, {p + 1}), lambda j: case when j = i then 1.0::double else 0.0 end)"
+        return [f"""g{k} as (select grp, i, list(v order by j) as cells from (
+  select grp, i, j, sum({w} * x[i] * x[j]) as v from w{k}, range(1, {p + 1}) a(i), range(1, {p + 1}) c(j)
+  group by grp, i, j) t group by grp, i)""",
+                f"r{k} as (select grp, i, sum(x[i] * {u}) as v from w{k}, range(1, {p + 1}) a(i) group by grp, i)",
+                f"""s{k} as (select grp, 0 as step, i, list_concat(list_concat(cells, [v]), {unit}) as cells
+  from g{k} join r{k} using (grp, i)
+ union all
+ select grp, step + 1, i, case when abs(lead_row[step + 1]) < 1e-9 then cells
+  when i = step + 1 then list_transform(cells, lambda v: v / cells[step + 1])
+  else list_transform(range(1, len(cells) + 1), lambda j: cells[j] - cells[step + 1] * lead_row[j] / lead_row[step + 1]) end
+ from (select *, max(case when i = step + 1 then cells end) over (partition by grp) as lead_row
+  from s{k} where step < {p}) t)""",
+                f"""b{k} as (select grp, list(case when abs(cells[i]) < 1e-9 then 0.0 else cells[{p + 1}] end order by i) as beta,
+  max(case when i = 2 then cells[{p + 3}] end) as spread, cast(count(*) filter (where abs(cells[i]) > 1e-9) as integer) as k
+  from s{k} where step = {p} group by grp)"""]
+
+    parts = [f"design as (select {grp} as grp, [" + ", ".join(f"cast({c} as double)" for _, c in terms)
+             + "] as x, cast(current_dep_delayed_15 as double) as y, cast(current_DEP_DELAY as double) as d from mf)",
+             "wl as (select * from design)", *solved("l", "1.0", "d"),
+             """linear as (select grp, cast(count(*) as double) as n, any_value(k) as k, any_value(beta)[2] as l,
+  any_value(spread) as spread, sum((d - list_dot_product(x, beta)) ** 2) as rss,
+  sum(d * d) - sum(d) * sum(d) / count(*) as tss from design join bl using (grp) group by grp)""",
+             f"b0 as (select distinct grp, list_transform(range({p}), lambda v: 0.0::double) as beta from design)"]
+    for k in range(1, steps + 1):
+        parts.append(f"""w{k} as (select grp, x, m * (1 - m) as w, m * (1 - m) * eta + y - m as u from (
+  select grp, x, y, eta, 1 / (1 + exp(-eta)) as m from (
+   select grp, x, y, list_dot_product(x, beta) as eta from design join b{k - 1} using (grp)) t) t)""")
+        parts += solved(str(k), "w", "u")
+    parts.append(f"scored as (select grp, y, 1 / (1 + exp(-list_dot_product(x, beta))) as score from design join b{steps} using (grp))")
+    parts.append("""tied as (select grp, score, sum(y) as tp, sum(1 - y) as fp from scored group by grp, score),
+curve as (select *, sum(tp) over w as ctp, sum(fp) over w as cfp from tied
+  window w as (partition by grp order by score desc rows between unbounded preceding and current row)),
+area as (select grp, sum(fp * (ctp - tp / 2)) / (sum(tp) * sum(fp)) as auc, sum(tp * ctp / (ctp + cfp)) / sum(tp) as ap,
+  sum(tp) / sum(tp + fp) as rate from curve group by grp)""")
+    parts.append(f"""period as (select grp, n, l, sqrt(ls * rss / (n - k)) as lse, n - k as df, 1 - rss / tss as r2,
+  beta[2] as g, sqrt(spread) as gse, auc, ap, rate from (select grp, n, k, l, spread as ls, rss, tss from linear) t
+  join (select grp, beta, spread from b{steps}) b using (grp) join area using (grp))""")
+    return recursive(W_LI_MF.rstrip() + ", " + ",\n".join(parts) + "\n")
+
+
+YEAR_SQL = grouped_sql(terms_of("OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS), "current_year")
+_YEAR_FIT = f"""cast(n as bigint) as n_modeling_pairs, round(l, 5) as linear_coef,
+ round(l - {_t_sql('df')} * lse, 5) as linear_ci_lower, round(l + {_t_sql('df')} * lse, 5) as linear_ci_upper,
+ round(10 * l, 5) as minutes_carried_per_10_min, round(r2, 5) as linear_r_squared, round(g, 5) as logistic_coef,
+ round(exp(10 * g), 4) as logistic_or_per_10_min, round(exp(10 * (g - {Z} * gse)), 4) as logistic_or10_ci_lower,
+ round(exp(10 * (g + {Z} * gse)), 4) as logistic_or10_ci_upper, round(auc, 5) as logistic_auc,
+ round(ap, 5) as logistic_average_precision, round(rate, 5) as current_delay_rate_gt15 from period"""
+
+
+def _periods(table: DataFrame) -> DataFrame:
+    """Odds ratios to 4 places, other doubles to 5."""
+    return table.select(*[F.round(c, 4 if "_or" in c else 5).alias(c) if k == "double" else F.col(c) for c, k in table.dtypes])
+
+
+query("fit_by_year", YEAR_SQL + f"""select cast(grp as varchar) as period, grp as start_year, grp as end_year,
+ 'ok' as status, {_YEAR_FIT}""")(lambda spark, sf: _periods(periods_of(spark, sf, SU.yearly_periods)))
 query("fit_by_window")(lambda spark, sf: periods_of(spark, sf, SU.window_periods))
 
 
-@query("year_comparison")
+@query("year_comparison", YEAR_SQL + f"select * exclude (linear_ci_lower, linear_ci_upper, logistic_or10_ci_lower, "
+       f"logistic_or10_ci_upper) from (select grp as year, {_YEAR_FIT}) t")
 def q_year_comparison(spark, sf):
-    return periods_of(spark, sf, SU.yearly_periods).select(
+    return _periods(periods_of(spark, sf, SU.yearly_periods)).select(
         F.col("start_year").alias("year"), "n_modeling_pairs", "linear_coef",
         "minutes_carried_per_10_min", "linear_r_squared", "logistic_coef", "logistic_or_per_10_min",
         "logistic_auc", "logistic_average_precision", "current_delay_rate_gt15")
@@ -940,13 +1187,21 @@ def yearly_summary(periods: DataFrame) -> DataFrame:
         F.col("minutes_carried_per_10_min").alias("minutes_carried_per_10min"))
 
 
-query("yearly_summary")(lambda spark, sf: yearly_summary(periods_of(spark, sf, SU.yearly_periods)))
+query("yearly_summary", YEAR_SQL + f"""select grp as year, cast(n as bigint) as n_modeling_pairs,
+ round(exp(10 * g), 4) as logistic_or_per_10min, round(exp(10 * (g - {Z} * gse)), 4) as logistic_or10_ci_lower,
+ round(exp(10 * (g + {Z} * gse)), 4) as logistic_or10_ci_upper, round(10 * l, 5) as minutes_carried_per_10min
+ from period""")(lambda spark, sf: yearly_summary(_periods(periods_of(spark, sf, SU.yearly_periods))))
 
 
-@query("presentation_metrics")
-def q_presentation_metrics(spark, sf):
-    s = suite_of(spark, sf, "linear", "logistic")
-    return R.presentation_metrics(spark, s["main_result"], s["metrics"])
+query("presentation_metrics", BOTH_SQL.rstrip() + _AREA_SQL + """, wide as (select * from pair_fit, area)
+select 'n_modeling_pairs' as metric, round(n, 5) as value from wide
+union all select 'linear_minutes_carried_per_10_min_prev_delay', round(10 * l, 5) from wide
+union all select 'logistic_odds_ratio_per_10_min_prev_delay', round(exp(10 * g), 5) from wide
+union all select 'logistic_roc_auc', round(auc, 5) from wide
+union all select 'logistic_average_precision', round(ap, 5) from wide
+union all select 'linear_r_squared', round(r2, 5) from wide""")(
+    lambda spark, sf: (lambda out: rounded(R.presentation_metrics(spark, out["main_result"], out["metrics"]), 5))(
+        suite_of(spark, sf, "linear", "logistic")))
 
 
 # ---------------------------------------------------------------- bootstrap
