@@ -70,33 +70,36 @@ def features(letters: str) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, rounds: int = 60) -> np.ndarray:
-    """Weights (the last is the bias) of an L1-loss SVM, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    classes = np.where(y > 0, len(y) / max(2 * (y > 0).sum(), 1), len(y) / max(2 * (y < 0).sum(), 1))
-    limit = penalty * classes
-    alpha, weights, norms = np.zeros(len(x)), np.zeros(x.shape[1]), (x * x).sum(axis=1)
+    """Weights (the last is the bias) of an L1-loss SVM, by dual coordinate descent.
+
+    Rows with y = 0 take no part, so all machines share one feature table.  The
+    classes weigh the same in total.
+    """
+    rows = np.flatnonzero(y)
+    limit = np.where(y > 0, 1 / max((y > 0).sum(), 1), 1 / max((y < 0).sum(), 1)) * penalty * len(rows) / 2
+    alpha, weights, bias = np.zeros(len(y)), np.zeros(x.shape[1], x.dtype), 0.0
+    norms = np.einsum("ij,ij->i", x, x) + 1.0
     draw = np.random.default_rng(11)
     for _ in range(rounds):
         moved = 0.0
-        for i in draw.permutation(len(x)):
-            step = (1 - y[i] * (x[i] @ weights)) / norms[i]
+        for i in draw.permutation(rows):
+            step = (1 - y[i] * (float(x[i] @ weights) + bias)) / norms[i]
             new = min(max(alpha[i] + step, 0.0), limit[i])
             if new != alpha[i]:
-                weights += (new - alpha[i]) * y[i] * x[i]
-                moved = max(moved, abs(new - alpha[i]))
+                change = (new - alpha[i]) * y[i]
+                weights += x.dtype.type(change) * x[i]
+                bias += change
+                moved = max(moved, abs(change))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return weights
+    return np.append(weights, bias)
 
 
-def one_versus_one(x: np.ndarray, labels: np.ndarray) -> dict[tuple[str, str], np.ndarray]:
-    """One SVM for each pair of labels."""
-    machines = {}
-    for a, b in combinations(sorted(set(labels)), 2):
-        rows = (labels == a) | (labels == b)
-        machines[a, b] = linear_svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0))
-    return machines
+def one_versus_one(x: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> dict[tuple[str, str], np.ndarray]:
+    """One SVM for each pair of labels among ``rows`` (a mask)."""
+    return {(a, b): linear_svm(x, np.where(rows & (labels == a), 1.0, np.where(rows & (labels == b), -1.0, 0.0)))
+            for a, b in combinations(sorted(set(labels[rows])), 2)}
 
 
 def vote(machines: dict[tuple[str, str], np.ndarray], x: np.ndarray, alone: str) -> tuple[str, float]:
@@ -116,13 +119,12 @@ def vote(machines: dict[tuple[str, str], np.ndarray], x: np.ndarray, alone: str)
 class LanguageModel:
     """Family classifier and the pairwise machines inside each family."""
 
-    def __init__(self, texts: list[str], langs: list[str], families: dict[str, str]):
-        x = np.array([features(letters_of(t)) for t in texts], np.float32).reshape(-1, DIMENSIONS)
+    def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, str]):
         langs = np.array(langs, dtype=object)
         family = np.array([families.get(lang, f"only {lang}") for lang in langs], dtype=object)
-        self.families = one_versus_one(x, family)
+        self.families = one_versus_one(x, family, np.ones(len(x), bool))
         self.alone = family[0] if len(family) else None
-        self.within = {f: (one_versus_one(x[family == f], langs[family == f]), langs[family == f][0])
+        self.within = {f: (one_versus_one(x, langs, family == f), langs[family == f][0])
                        for f in sorted(set(family))}
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -155,14 +157,17 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         limit: int = PER_LANGUAGE, families: dict[str, str] | None = None) -> LanguageModel:
-    """Fit on the bounded sample; the machines are trained on the driver."""
-    rows = shared_table(labelled_sample(docs, id_col, text_col, lang_col, limit), "langid-sample").orderBy(
-        "lang", F.xxhash64("text"), "text")
-    texts, langs = [], []
-    for row in rows.toLocalIterator():
-        texts.append(row.text)
-        langs.append(row.lang)
-    return LanguageModel(texts, langs, FAMILIES if families is None else families)
+    """Fit on the bounded sample: tasks make the features, the driver trains on their table (26 MB at most
+    for four languages)."""
+    rows = shared_table(labelled_sample(docs, id_col, text_col, lang_col, limit), "langid-sample")
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: features(letters_of(t)).astype(np.float32).tobytes())
+
+    known = rows.select("lang", packed("text").alias("x")).orderBy("lang", "x").collect()
+    x = np.frombuffer(b"".join(r.x for r in known), np.float32).reshape(-1, DIMENSIONS)
+    return LanguageModel(x, [r.lang for r in known], FAMILIES if families is None else families)
 
 
 def language_column(docs: DataFrame, model: LanguageModel, text: Column) -> Column:

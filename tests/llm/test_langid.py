@@ -73,8 +73,8 @@ def test_features_of_chunks_equal_the_whole(monkeypatch):
 
 
 def test_family_comes_first():
-    model = langid.LanguageModel([t for t in TEXTS.values() for _ in range(3)], [k for k in TEXTS for _ in range(3)],
-                                 langid.FAMILIES)
+    x = np.array([langid.features(langid.letters_of(t)) for t in TEXTS.values() for _ in range(3)], np.float32)
+    model = langid.LanguageModel(x, [k for k in TEXTS for _ in range(3)], langid.FAMILIES)
     assert set(model.within) == {"germanic", "romance"}
     assert set(model.within["romance"][0]) == {("es", "fr")}
     assert model.predict(TEXTS["de"])[0] == "de"
