@@ -5,9 +5,9 @@ A window is ``size`` consecutive words of a benchmark item; a shorter, non-empty
 item is one window.  Tasks look up rolling hashes of a document's word windows
 in the set and verify every hit word by word, so hash collisions never count.
 
-The set is broadcast in blocks of at most ``BLOCK_WINDOWS`` windows.  Each block
-is one narrow pass over the text that adds its hits to a column; nothing is
-shuffled, however large the benchmark is.
+The set is broadcast in blocks of about ``BLOCK_WINDOWS`` windows, one at a time.
+A benchmark of one block is one narrow pass over the text; no text is shuffled
+for a larger one either until its hits are joined back.
 
 Defined results: null text has no words; an empty benchmark leaves every
 document clean; repeated items and rows change nothing; null item texts are
@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knockon.llm.common import shared_table
+from knockon.llm.common import row_id, shared_table
 
 WINDOW = 13
-#: Windows in one broadcast block (some 100 bytes each).
-BLOCK_WINDOWS = 200_000
+#: Windows in one broadcast block (some 500 bytes each in a task).
+BLOCK_WINDOWS = 100_000
 #: A document is contaminated if at least one word in so many is hit.
 HIT_SHARE = 20
 
@@ -100,48 +100,55 @@ class WindowSet:
         return found
 
 
-def _blocks(windows: DataFrame, limit: int) -> list[WindowSet]:
-    """One set per block; each holds a bounded number of windows."""
-    table = shared_table(windows.withColumn("h", F.xxhash64("item", "words")), "benchmark-windows")
-    count = table.count()
-    n = -(-count // limit) if count else 0
-    for i in range(n):
-        yield WindowSet([(r.item, r.words) for r in
-                         table.where(F.pmod("h", F.lit(n)) == i).select("item", "words").collect()])
+def _scan(text: Column, window_set) -> Column:
+    """struct(n_words, hits) by the windows of a broadcast set."""
+    @F.pandas_udf(HITS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        look = window_set.value
+        for texts in batches:
+            n, hits = [], []
+            for text in texts:
+                words = words_of(text)
+                n.append(len(words))
+                hits.append(look.find(words))
+            yield pd.DataFrame({"n_words": n, "hits": pd.Series(hits, dtype=object)})
+    return run(text)
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
               item_text: str = "text", size: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """``docs`` with ``__n_words`` and ``__hits`` (item, first word, words of each occurrence)."""
-    spark = docs.sparkSession
-
-    def scan(window_set, text: Column) -> Column:
-        sent = spark.sparkContext.broadcast(window_set)
-
-        @F.pandas_udf(HITS)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            look = sent.value
-            for texts in batches:
-                n, hits = [], []
-                for text in texts:
-                    words = words_of(text)
-                    n.append(len(words))
-                    hits.append(look.find(words))
-                yield pd.DataFrame({"n_words": n, "hits": pd.Series(hits, dtype=object)})
-        return run(text)
-
-    out, made = docs, []
-    sets = _blocks(benchmark_windows(benchmark, item_id, item_text, size), block)
-    for i, window_set in enumerate(sets):
-        out = out.withColumn(f"__scan{i}", scan(window_set, F.col(text_col)))
-        made.append(f"__scan{i}")
-    if not made:
-        out = out.withColumn("__scan0", scan(WindowSet([]), F.col(text_col)))
-        made.append("__scan0")
-    return out.withColumns({
-        "__n_words": F.col(f"{made[0]}.n_words"),
-        "__hits": F.concat(*[F.col(f"{c}.hits") for c in made]) if len(made) > 1 else F.col(f"{made[0]}.hits"),
-    }).drop(*made)
+    """``docs`` with ``__n_words`` and ``__hits`` (item, first word, words of each occurrence).
+
+    A set of up to ``block`` windows is one pass that adds columns.  A larger one
+    is a pass for each block, with one block in memory at a time; only the rows
+    with hits are written, and joined back by their position.
+    """
+    context = docs.sparkSession.sparkContext
+    windows = benchmark_windows(benchmark, item_id, item_text, size).withColumn("h", F.xxhash64("item", "words"))
+    windows = shared_table(windows, "benchmark-windows")
+    blocks = max(1, -(-windows.count() // block))
+
+    def window_set(i: int):
+        rows = windows.where(F.pmod("h", F.lit(blocks)) == i).select("item", "words").collect()  # about ``block`` rows
+        return context.broadcast(WindowSet([(r["item"], r["words"]) for r in rows]))
+
+    text = F.col(text_col)
+    out = docs.withColumn("__scan", _scan(text, window_set(0)))
+    if blocks == 1:
+        return out.withColumns({"__n_words": F.col("__scan.n_words"), "__hits": F.col("__scan.hits")}).drop("__scan")
+    parts = None
+    for i in range(1, blocks):
+        sent = window_set(i)
+        found = docs.select(row_id().alias("row"), _scan(text, sent).getField("hits").alias("hits"))
+        found = shared_table(found.where(F.size("hits") > 0), "benchmark-hits")
+        sent.unpersist()
+        parts = found if parts is None else parts.union(found)
+    more = parts.groupBy(F.col("row").alias("__hit_row")).agg(F.flatten(F.collect_list("hits")).alias("__more"))  # a list from each block at most
+    return (out.withColumn("__row", row_id()).join(more, F.col("__row") == F.col("__hit_row"), "left")
+            .withColumns({"__n_words": F.col("__scan.n_words"),
+                          "__hits": F.concat("__scan.hits", F.coalesce("__more", F.array().cast(
+                              "array<struct<item:string,start:long,length:int>>")))})
+            .drop("__scan", "__row", "__hit_row", "__more"))
 
 
 def hit_words(hits: Column) -> Column:

@@ -42,10 +42,11 @@ def cases(seed):
     return items, rows
 
 
-@pytest.mark.parametrize("block", [200_000, 7])
+@pytest.mark.parametrize("block", [100_000, 20])
 def test_matches_brute_force(spark, block):
     items, rows = cases(1)
     bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontam.benchmark_windows(bench, "item_id", "text", 13).count() > 60  # several blocks of 20
     found = decontam.with_hits(docs(spark, rows, clash=True), bench, block=block)
     got = found.select("doc_id", F.length("text").alias("n"), "__n_words",
                        decontam.hit_words(F.col("__hits")).alias("n_hit"),
