@@ -15,14 +15,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-#: White space as text tools strip it: Unicode separators and the control characters that count as space.
-_SPACE = r"[\p{Z}\t-\r\x1c-\x1f\x85]+"
+#: White space as text tools strip it (Unicode spaces and the control characters that count as space).
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+          "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?)$"
 
 
 def strip(c) -> Column:
     """Text without white space at either end."""
-    return F.regexp_replace(_c(c).cast("string"), f"^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(_c(c).cast("string"), F.lit(SPACES))
 
 
 def coerce_double(c, dtype=None) -> Column:
@@ -36,19 +37,24 @@ def coerce_double(c, dtype=None) -> Column:
     return F.nanvl(col, F.lit(None).cast("double"))
 
 
-# Date layouts accepted for the flight date; a clock time may follow and is ignored.
-DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "yyyyMMdd"]
-_DATE = (r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{8})"
+# Date layouts accepted for the flight date: y-m-d, y/m/d, yyyymmdd and m/d/y; a clock time may follow and is ignored.
+_DATE = (r"^(?:([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})|([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})"
+         r"|([0-9]{4})([0-9]{2})([0-9]{2})|([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}))"
          r"(?:[T ]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?: ?[AaPp][Mm])?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$")
+_ISO = "$1$4$7$12-$2$5$8$10-$3$6$9$11"
 
 
 def parse_date(c, dtype=None) -> Column:
-    """Flight date from text or a date/timestamp column; bad values -> null."""
+    """Flight date from text or a date/timestamp column; bad values -> null.
+
+    One pattern rewrites every layout to ISO, so the generated code stays small
+    enough to be compiled.
+    """
     col = _c(c)
     if dtype is not None and not isinstance(dtype, StringType):
         return col.cast("date")
-    day = F.regexp_extract(strip(col), _DATE, 1)
-    return F.coalesce(*[F.try_to_date(day, fmt) for fmt in DATE_FORMATS])
+    text = strip(col)
+    return F.when(text.rlike(_DATE), F.regexp_replace(text, _DATE, _ISO).try_cast("date"))
 
 
 def hhmm_parts(hhmm) -> tuple[Column, Column, Column]:
@@ -71,7 +77,7 @@ def hhmm_timestamp(date_col, hhmm) -> Column:
     """FL_DATE + HHMM -> naive local timestamp (timestamp_ntz), null when invalid."""
     valid, extra, hours, minutes = hhmm_parts(hhmm)
     d = _c(date_col)
-    ts = d.cast("timestamp_ntz") + F.make_dt_interval(extra, hours, minutes, F.lit(0))
+    ts = F.timestamp_add("MINUTE", extra * 1440 + hours * 60 + minutes, d.cast("timestamp_ntz"))
     return F.when(valid & d.isNotNull(), ts)
 
 

@@ -30,6 +30,8 @@ def get_spark(app: str = "knockon", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # the JVM does not compile methods beyond 8,000 bytes of bytecode: plans that would need one run by operator
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
