@@ -37,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows drawn for the mix, with ``mix_weight`` and ``mix_copies``."""
-    return mixing.mix(docs, entropy_share=MIX_ENTROPY_SHARE, repeats=MIX_REPEATS)
+    return mixing.mix(docs, entropy_share=MIX_ENTROPY_SHARE, repeats=MIX_REPEATS, sharpen=False)
 
 
 STAGES = [

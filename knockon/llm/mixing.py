@@ -4,6 +4,10 @@ A source's weight is its share of all tokens to a power, normalised.  The power
 is found by repeated sectioning of an interval: the smallest one whose weights
 have at most the target entropy and repeat no source more often than allowed.
 Each pass evaluates a row of exponents in one aggregation over the source table.
+The interval grows until it holds that power; a target or limit that no power
+meets is an error.  With ``sharpen=False`` the target only says how far to
+flatten: where the natural mix is above it already, the power stays at 1, with a
+warning that names both entropies.
 
 Realisation: a source's documents fall into ``BLOCKS`` blocks by hash.  Every
 epoch takes the blocks in an order of its own.  Whole epochs give every document
@@ -22,6 +26,7 @@ rows of their own; extra columns are kept by ``mix`` and not read by ``plan``.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +37,8 @@ from knockon.llm.common import row_id, shared_table
 BLOCKS = 1024
 SECTIONS = 16
 PRECISION = 1e-9
-#: Largest exponent that an entropy target may ask for.
-STEEPEST = 8.0
+#: Rounding allowed for where an entropy, or a number of passes, meets its bound.
+SLACK = 1e-12
 
 
 def token_count(text: Column) -> Column:
@@ -42,12 +47,15 @@ def token_count(text: Column) -> Column:
 
 
 def _sums(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
-    """For each exponent a: the sums of p^a and p^a ln p, and the largest p^(a-1)."""
+    """For each exponent a: the sums of q^a and q^a ln q, and the largest q^a / p.
+
+    q is a share p over the largest share, so no exponent makes all powers vanish.
+    """
     cells = []
     for i, a in enumerate(exponents):
-        power = F.exp(F.lit(a) * F.col("log_share"))
-        cells += [F.sum(power).alias(f"z{i}"), F.sum(power * F.col("log_share")).alias(f"e{i}"),
-                  F.max(F.exp(F.lit(a - 1) * F.col("log_share"))).alias(f"m{i}")]
+        power = F.exp(F.lit(a) * F.col("below"))
+        cells += [F.sum(power).alias(f"z{i}"), F.sum(power * F.col("below")).alias(f"e{i}"),
+                  F.max(F.exp(F.lit(a) * F.col("below") - F.col("log_share"))).alias(f"m{i}")]
     row = shares.agg(*cells).first()
     return [(row[f"z{i}"], row[f"e{i}"], row[f"m{i}"]) for i in range(len(exponents))]
 
@@ -57,60 +65,86 @@ def _smallest(shares: DataFrame, top: float, fits) -> float:
     low, high = 0.0, top
     if fits(0.0, *_sums(shares, [0.0])[0]):
         return 0.0
-    while high - low > PRECISION:
+    while high - low > PRECISION * max(1.0, high):
         inner = [low + (high - low) * i / SECTIONS for i in range(1, SECTIONS)]
         found = [fits(a, *s) for a, s in zip(inner, _sums(shares, inner))]
         first = found.index(True) if True in found else len(inner)
         low, high = ([low] + inner)[first], (inner + [high])[first]
-    return round(high, 9)
+    return min(math.ceil(high * 1e9) / 1e9, top)
+
+
+def _entropy(a: float, z: float, e: float) -> float:
+    return math.log(z) - a * e / z
 
 
-def find_exponent(shares: DataFrame, budget_ratio: float, entropy: float | None, repeats: float | None) -> float:
+def find_exponent(shares: DataFrame, budget_ratio: float, entropy: float | None, repeats: float | None,
+                  sharpen: bool = True) -> float:
     """Smallest exponent with at most ``entropy`` (nats) and ``repeats`` passes over any source.
 
-    ``shares`` has one row per source with tokens and its ``log_share``;
-    ``budget_ratio`` is the budget over all tokens.  Repetition falls up to
-    exponent 1, where all sources repeat ``budget_ratio`` times, so a tighter
-    limit gives 1.
+    ``shares`` has one row per source with tokens: its ``log_share``, and
+    ``below``, the same less the largest; ``budget_ratio`` is the budget over all
+    tokens.  Entropy falls with the exponent, down to that of the sources that
+    tie for the largest share.  Repetition falls up to exponent 1, where all
+    sources repeat ``budget_ratio`` times, and rises beyond.  So the larger of the
+    two smallest exponents meets both bounds if any does; else ``ValueError``.
     """
-    exponents = [0.0]
-    if entropy is None and repeats is None:
-        return 1.0
+    exponent = 1.0 if entropy is None and repeats is None else 0.0
     if entropy is not None:
-        exponents.append(_smallest(shares, STEEPEST, lambda a, z, e, m: math.log(z) - a * e / z <= entropy))
+        def within(a, z, e, m):
+            return _entropy(a, z, e) <= entropy + SLACK
+        top, natural = 1.0, _sums(shares, [1.0])[0]
+        if not within(1.0, *natural) and not sharpen:
+            warnings.warn(f"entropy {_entropy(1.0, *natural[:2]):.6f} of the natural mix is above the target "
+                          f"{entropy:.6f}: exponent 1 is kept", stacklevel=2)
+            exponent = 1.0
+        else:
+            least = math.log(shares.where("below = 0").count())
+            if least > entropy + SLACK:
+                raise ValueError(f"no exponent has entropy {entropy:.6f}: the largest sources tie at {least:.6f}")
+            while not within(top, *_sums(shares, [top])[0]):
+                top *= 2
+            exponent = _smallest(shares, top, within)
     if repeats is not None:
-        exponents.append(_smallest(shares, 1.0, lambda a, z, e, m: budget_ratio * m / z <= repeats))
-    return max(exponents)
+        exponent = max(exponent, _smallest(shares, 1.0, lambda a, z, e, m: budget_ratio * m / z <= repeats))
+        z, _, m = _sums(shares, [exponent])[0]
+        if budget_ratio * m / z > repeats * (1 + PRECISION):
+            raise ValueError(f"no exponent meets both bounds: at {exponent:.9g} a source is repeated "
+                             f"{budget_ratio * m / z:.6g} times, more than {repeats:g}")
+    return exponent
 
 
 def source_plan(counted: DataFrame, budget: int | None, entropy_share: float | None,
-                repeats: float | None) -> DataFrame:
+                repeats: float | None, sharpen: bool = True) -> DataFrame:
     """One row per source: tokens, weight, quota, epochs (whole passes), rest (tokens of the last pass)."""
     tokens = shared_table(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "mix-sources")
-    total, sources = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)),
-                                F.count(F.when(F.col("tokens") > 0, 1))).first()
+    total, largest, sources = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.max("tokens"),
+                                         F.count(F.when(F.col("tokens") > 0, 1))).first()
     if not total:
         return tokens.withColumns({"weight": F.lit(0.0), "quota": F.lit(0.0), "epochs": F.lit(0).cast("long"),
                                    "rest": F.lit(0.0)})
     budget = total if budget is None else budget
-    shares = tokens.where("tokens > 0").select(F.log(F.col("tokens") / float(total)).alias("log_share"))
+    below = F.log(F.col("tokens") / float(largest))
+    shares = tokens.where("tokens > 0").select(F.log(F.col("tokens") / float(total)).alias("log_share"),
+                                               below.alias("below"))
     entropy = None if entropy_share is None else entropy_share * math.log(sources)
-    exponent = find_exponent(shares, budget / total, entropy, repeats)
+    exponent = find_exponent(shares, budget / total, entropy, repeats, sharpen)
     scale = _sums(shares, [exponent])[0][0]
-    weight = F.when(F.col("tokens") > 0, F.exp(exponent * F.log(F.col("tokens") / float(total))) / scale).otherwise(0.0)
+    weight = F.when(F.col("tokens") > 0, F.exp(exponent * below) / scale).otherwise(0.0)
     quota = F.col("weight") * float(budget)
+    whole = F.floor(F.col("quota") / F.col("tokens") + SLACK)  # a pass short of whole by rounding alone is whole
     return (tokens.withColumn("weight", weight).withColumn("quota", quota)
-            .withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(0).cast("long"))
-            .withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens")))
+            .withColumn("epochs", F.when(F.col("tokens") > 0, whole).otherwise(0).cast("long"))
+            .withColumn("rest", F.greatest(F.col("quota") - F.col("epochs") * F.col("tokens"), F.lit(0.0))))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          budget: int | None = None, entropy_share: float | None = None, repeats: float | None = None,
-         seed: int = 0) -> DataFrame:
+         seed: int = 0, sharpen: bool = True) -> DataFrame:
     """One row per input row: id, row, source, n_tokens, weight, passes, block, copies.
 
     ``budget`` is in tokens (default: all tokens), ``entropy_share`` the target
-    as a share of the largest possible entropy.
+    as a share of the largest possible entropy; ``sharpen`` lets it ask for more
+    than exponent 1.
     """
     key = F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("name")))
     counted = shared_table(
@@ -118,7 +152,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
                     token_count(F.col(text_col)).alias("n_tokens"))
         .withColumn("source", key)
         .withColumn("block", F.pmod(F.xxhash64("id", "row", F.lit(seed)), F.lit(BLOCKS)).cast("int")), "mix-rows")
-    sources = shared_table(source_plan(counted, budget, entropy_share, repeats), "mix-plan")
+    sources = shared_table(source_plan(counted, budget, entropy_share, repeats, sharpen), "mix-plan")
     turn = F.xxhash64("source", "epochs", "block", F.lit(seed))
     in_turn = Window.partitionBy("source").orderBy("turn", "block")
     blocks = (counted.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))

@@ -55,7 +55,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(_table(spark, sf_dir, "documents"), entropy_share=MIX_ENTROPY_SHARE, repeats=MIX_REPEATS)
+    planned = mixing.plan(_table(spark, sf_dir, "documents"), entropy_share=MIX_ENTROPY_SHARE, repeats=MIX_REPEATS,
+                          sharpen=False)
     return mixing.schedule(planned).drop("row").withColumnRenamed("id", "doc_id")
 
 

@@ -107,3 +107,34 @@ def test_plan_is_the_same_again(spark):
     one, two = (sorted((r.row, r.copies) for r in mixing.plan(corpus(spark), entropy_share=0.95, repeats=4.0).collect())
                 for _ in range(2))
     assert one == two
+
+
+def even_corpus(spark, sizes):
+    return docs(spark, [(i, " ".join(["w"] * n), "en", f"s{i}") for i, n in enumerate(sizes)])
+
+
+def test_nearly_even_sources_meet_the_target_or_stay_natural(spark):
+    sizes = [1000 + i for i in range(20)]
+    table, goal = even_corpus(spark, sizes), 0.95 * math.log(20)
+    steep = {r.source: r.weight for r in mixing.plan(table, entropy_share=0.95, repeats=4.0).collect()}
+    assert entropy(steep) == pytest.approx(goal, abs=1e-6) and entropy(steep) <= goal + 1e-9
+    with pytest.warns(UserWarning, match="natural mix"):
+        rows = mixing.plan(table, entropy_share=0.95, repeats=4.0, sharpen=False).collect()
+    assert all(r.copies == 1 and r.weight == pytest.approx(r.n_tokens / sum(sizes)) for r in rows)
+    skewed = even_corpus(spark, [5000, 300, 20])  # natural below the target: flattened as ever
+    one, two = ({r.source: r.weight for r in mixing.plan(skewed, entropy_share=0.95, sharpen=s).collect()}
+                for s in (True, False))
+    assert one == pytest.approx(two)
+
+
+def test_targets_that_cannot_be_met_raise(spark):
+    with pytest.raises(ValueError, match="tie"):
+        mixing.plan(even_corpus(spark, [100] * 4), entropy_share=0.5)
+    with pytest.raises(ValueError, match="repeated"):
+        mixing.plan(even_corpus(spark, [100, 101, 102]), entropy_share=0.1, repeats=1.5)
+    with pytest.raises(ValueError, match="repeated"):
+        mixing.plan(even_corpus(spark, [100, 50]), budget=900, repeats=2.0)
+
+
+def test_exponent_one_takes_every_document_once(spark):
+    assert {r.copies for r in mixing.plan(even_corpus(spark, range(1, 60))).collect()} == {1}
