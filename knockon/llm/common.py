@@ -44,6 +44,12 @@ def is_held_out(id_col: Column) -> Column:
 def row_id() -> Column:
     """Identity of an input row, also where ids are null or repeated.
 
-    Stable over re-evaluation for deterministic inputs such as table scans.
+    Holds for one job only: a later scan of the same table may be split in another
+    way, for it goes by the cores there are then.  So it is always written.
     """
     return F.monotonically_increasing_id()
+
+
+def numbered(df: DataFrame, name: str, column: str = "__row") -> DataFrame:
+    """``df`` written once with its ``row_id``: decisions and rows read from it agree on the ids."""
+    return shared_table(df.withColumn(column, row_id()), name)

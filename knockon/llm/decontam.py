@@ -6,8 +6,9 @@ item is one window.  Tasks look up rolling hashes of a document's word windows
 in the set and verify every hit word by word, so hash collisions never count.
 
 The set is broadcast in blocks of about ``BLOCK_WINDOWS`` windows, one at a time.
-A benchmark of one block is one narrow pass over the text; no text is shuffled
-for a larger one either until its hits are joined back.
+A benchmark of one block is one narrow pass over the text; for a larger one the
+rows are written once with their ids, and no text is shuffled until the hits are
+joined back.
 
 Defined results: null text has no words; an empty benchmark leaves every
 document clean; repeated items and rows change nothing; null item texts are
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knockon.llm.common import row_id, shared_table
+from knockon.llm.common import numbered, shared_table
 
 WINDOW = 13
 #: Windows in one broadcast block (some 500 bytes each in a task).
@@ -120,8 +121,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     """``docs`` with ``__n_words`` and ``__hits`` (item, first word, words of each occurrence).
 
     A set of up to ``block`` windows is one pass that adds columns.  A larger one
-    is a pass for each block, with one block in memory at a time; only the rows
-    with hits are written, and joined back by their position.
+    is a pass for each block over the rows written once with their ids, with one
+    block in memory at a time; rows with hits are written, and joined back by id.
     """
     context = docs.sparkSession.sparkContext
     windows = benchmark_windows(benchmark, item_id, item_text, size).withColumn("h", F.xxhash64("item", "words"))
@@ -133,18 +134,20 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
         return context.broadcast(WindowSet([(r["item"], r["words"]) for r in rows]))
 
     text = F.col(text_col)
+    if blocks > 1:
+        docs = numbered(docs, "benchmark-docs")
     out = docs.withColumn("__scan", _scan(text, window_set(0)))
     if blocks == 1:
         return out.withColumns({"__n_words": F.col("__scan.n_words"), "__hits": F.col("__scan.hits")}).drop("__scan")
     parts = None
     for i in range(1, blocks):
         sent = window_set(i)
-        found = docs.select(row_id().alias("row"), _scan(text, sent).getField("hits").alias("hits"))
+        found = docs.select(F.col("__row").alias("row"), _scan(text, sent).getField("hits").alias("hits"))
         found = shared_table(found.where(F.size("hits") > 0), "benchmark-hits")
         sent.unpersist()
         parts = found if parts is None else parts.union(found)
     more = parts.groupBy(F.col("row").alias("__hit_row")).agg(F.flatten(F.collect_list("hits")).alias("__more"))  # a list from each block at most
-    return (out.withColumn("__row", row_id()).join(more, F.col("__row") == F.col("__hit_row"), "left")
+    return (out.join(more, F.col("__row") == F.col("__hit_row"), "left")
             .withColumns({"__n_words": F.col("__scan.n_words"),
                           "__hits": F.concat("__scan.hits", F.coalesce("__more", F.array().cast(
                               "array<struct<item:string,start:long,length:int>>")))})

@@ -1,9 +1,10 @@
 """Exact deduplication by 128-bit content hash, with byte comparison inside groups.
 
-Native DataFrame code.  Texts are grouped on (hash, text): the hash partitions
-and finds the group, the text comparison inside the aggregate keeps colliding
-texts apart.  Partial aggregation folds copies before the shuffle, so a text
-that makes up a third of all rows crosses the network once per task.
+Native DataFrame code.  The input is written once with its row ids.  Texts are
+grouped on (hash, text): the hash partitions and finds the group, the text
+comparison inside the aggregate keeps colliding texts apart.  Partial aggregation
+folds copies before the shuffle, so a text that makes up a third of all rows
+crosses the network once per task.
 
 Defined results: null text counts as empty text; equal (id, text) rows are one
 group and exactly one of them is kept; a null id sorts below every id; an empty
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knockon.llm.common import ascii_lower, row_id, shared_table
+from knockon.llm.common import ascii_lower, numbered, shared_table
 
 
 def content_hash(text: Column) -> Column:
@@ -35,15 +36,18 @@ def _keep(prefer: str):
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 normalise=ascii_lower, prefer: str = "min", hasher=content_hash) -> DataFrame:
+                 normalise=ascii_lower, prefer: str = "min", hasher=content_hash,
+                 row_col: str | None = None) -> DataFrame:
     """One row per input row: id, row, keep_id, group_size, kept, text_sha256.
 
     ``prefer`` names the id that stays in a group.  ``row`` identifies the input
-    row (see ``common.row_id``).  ``hasher`` can be replaced to test collisions.
+    row (see ``common.row_id``); ``row_col`` names the column of a written table that
+    holds it already.  ``hasher`` can be replaced to test collisions.
     """
-    keyed = (docs.select(F.col(id_col).alias("_id"), normalise(F.col(text_col)).alias("_text"),
-                         row_id().alias("_row"))
-             .withColumn("_hash", hasher(F.col("_text"))))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
+                       *([] if row_col is None else [F.col(row_col).alias("_row")]))
+    rows = numbered(rows, "exact-rows", "_row") if row_col is None else rows
+    keyed = rows.withColumn("_text", normalise(F.col("_text"))).withColumn("_hash", hasher(F.col("_text")))
     classes = keyed.groupBy("_hash", "_text").agg(
         _keep(prefer).alias("_keep"), F.count(F.lit(1)).alias("_size"))
     groups = shared_table(
@@ -72,7 +76,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The rows are matched back on their position, which is unique, so no key is hot.
     """
-    survivors = exact_groups(docs, id_col, text_col, prefer=prefer).where("kept").select(
+    rows = numbered(docs, "exact-docs")
+    survivors = exact_groups(rows, id_col, text_col, prefer=prefer, row_col="__row").where("kept").select(
         F.col("row").alias("__kept_row"))
-    return (docs.withColumn("__row", row_id())
-            .join(survivors, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row"))
+    return rows.join(survivors, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")

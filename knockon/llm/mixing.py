@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knockon.llm.common import row_id, shared_table
+from knockon.llm.common import numbered, row_id, shared_table
 
 BLOCKS = 1024
 SECTIONS = 16
@@ -139,16 +139,18 @@ def source_plan(counted: DataFrame, budget: int | None, entropy_share: float | N
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          budget: int | None = None, entropy_share: float | None = None, repeats: float | None = None,
-         seed: int = 0, sharpen: bool = True) -> DataFrame:
+         seed: int = 0, sharpen: bool = True, row_col: str | None = None) -> DataFrame:
     """One row per input row: id, row, source, n_tokens, weight, passes, block, copies.
 
     ``budget`` is in tokens (default: all tokens), ``entropy_share`` the target
     as a share of the largest possible entropy; ``sharpen`` lets it ask for more
-    than exponent 1.
+    than exponent 1.  ``row_col`` names the column of a written table that holds
+    the row ids already.
     """
+    row = row_id() if row_col is None else F.col(row_col)
     key = F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("name")))
     counted = shared_table(
-        docs.select(F.col(id_col).alias("id"), row_id().alias("row"), F.col(source_col).cast("string").alias("name"),
+        docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).cast("string").alias("name"),
                     token_count(F.col(text_col)).alias("n_tokens"))
         .withColumn("source", key)
         .withColumn("block", F.pmod(F.xxhash64("id", "row", F.lit(seed)), F.lit(BLOCKS)).cast("int")), "mix-rows")
@@ -191,8 +193,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Columns of these names in ``docs`` are replaced.
     """
-    drawn = plan(docs, id_col, text_col, source_col, **options).where("copies > 0").select(
+    rows = numbered(docs.drop("mix_weight", "mix_copies"), "mix-docs")
+    drawn = plan(rows, id_col, text_col, source_col, row_col="__row", **options).where("copies > 0").select(
         F.col("row").alias("__drawn"), F.col("weight").alias("__weight"), F.col("copies").alias("__copies"))
-    rows = docs.drop("mix_weight", "mix_copies").withColumn("__row", row_id())
     return (rows.join(drawn, F.col("__row") == F.col("__drawn")).drop("__row", "__drawn")
             .withColumnsRenamed({"__weight": "mix_weight", "__copies": "mix_copies"}))

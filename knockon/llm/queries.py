@@ -111,7 +111,7 @@ def damaged(record, data):
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as WARC records, audited against a replica with damage planted by page_id."""
     pages = _table(spark, sf_dir, "pages")
-    found = warc.audit(warc.pack(pages), warc.pack(pages, stored=damaged))
+    found = warc.audit(*warc.replicas(pages, [None, damaged]))
     return found.select(F.col("record").cast("long").alias("page_id"), "status",
                         F.col("length_a").alias("length"), F.col("digest_a").alias("record_sha256"))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knockon.llm.common import row_id, shared_table
+from knockon.llm.common import numbered, row_id, shared_table
 from knockon.llm.components import connected_components
 
 BITS = 64
@@ -136,13 +136,15 @@ def near_links(prints: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                shingle: int = 3, distance: int = 2) -> DataFrame:
+                shingle: int = 3, distance: int = 2, row_col: str | None = None) -> DataFrame:
     """One row per input row: id, row, fingerprint (hex), component_id, component.
 
     ``component`` identifies the group even where ids are null or repeated;
-    ``component_id`` is its smallest id.
+    ``component_id`` is its smallest id.  ``row_col`` names the column of a written
+    table that holds the row ids already.
     """
-    rows = shared_table(docs.select(F.col(id_col).alias("id"), row_id().alias("row"),
+    row = row_id() if row_col is None else F.col(row_col)
+    rows = shared_table(docs.select(F.col(id_col).alias("id"), row.alias("row"),
                                     fingerprint_column(F.col(text_col), shingle).alias("fp")), "simhash-rows")
     prints = shared_table(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-prints")
     linked = connected_components(near_links(prints.select("fp"), distance), "a", "b")
@@ -157,9 +159,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          shingle: int = 3, distance: int = 2) -> DataFrame:
     """One row of each group, with all its columns: the one with the smallest id, then position."""
-    groups = near_groups(docs, id_col, text_col, shingle, distance)
+    rows = numbered(docs, "simhash-docs")
+    groups = near_groups(rows, id_col, text_col, shingle, distance, "__row")
     survivors = groups.groupBy("component").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("keep")).select(
         F.col("keep.row").alias("__kept_row"))
-    return (docs.withColumn("__row", row_id())
-            .join(survivors, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row"))
+    return rows.join(survivors, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")

@@ -45,24 +45,34 @@ def record_text(uri: Column, record: Column, payload: Column) -> Column:
 
 def pack(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
          per_file: int = RECORDS_PER_FILE, stored=None) -> DataFrame:
+    """One replica as ``replicas`` lays it out; replicas to be compared come from one call of that."""
+    return replicas(pages, [stored], id_col, url_col, html_col, per_file)[0]
+
+
+def replicas(pages: DataFrame, stored: list, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+             per_file: int = RECORDS_PER_FILE) -> list[DataFrame]:
     """Records laid out in files of ``per_file`` pages, in input order: record, file, offset, length, digest.
 
-    Bytes are hashed where they are read; only hashes and lengths are shuffled,
-    and offsets are running sums inside one file.  ``stored`` maps (id, bytes)
-    to the bytes a replica holds in place of the record, null if it lost it.
+    One table for each entry of ``stored``, which maps (id, bytes) to the bytes a
+    replica holds in place of the record, null if it lost it; None keeps them.
+    The layout is written once for all replicas.  Bytes are hashed where they are
+    read, in one pass; only hashes and lengths are written and shuffled, and
+    offsets are running sums inside one file.
     """
     data = F.concat(record_text(F.col(url_col), F.col(id_col), F.col(html_col)), F.lit(END)).cast("binary")
     rows = pages.select(row_id().alias("row"), F.col(id_col).alias("id"), data.alias("data"))
-    held = F.col("data") if stored is None else stored(F.col("id"), F.col("data"))
-    hashed = rows.select(
+    held = [F.col("data") if s is None else s(F.col("id"), F.col("data")) for s in stored]
+    laid = shared_table(rows.select(
         F.format_string("%05d-%06d.warc", F.shiftright("row", 33),
                         F.floor(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) / per_file)).alias("file"),
         "row", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("record"),
         F.octet_length("data").cast("long").alias("slot"),
-        F.octet_length(held).cast("long").alias("length"), F.sha2(held, 256).alias("digest"))
+        *[F.struct(F.octet_length(h).cast("long").alias("length"), F.sha2(h, 256).alias("digest")).alias(f"held{i}")
+          for i, h in enumerate(held)]), "warc-layout")
     before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    return (hashed.withColumn("offset", F.coalesce(F.sum("slot").over(before), F.lit(0)))
-            .where(F.col("digest").isNotNull()).select("record", "file", "offset", "length", "digest"))
+    placed = laid.withColumn("offset", F.coalesce(F.sum("slot").over(before), F.lit(0)))
+    return [placed.select("record", "file", "offset", f"held{i}.length", f"held{i}.digest")
+            .where(F.col("digest").isNotNull()) for i in range(len(held))]
 
 
 def write_files(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
