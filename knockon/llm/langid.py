@@ -193,7 +193,16 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def keep_identified(docs: DataFrame, text_col: str = "text", accept: list[str] | None = None,
                     **options) -> DataFrame:
-    """Rows whose language is found (and in ``accept`` if given), with all their columns."""
-    found = language_column(docs, fit(docs, text_col=text_col, **options), F.col(text_col)).getField("lang")
+    """Rows whose language is found (and in ``accept`` if given), with all their columns.
+
+    Without ``accept`` only ``und`` goes, and if nothing is labelled, texts without a letter.
+    """
+    model = fit(docs, text_col=text_col, **options)
+    if accept is None and model.alone is None:
+        @F.pandas_udf("boolean")
+        def lettered(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: bool(letters_of(t)))
+        return docs.where(lettered(F.col(text_col)))
+    found = language_column(docs, model, F.col(text_col)).getField("lang")
     kept = found != UNDETERMINED if accept is None else found.isin(list(accept))
     return docs.where(kept)

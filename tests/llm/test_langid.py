@@ -86,3 +86,9 @@ def test_accuracy_on_held_out_documents(spark, sf):
     joined = langid.predict(table).join(table.selectExpr("doc_id as id", "lang"), "id").where("held_out and lang is not null")
     right, total = joined.selectExpr("sum(int(lang = lang_pred))", "count(*)").first()
     assert right / total > 0.97
+
+
+def test_texts_with_letters_stay_when_nothing_is_labelled(spark):
+    table = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "é", None)],
+                                  "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.keep_identified(table).collect()) == [1, 4]
