@@ -91,7 +91,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = urlfilter.judge(_table(spark, sf_dir, "pages"), SITE_RULES + URL_PATTERNS)
+    judged = urlfilter.judge(_table(spark, sf_dir, "pages"), SITE_RULES + URL_PATTERNS, hostless=True)
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 

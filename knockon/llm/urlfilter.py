@@ -11,7 +11,9 @@ too; of the rules that fit, the longest decides, block before allow on a tie,
 then by name.  Other patterns decide only where no site rule fits.
 
 Defined results: a null url, or one without ``://``, has empty host and path
-and no rule; rules without a literal token are tried on every URL; an empty rule
+and no rule; a URL with an empty host and a path meets no rule unless ``hostless``
+is set, which lets patterns see its path; rules without a literal token are tried
+on every URL; an empty rule
 list gives every URL the default verdict; repeated rows get a row each; extra
 columns are not read by ``judge``.
 """
@@ -93,18 +95,18 @@ def rarest_tokens(rules: DataFrame, tokens: DataFrame, small: bool = True) -> Da
 
 
 def judge(pages: DataFrame, rules: list[Rule] | DataFrame, url_col: str = "url", id_col: str = "page_id",
-          default: str = "allow") -> DataFrame:
+          default: str = "allow", hostless: bool = False) -> DataFrame:
     """One row per input row: id, host, path, rule (site rule or null), pattern (other rule or null), verdict.
 
     ``rules`` is a list, or a table shaped like ``rules_table``.  Up to
     ``BROADCAST_RULES`` rules the index is broadcast, beyond that it is joined by
-    salted tokens.
+    salted tokens.  ``hostless`` judges paths without a host too.
     """
     spark = pages.sparkSession
     rules = rules_table(spark, rules) if isinstance(rules, list) else shared_table(rules, "url-patterns")
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"),
                         path_of(F.col(url_col)).alias("path"))
-    urls = shared_table(rows.select("host", "path").where("host <> ''").distinct(), "urls")
+    urls = shared_table(rows.select("host", "path").where("host <> '' or path <> ''" if hostless else "host <> ''").distinct(), "urls")
     tokens = (urls.select("host", "path", F.explode(F.array_distinct(F.split(
         ascii_lower(F.concat("host", "path")), _SEPARATORS))).alias("token")).where("token <> ''"))
     small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES

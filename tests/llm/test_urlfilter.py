@@ -80,3 +80,17 @@ def test_ties_defaults_and_empty_tables(spark):
     assert sorted(r.verdict for r in urlfilter.judge(pages, two).collect()) == ["allow", "block"]
     assert {r.verdict for r in urlfilter.judge(pages, [], default="block").collect()} == {"block"}
     assert urlfilter.judge(pages.where("url = ''"), SITE_RULES).count() == 0
+
+
+def test_query_judges_paths_without_a_host_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from knockon.llm import queries
+
+    table(spark, ["file:///xxx/a", "http:///porn/", "file:///tmp/a", "http:///com/", None, "no scheme"]).select(
+        F.monotonically_increasing_id().alias("page_id"), "url").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = {r[0]: r[-1] for r in db.execute(queries.ORACLES["op8_url_filter"]).fetchall()}
+    got = {r.page_id: r.verdict for r in queries.op8_url_filter(spark, str(tmp_path)).collect()}
+    assert got == want and sorted(got.values()) == ["allow"] * 4 + ["block"] * 2
