@@ -15,6 +15,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Spark setting: an execution's shuffle files are removed when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_spark(app: str = "knockon", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
@@ -67,11 +70,18 @@ def materialize(df, name: str = "stage"):
     """Cut lineage: write a Parquet table into the shared folder and read it back.
 
     For stage boundaries that several branches or passes read.  Later readers
-    prune columns and push filters down, and lost executors reread files.
+    prune columns and push filters down, and lost executors reread files.  The
+    shuffle files of the write go when it has ended: nothing reads them again.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    try:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
