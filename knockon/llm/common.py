@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knockon.session import scratch_path
+from knockon.session import materialize
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
@@ -16,10 +16,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage like ``checkpoint()``, but columnar: later readers prune
     columns and AQE sees real sizes.  A lost executor rereads files.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize(df, name)
 
 
 def ascii_lower(col: Column) -> Column:
