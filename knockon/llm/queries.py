@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knockon.llm import decontam, exact_dedup, htmltext, langid, mixing, pii, simhash, toxicity, urlfilter, warc
+from knockon.llm import (corpus_queries, decontam, exact_dedup, htmltext, langid, mixing, pii, simhash, toxicity,
+                         urlfilter, warc)
 
 SHINGLE_WORDS = 3
 SIMHASH_DISTANCE = 2
@@ -127,6 +128,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_warc_fixity": op10_warc_fixity,
+    **corpus_queries.QUERIES,
 }
 
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -193,4 +195,5 @@ ORACLES = {
         SELECT page_id, CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'changed' END AS status,
                strlen(record)::BIGINT AS length, sha256(record) AS record_sha256
         FROM p WHERE page_id % 101 = 7 OR page_id % 97 = 5""",
+    **corpus_queries.ORACLES,
 }

@@ -31,6 +31,7 @@ CONTRACT = {
     "op7_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op8_url_filter": "page_id host path rule verdict",
     "op9_language_id": "doc_id held_out lang_pred score",
+    "op13_repeated_passages": "doc_id n_bytes n_removed n_spans kept_sha256",
 }
 
 
