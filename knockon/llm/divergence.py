@@ -1,12 +1,13 @@
 """How far the sources of a language differ in their words: an audit over a single-pass inverted index.
 
 Single-pass in-memory indexing: a task reads whole texts and builds block
-postings, term -> {source: occurrences} with the number of documents, per
-language.  When the block holds ``BLOCK_POSTINGS`` postings it is spilled as a
-run sorted by (language, term).  Runs are dealt out to shards by the hash of
-(language, term); within a shard Spark's external sort merges the sorted runs
-by a priority queue, and one streaming pass folds equal terms into frequencies.
-A block sends one row a term, so a word of every document costs one row a block.
+postings, the occurrences of each term per (language, source) and the number of
+documents per language.  When the block holds ``BLOCK_POSTINGS`` postings it is
+spilled as a run sorted by (language, term).  Runs are dealt out to shards by
+the hash of (language, term); within a shard Spark's external sort merges the
+sorted runs by a priority queue, and one streaming pass folds equal terms into
+frequencies.  A block sends one row per posting, so a word of every document
+costs as many rows a block as there are sources.
 
 Frequencies give add-two smoothed rates p in billionths, all in integers.  The
 divergence of two rates is f = floor((p - q)^2 / (p + q)).  A pair of sources
@@ -16,8 +17,8 @@ V * f(floor, floor) and corrections are streamed:
 
 * terms of one source against the other's floor, from the histogram of its
   counts (how many terms it holds so often), and
-* terms that both hold, from their posting lists, added up in square tables of
-  at most ``SIDE`` sources inside the tasks.
+* terms that both hold, from their posting lists: neighbours 1, 2, 3, ... places
+  apart in a list, a batch of terms at a time, summed per pair inside the tasks.
 
 Each pair of sources of a language is a row of the result; nothing else is
 expanded into pairs, and no task or driver holds all of them.
@@ -45,93 +46,112 @@ TOP_TERMS = 10
 UNIT = 1_000_000_000
 SMOOTHING = 2
 #: Postings (term and source) of a block in memory before it is spilled as a run.
-BLOCK_POSTINGS = 250_000
+BLOCK_POSTINGS = 500_000
 #: Bytes of a text that are split into terms at once.
 SLICE = 1 << 22
 #: Rows of a run sent on at once.
-RUN_ROWS = 5_000
-#: Sources whose pair corrections a task adds up in one square table.
-SIDE = 1_024
+RUN_ROWS = 20_000
+#: Rows of one term folded at once, and pair sums held by a task before it sends them on.
+FOLD_ROWS = 50_000
+PAIR_SUMS = 1_000_000
 
 #: Bytes of terms are letters and all bytes above ASCII; other bytes separate.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def count_terms(text: str | None) -> Counter:
-    """Occurrences of each term (UTF-8) of the whole text."""
+def terms_of(text: str | None) -> Iterator[list[bytes]]:
+    """Terms (UTF-8) of the whole text, slice by slice."""
     data = (text or "").encode("utf-8", "replace").translate(_TERM_BYTES)
-    found: Counter = Counter()
     at = 0
     while at < len(data):
         to = data.find(b" ", at + SLICE) if at + SLICE < len(data) else -1
-        found.update(data[at:to if to >= 0 else len(data)].split())
+        yield data[at:to if to >= 0 else len(data)].split()
         at = to if to >= 0 else len(data)
-    return found
 
 
-def _run(block: dict) -> Iterator[pd.DataFrame]:
-    """The block as a run sorted by (language, term)."""
-    keys = sorted((lang.encode("utf-8", "replace"), term, lang) for lang, terms in block.items() for term in terms)
-    for at in range(0, len(keys), RUN_ROWS):
-        rows = []
-        for _, term, lang in keys[at:at + RUN_ROWS]:
-            own = block[lang][term]
-            sources = [s for s in own if s is not None]
-            rows.append((lang, term.decode(), own[None], sources, [own[s] for s in sources]))
-        yield pd.DataFrame(rows, columns=["lang", "term", "documents", "sources", "counts"])
+def _run(counts: dict, documents: dict) -> Iterator[pd.DataFrame]:
+    """The block as a run sorted by (language, term); a term's first posting carries its documents."""
+    by_lang: dict[str, list] = {}
+    for (lang, source), own in counts.items():
+        by_lang.setdefault(lang, []).extend([(term, source, n) for term, n in own.items()])
+    for lang in sorted(by_lang):
+        rows = sorted(by_lang[lang])
+        held = documents[lang]
+        for at in range(0, len(rows), RUN_ROWS):
+            terms, sources, sums = zip(*rows[at:at + RUN_ROWS])
+            yield pd.DataFrame({"lang": lang, "term": [t.decode() for t in terms], "source": sources, "count": sums,
+                                "documents": [held.pop(t, 0) for t in terms]})
 
 
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Block postings per task; the number of documents of a term is kept under None."""
-    block: dict = {}
+    """Block postings per task, spilled as sorted runs."""
+    counts: dict[tuple[str, str], Counter] = {}
+    documents: dict[str, Counter] = {}
     held = 0
     for batch in batches:
         for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
-            terms = block.setdefault(lang, {})
-            for term, n in count_terms(text).items():
-                own = terms.get(term)
-                if own is None:
-                    terms[term] = {None: 1, source: n}
-                    held += 1
-                else:
-                    own[None] += 1
-                    before = own.get(source, 0)
-                    held += not before
-                    own[source] = before + n
+            own = counts.setdefault((lang, source), Counter())
+            before = len(own)
+            seen: set[bytes] = set()
+            for terms in terms_of(text):
+                own.update(terms)
+                seen.update(terms)
+            documents.setdefault(lang, Counter()).update(seen)
+            held += len(own) - before
             if held >= BLOCK_POSTINGS:
-                yield from _run(block)
-                block, held = {}, 0
-    yield from _run(block)
+                yield from _run(counts, documents)
+                counts, documents, held = {}, {}, 0
+    yield from _run(counts, documents)
 
 
-def _merged(least: int):
-    """Task function over the sorted rows of a shard: terms of enough documents with their frequencies."""
-    columns = ["lang", "term", "documents", "sources", "counts"]
+def _starts(batch: pd.DataFrame) -> np.ndarray:
+    """True where a (language, term) begins in sorted rows."""
+    lang, term = batch["lang"].to_numpy(), batch["term"].to_numpy()
+    return np.r_[True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])]
+
+
+def _whole_terms(batches: Iterator[pd.DataFrame], fold=None) -> Iterator[pd.DataFrame]:
+    """The sorted rows again, cut between terms; ``fold`` shortens the rows of a term that fills batches."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        last = int(np.flatnonzero(_starts(rest))[-1]) if len(rest) else 0
+        if last:
+            yield rest.iloc[:last]
+            rest = rest.iloc[last:].reset_index(drop=True)
+        elif fold and len(rest) >= FOLD_ROWS:
+            rest = fold(rest)
+    if rest is not None and len(rest):
+        yield rest
+
+
+KEYS = ["lang", "term", "source"]
+
+
+def _folded(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.groupby(KEYS, sort=False, as_index=False)[["count", "documents"]].sum()
 
+
+def _merged(least: int):
+    """Task function over the sorted rows of a shard: postings of the terms of enough documents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, documents, counts = None, 0, {}
-
-        def closed():
-            return [(*key, documents, list(counts), list(counts.values()))] if key and documents >= least else []
-        for batch in batches:
-            rows = []
-            for lang, term, n, sources, own in zip(*(batch[c] for c in columns)):
-                if (lang, term) != key:
-                    rows += closed()
-                    key, documents, counts = (lang, term), 0, {}
-                documents += n
-                for source, count in zip(sources, own):
-                    counts[source] = counts.get(source, 0) + int(count)
-            yield pd.DataFrame(rows, columns=columns)
-        yield pd.DataFrame(closed(), columns=columns)
+        for rows in _whole_terms(batches, _folded):
+            begins = np.flatnonzero(_starts(rows))
+            held = np.add.reduceat(rows["documents"].to_numpy(), begins)
+            enough = np.repeat(held >= least, np.diff(np.r_[begins, len(rows)]))
+            if enough.any():
+                yield _folded(rows[enough])
     return run
 
 
-POSTINGS = "lang string, term string, documents long, sources array<string>, counts array<long>"
+POSTINGS = "lang string, term string, source string, count long, documents long"
 
 
 def index(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """Kept terms: lang, term, documents, sources, counts (docs: lang, source, text without nulls in lang and source)."""
+    """Postings lang, term, source, count of the kept terms (docs: lang, source, text; no null lang or source).
+
+    The documents of a term are the sum over its postings.
+    """
     runs = docs.select("lang", "source", "text").mapInPandas(_index, POSTINGS)
     shards = runs.repartition("lang", "term").sortWithinPartitions("lang", "term")
     return shards.mapInPandas(_merged(least), POSTINGS)
@@ -152,52 +172,56 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return gap * gap // (p + q)
 
 
-class _Pairs:
-    """Sums over pairs of the sources met so far, in one square table."""
-
-    def __init__(self):
-        self.at: dict[str, int] = {}
-        self.sums = np.zeros((16, 16), np.int64)
-
-    def places(self, sources: list[str]) -> np.ndarray:
-        places = np.array([self.at.setdefault(s, len(self.at)) for s in sources])
-        if len(self.at) > len(self.sums):
-            wider = np.zeros((2 * len(self.at),) * 2, np.int64)
-            wider[:len(self.sums), :len(self.sums)] = self.sums
-            self.sums = wider
-        return places
-
-    def rows(self, lang: str) -> pd.DataFrame:
-        names = list(self.at)
-        both = self.sums + self.sums.T
-        i, j = np.nonzero(np.triu(both, 1))
-        return pd.DataFrame({"lang": lang, "a": [names[x] for x in i], "b": [names[x] for x in j],
-                             "value": both[i, j]})
+def _pair_sums(rows: pd.DataFrame, codes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of groups, as code * 2^32 + code, and their corrections over the terms in ``rows`` (whole terms)."""
+    group = np.array([codes.setdefault(g, len(codes)) for g in zip(rows["lang"], rows["source"])], np.int64)
+    term = np.cumsum(_starts(rows))
+    p, floor = rows["p"].to_numpy(np.int64), rows["floor"].to_numpy(np.int64)
+    at, apart, keys, sums = np.arange(len(rows)), 0, [], []
+    while True:
+        apart += 1
+        at = at[at + apart < len(rows)]
+        at = at[term[at] == term[at + apart]]
+        if not len(at):
+            break
+        other = at + apart
+        pa, pb, fa, fb = p[at], p[other], floor[at], floor[other]
+        more = _f(pa, pb) - _f(pa, fb) - _f(fa, pb) + _f(fa, fb)
+        low, high = np.minimum(group[at], group[other]), np.maximum(group[at], group[other])
+        keys.append(low << 32 | high)
+        sums.append(more)
+        if sum(map(len, keys)) > PAIR_SUMS:
+            key, total = _sum_by(np.concatenate(keys), np.concatenate(sums))
+            keys, sums = [key], [total]
+    return (_sum_by(np.concatenate(keys), np.concatenate(sums)) if keys
+            else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
+def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][:len(keys)])
+    return keys[begins], np.add.reduceat(values, begins) if len(begins) else values
 
 
 def _shared_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Corrections for terms that both sources of a pair hold, summed per task."""
-    tables: dict[str, _Pairs] = {}
-    for batch in batches:
-        for lang, holders in zip(batch["lang"], batch["holders"]):
-            names = [h["source"] for h in holders]
-            p = np.array([h["p"] for h in holders], np.int64)
-            floor = np.array([h["floor"] for h in holders], np.int64)
-            half = SIDE // 2
-            for a in range(0, len(names), half):
-                for b in range(a, len(names), half):
-                    one, two = slice(a, a + half), slice(b, b + half)
-                    table = tables.setdefault(lang, _Pairs())
-                    fresh = {*names[one], *names[two]} - table.at.keys()
-                    if len(table.at) + len(fresh) > SIDE:
-                        yield table.rows(lang)
-                        table = tables[lang] = _Pairs()
-                    rows = np.ix_(table.places(names[one]), table.places(names[two]))
-                    pa, pb, fa, fb = p[one, None], p[None, two], floor[one, None], floor[None, two]
-                    more = _f(pa, pb) - _f(pa, fb) - _f(fa, pb) + _f(fa, fb)
-                    table.sums[rows] += np.triu(more, 1) if a == b else more
-    for lang, table in tables.items():
-        yield table.rows(lang)
+    codes: dict[tuple[str, str], int] = {}
+    keys = sums = np.zeros(0, np.int64)
+
+    def rows() -> pd.DataFrame:
+        groups = list(codes)
+        return pd.DataFrame({"lang": [groups[k >> 32][0] for k in keys.tolist()],
+                             "a": [groups[k >> 32][1] for k in keys.tolist()],
+                             "b": [groups[k & (1 << 32) - 1][1] for k in keys.tolist()], "value": sums})
+    for batch in _whole_terms(batches):
+        key, total = _pair_sums(batch, codes)
+        keys, sums = _sum_by(np.concatenate([keys, key]), np.concatenate([sums, total]))
+        if len(keys) > PAIR_SUMS:
+            yield rows()
+            codes, keys, sums = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(keys):
+        yield rows()
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -206,26 +230,22 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     def filled(name: str, alias: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(alias)
     rows = docs.select(filled(lang_col, "lang"), filled(source_col, "source"), filled(text_col, "text"))
-    kept = shared_table(index(rows, least), "divergence-postings")
-    postings = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("of")).select(
-        "lang", "term", F.col("of.sources").alias("source"), F.col("of.counts").alias("count"))
-
+    kept = shared_table(index(rows, least).drop("documents"), "divergence-postings")
+    totals = kept.groupBy("lang", "term").agg(F.sum("count").alias("total"))
     size = F.col("n") + SMOOTHING * F.col("terms")
     floor = F.when(F.col("terms") > 0, rate(F.lit(0), size)).otherwise(F.lit(0))
-    langs = shared_table(kept.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("terms"),
-        F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "divergence-langs")
+    langs = shared_table(totals.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("n")),
+                         "divergence-langs")
     groups = (rows.select("lang", "source").distinct()
-              .join(postings.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
+              .join(kept.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
               .join(langs.select("lang", "terms"), "lang", "left")
               .select("lang", "source", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
                       F.coalesce("terms", F.lit(0)).cast("long").alias("terms")))
     groups = shared_table(groups.withColumns({"size": size, "floor": floor.cast("long")}), "divergence-groups")
 
-    overall = kept.join(langs.select("lang", size.alias("all")), "lang").withColumn(
-        "q", rate(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x), F.col("all")))
-    rated = (overall.select("lang", "term", "q", F.explode(F.arrays_zip("sources", "counts")).alias("of"))
-             .select("lang", "term", "q", F.col("of.sources").alias("source"), F.col("of.counts").alias("count"))
+    overall = totals.join(langs.select("lang", size.alias("all")), "lang").select(
+        "lang", "term", rate(F.col("total"), F.col("all")).alias("q"))
+    rated = (kept.join(overall, ["lang", "term"])
              .join(groups.select("lang", "source", "size", "floor"), ["lang", "source"])
              .select("lang", "source", "term", "q", rate(F.col("count"), F.col("size")).alias("p"), "floor"))
     rated = shared_table(rated, "divergence-rates")
@@ -245,9 +265,9 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     lone = (histogram.join(others, "lang").where("source <> item")
             .groupBy("lang", "source", "item").agg(F.sum(F.col("n") * (
                 divergence(F.col("p"), F.col("floor_b")) - divergence(F.col("floor"), F.col("floor_b")))).alias("value")))
-    both = (rated.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "floor")).alias("holders"))
-            .where(F.size("holders") > 1).select("lang", "holders")
-            .mapInPandas(_shared_terms, "lang string, a string, b string, value long")
+    lists = rated.select("lang", "term", "source", "p", "floor").repartition("lang", "term").sortWithinPartitions(
+        "lang", "term")
+    both = (lists.mapInPandas(_shared_terms, "lang string, a string, b string, value long")
             .select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value"))
     turned = [part.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
               for part in (lone, both)]

@@ -58,36 +58,48 @@ def test_matches_dense_counting(spark):
     check(spark, corpus(random.Random(2), 60), least=3, top=2)
 
 
-def test_small_blocks_and_tables_change_nothing(spark, monkeypatch):
+def test_small_blocks_and_sums_change_nothing(spark, monkeypatch):
+    import pandas as pd
     rows = corpus(random.Random(3), 120)
-    found = list(divergence._index(iter([docs(spark, rows).fillna("").toPandas()])))
-    monkeypatch.setattr(divergence, "BLOCK_POSTINGS", 7)
-    monkeypatch.setattr(divergence, "RUN_ROWS", 3)
-    split = list(divergence._index(iter([docs(spark, rows).fillna("").toPandas()])))
-    assert len(split) > len(found)
 
-    def merged(frames):
-        import pandas as pd
+    def merged():
+        frames = list(divergence._index(iter([docs(spark, rows).fillna("").toPandas()])))
         total = {}
         for r in pd.concat(frames).itertuples():
             own = total.setdefault((r.lang, r.term), [0, Counter()])
             own[0] += r.documents
-            own[1].update(dict(zip(r.sources, r.counts)))
-        return total
-    assert merged(split) == merged(found)
-    rows = [({"lang": ["en"], "holders": [[{"source": f"s{i}", "p": 50 + 7 * i, "floor": 3 + i} for i in some]]})
-            for some in ([0, 1, 2, 3, 4, 5, 6], [2, 9], [8, 1, 5])]
+            own[1][r.source] += r.count
+        return len(frames), total
+    few, found = merged()
+    monkeypatch.setattr(divergence, "BLOCK_POSTINGS", 7)
+    monkeypatch.setattr(divergence, "RUN_ROWS", 3)
+    many, split = merged()
+    assert many > few and split == found
+
+    lists = [[0, 1, 2, 3, 4, 5, 6], [2, 9], [1, 5, 8], [3]]
+    rows = pd.DataFrame([("en", f"t{t}", f"s{i}", 50 + 7 * i, 3 + i) for t, some in enumerate(lists) for i in some],
+                        columns=["lang", "term", "source", "p", "floor"])
 
-    def pair_sums():
-        import pandas as pd
+    def pair_sums(size):
         total = Counter()
-        for frame in divergence._shared_terms(pd.DataFrame(r) for r in rows):
+        for frame in divergence._shared_terms(rows.iloc[at:at + size] for at in range(0, len(rows), size)):
             for r in frame.itertuples():
                 total[frozenset((r.a, r.b))] += r.value
         return total
-    whole = pair_sums()
-    monkeypatch.setattr(divergence, "SIDE", 4)
-    assert pair_sums() == whole and len(whole) > 20
+    whole = pair_sums(100)
+    assert len(whole) == 24 and pair_sums(3) == whole
+    monkeypatch.setattr(divergence, "PAIR_SUMS", 4)
+    assert pair_sums(3) == whole
+
+
+def test_a_term_of_many_rows_is_folded(monkeypatch):
+    import pandas as pd
+    rows = pd.DataFrame([("en", "x", f"s{i % 3}", 1, 1) for i in range(50)] + [("en", "y", "s1", 4, 9)],
+                        columns=["lang", "term", "source", "count", "documents"])
+    monkeypatch.setattr(divergence, "FOLD_ROWS", 4)
+    got = pd.concat(divergence._merged(10)(rows.iloc[at:at + 5] for at in range(0, len(rows), 5)))
+    assert got.groupby(["term", "source"])["count"].sum().to_dict() == {
+        ("x", "s0"): 17, ("x", "s1"): 17, ("x", "s2"): 16}
 
 
 def test_edge_rows(spark):
@@ -100,9 +112,11 @@ def test_edge_rows(spark):
 
 def test_terms_of_a_very_long_text(monkeypatch):
     text = "añb, Cd9e " * 3_000
-    whole = divergence.count_terms(text)
+    def counted():
+        return sum((Counter(part) for part in divergence.terms_of(text)), Counter())
+    whole = counted()
     monkeypatch.setattr(divergence, "SLICE", 17)
-    assert divergence.count_terms(text) == whole == Counter({"añb".encode(): 3000, b"cd": 3000, b"e": 3000})
+    assert counted() == whole == Counter({"añb".encode(): 3000, b"cd": 3000, b"e": 3000})
 
 
 def test_large_counts_stay_exact(spark):
