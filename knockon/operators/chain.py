@@ -1,21 +1,35 @@
 """Entity chains: previous / next rows of the same entity in event order.
 
 The plain form is ``Window.partitionBy(entity).orderBy(time, tiebreak)``, which
-sends all rows of one entity to one task.  A hot entity (one key holding a large
-share of all rows) would then serialise the whole job on one sort.  So the chain
-is split into *(entity, time bucket)* window partitions - a bucket is a day of
-the event time by default - and the rows at bucket edges are stitched:
+sends all rows of one entity to one task.  That is right for entities of a usual
+size, and wrong for a hot one, which would serialise the job on one sort.
+
+The buckets of a hot entity come from its own rows (``split="auto"``).  One
+count per entity finds the entities with more rows than a task should have; for
+those, quantiles of the whole order key - time, then every tie-break, nulls
+last - are read off a sample that is taken by a hash of the key, and cut the
+entity into buckets of about equal size.  Rows that share a day, an instant, or
+have no time at all are split like any others, because the key goes on to the
+tie-breaks.  Other entities stay whole, so they need no stitch.
+
+Windows then run per (entity, bucket), and the edges of a hot entity's buckets
+are stitched:
 
 * the first row of a bucket takes its previous row from the last row of the
-  previous non-empty bucket of the same entity;
+  bucket before;
 * the last ``k`` rows of a bucket take their next ``k`` rows from the heads
-  (first ``k`` rows) of the following non-empty buckets.
+  (first ``k`` rows) of the buckets after it.
+
+The stitch table has one row per hot bucket, so it is bounded by the number of
+tasks, not by the row count or the time span.  "day" and "hour" buckets remain
+for callers that want fixed ones; they stitch every entity.
+
+A table laid out by ``sources.layout`` carries its bucket as a column and is
+bucketed by (entity, bucket): ``split`` names that column, and the row branch
+of the chain then reads the table without any exchange.
 
-The stitch table holds one row per (entity, bucket) with at most ``k + 1``
-payloads, so it is bounded by the time span, not by the row count.  Everything
-is windows, one aggregation and one equi-join on (entity, bucket).  The input is
-read by two branches (rows and stitch table), so callers pass a materialised
-table (the written / checkpointed clean flights), not a long lineage.
+The input is read by two branches (rows and stitch table), so callers pass a
+materialised table (the written clean flights), not a long lineage.
 """
 
 from __future__ import annotations
@@ -23,20 +37,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knockon.session import materialize
+
 BK = "_chain_bucket"
 #: Rows without an event time come after every bucket, in buckets of their tie-break.
 _NULL_BUCKET = 2 ** 62
 NULL_SPAN = 100_000
+#: An entity is hot beyond half a task's share of the rows, within these limits.
+LEAST_ROWS, MOST_ROWS = 10_000, 2_000_000
+#: Sampled rows per bucket that place its bounds.
+SAMPLES = 64
+
+
+def order_key(order: list[str]) -> Column:
+    """The order columns as one comparable value with nulls last."""
+    return F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in order])
 
 
-def _bucket_expr(df: DataFrame, order: list[str], split) -> Column | None:
-    """Bucket number, rising with the order.
+def bucket_rows(df: DataFrame) -> int:
+    """Rows that a bucket should have: half of what a shuffle partition gets on average."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_ROWS, min(MOST_ROWS, df.count() // (2 * tasks)))
+
+
+def hot_bounds(df: DataFrame, entity: str, order: list[str], rows: int | None = None) -> DataFrame | None:
+    """(entity, bounds): the order keys at which buckets of the hot entities begin; None if no entity is hot.
+
+    At most 2 x all rows / ``rows`` keys in all, whatever the entities are.  The
+    sample only places the bounds: any bounds give the same chains.
+    """
+    rows = rows or bucket_rows(df)
+    counts = materialize(df.groupBy(entity).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows)
+                         .where(F.col(entity).isNotNull()), "chain-hot")
+    if counts.isEmpty():
+        return None
+    place = F.pmod(F.xxhash64(F.lit(entity), *[F.col(c) for c in order]), F.lit(1 << 30))
+    share = F.lit(SAMPLES) * F.ceil(F.col("_rows") / rows) / F.col("_rows") * (1 << 30)
+    picked = (df.select(entity, *order).join(F.broadcast(counts), entity).where(place < share)
+              .select(entity, order_key(order).alias("key")))
+    bounds = picked.groupBy(entity).agg(F.sort_array(F.collect_list("key")).alias("keys")).select(entity, F.array_distinct(
+        F.filter("keys", lambda k, i: (i > 0) & (i % SAMPLES == 0))).alias("_bounds"))
+    return materialize(bounds.where(F.size("_bounds") > 0), "chain-bounds")
+
+
+def _place(bounds: Column, key: Column, steps: int) -> Column:
+    """Number of bounds that are not above the key, by bisection of the sorted array."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at.lo + at.hi) / 2).cast("int")
+        below = (at.lo < at.hi) & (F.get(bounds, mid) <= key)
+        return F.struct(F.when(below, mid + 1).otherwise(at.lo).alias("lo"),
+                        F.when((at.lo < at.hi) & ~below, mid).otherwise(at.hi).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda at: at.lo)
+
+
+def with_bucket(df: DataFrame, entity: str, order: list[str], bounds: DataFrame | None, column: str = BK) -> DataFrame:
+    """``df`` with its chain bucket: 0 for entities that stay whole, from 1 on in order for hot ones."""
+    if bounds is None:
+        return df.withColumn(column, F.lit(0))
+    most = bounds.agg(F.max(F.size("_bounds"))).first()[0] or 1
+    place = _place(F.col("_bounds"), order_key(order), most.bit_length() + 1)
+    return (df.join(F.broadcast(bounds), entity, "left")  # bounded: see hot_bounds
+            .withColumn(column, F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(place + 1)).drop("_bounds"))
+
+
+def _fixed_bucket(df: DataFrame, order: list[str], split) -> Column:
+    """Bucket number of a fixed split, rising with the order.
 
     Rows without a time have only the tie-break: a whole-number one is cut into
     spans, so that they do not all meet in one bucket.
     """
-    if split is None:
-        return None
     time = F.col(order[0])
     if isinstance(split, Column):
         expr = split
@@ -52,44 +123,57 @@ def _bucket_expr(df: DataFrame, order: list[str], split) -> Column | None:
     return F.coalesce(expr, late)
 
 
+def _whole(df: DataFrame, entity: str, ordering: list, payload: Column, lead_col, max_lead: int,
+           position: bool) -> DataFrame:
+    """The chain with one window partition per entity."""
+    w = Window.partitionBy(entity).orderBy(*ordering)
+    out = df.withColumn("_prev", F.lag(payload, 1).over(w))
+    for k in range(1, max_lead + 1):
+        out = out.withColumn(f"_next_{k}", F.lead(lead_col, k).over(w))
+    return out.withColumn("_pos", F.row_number().over(w).cast("long")) if position else out
+
+
 def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead_col=None,
-                max_lead: int = 0, split="day", position: bool = False) -> DataFrame:
+                max_lead: int = 0, split="auto", position: bool = False) -> DataFrame:
     """Add ``_prev`` (struct of ``prev_cols`` of the previous row, null for the first
     row of an entity) and ``_next_1.._next_k`` (``lead_col`` k rows later); with
     ``position`` also ``_pos``, the 1-based place of the row in its entity's chain
     (bucket sizes prefix-summed over the stitch table plus the rank in the bucket).
 
     ``order[0]`` is the event time (ascending, nulls last); the rest break ties.
-    ``split`` is "day", "hour", a Column monotone in ``order[0]``, or None (one
-    window partition per entity).
+    ``split`` is "auto" (hot entities by their own quantiles), "day", "hour", a
+    Column monotone in ``order[0]``, the name of a bucket column of ``df`` (a laid
+    out table), or None (one window partition per entity).
     """
     ordering = [F.col(c).asc_nulls_last() for c in order]
     payload = F.struct(*[F.col(c).alias(c) for c in prev_cols])
-    bucket = _bucket_expr(df, order, split)
-
-    if bucket is None:
-        w = Window.partitionBy(entity).orderBy(*ordering)
-        out = df.withColumn("_prev", F.lag(payload, 1).over(w))
-        for k in range(1, max_lead + 1):
-            out = out.withColumn(f"_next_{k}", F.lead(lead_col, k).over(w))
-        if position:
-            out = out.withColumn("_pos", F.row_number().over(w).cast("long"))
-        return out
-
-    rows = df.withColumn(BK, bucket)
-    w = Window.partitionBy(entity, BK).orderBy(*ordering)
+    hot_only = True
+    if split == "auto":
+        bounds = hot_bounds(df, entity, order)
+        if bounds is None:
+            return _whole(df, entity, ordering, payload, lead_col, max_lead, position)
+        df, bk = with_bucket(df, entity, order, bounds), BK
+    elif split is None:
+        return _whole(df, entity, ordering, payload, lead_col, max_lead, position)
+    elif isinstance(split, str) and split in df.columns:
+        bk = split
+    else:
+        df, bk, hot_only = df.withColumn(BK, _fixed_bucket(df, order, split)), BK, False
+
+    w = Window.partitionBy(entity, bk).orderBy(*ordering)
     w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = (rows.withColumn("_lag", F.lag(payload, 1).over(w))
-                .withColumn("_rn", F.row_number().over(w))
-                .withColumn("_n", F.count(F.lit(1)).over(w_all).cast("int")))
+    rows = (df.withColumn("_lag", F.lag(payload, 1).over(w))
+              .withColumn("_rn", F.row_number().over(w))
+              .withColumn("_n", F.count(F.lit(1)).over(w_all).cast("int")))
     for k in range(1, max_lead + 1):
         rows = rows.withColumn(f"_ld_{k}", F.lead(lead_col, k).over(w))
 
     # Stitch table: per (entity, bucket) the last row's payload (and, for leads, the
     # first k lead values).
+    split_rows = F.col(bk) > 0 if hot_only else F.lit(True)
     if max_lead:
-        edge = rows.where((F.col("_rn") == F.col("_n")) | (F.col("_rn") <= max_lead))
-        summ = edge.groupBy(entity, BK).agg(
+        edge = rows.where(split_rows & ((F.col("_rn") == F.col("_n")) | (F.col("_rn") <= max_lead)))
+        summ = edge.groupBy(entity, bk).agg(
             F.max_by(payload, F.col("_rn")).alias("_last"), F.max("_n").alias("_cnt"),
             F.sort_array(F.collect_list(F.when(
                 F.col("_rn") <= max_lead,
@@ -97,13 +181,11 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
     else:
         # Lag only: the last row per bucket is a partial (map-side) aggregation of the
         # input itself, so this branch shuffles one small row per bucket per task and
-        # does not recompute the window.  Order key: each column as (is_null, value) so
-        # nulls sort last, as in the window.
-        order_key = F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in order])
-        summ = df.withColumn(BK, bucket).groupBy(entity, BK).agg(
-            F.max_by(payload, order_key).alias("_last"), F.count(F.lit(1)).alias("_cnt"))
-    ws = Window.partitionBy(entity).orderBy(BK)
-    link_cols = [F.col(entity), F.col(BK), F.lag("_last", 1).over(ws).alias("_prev_last")]
+        # does not recompute the window.
+        summ = df.where(split_rows).groupBy(entity, bk).agg(
+            F.max_by(payload, order_key(order)).alias("_last"), F.count(F.lit(1)).alias("_cnt"))
+    ws = Window.partitionBy(entity).orderBy(bk)
+    link_cols = [F.col(entity), F.col(bk), F.lag("_last", 1).over(ws).alias("_prev_last")]
     if max_lead:
         link_cols.append(F.transform(
             F.flatten(F.collect_list("_head").over(ws.rowsBetween(1, max_lead))),
@@ -112,8 +194,10 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
         link_cols.append(F.coalesce(F.sum("_cnt").over(
             ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("_before"))
     links = summ.select(*link_cols)
+    if hot_only:
+        links = F.broadcast(links)  # one row per bucket of a hot entity: bounded like the bounds
 
-    out = rows.join(links, on=[entity, BK], how="left")
+    out = rows.join(links, on=[entity, bk], how="left")
     out = out.withColumn("_prev", F.coalesce(F.col("_lag"), F.col("_prev_last")))
     for k in range(1, max_lead + 1):
         out = out.withColumn(
@@ -121,8 +205,10 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
             F.when(F.col("_rn") + k <= F.col("_n"), F.col(f"_ld_{k}")).otherwise(
                 F.try_element_at(F.col("_next_heads"), (F.col("_rn") + k - F.col("_n")).cast("int"))))
     if position:
-        out = out.withColumn("_pos", F.col("_before") + F.col("_rn")).drop("_before")
-    drop = ["_lag", "_rn", "_n", "_prev_last", BK] + [f"_ld_{k}" for k in range(1, max_lead + 1)]
+        out = out.withColumn("_pos", F.coalesce(F.col("_before"), F.lit(0)) + F.col("_rn")).drop("_before")
+    drop = ["_lag", "_rn", "_n", "_prev_last"] + [f"_ld_{k}" for k in range(1, max_lead + 1)]
+    if bk == BK:
+        drop.append(BK)
     if max_lead:
         drop.append("_next_heads")
     return out.drop(*drop)

@@ -20,7 +20,7 @@ from knockon.operators.chain import chain_links
 from knockon.operators.pairs import chain_order
 
 
-def later_legs(clean: DataFrame, max_leg: int = S.MAX_LEG, tiebreak=(), split="day") -> DataFrame:
+def later_legs(clean: DataFrame, max_leg: int = S.MAX_LEG, tiebreak=(), split="auto") -> DataFrame:
     """Each flight with ``next_dep_delay_k`` = DEP_DELAY k flights later (same tail, no
     airport or turnaround condition; crosses days)."""
     linked = chain_links(clean, "TAIL_NUM", chain_order(tiebreak), lead_col="DEP_DELAY",
@@ -36,7 +36,7 @@ def shock_rows(legs: DataFrame, threshold: float = S.SHOCK_THRESHOLD) -> DataFra
 
 
 def tail_leg_summary(clean: DataFrame, max_leg: int = S.MAX_LEG,
-                     threshold: float = S.SHOCK_THRESHOLD, tiebreak=(), split="day") -> DataFrame:
+                     threshold: float = S.SHOCK_THRESHOLD, tiebreak=(), split="auto") -> DataFrame:
     """Per (tail, k): n_obs, mean and exact median of the departure delay k legs after a shock.
 
     ``median`` is Spark's exact percentile, whose buffer is a value->count map merged
@@ -205,7 +205,7 @@ def decay_table(decay_by_leg_df: DataFrame, by: list[str] | None = None, k: str
 
 
 def decay_by_leg_by(clean: DataFrame, by: list[str], max_leg: int = S.MAX_LEG,
-                    threshold: float = S.SHOCK_THRESHOLD, tiebreak=(), split="day") -> DataFrame:
+                    threshold: float = S.SHOCK_THRESHOLD, tiebreak=(), split="auto") -> DataFrame:
     """Pooled mean remaining delay per (group, k), e.g. per carrier of the shock flight."""
     shocks = shock_rows(later_legs(clean, max_leg, tiebreak, split), threshold)
     long = shocks.select(*by, F.explode(F.array(*[

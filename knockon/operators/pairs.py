@@ -17,7 +17,7 @@ def chain_order(tiebreak=()) -> list[str]:
     return ["sched_dep_timestamp", *tiebreak]
 
 
-def pair_candidates(clean: DataFrame, tiebreak=(), split="day", keep=(), max_lead: int = 0) -> DataFrame:
+def pair_candidates(clean: DataFrame, tiebreak=(), split="auto", keep=(), max_lead: int = 0) -> DataFrame:
     """Every cleaned flight with its previous flight's fields and the pair flags
     (before the connection filter).  ``max_lead`` > 0 also carries the departure
     delays of the next k flights (``next_dep_delay_k``) from the same chain pass,
@@ -61,13 +61,13 @@ def connection_filter() -> F.Column:
             & F.col("scheduled_turnaround_minutes").between(S.TURNAROUND_MIN, S.TURNAROUND_MAX))
 
 
-def flight_pairs(clean: DataFrame, tiebreak=(), split="day", keep=()) -> DataFrame:
+def flight_pairs(clean: DataFrame, tiebreak=(), split="auto", keep=()) -> DataFrame:
     """The 22-column pair table (plus ``keep`` columns in front)."""
     cand = pair_candidates(clean, tiebreak, split, keep)
     return cand.where(connection_filter()).select(*keep, *S.PAIR_COLUMNS)
 
 
-def pair_summary(clean: DataFrame, by=(), tiebreak=(), split="day") -> DataFrame:
+def pair_summary(clean: DataFrame, by=(), tiebreak=(), split="auto") -> DataFrame:
     """Raw rows, candidate pairs (previous arrival time known) and output pairs."""
     carry = [b for b in by if isinstance(b, str) and b in clean.columns
              and b not in ("TAIL_NUM", "OP_UNIQUE_CARRIER")]
@@ -90,7 +90,7 @@ def partition_stats(clean: DataFrame, n_partitions: int = S.DEFAULT_TAIL_PARTITI
             .agg(F.count(F.lit(1)).alias("rows")))
 
 
-def chain_sort(clean: DataFrame, tiebreak=(), split="day") -> DataFrame:
+def chain_sort(clean: DataFrame, tiebreak=(), split="auto") -> DataFrame:
     """Each flight with its 1-based position in its tail's chain (scheduled departure,
     nulls last, then row id)."""
     linked = chain_links(clean, "TAIL_NUM", chain_order(tiebreak), split=split, position=True)
