@@ -57,34 +57,42 @@ def parse_date(c, dtype=None) -> Column:
     return F.when(text.rlike(_DATE), F.regexp_replace(text, _DATE, _ISO).try_cast("date"))
 
 
-def hhmm_parts(hhmm) -> tuple[Column, Column, Column]:
-    """(valid_hhmm, extra_day, hours, minutes) pieces of an HHMM clock number.
-
-    2400 means 00:00 on the next day; anything whose hour is outside 0-23 or whose
-    minutes are outside 0-59 is invalid.  The number is truncated toward zero first.
-    """
+def hhmm_whole(hhmm) -> Column:
+    """HHMM clock number cut to a whole number; null outside 0 to 2400."""
     num = _c(hhmm)
-    whole = F.when((num > -1) & (num < 2401), num.cast("int"))
-    extra = F.when(whole == 2400, 1).otherwise(0)
-    clock = F.when(whole == 2400, 0).otherwise(whole)
-    hours = F.floor(clock / 100).cast("int")
-    minutes = (clock % 100).cast("int")
-    valid = whole.isNotNull() & hours.between(0, 23) & minutes.between(0, 59)
-    return valid, extra, hours, minutes
+    return F.when((num > -1) & (num < 2401), num.cast("int"))
+
+
+def hhmm_split(whole) -> tuple[Column, Column]:
+    """Hours and minutes of a whole clock number; 2400 is 00:00 (of the next day)."""
+    clock = F.when(_c(whole) == 2400, F.lit(0)).otherwise(_c(whole))
+    return (clock / 100).cast("int"), clock % 100  # clock >= 0: the cast is a floor
+
+
+def hhmm_valid(whole, hours, minutes, date_col) -> Column:
+    """A clock of 0-23 hours and 0-59 minutes on a known date."""
+    return (_c(whole).isNotNull() & _c(hours).between(0, 23) & _c(minutes).between(0, 59)
+            & _c(date_col).isNotNull())
+
+
+def hhmm_at(whole, hours, minutes, date_col) -> Column:
+    """Naive local timestamp (timestamp_ntz) of a valid clock."""
+    total = _c(hours) * 60 + _c(minutes) + F.when(_c(whole) == 2400, 1440).otherwise(0)
+    return F.timestamp_add("MINUTE", total, _c(date_col).cast("timestamp_ntz"))
 
 
 def hhmm_timestamp(date_col, hhmm) -> Column:
     """FL_DATE + HHMM -> naive local timestamp (timestamp_ntz), null when invalid."""
-    valid, extra, hours, minutes = hhmm_parts(hhmm)
-    d = _c(date_col)
-    ts = F.timestamp_add("MINUTE", extra * 1440 + hours * 60 + minutes, d.cast("timestamp_ntz"))
-    return F.when(valid & d.isNotNull(), ts)
+    whole = hhmm_whole(hhmm)
+    parts = (whole, *hhmm_split(whole), date_col)
+    return F.when(hhmm_valid(*parts), hhmm_at(*parts))
 
 
 def hhmm_hour(date_col, hhmm) -> Column:
     """Hour of day of the same parse (2400 -> 0); null when the time or date is invalid."""
-    valid, _, hours, _ = hhmm_parts(hhmm)
-    return F.when(valid & _c(date_col).isNotNull(), hours).cast("int")
+    whole = hhmm_whole(hhmm)
+    hours, minutes = hhmm_split(whole)
+    return F.when(hhmm_valid(whole, hours, minutes, date_col), hours).cast("int")
 
 
 def overnight_fix(dep_ts, arr_ts) -> Column:

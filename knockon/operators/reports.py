@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knockon import schema as S
+from knockon.functions import scalar as X
 from knockon.session import materialize
 
 
@@ -62,8 +63,8 @@ def density_grid(df: DataFrame, x: str, y: str, gridsize: int = S.HEX_GRID_SIZE)
         return points.sparkSession.createDataFrame(
             [], "lattice int, i int, j int, center_x double, center_y double, count long")
     across, up = gridsize, int(gridsize / math.sqrt(3))
-    left, right = _nonsingular(edge[0], edge[1])
-    low, high = _nonsingular(edge[2], edge[3])
+    left, right = _widened(edge[0], edge[1])
+    low, high = _widened(edge[2], edge[3])
     margin = 1e-9 * (right - left)
     left, right = left - margin, right + margin
     width, height = (right - left) / across, (high - low) / up
@@ -87,12 +88,28 @@ def density_grid(df: DataFrame, x: str, y: str, gridsize: int = S.HEX_GRID_SIZE)
                         (low + (F.col("j") + shift) * height).alias("center_y"), "count")
 
 
-def _nonsingular(lo: float, hi: float, expander: float = 0.1) -> tuple[float, float]:
-    if hi == lo:
-        if lo == 0:
-            return -expander, expander
-        return lo - expander * abs(lo), hi + expander * abs(hi)
-    return lo, hi
+def _widened(low: float, high: float) -> tuple[float, float]:
+    """Bounds of an axis; an axis of one value reaches a tenth of it (of 1, if it is 0) to either side."""
+    reach = 0.0 if high > low else 0.1 * (abs(low) or 1.0)
+    return low - reach, high + reach
+
+
+def delay_rate_by_bin(frame: DataFrame) -> DataFrame:
+    """Share of next departures over 15 minutes late by bin of the previous arrival delay (non-empty bins)."""
+    binned = frame.select(X.prev_delay_bin("prev_ARR_DELAY").alias("prev_delay_bin"),
+                          X.prev_delay_bin_index("prev_ARR_DELAY").alias("bin_order"), "current_dep_delayed_15")
+    return (binned.where(F.col("prev_delay_bin").isNotNull()).groupBy("prev_delay_bin", "bin_order")
+            .agg(F.avg("current_dep_delayed_15").alias("delay_rate"), F.count(F.lit(1)).alias("n_obs"))
+            .orderBy("bin_order"))
+
+
+def yearly_summary(periods: DataFrame) -> DataFrame:
+    """The yearly fits in the columns of the year table."""
+    return periods.select(
+        F.col("start_year").alias("year"), "n_modeling_pairs",
+        F.col("logistic_or_per_10_min").alias("logistic_or_per_10min"),
+        F.col("logistic_or10_ci_lower"), F.col("logistic_or10_ci_upper"),
+        F.col("minutes_carried_per_10_min").alias("minutes_carried_per_10min"))
 
 
 def dataset_totals(clean: DataFrame, pairs: DataFrame) -> DataFrame:

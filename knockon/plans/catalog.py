@@ -265,15 +265,7 @@ where prev_delay_bin is not null group by prev_delay_bin, bin_order"""
 
 
 def delay_rate_by_bin(mf: DataFrame) -> DataFrame:
-    """Share of next departures >15 min late by previous-arrival delay bin (non-empty bins)."""
-    return (mf.select(X.prev_delay_bin("prev_ARR_DELAY").alias("prev_delay_bin"),
-                      X.prev_delay_bin_index("prev_ARR_DELAY").alias("bin_order"),
-                      "current_dep_delayed_15")
-            .where(F.col("prev_delay_bin").isNotNull())
-            .groupBy("prev_delay_bin", "bin_order")
-            .agg(r6(F.avg("current_dep_delayed_15")).alias("delay_rate"),
-                 F.count(F.lit(1)).alias("n_obs"))
-            .orderBy("bin_order"))
+    return R.delay_rate_by_bin(mf).withColumn("delay_rate", r6(F.col("delay_rate")))
 
 
 query("delay_rate_by_bin", W_FL_MF + DELAY_RATE_SQL)(
@@ -1179,18 +1171,10 @@ def q_year_comparison(spark, sf):
         "logistic_auc", "logistic_average_precision", "current_delay_rate_gt15")
 
 
-def yearly_summary(periods: DataFrame) -> DataFrame:
-    return periods.select(
-        F.col("start_year").alias("year"), "n_modeling_pairs",
-        F.col("logistic_or_per_10_min").alias("logistic_or_per_10min"),
-        F.col("logistic_or10_ci_lower"), F.col("logistic_or10_ci_upper"),
-        F.col("minutes_carried_per_10_min").alias("minutes_carried_per_10min"))
-
-
 query("yearly_summary", YEAR_SQL + f"""select grp as year, cast(n as bigint) as n_modeling_pairs,
  round(exp(10 * g), 4) as logistic_or_per_10min, round(exp(10 * (g - {Z} * gse)), 4) as logistic_or10_ci_lower,
  round(exp(10 * (g + {Z} * gse)), 4) as logistic_or10_ci_upper, round(10 * l, 5) as minutes_carried_per_10min
- from period""")(lambda spark, sf: yearly_summary(_periods(periods_of(spark, sf, SU.yearly_periods))))
+ from period""")(lambda spark, sf: R.yearly_summary(_periods(periods_of(spark, sf, SU.yearly_periods))))
 
 
 query("presentation_metrics", BOTH_SQL.rstrip() + _AREA_SQL + """, wide as (select * from pair_fit, area)
@@ -1457,11 +1441,9 @@ def q_read_month_csv(spark, sf):
 _MIXED_COLS = [*_MONTH_TEXTS, "FL_DATE", *_MONTH_TIMES, *_MONTH_NUMBERS]
 
 
-@query("read_month_mixed", cte_chain("lineitem", "clean") + "select " + ", ".join(
-    f"cast({c} as double) as {c}" if c in _MONTH_NUMBERS else iso_sql([c]) for c in _MIXED_COLS) + " from clean")
-def q_read_month_mixed(spark, sf):
+def _write_mixed(spark, sf) -> str:
     """One folder, three header layouts: plain; origin/destination and the delays swapped with dates that carry a
-    clock; canonical names with month and weekday columns.  Compared row by row."""
+    clock; canonical names with month and weekday columns."""
     path = scratch_path(spark, "raw_mixed")
     long = _raw_long(spark, sf)
     kind = F.substring("ym", 6, 2).cast("int") % 3
@@ -1478,8 +1460,18 @@ def q_read_month_mixed(spark, sf):
     long.where(kind == 2).select(
         *[F.col(c).alias(back[c]) for c in long.columns if c != "ym"], F.month(day).alias("MONTH"),
         X.iso_weekday(day).alias("DAY_OF_WEEK")).write.option("header", True).csv(f"{path}/canonical")
-    clean = iso(C.clean_flights(SRC.read_month_csv(spark, path)).select(*_MIXED_COLS))
-    return clean.withColumns({c: F.col(c).cast("double") for c in _MONTH_NUMBERS})
+    return path
+
+
+def _mixed_rows(clean) -> DataFrame:
+    return iso(clean.select(*_MIXED_COLS)).withColumns({c: F.col(c).cast("double") for c in _MONTH_NUMBERS})
+
+
+@query("read_month_mixed", cte_chain("lineitem", "clean") + "select " + ", ".join(
+    f"cast({c} as double) as {c}" if c in _MONTH_NUMBERS else iso_sql([c]) for c in _MIXED_COLS) + " from clean")
+def q_read_month_mixed(spark, sf):
+    """The three header layouts read together, compared row by row."""
+    return _mixed_rows(C.clean_flights(SRC.read_month_csv(spark, _write_mixed(spark, sf))))
 
 
 @query("read_month_zip", _MONTH_VALUES_SQL)
@@ -1571,14 +1563,41 @@ def q_trim_columns(spark, sf):
 from knockon.streaming import ingest as ST  # noqa: E402
 
 
-@query("stream_clean_ingest", _MONTH_VALUES_SQL)
+@query("stream_clean_ingest", ORACLES["read_month_mixed"])
 def q_stream_clean_ingest(spark, sf):
-    landing, out, ck = (scratch_path(spark, n) for n in ("landing", "stream_clean", "stream_ckpt"))
-    long = _raw_long(spark, sf)
-    long.drop("ym").write.option("header", True).csv(landing)
-    header = [c for c in long.columns if c != "ym"]
-    ST.run_clean_ingest(spark, landing, header, out, ck)
-    return _month_values(spark.read.parquet(out))
+    """A landing folder of three header layouts, cleaned by the stream and compared row by row."""
+    out, ck = (scratch_path(spark, n) for n in ("stream_clean", "stream_ckpt"))
+    ST.run_clean_ingest(spark, _write_mixed(spark, sf), out, ck)
+    return _mixed_rows(spark.read.parquet(out))
+
+
+# ---------------------------------------------------------------- chains from a layout, months one by one
+from knockon.operators import append as AP  # noqa: E402
+from knockon.sources import layout as LAY  # noqa: E402
+
+
+def laid_out(spark, sf, fx="flights") -> DataFrame:
+    """Cleaned flights as a table bucketed by tail and chain bucket, in chain order."""
+    path = scratch_path(spark, "layout")
+    return LAY.write_chain_layout(stage_of(spark, sf, fx), path, "layout_" + path[-12:], P.chain_order(ids(fx)))
+
+
+query("pairs_from_layout", ORACLES["flight_pairs_multi_year"])(
+    lambda spark, sf: iso(P.flight_pairs(laid_out(spark, sf, "lineitem"), tiebreak=ids("lineitem"), split=LAY.BUCKET,
+                                         keep=ids("lineitem")).select(*LI_PAIR_OUT)))
+
+query("later_legs_from_layout", ORACLES["later_legs"])(
+    lambda spark, sf: D.later_legs(laid_out(spark, sf), tiebreak=ids(), split=LAY.BUCKET).select("event_id", *LEG_COLS))
+
+
+@query("pairs_by_append", ORACLES["flight_pairs_multi_year"])
+def q_pairs_by_append(spark, sf):
+    """Years added one after the other, each reading its own flights and the last legs before it."""
+    clean = stage_of(spark, sf, "lineitem")
+    store = AP.PairStore(spark, scratch_path(spark, "pair_store"), ids("lineitem"), ids("lineitem"))
+    for year in SU.years_of(clean.select(F.year("FL_DATE").alias("current_year"))):
+        store.add(f"{year}-12", clean.where(F.year("FL_DATE") == year))
+    return iso(store.pairs().select(*LI_PAIR_OUT))
 
 
 @query("summary_assemble", cte_chain("lineitem", "mf") + """

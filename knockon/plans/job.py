@@ -16,7 +16,9 @@ from knockon.operators import features as FE
 from knockon.operators import pairs as P
 from knockon.operators import reports as R
 from knockon.plans import suite as SU
+from knockon.session import scratch_path
 from knockon.sources import files as SRC
+from knockon.sources import layout as LAY
 
 #: Orders flights of one tail that leave at the same time.
 TIE_BREAK = ("ORIGIN", "DEST", "OP_UNIQUE_CARRIER", "CRS_ARR_TIME")
@@ -43,22 +45,35 @@ def read_sources(spark: SparkSession, sources: DataFrame) -> DataFrame:
     return out
 
 
+def chosen_months(spark: SparkSession, start: str | None, end: str | None) -> DataFrame | None:
+    """The months to read; None is all.  One end alone is an error, not a wider range."""
+    if (start is None) != (end is None):
+        raise ValueError(f"a month range needs both ends: start is {start}, end is {end}")
+    return None if start is None else SRC.month_range(spark, start, end)
+
+
 def run_job(spark: SparkSession, root: str, out: str, start: str | None = None, end: str | None = None,
-            replicates: int = 0, seed: int = 42, models=SU.MODELS) -> dict[str, DataFrame]:
+            replicates: int = 0, seed: int = 42, models=SU.MODELS, start_year: int | None = None,
+            end_year: int | None = None, windows: list[tuple[int, int]] | None = None) -> dict[str, DataFrame]:
     """Run all stages and return the reports by name.
 
-    ``start`` and ``end`` ('YYYY-MM') limit the months read.  ``replicates`` asks
-    for bootstrap intervals.  No files, no pairs, or no late arrivals is an error.
+    ``start`` and ``end`` ('YYYY-MM') limit the months read.  ``start_year`` and
+    ``end_year`` limit the pairs that are modelled (both included, each may stand
+    alone).  ``windows`` asks for fits of the given year ranges, which must not
+    overlap.  ``replicates`` asks for bootstrap intervals.  No files, no pairs, or
+    no late arrivals is an error.
     """
-    months = SRC.month_range(spark, start, end) if start and end else None
+    months = chosen_months(spark, start, end)
     raw = read_sources(spark, chosen_sources(spark, root, months))
     SRC.write_clean(C.clean_flights(raw), f"{out}/clean")
     clean = spark.read.parquet(f"{out}/clean").drop("year")
-    SRC.write_pairs(P.flight_pairs(clean, tiebreak=TIE_BREAK), f"{out}/pairs")
-    pairs = SRC.read_pairs(spark, f"{out}/pairs").drop("current_year")
+    path = scratch_path(spark, "by_tail")
+    by_tail = LAY.write_chain_layout(clean, path, "by_tail_" + path[-12:], P.chain_order(TIE_BREAK))
+    SRC.write_pairs(P.flight_pairs(by_tail, tiebreak=TIE_BREAK, split=LAY.BUCKET), f"{out}/pairs")
+    pairs = SRC.read_pairs(spark, f"{out}/pairs", start_year=start_year, end_year=end_year).drop("current_year")
     frame = FE.model_frame(pairs)
     suite = SU.fit_suite(spark, frame, models=models)
-    legs = D.tail_leg_summary(clean, tiebreak=TIE_BREAK)
+    legs = D.tail_leg_summary(by_tail, tiebreak=TIE_BREAK, split=LAY.BUCKET)
     by_leg = D.decay_by_leg(legs)
     parameters = D.decay_parameters(by_leg)
     totals = R.dataset_totals(clean, pairs)
@@ -74,6 +89,11 @@ def run_job(spark: SparkSession, root: str, out: str, start: str | None = None,
         reports["final_summary"] = R.final_summary(totals, suite["coefficients"], suite["main_result"], parameters, interval)
         reports["presentation_metrics"] = R.presentation_metrics(spark, suite["main_result"], suite["metrics"])
     reports["periods"] = SU.fit_periods(spark, frame, SU.yearly_periods(SU.years_of(frame)))
+    if windows:
+        reports["windows"] = SU.fit_periods(spark, frame, [(f"{a}-{b}", a, b) for a, b in windows])
+    reports["delay_rate_by_bin"] = R.delay_rate_by_bin(frame)
+    reports["density_grid"] = R.density_grid(frame, "prev_ARR_DELAY", "current_DEP_DELAY")
+    reports["yearly_summary"] = R.yearly_summary(reports["periods"])
     reports["delay_sources"] = clean.groupBy(F.year("FL_DATE").alias("year")).agg(F.count(F.lit(1)).alias("flights"))
     for name, table in reports.items():
         R.write_report(table, f"{out}/reports/{name}")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import site
 import tempfile
 import uuid
 
@@ -93,3 +94,22 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="knockon-pkg-"), "knockon"), "zip",
                                   base, "knockon")
     spark.sparkContext.addPyFile(archive)
+
+
+_shipped: set[str] = set()
+
+
+def ship_once(spark: SparkSession) -> None:
+    """``ship_package`` once per application, unless Python workers find the package where it is.
+
+    They look in the installed packages, in PYTHONPATH, and (on a local master) in
+    the folder that the driver was started in.
+    """
+    base = os.path.realpath(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    if spark.sparkContext.master.startswith("local["):
+        known.append(os.getcwd())
+    app = spark.sparkContext.applicationId
+    if app not in _shipped and base not in {os.path.realpath(p) for p in known if p}:
+        ship_package(spark)
+    _shipped.add(app)

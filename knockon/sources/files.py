@@ -10,9 +10,9 @@ year (pairs) or by tail bucket, so later reads prune partitions.
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
-from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -120,13 +120,20 @@ def _expand(spark: SparkSession, paths: list[str] | str) -> list[str]:
 
 
 def headers_of(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by their header row; the first rows are read in parallel, one small task each."""
-    def header(path: str) -> tuple[str, ...]:
-        return tuple(_strip_bom(spark.read.option("header", True).csv(path)).columns)
-    with ThreadPoolExecutor(16) as pool:
-        groups: dict[tuple[str, ...], list[str]] = {}
-        for path, columns in zip(files, pool.map(header, files)):
-            groups.setdefault(columns, []).append(path)
+    """Files by their header row, in one job: a text scan keeps the first line of each file.
+
+    A file's first block is read by one task, where its lines are numbered in order;
+    the least number of a file is its header, whatever blocks share the task.
+    """
+    lines = (spark.read.text(files)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("place"), "value"))
+    first = (lines.where("block = 0").groupBy("path").agg(F.min_by("value", "place").alias("header")))
+    found = {r.path: r.header for r in first.collect()}  # one row a file
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in files:
+        header = next(csv.reader([(found.get(path) or "").lstrip("\ufeff")]), [])
+        groups.setdefault(tuple(header), []).append(path)
     return groups
 
 
@@ -143,7 +150,10 @@ def read_month_csv(spark: SparkSession, paths: list[str] | str, with_source: boo
         raise FileNotFoundError(f"no monthly files under {paths}")
     keep = ["source_path"] if with_source else []
     frames = []
-    for group in headers_of(spark, files).values():
+    for header, group in headers_of(spark, files).items():
+        absent = [c for c in S.REQUIRED_COLUMNS if c not in C.known_columns(header)]
+        if absent:
+            raise C.MissingColumnsError(f"{group[0]} has no column for {', '.join(absent)}")
         df = _strip_bom(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(group))
         df = df.select([c for c in df.columns if not (c.startswith("_c") or c.startswith("Unnamed:"))]
                        + [F.col("_metadata.file_path").alias(c) for c in keep])
@@ -219,8 +229,11 @@ def write_clean(clean: DataFrame, path: str) -> None:
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
-    """Pairs as Parquet partitioned by the current flight's year (year filters prune)."""
-    (pairs.withColumn("current_year", F.year("current_FL_DATE"))
+    """Pairs as Parquet partitioned by the current flight's year (year filters prune).
+
+    ``rebalance`` gathers a year's rows into files of a usual size and splits large years.
+    """
+    (pairs.withColumn("current_year", F.year("current_FL_DATE")).hint("rebalance", "current_year")
      .write.mode("overwrite").partitionBy("current_year").parquet(path))
 
 

@@ -1,44 +1,52 @@
 """Incremental cleaning of monthly raw files with Structured Streaming.
 
-New monthly CSV drops in a landing folder are picked up by the file source,
-cleaned with the same narrow column expressions as the batch path, and
-appended to the year/month-partitioned clean table.  The checkpoint (under the
-shared checkpoint folder) records processed files, so a restarted or re-run
-job cleans each month exactly once; ``availableNow`` processes the backlog and
-stops, which is how a monthly batch schedule runs it.  Pairing stays a batch
-job over the clean table (it needs each tail's whole ordered history).
+The stream is the list of files that arrive in a landing folder: the file source
+notes each path once, in its checkpoint under the shared folder.  Each
+micro-batch reads its files with the batch reader, so every file is read by its
+own header (other column orders, other spellings, absent calendar columns), and
+a file that lacks a required column stops the stream with that file's name; it
+is taken up again when the file is mended.  ``availableNow`` processes the
+backlog and stops, which is how a monthly schedule runs it.
+
+A micro-batch writes its own folder, ``batch=<n>``, and a repeated one replaces
+it, so each file's rows are in the table once.  Pairing stays a batch job over
+the clean table or its new months (``operators.append``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from knockon.operators import clean as C
+from knockon.sources import files as SRC
 
 
-def raw_schema(header: list[str]) -> StructType:
-    """All-text schema for a landing folder whose files share this header."""
-    return StructType([StructField(c, StringType(), True) for c in header])
+def arriving_files(spark: SparkSession, landing: str, max_files_per_trigger: int = 12,
+                   glob: str = "*.csv") -> DataFrame:
+    """Streaming DataFrame of the paths of files arriving in ``landing``; contents are not read."""
+    schema = spark.read.format("binaryFile").load([]).schema
+    return (spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_per_trigger)
+            .load(landing).select("path"))
 
 
-def clean_stream(spark: SparkSession, landing: str, header: list[str],
-                 max_files_per_trigger: int = 12) -> DataFrame:
-    """Streaming DataFrame of cleaned flights from CSV files arriving in ``landing``."""
-    raw = (spark.readStream.schema(raw_schema(header)).option("header", True)
-           .option("maxFilesPerTrigger", max_files_per_trigger).csv(landing))
-    return C.clean_flights(raw).withColumn("year", F.year("FL_DATE"))
+def clean_files(spark: SparkSession, paths: list[str], out_path: str, batch: int) -> None:
+    """Clean rows of the files as ``out_path/batch=<n>``, partitioned by year and month."""
+    SRC.write_clean(C.clean_flights(SRC.read_month_csv(spark, paths)), f"{out_path.rstrip('/')}/batch={batch}")
 
 
-def run_clean_ingest(spark: SparkSession, landing: str, header: list[str], out_path: str,
-                     checkpoint: str, available_now: bool = True):
-    """Append cleaned rows to ``out_path`` (Parquet, partitioned by year, month)."""
-    q = (clean_stream(spark, landing, header).writeStream.format("parquet")
-         .option("checkpointLocation", checkpoint).partitionBy("year", "month")
-         .outputMode("append"))
-    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 hour")
-    handle = q.start(out_path)
+def run_clean_ingest(spark: SparkSession, landing: str, out_path: str, checkpoint: str,
+                     available_now: bool = True, max_files_per_trigger: int = 12):
+    """Append cleaned rows of arriving files to ``out_path`` (Parquet, partitioned by batch, year, month)."""
+    def one_batch(files: DataFrame, batch: int) -> None:
+        paths = sorted(r.path for r in files.collect())  # at most max_files_per_trigger
+        if paths:
+            clean_files(files.sparkSession, paths, out_path, batch)
+
+    query = (arriving_files(spark, landing, max_files_per_trigger).writeStream.foreachBatch(one_batch)
+             .option("checkpointLocation", checkpoint))
+    query = query.trigger(availableNow=True) if available_now else query.trigger(processingTime="1 hour")
+    handle = query.start()
     if available_now:
         handle.awaitTermination()
     return handle
