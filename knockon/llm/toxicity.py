@@ -71,6 +71,7 @@ class Trie:
     def __init__(self, terms: dict[tuple[str, bool], float]):
         self.root = self._node({(t, s): (t, s, w) for (t, s), w in terms.items()}, 0)
         self.near = re.compile("|".join(self._shapes(terms)) or r"(?!)")
+        self.reach = max((len(t) + allowed_edits(t) for t, _ in terms), default=0) + 1
 
     @staticmethod
     def _shapes(terms) -> list[str]:
@@ -105,8 +106,10 @@ class Trie:
 
         The automaton's state after some letters of the trie is the row of edit
         distances to each prefix of the word; a branch ends when no entry can
-        come back within the edits that the terms below it allow.
+        come back within the edits that the terms below it allow.  Letters beyond
+        the longest term and its edits change neither its distance nor its stem's.
         """
+        word = word[:self.reach]
         if not self.near.match(word):
             return None
         best = None
@@ -146,7 +149,7 @@ class Detector:
         except KeyError:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            found = None if word in self.benign or len(word) < 3 else self.trie.match(word[:40])
+            found = None if word in self.benign or len(word) < 3 else self.trie.match(word)
             self.cache[word] = found
             return found
 
@@ -219,7 +222,7 @@ def term_counts(texts: DataFrame) -> DataFrame:
                 for word in set(words):
                     bit = 1 << zlib.crc32(last.get(word, "").encode()) % 63
                     if len(word) >= 3:
-                        keys[word[:40], False] = bit
+                        keys[word, False] = bit
                     for n in STEMS:
                         if n < len(word):
                             keys[word[:n], True] = keys.get((word[:n], True), 0) | bit
@@ -280,9 +283,10 @@ def learn_terms(texts: DataFrame, fixed: dict[tuple[str, bool], float]) -> dict[
         for row in telling_terms(rest, least):
             if not any(t.startswith(row.term) or row.term.startswith(t) for t, _ in new):
                 new[row.term, row.stem] = float(min(1.0, np.log(row.ratio) / np.log(100)))
-        if not new or len(terms) + len(new) > MOST_TERMS:
+        room = MOST_TERMS - len(terms)
+        terms.update(list(new.items())[:room])  # strongest evidence first
+        if not new or len(new) >= room:
             break
-        terms.update(new)
     return terms
 
 
@@ -332,7 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                           if (m := detector.form(w)) and m[1]))
 
     clean = (texts.where("label = 0").select(F.explode(near_forms("text")).alias("form"))
-             .groupBy("form").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "form").limit(50_000))
+             .distinct())  # forms of a bounded sample of texts
     detector = Detector(detector.terms, frozenset(r.form for r in clean.collect()))
 
     @F.pandas_udf("array<double>")
@@ -340,6 +344,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return batch.map(detector.features)
 
     rows = texts.select("label", feature_row("text").alias("x")).collect()
+    if not rows:
+        return ToxicityModel(detector, DEFAULT_BETA)
     y = np.array([r.label for r in rows], float)
     used = {0: (y == 0).sum(), 1: (y == 1).sum()}
     weight = np.array([counts[int(v)] / used[int(v)] for v in y])

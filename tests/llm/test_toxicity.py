@@ -87,3 +87,29 @@ def test_held_out_documents_of_the_tables(spark):
     hit = sum(r.predicted and r.toxic for r in rows)
     assert hit / sum(r.toxic for r in rows) > 0.9
     assert hit / sum(r.predicted for r in rows) > 0.9
+
+
+def test_empty_documents_with_labels(spark):
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs(spark, []), labels).collect() == []
+    others = docs(spark, [(1000 + i, "you utter idiot") for i in range(3)])
+    assert {r.predicted for r in toxicity.score(others, labels).collect()} == {1}
+
+
+def test_long_words_are_read_whole():
+    long = "x" * 60 + "worm"
+    trie = toxicity.Trie({(long, False): 1.0, ("filth", True): 0.5})
+    assert trie.match(long) == (long, 0, 1.0) and trie.match(long[:-1] + "n")[1] == 1
+    assert trie.match("x" * 60) is None and trie.match(long + "more") is None
+    assert trie.match("filthy" + "z" * 100_000) == ("filth", 0, 0.5)
+
+
+def test_too_many_terms_are_cut_by_evidence(spark, monkeypatch):
+    rows = [(i, " ".join(["calm"] * 3 + ([f"vile{i % 5}a word{i}"] if i % 2 else [f"good{i}"])), i % 2) for i in range(400)]
+    texts = spark.createDataFrame([(i, y, t) for i, t, y in rows], "id long, label int, text string")
+    monkeypatch.setattr(toxicity, "STEMS", ())
+    monkeypatch.setattr(toxicity, "LEAST_SETTINGS", 0)
+    whole = toxicity.learn_terms(texts, {})
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 3)
+    some = toxicity.learn_terms(texts, {})
+    assert len(whole) > 3 and len(some) == 3 and some.items() <= whole.items()
