@@ -44,7 +44,9 @@ FAMILIES = {
     "sr": "slavic", "hr": "slavic",
 }
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Word characters that are no letters and no decimal digits: number forms, fractions, circled numbers.
+_NUMBERS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters_of(text: str | None) -> str:
@@ -148,7 +150,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("id")))
     spot = F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    near = (usable.join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(1000)), "lang")
+    near = (usable.join(counts, "lang")
             .where(spot * F.col("n") < 2 * limit + 50)
             .groupBy("lang", "id").agg(F.max("text").alias("text")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("langid")), "id")

@@ -92,3 +92,10 @@ def test_texts_with_letters_stay_when_nothing_is_labelled(spark):
     table = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "é", None)],
                                   "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in langid.keep_identified(table).collect()) == [1, 4]
+
+
+def test_number_characters_are_no_letters():
+    for text in ("½ ²", "①②", "Ⅷ", "12 ٣", "_", "", None, "³√ 4"):
+        assert langid.letters_of(text) == ""
+    assert langid.letters_of("x½y Ⅷ é①") == " x y é "
+    assert langid.letters_of("文字 ª") == " 文字 ª "
