@@ -26,7 +26,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_NUMBER_ROW = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -51,8 +51,17 @@ def emails(text: str) -> list[Span]:
 
 
 def ips(text: str) -> list[Span]:
-    return [m.span() for m in _IP.finditer(text)
-            if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split("."))]
+    """Every four numbers of a row of numbers parted by dots, from its start on."""
+    found = []
+    for row in _NUMBER_ROW.finditer(text):
+        numbers, start = row[0].split("."), row.start()
+        for i in range(0, len(numbers) - 3, 4):
+            four = numbers[i:i + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(n.lstrip("0")) <= 3 and int(n[-4:]) <= 255 for n in four):
+                found.append((start, end))
+            start = end + 1
+    return found
 
 
 def luhn(digits: str) -> bool:
@@ -98,7 +107,7 @@ TOP_LEVEL = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|de|fr|es|uk|e
 _STRANGE = re.compile("[" + "".join(LOOK_ALIKES) + INVISIBLE + "".join(MARKS)
                       + "！-～٠-٩\U0001d400-\U0001d7ff]")
 _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-_BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({AT_WORDS}|@)|({DOT_WORDS}|\.))\s*[\])}}>]\s*", re.I)
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:({AT_WORDS}|@)|({DOT_WORDS}|\.))\s*[\])}}>]\s*", re.I)
 _ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s+at\s+|\s*_at_\s*|@)[A-Za-z0-9-]+"
                       rf"(?:(?:\s+dot\s+|\s*_dot_\s*|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+|\s*_dot_\s*)(?:{TOP_LEVEL})\b", re.I)
 _NUMBERS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\s+dot\s+|\s*_dot_\s*)[0-9]{1,3}){3}(?![0-9.])", re.I)
@@ -169,7 +178,14 @@ def digits_of_words(tape: Tape) -> Tape:
 
 def marks_of_words(tape: Tape) -> Tape:
     """"at" and "dot" become their marks: in brackets, and as bare words inside a whole address."""
-    tape = tape.rewrite([(*m.span(), "@" if m[1] else ".") for m in _BRACKETED.finditer(tape.text)])
+    edits, before = [], 0
+    for m in _BRACKETED.finditer(tape.text):
+        start = m.start()
+        while start > before and tape.text[start - 1].isspace():
+            start -= 1
+        before = m.end()
+        edits.append((start, before, "@" if m[1] else "."))
+    tape = tape.rewrite(edits)
     edits = []
     for m in _ADDRESS.finditer(tape.text):
         edits.append((*m.span("at"), "@"))

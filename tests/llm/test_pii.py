@@ -72,3 +72,25 @@ def test_base_spans_stay(spark):
     masked = {r.doc_id: r.text for r in pii.mask(docs(spark, rows, clash=True)).collect()}
     assert masked[50] == "write <email> or <email>" and masked[51] is None and masked[52] == ""
     assert pii.find(docs(spark, [])).count() == 0
+
+
+def test_long_runs_take_linear_time():
+    import time
+    began = time.perf_counter()
+    assert pii.ips("1" * 1_000_000) == []
+    blanks = " " * 1_000_000
+    assert pii.deobfuscated("x" + blanks + "a [at] b [dot] com").text.endswith("a@b.com")
+    assert pii.deobfuscated("a" + blanks + "[at]" + blanks + "b.de").text == "a@b.de"
+    assert pii.cards("1 " * 300_000) == [] and pii.phones("+1" + "(" * 500_000) == []
+    assert time.perf_counter() - began < 8
+
+
+def test_rows_of_numbers_match_the_pattern():
+    import random
+    import re
+    draw = random.Random(4)
+    whole = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(300):
+        text = "".join(draw.choice([".", "1", "25", "300", "0007", " ", "..", "a"]) for _ in range(30))
+        want = [m.span() for m in whole.finditer(text) if all(int(n) <= 255 for n in m[0].split("."))]
+        assert pii.ips(text) == want, text
