@@ -45,8 +45,9 @@ CLOSES = {
 CLOSES = {k: (frozenset(v.split()), stop) for k, (v, stop) in CLOSES.items()}
 SCOPES = frozenset("table td th caption html template button object".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-                    r"|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"<([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _INVISIBLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -272,27 +273,83 @@ class Renderer:
         return self.flows[0].rendered()
 
 
+class Tokens:
+    """Markup of a page, found in time linear in its length.
+
+    A start tag ends at the first ``>`` outside quotes, or with the page.  A ``<``
+    after which a quote never closes is text; the marks that such a scan passed
+    are noted, so later scans that meet one of them stop there.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.bare = (0, -1)
+        self.open_marks: set[int] = set()
+
+    def _mark(self, at: int) -> int:
+        """Place of the next ``>`` or quote (the end, if none); ``bare`` holds none of them."""
+        if not self.bare[0] <= at <= self.bare[1]:
+            found = _MARK.search(self.page, at)
+            self.bare = (at, found.start() if found else len(self.page))
+        return self.bare[1]
+
+    def _tag_end(self, at: int) -> int | None:
+        passed = []
+        while True:
+            at = self._mark(at)
+            if at == len(self.page):
+                return at
+            if self.page[at] == ">":
+                return at + 1
+            if at in self.open_marks:
+                self.open_marks.update(passed)
+                return None
+            passed.append(at)
+            at = self.page.find(self.page[at], at + 1) + 1
+            if not at:
+                self.open_marks.update(passed)
+                return None
+
+    def next(self, at: int) -> tuple[int, int, str | None, str | None, str] | None:
+        """(start, end, name that is closed, name that is opened, attributes) of the next markup."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if other := _MARKUP.match(page, at):
+                return at, other.end(), other[1], None, ""
+            if name := _NAME.match(page, at):
+                ends = [name.end()] + [i for i in range(name.end() - 1, at + 1, -1) if page[i] in "\"'"]
+                for name_end in ends:  # a quote inside the name may be the first of a value
+                    end = self._tag_end(name_end)
+                    if end is not None:
+                        rest = page[name_end:end - 1] if page[end - 1] == ">" and end > name_end else page[name_end:end]
+                        return at, end, None, page[at + 1:name_end], rest
+            at += 1
+        return None
+
+
 def render(source: str | None) -> str:
     """The visible text of one page."""
     page, out, at = source or "", Renderer(), 0
+    tokens = Tokens(page)
     while True:
-        token = _TOKEN.search(page, at)
+        token = tokens.next(at)
         if not token:
             out.text(page[at:])
             return out.finish()
-        if token.start() > at:
-            out.text(page[at:token.start()])
-        at = max(token.end(), at + 1)
-        if token[1]:
-            out.end(token[1].lower())
-        elif token[2]:
-            tag, rest = token[2].lower(), token[3] or ""
+        start, end, closed, opened, rest = token
+        if start > at:
+            out.text(page[at:start])
+        at = end
+        if closed:
+            out.end(closed.lower())
+        elif opened:
+            tag = opened.lower()
             out.start(tag, attributes(rest))
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-                out.text(page[at:end.start() if end else len(page)])
+                raw_end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                out.text(page[at:raw_end.start() if raw_end else len(page)])
                 out.end(tag)
-                at = end.end() if end else len(page)
+                at = raw_end.end() if raw_end else len(page)
             elif rest.rstrip().endswith("/") and tag in ("svg", "math", "path"):
                 out.end(tag)
 

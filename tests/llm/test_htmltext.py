@@ -70,3 +70,27 @@ def test_extract_handles_edges(spark):
     assert sorted(r.text for r in got) == sorted([t for _, t in CASES] + ["x", "one\n\ntwo"])
     assert all(r.n_chars == len(r.text) and r.n_lines == len(r.text.split("\n")) * bool(r.text) for r in got)
     assert htmltext.extract(table.where("page_id = 99")).count() == 0
+
+
+def test_markup_is_found_in_linear_time_as_by_the_pattern():
+    import random
+    import re
+    import time
+    began = time.perf_counter()
+    for page in ("<a " * 300_000 + "'", "<a \"x\" " * 100_000 + "'", "<a" + "\"" * 100_001, "<" * 500_000):
+        htmltext.render(page)
+    assert time.perf_counter() - began < 8
+    token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
+                       r"|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+    draw = random.Random(9)
+    for _ in range(3000):
+        page = "".join(draw.choice(["<", ">", "a", "/", "'", '"', " ", "b=", "<!--", "-->", "<p", "!"])
+                       for _ in range(draw.randint(1, 25)))
+        tokens, at = htmltext.Tokens(page), 0
+        while True:
+            want, got = token.search(page, at), tokens.next(at)
+            assert (want is None) == (got is None), page
+            if not want:
+                break
+            assert (*want.span(), want[1], want[2], want[3] or "") == got, page
+            at = want.end()
