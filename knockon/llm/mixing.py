@@ -114,7 +114,7 @@ def find_exponent(shares: DataFrame, budget_ratio: float, entropy: float | None,
 
 
 def source_plan(counted: DataFrame, budget: int | None, entropy_share: float | None,
-                repeats: float | None, sharpen: bool = True) -> DataFrame:
+                repeats: float | None, sharpen: bool = True, flatten: float | None = None) -> DataFrame:
     """One row per source: tokens, weight, quota, epochs (whole passes), rest (tokens of the last pass)."""
     tokens = shared_table(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "mix-sources")
     total, largest, sources = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.max("tokens"),
@@ -127,6 +127,9 @@ def source_plan(counted: DataFrame, budget: int | None, entropy_share: float | N
     shares = tokens.where("tokens > 0").select(F.log(F.col("tokens") / float(total)).alias("log_share"),
                                                below.alias("below"))
     entropy = None if entropy_share is None else entropy_share * math.log(sources)
+    if flatten is not None:  # between the natural entropy (0) and the largest (1): met by an exponent of 1 to 0
+        natural = _entropy(1.0, *_sums(shares, [1.0])[0][:2])
+        entropy = natural + flatten * (math.log(sources) - natural)
     exponent = find_exponent(shares, budget / total, entropy, repeats, sharpen)
     scale = _sums(shares, [exponent])[0][0]
     weight = F.when(F.col("tokens") > 0, F.exp(exponent * below) / scale).otherwise(0.0)
@@ -139,12 +142,14 @@ def source_plan(counted: DataFrame, budget: int | None, entropy_share: float | N
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          budget: int | None = None, entropy_share: float | None = None, repeats: float | None = None,
-         seed: int = 0, sharpen: bool = True, row_col: str | None = None) -> DataFrame:
+         seed: int = 0, sharpen: bool = True, row_col: str | None = None, flatten: float | None = None) -> DataFrame:
     """One row per input row: id, row, source, n_tokens, weight, passes, block, copies.
 
     ``budget`` is in tokens (default: all tokens), ``entropy_share`` the target
     as a share of the largest possible entropy; ``sharpen`` lets it ask for more
-    than exponent 1.  ``row_col`` names the column of a written table that holds
+    than exponent 1.  ``flatten`` sets the target instead between the natural
+    entropy (0) and the largest (1), so any mix is flattened by its own measure.
+    ``row_col`` names the column of a written table that holds
     the row ids already.
     """
     row = row_id() if row_col is None else F.col(row_col)
@@ -154,7 +159,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
                     token_count(F.col(text_col)).alias("n_tokens"))
         .withColumn("source", key)
         .withColumn("block", F.pmod(F.xxhash64("id", "row", F.lit(seed)), F.lit(BLOCKS)).cast("int")), "mix-rows")
-    sources = shared_table(source_plan(counted, budget, entropy_share, repeats, sharpen), "mix-plan")
+    sources = shared_table(source_plan(counted, budget, entropy_share, repeats, sharpen, flatten), "mix-plan")
     turn = F.xxhash64("source", "epochs", "block", F.lit(seed))
     in_turn = Window.partitionBy("source").orderBy("turn", "block")
     blocks = (counted.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))

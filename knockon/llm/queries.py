@@ -11,9 +11,9 @@ from knockon.llm import (corpus_queries, decontam, exact_dedup, htmltext, langid
 SHINGLE_WORDS = 3
 SIMHASH_DISTANCE = 2
 
-#: The mix: target entropy as a share of the largest, and most passes over a source.
-MIX_ENTROPY_SHARE = 0.95
-MIX_REPEATS = 4.0
+#: The mix: target entropy, half way from the natural to the largest, and most passes over a source.
+MIX_FLATTEN = 0.5
+MIX_REPEATS = 1.1
 
 #: Site rules: host with its subdomains, start of the path, verdict.
 SITE_RULES = [
@@ -56,8 +56,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(_table(spark, sf_dir, "documents"), entropy_share=MIX_ENTROPY_SHARE, repeats=MIX_REPEATS,
-                          sharpen=False)
+    planned = mixing.plan(_table(spark, sf_dir, "documents"), flatten=MIX_FLATTEN, repeats=MIX_REPEATS)
     return mixing.schedule(planned).drop("row").withColumnRenamed("id", "doc_id")
 
 

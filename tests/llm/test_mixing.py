@@ -138,3 +138,33 @@ def test_targets_that_cannot_be_met_raise(spark):
 
 def test_exponent_one_takes_every_document_once(spark):
     assert {r.copies for r in mixing.plan(even_corpus(spark, range(1, 60))).collect()} == {1}
+
+
+def test_registered_mix_flattens_the_documents_as_brute_force_does(spark):
+    from knockon.llm import queries
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.plan(table, flatten=queries.MIX_FLATTEN, repeats=queries.MIX_REPEATS).collect()
+    tokens = shares(rows)
+    total, natural = sum(tokens.values()), entropy(weights(tokens, 1.0))
+    target = natural + queries.MIX_FLATTEN * (math.log(len(tokens)) - natural)
+    exponent = bisected(lambda a: entropy(weights(tokens, a)) <= target + 1e-12, 0.0, 1.0)
+    exponent = max(exponent, bisected(lambda a: max(
+        w * total / tokens[s] for s, w in weights(tokens, a).items()) <= queries.MIX_REPEATS, 0.0, 1.0))
+    assert exponent < 0.95
+    want = weights(tokens, exponent)
+    assert all(abs(r.weight - want[r.source]) < 1e-6 for r in rows)
+    assert {r.copies for r in rows} >= {0, 1, 2}
+    drawn = {s: sum(r.n_tokens * r.copies for r in rows if r.source == s) for s in tokens}
+    longest = max(r.n_tokens for r in rows)
+    assert all(want[s] * total - longest - 1 <= n <= want[s] * total + 1 for s, n in drawn.items())
+    out = queries.op4_temperature_mixing(spark, sf).collect()
+    assert len(out) == sum(r.copies for r in rows) and max(r.epoch for r in out) == 1
+
+
+def test_repetition_limit_binds(spark):
+    rows = mixing.plan(corpus(spark), flatten=0.9, repeats=1.1).collect()
+    tokens = shares(rows)
+    total = sum(tokens.values())
+    passes = {s: next(r.weight for r in rows if r.source == s) * total / n for s, n in tokens.items() if n}
+    assert abs(max(passes.values()) - 1.1) < 1e-6
