@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from knockon.llm import decontam, exact_dedup, langid, mixing, simhash
 from knockon.llm.common import shared_table
-from knockon.llm.queries import MIX_ENTROPY_SHARE, MIX_REPEATS, SHINGLE_WORDS, SIMHASH_DISTANCE
+from knockon.llm.queries import MIX_FLATTEN, MIX_REPEATS, SHINGLE_WORDS, SIMHASH_DISTANCE
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows drawn for the mix, with ``mix_weight`` and ``mix_copies``."""
-    return mixing.mix(docs, entropy_share=MIX_ENTROPY_SHARE, repeats=MIX_REPEATS, sharpen=False)
+    return mixing.mix(docs, flatten=MIX_FLATTEN, repeats=MIX_REPEATS)
 
 
 STAGES = [
