@@ -36,6 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,34 +71,40 @@ def terms_of(text: str | None) -> Iterator[list[bytes]]:
         at = to if to >= 0 else len(data)
 
 
-def _run(counts: dict, documents: dict) -> Iterator[pd.DataFrame]:
-    """The block as a run sorted by (language, term); a term's first posting carries its documents."""
-    by_lang: dict[str, list] = {}
-    for (lang, source), own in counts.items():
-        by_lang.setdefault(lang, []).extend([(term, source, n) for term, n in own.items()])
-    for lang in sorted(by_lang):
-        rows = sorted(by_lang[lang])
-        held = documents[lang]
-        for at in range(0, len(rows), RUN_ROWS):
-            terms, sources, sums = zip(*rows[at:at + RUN_ROWS])
-            yield pd.DataFrame({"lang": lang, "term": [t.decode() for t in terms], "source": sources, "count": sums,
-                                "documents": [held.pop(t, 0) for t in terms]})
-
-
-def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _run(counts: dict, documents: dict) -> Iterator[pa.RecordBatch]:
+    """The block as a run sorted by (language, term)."""
+    for lang in sorted({lang for lang, _ in counts}):
+        groups = [(source, own, documents[lang, source]) for (of, source), own in counts.items() if of == lang and own]
+        if not groups:
+            continue
+        terms = pa.concat_arrays([pa.array(list(own), pa.binary()) for _, own, _ in groups])
+        sources = pa.array([source for source, _, _ in groups]).take(
+            pa.array(np.repeat(np.arange(len(groups)), [len(own) for _, own, _ in groups])))
+        sums = pa.array(np.concatenate([np.fromiter(own.values(), np.int64, len(own)) for _, own, _ in groups]))
+        held = pa.array(np.concatenate([np.fromiter(map(of.__getitem__, own), np.int64, len(own))
+                                        for _, own, of in groups]))
+        order = pc.sort_indices(terms)
+        for at in range(0, len(order), RUN_ROWS):
+            rows = order.slice(at, RUN_ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(lang), len(rows)), terms.take(rows).cast(pa.string()),
+                 *(column.take(rows) for column in (sources, sums, held))], names=COLUMNS)
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Block postings per task, spilled as sorted runs."""
     counts: dict[tuple[str, str], Counter] = {}
-    documents: dict[str, Counter] = {}
+    documents: dict[tuple[str, str], Counter] = {}
     held = 0
     for batch in batches:
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
+        for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
             own = counts.setdefault((lang, source), Counter())
             before = len(own)
             seen: set[bytes] = set()
             for terms in terms_of(text):
                 own.update(terms)
                 seen.update(terms)
-            documents.setdefault(lang, Counter()).update(seen)
+            documents.setdefault((lang, source), Counter()).update(seen)
             held += len(own) - before
             if held >= BLOCK_POSTINGS:
                 yield from _run(counts, documents)
@@ -104,57 +112,61 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _run(counts, documents)
 
 
-def _starts(batch: pd.DataFrame) -> np.ndarray:
+def _starts(rows: pa.Table) -> np.ndarray:
     """True where a (language, term) begins in sorted rows."""
-    lang, term = batch["lang"].to_numpy(), batch["term"].to_numpy()
-    return np.r_[True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])]
+    out = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        differ = [pc.not_equal(column.slice(1), column.slice(0, len(rows) - 1))
+                  for column in (rows["term"].combine_chunks(), rows["lang"].combine_chunks())]
+        out[1:] = pc.or_(*differ).to_numpy(zero_copy_only=False)
+    return out
 
 
-def _whole_terms(batches: Iterator[pd.DataFrame], fold=None) -> Iterator[pd.DataFrame]:
+def _whole_terms(batches: Iterator[pa.RecordBatch], fold=None) -> Iterator[pa.Table]:
     """The sorted rows again, cut between terms; ``fold`` shortens the rows of a term that fills batches."""
     rest = None
     for batch in batches:
-        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        new = pa.Table.from_batches([batch])
+        rest = new if rest is None else pa.concat_tables([rest, new])
         last = int(np.flatnonzero(_starts(rest))[-1]) if len(rest) else 0
         if last:
-            yield rest.iloc[:last]
-            rest = rest.iloc[last:].reset_index(drop=True)
+            yield rest.slice(0, last)
+            rest = rest.slice(last)
         elif fold and len(rest) >= FOLD_ROWS:
             rest = fold(rest)
     if rest is not None and len(rest):
         yield rest
 
 
-KEYS = ["lang", "term", "source"]
+COLUMNS = ["lang", "term", "source", "count", "documents"]
+POSTINGS = "lang string, term string, source string, count long, documents long"
 
 
-def _folded(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.groupby(KEYS, sort=False, as_index=False)[["count", "documents"]].sum()
+def _folded(rows: pa.Table) -> pa.Table:
+    sums = rows.group_by(COLUMNS[:3]).aggregate([("count", "sum"), ("documents", "sum")])
+    return sums.select([*COLUMNS[:3], "count_sum", "documents_sum"]).rename_columns(COLUMNS)
 
 
 def _merged(least: int):
     """Task function over the sorted rows of a shard: postings of the terms of enough documents."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_terms(batches, _folded):
             begins = np.flatnonzero(_starts(rows))
             held = np.add.reduceat(rows["documents"].to_numpy(), begins)
             enough = np.repeat(held >= least, np.diff(np.r_[begins, len(rows)]))
             if enough.any():
-                yield _folded(rows[enough])
+                yield from _folded(rows.filter(pa.array(enough))).to_batches()
     return run
 
 
-POSTINGS = "lang string, term string, source string, count long, documents long"
-
-
 def index(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """Postings lang, term, source, count of the kept terms (docs: lang, source, text; no null lang or source).
 
     The documents of a term are the sum over its postings.
     """
-    runs = docs.select("lang", "source", "text").mapInPandas(_index, POSTINGS)
+    runs = docs.select("lang", "source", "text").mapInArrow(_index, POSTINGS)
     shards = runs.repartition("lang", "term").sortWithinPartitions("lang", "term")
-    return shards.mapInPandas(_merged(least), POSTINGS)
+    return shards.mapInArrow(_merged(least), POSTINGS)
 
 
 def rate(count: Column, size: Column) -> Column:
@@ -172,10 +184,11 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return gap * gap // (p + q)
 
 
-def _pair_sums(rows: pd.DataFrame, codes: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of groups, as code * 2^32 + code, and their corrections over the terms in ``rows`` (whole terms)."""
+def _pair_sums(table: pa.Table, codes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of groups, as code * 2^32 + code, and their corrections over the terms in ``table`` (whole terms)."""
+    rows = table.select(["lang", "source", "p", "floor"]).to_pandas()
     group = np.array([codes.setdefault(g, len(codes)) for g in zip(rows["lang"], rows["source"])], np.int64)
-    term = np.cumsum(_starts(rows))
+    term = np.cumsum(_starts(table))
     p, floor = rows["p"].to_numpy(np.int64), rows["floor"].to_numpy(np.int64)
     at, apart, keys, sums = np.arange(len(rows)), 0, [], []
     while True:
@@ -204,16 +217,16 @@ def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[begins], np.add.reduceat(values, begins) if len(begins) else values
 
 
-def _shared_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Corrections for terms that both sources of a pair hold, summed per task."""
     codes: dict[tuple[str, str], int] = {}
     keys = sums = np.zeros(0, np.int64)
 
-    def rows() -> pd.DataFrame:
+    def rows() -> pa.RecordBatch:
         groups = list(codes)
-        return pd.DataFrame({"lang": [groups[k >> 32][0] for k in keys.tolist()],
-                             "a": [groups[k >> 32][1] for k in keys.tolist()],
-                             "b": [groups[k & (1 << 32) - 1][1] for k in keys.tolist()], "value": sums})
+        return pa.RecordBatch.from_pandas(pd.DataFrame({
+            "lang": [groups[k >> 32][0] for k in keys.tolist()], "a": [groups[k >> 32][1] for k in keys.tolist()],
+            "b": [groups[k & (1 << 32) - 1][1] for k in keys.tolist()], "value": sums}), preserve_index=False)
     for batch in _whole_terms(batches):
         key, total = _pair_sums(batch, codes)
         keys, sums = _sum_by(np.concatenate([keys, key]), np.concatenate([sums, total]))
@@ -267,7 +280,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
                 divergence(F.col("p"), F.col("floor_b")) - divergence(F.col("floor"), F.col("floor_b")))).alias("value")))
     lists = rated.select("lang", "term", "source", "p", "floor").repartition("lang", "term").sortWithinPartitions(
         "lang", "term")
-    both = (lists.mapInPandas(_shared_terms, "lang string, a string, b string, value long")
+    both = (lists.mapInArrow(_shared_terms, "lang string, a string, b string, value long")
             .select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value"))
     turned = [part.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
               for part in (lone, both)]

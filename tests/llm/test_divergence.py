@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from knockon.llm import divergence
 from tests.llm.helpers import EDGE_ROWS, docs
 
@@ -63,7 +65,8 @@ def test_small_blocks_and_sums_change_nothing(spark, monkeypatch):
     rows = corpus(random.Random(3), 120)
 
     def merged():
-        frames = list(divergence._index(iter([docs(spark, rows).fillna("").toPandas()])))
+        table = docs(spark, rows).fillna("").select("lang", "source", "text").toPandas()
+        frames = [b.to_pandas() for b in divergence._index(iter([pa.RecordBatch.from_pandas(table)]))]
         total = {}
         for r in pd.concat(frames).itertuples():
             own = total.setdefault((r.lang, r.term), [0, Counter()])
@@ -80,10 +83,12 @@ def test_small_blocks_and_sums_change_nothing(spark, monkeypatch):
     rows = pd.DataFrame([("en", f"t{t}", f"s{i}", 50 + 7 * i, 3 + i) for t, some in enumerate(lists) for i in some],
                         columns=["lang", "term", "source", "p", "floor"])
 
+    whole_rows = pa.RecordBatch.from_pandas(rows)
+
     def pair_sums(size):
         total = Counter()
-        for frame in divergence._shared_terms(rows.iloc[at:at + size] for at in range(0, len(rows), size)):
-            for r in frame.itertuples():
+        for frame in divergence._shared_terms(whole_rows.slice(at, size) for at in range(0, len(rows), size)):
+            for r in frame.to_pandas().itertuples():
                 total[frozenset((r.a, r.b))] += r.value
         return total
     whole = pair_sums(100)
@@ -97,7 +102,8 @@ def test_a_term_of_many_rows_is_folded(monkeypatch):
     rows = pd.DataFrame([("en", "x", f"s{i % 3}", 1, 1) for i in range(50)] + [("en", "y", "s1", 4, 9)],
                         columns=["lang", "term", "source", "count", "documents"])
     monkeypatch.setattr(divergence, "FOLD_ROWS", 4)
-    got = pd.concat(divergence._merged(10)(rows.iloc[at:at + 5] for at in range(0, len(rows), 5)))
+    table = pa.RecordBatch.from_pandas(rows)
+    got = pd.concat(b.to_pandas() for b in divergence._merged(10)(table.slice(at, 5) for at in range(0, len(rows), 5)))
     assert got.groupby(["term", "source"])["count"].sum().to_dict() == {
         ("x", "s0"): 17, ("x", "s1"): 17, ("x", "s2"): 16}
 
