@@ -30,6 +30,40 @@ from knockon.operators import metrics as ME
 from knockon.operators import models as M
 
 
+#: Halvings of one step before a fit is given up.
+MOST_HALVINGS = 30
+
+
+def separated_levels(df: DataFrame, factors: list[str], label: str = "current_dep_delayed_15") -> list[tuple]:
+    """(factor, level, rows, outcome) of the levels whose rows all have the same outcome.
+
+    Such a level has no finite logit coefficient and tells nothing about the
+    others.  Leaving its rows out may leave another level with one outcome, so the
+    count (one aggregation over all factors) is repeated until none is left.
+    """
+    found: list[tuple] = []
+    while factors:
+        rest = without_levels(df, found)
+        pairs = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors])
+        sums = (rest.select(F.explode(pairs).alias("at"), F.col(label).cast("double").alias("y"))
+                .groupBy("at.factor", "at.level").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("low"),
+                                                      F.max("y").alias("high")))
+        new = [(r.factor, r.level, int(r.n), int(r.low)) for r in sums.where("low = high").orderBy("factor", "level").collect()]
+        new = [x for x in new if x[1] is not None]
+        if not new:
+            break
+        found += new
+    return found
+
+
+def without_levels(df: DataFrame, separated: list[tuple]) -> DataFrame:
+    """Rows that have none of the levels."""
+    for factor in sorted({f for f, *_ in separated}):
+        gone = [level for f, level, *_ in separated if f == factor and level is not None]
+        df = df.where(~F.coalesce(F.col(factor).cast("string").isin(gone), F.lit(False)))
+    return df
+
+
 def _factor_columns(design: M.Design) -> dict[str, list[int]]:
     """Design column indices (1-based: 0 is the intercept) per factor."""
     out: dict[str, list[int]] = {}
@@ -178,20 +212,31 @@ def grouped_logit(df: DataFrame, group: str, design: M.Design, label: str = "cur
     """Per group: the same, with deviances and ``converged``.
 
     ``keeps``: per-group column masks (e.g. from ``grouped_ols``) to skip the X'X
-    pass.  A group whose weights vanish (perfect separation) stops unconverged.
+    pass.  A step that raises a group's deviance is halved until it does not, so
+    Newton steps that overshoot still reach the maximum.  A group whose weights
+    vanish (perfect separation) stops unconverged.
     """
     p = len(design.names) + 1
     factors = _factor_columns(design)
     if keeps is None:
         first = _accumulate(df, group, design, label, None, p)
         keeps = {g: _keep_columns(v[1], v[0], factors) for g, v in first.items()}
-    betas = {g: np.zeros(p) for g in keeps}
+    betas = {g: np.zeros(p) for g in keeps}  # to be tried in the next pass
+    best: dict[str, tuple[float, np.ndarray]] = {}  # least deviance so far, and its coefficients
+    halved = dict.fromkeys(keeps, 0)
     going, converged = set(keeps), dict.fromkeys(keeps, False)
     for _ in range(max_iter):
         if not going:
             break
-        for g, (n, xwx, xwz, _, sy) in _accumulate(df, group, design, label, {g: betas[g] for g in going}, p).items():
-            k = keeps[g]
+        for g, (n, xwx, xwz, dev, sy) in _accumulate(df, group, design, label, {g: betas[g] for g in going}, p).items():
+            k, tried = keeps[g], betas[g]
+            if g in best and not dev <= best[g][0] + 1e-9 * (abs(best[g][0]) + 0.1):
+                halved[g] += 1  # the step raised the deviance: go half of it
+                if halved[g] > MOST_HALVINGS:
+                    going.discard(g)
+                betas[g] = (best[g][1] + tried) / 2
+                continue
+            best[g], halved[g] = (dev, tried), 0
             new = np.zeros(p)
             try:
                 new[k] = solve_kept(xwx, xwz, k)[0]
@@ -200,7 +245,7 @@ def grouped_logit(df: DataFrame, group: str, design: M.Design, label: str = "cur
             if not np.isfinite(new).all() or np.abs(new[k]).max() > 1e6:
                 going.discard(g)
                 continue
-            if np.abs(new - betas[g]).max() < tol * max(1.0, np.abs(new).max()):
+            if np.abs(new - tried).max() < tol * max(1.0, np.abs(new).max()):
                 converged[g] = True
                 going.discard(g)
             betas[g] = new
@@ -236,12 +281,10 @@ def fit_ols(df: DataFrame, design: M.Design, label: str = "current_DEP_DELAY", m
 
 def fit_logit(df: DataFrame, design: M.Design, label: str = "current_dep_delayed_15",
               model: str = "logistic") -> M.FitResult:
-    """One pooled logit with the covariance of its estimates; one that does not converge is an error."""
+    """One pooled logit with the covariance of its estimates; without a maximum they are NaN (``converged`` False)."""
     fit = grouped_logit(df.withColumn("_all", F.lit("all")), "_all", design, label)["all"]
-    if not fit["converged"]:
-        raise ValueError(f"{model}: the logit did not converge; some level may separate the outcomes")
     metrics = {"model": model, "n_obs": fit["n"], "aic": fit["aic"], "deviance": fit["deviance"],
-               "null_deviance": fit["null_deviance"], "mean_target": fit["mean_target"], "converged": True}
+               "null_deviance": fit["null_deviance"], "mean_target": fit["mean_target"], "converged": fit["converged"]}
     return M.FitResult(model, ["Intercept", *design.names], fit["beta"].tolist(), fit["se"].tolist(),
                        [math.erfc(abs(x) / math.sqrt(2)) for x in fit["beta"] / fit["se"]], M.Z975, metrics,
                        cov=fit["cov"])

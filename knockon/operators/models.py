@@ -210,8 +210,8 @@ def main_result(spark: SparkSession, n_obs: int, lin: FitResult, logit: FitResul
     lb, llo, lhi = prev_term(lin)
     gb, glo, ghi = prev_term(logit)
     pooled = spark.createDataFrame([(
-        int(n_obs), gb, glo, ghi, math.exp(gb), math.exp(10 * gb), math.exp(10 * glo),
-        math.exp(10 * ghi), lb, llo, lhi, 10 * lb)],
+        int(n_obs), *map(_known, (gb, glo, ghi, _exp(gb), _exp(10 * gb), _exp(10 * glo),
+                                  _exp(10 * ghi), lb, llo, lhi, 10 * lb)))],
         "n_modeling_pairs long, logistic_prev_arr_delay_coef double, logistic_ci_lower double, "
         "logistic_ci_upper double, logistic_odds_ratio_per_1_min double, "
         "logistic_odds_ratio_per_10_min double, logistic_or10_ci_lower double, "

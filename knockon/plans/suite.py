@@ -53,7 +53,10 @@ def fit_suite(spark: SparkSession, mf: DataFrame, models=MODELS, with_year: bool
     the models of the previous delay alone).  Keys: ``coefficients``,
     ``metrics``; ``main_result`` and ``secondary_result`` with both pooled
     models; ``predict_scores`` with the logistic one; ``airline_carryover`` and
-    ``turnaround_carryover`` with theirs.
+    ``turnaround_carryover`` with theirs.  A level whose rows all have the same
+    outcome is in ``separated``; its rows stay out of the logit fits, and its
+    carry-over row has null slopes.  A logit without a maximum has null estimates
+    and ``converged`` false; the other models are not touched.
     """
     frame = frame_of(mf)
     levels, rows = frame.levels, frame.rows
@@ -61,26 +64,35 @@ def fit_suite(spark: SparkSession, mf: DataFrame, models=MODELS, with_year: bool
     numerics = M.NUMERIC_CONTROLS if numerics is None else numerics
     pooled = M.build_design(levels, factors, numerics)
     out, fits, metrics = {}, {}, []
+    logits = [name for name in models if name != "linear"]
+    by_level = [f for f in dict.fromkeys([*factors, "OP_UNIQUE_CARRIER" if "airline" in models else None,
+                                          "turnaround_bin" if "turnaround" in models else None]) if f]
+    separated = G.separated_levels(rows, by_level) if logits else []
+    known = {f: [lv for lv in of if not any((f, str(lv)) == s[:2] for s in separated)] for f, of in levels.items()}
+    mixed = materialize(G.without_levels(rows, separated), "logit-frame") if separated else rows
+    out["separated"] = spark.createDataFrame(separated, "factor string, level string, n_obs long, outcome int")
+    pooled_logit = M.build_design(known, factors, numerics) if separated else pooled
     if "linear" in models:
         fits["linear"] = lin = G.fit_ols(rows, pooled, model="linear")
         lin.metrics["mean_target"] = frame.mean_dep
         metrics.append(lin.metrics)
     if "logistic" in models:
-        fits["logistic"] = logit = G.fit_logit(rows, pooled, model="logistic")
-        scored = G.predict(rows, pooled, logit)
-        rank = ME.ranking_metrics(scored, "prediction", "label").first()
-        logit.metrics |= {"roc_auc": rank["roc_auc"], "average_precision": rank["average_precision"],
-                          "mean_target": frame.mean_flag}
+        fits["logistic"] = logit = G.fit_logit(mixed, pooled_logit, model="logistic")
         metrics.append(logit.metrics)
-        out["predict_scores"] = scored
+        if logit.metrics["converged"]:
+            scored = G.predict(mixed, pooled_logit, logit)
+            rank = ME.ranking_metrics(scored, "prediction", "label").first()
+            logit.metrics |= {"roc_auc": rank["roc_auc"], "average_precision": rank["average_precision"],
+                              "mean_target": logit.metrics["mean_target"] if separated else frame.mean_flag}
+            out["predict_scores"] = scored
     if "linear" in fits and "logistic" in fits:
         out["main_result"], out["secondary_result"] = M.main_result(spark, frame.n, fits["linear"], fits["logistic"])
     for name, by, key, shown in (("airline", "OP_UNIQUE_CARRIER", "airline", levels["OP_UNIQUE_CARRIER"]),
                                  ("turnaround", "turnaround_bin", "turnaround_bin", S.TURNAROUND_LABELS)):
         if name in models:
-            design = M.build_design(levels, [by, *[f for f in factors if f != by]], numerics, slope_by=by)
-            fits[name] = G.fit_logit(rows, design, model=f"logistic_{name}_interaction")
-            table = M.level_slopes(spark, fits[name], rows, by, shown, key, present=levels[by])
+            design = M.build_design(known, [by, *[f for f in factors if f != by]], numerics, slope_by=by)
+            fits[name] = G.fit_logit(mixed, design, model=f"logistic_{name}_interaction")
+            table = M.level_slopes(spark, fits[name], rows, by, shown, key, present=known[by])
             out[f"{name}_carryover"] = table.orderBy(
                 X.turnaround_bin_rank(key) if name == "turnaround" else F.col("odds_ratio_per_10_min").desc_nulls_last(),
                 key)
