@@ -2,10 +2,9 @@
 
 Ties are grouped by distinct score.  The cumulative true/false positive counts
 (ordered by score, descending) are built without a global single-partition
-window: distinct scores are cut into value ranges at approximate quantiles (a
-bounded list of split points), range totals are prefix-summed on the small
-range table, and each range does its own running sum.  Every step is a
-grouped aggregation or a window partitioned by range.
+window: Spark's range partitioning deals the distinct scores into rising value
+ranges, as many as there are shuffle partitions; range totals are prefix-summed
+on the small range table, and each range does its own running sum.
 """
 
 from __future__ import annotations
@@ -15,22 +14,10 @@ from pyspark.sql import functions as F
 
 from knockon.session import materialize
 
-#: Distinct scores in one running sum.
-SCORES_PER_RANGE = 100_000
-
-
-def _ranges(scores: DataFrame, col: str, n_ranges: int) -> DataFrame:
-    """``_range``: how many of the (bounded number of) quantile cuts lie at or below the score."""
-    cuts = []
-    if n_ranges > 1:
-        cuts = scores.approxQuantile(col, [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges)
-    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
-    return scores.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col(col))))
-
-
-def _default_ranges(scores: DataFrame) -> int:
-    """Value ranges for the sweep: by the number of distinct scores, at most 1,000."""
-    return min(1000, 1 + scores.count() // SCORES_PER_RANGE)
+def _ranges(scores: DataFrame, col: str, n_ranges: int | None) -> DataFrame:
+    """The distinct scores, written with ``_range``: rising value ranges, equal scores together."""
+    dealt = scores.repartitionByRange(n_ranges, col) if n_ranges else scores.repartitionByRange(col)
+    return materialize(dealt.withColumn("_range", F.spark_partition_id()), "scores")  # read 3 times
 
 
 def score_curve(df: DataFrame, score: str, label: str, n_ranges: int | None = None, by=()) -> DataFrame:
@@ -41,8 +28,7 @@ def score_curve(df: DataFrame, score: str, label: str, n_ranges: int | None = No
          .groupBy(*by, F.col(score).cast("double").alias("score"))
          .agg(F.sum(F.col(label).cast("long")).alias("tp"),
               F.sum((1 - F.col(label)).cast("long")).alias("fp")))
-    g = materialize(g, "scores")  # distinct scores, read 3 times
-    g = _ranges(g, "score", n_ranges or _default_ranges(g))
+    g = _ranges(g, "score", n_ranges)
     totals = g.groupBy(*by, "_range").agg(F.sum("tp").alias("_rtp"), F.sum("fp").alias("_rfp"))
     before = Window.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
@@ -52,7 +38,7 @@ def score_curve(df: DataFrame, score: str, label: str, n_ranges: int | None = No
         F.coalesce(F.sum("_rfp").over(before), F.lit(0)).alias("_ofp"))
     run = Window.partitionBy(*by, "_range").orderBy(F.col("score").desc()).rowsBetween(
         Window.unboundedPreceding, 0)
-    # offsets: at most groups x n_ranges rows (a bounded broadcast)
+    # offsets: at most groups x shuffle partitions rows (a bounded broadcast)
     return (g.join(F.broadcast(offsets), [*by, "_range"])
             .withColumn("cum_tp", F.col("_otp") + F.sum("tp").over(run))
             .withColumn("cum_fp", F.col("_ofp") + F.sum("fp").over(run))
