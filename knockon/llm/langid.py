@@ -45,13 +45,17 @@ FAMILIES = {
 }
 
 #: Word characters that are no letters and no decimal digits: number forms, fractions, circled numbers.
-_NUMBERS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(c for c in map(chr, range(128, 0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_BLANKS = dict.fromkeys(map(ord, _NUMBERS), " ")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters_of(text: str | None) -> str:
     """Lower-cased letters, words parted and framed by single blanks; empty without letters."""
-    words = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    low = (text or "").lower()
+    if not low.isascii() and not _NUMBERS.isdisjoint(low):
+        low = low.translate(_BLANKS)
+    words = _NOT_LETTERS.sub(" ", low).strip()
     return f" {words} " if words else ""
 
 
