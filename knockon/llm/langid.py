@@ -154,7 +154,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("id")))
     spot = F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    near = (usable.join(counts, "lang")
+    near = (usable.join(F.broadcast(counts), "lang")  # one row a language
             .where(spot * F.col("n") < 2 * limit + 50)
             .groupBy("lang", "id").agg(F.max("text").alias("text")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("langid")), "id")
