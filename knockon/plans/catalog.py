@@ -979,8 +979,8 @@ area as (select sum(fp * (ctp - tp / 2)) / (sum(tp) * sum(fp)) as auc, sum(tp *
 """
 
 
-def _coef(model):
-    return lambda spark, sf: suite_of(spark, sf, model)["coefficients"].select(
+def _coef(*models):
+    return lambda spark, sf: suite_of(spark, sf, *models)["coefficients"].select(
         "model", "term", *[r6(F.col(c)).alias(c) for c in ("estimate", "std_err", "ci_lower", "ci_upper")],
         F.round("odds_ratio", 5).alias("odds_ratio"))
 
@@ -988,7 +988,14 @@ def _coef(model):
 query("logit_carryover", LOGIT_SQL + _COEF_SQL % "logistic")(_coef("logistic"))
 query("logit_airline", AIRLINE_SQL + _COEF_SQL % "logistic_airline_interaction")(_coef("airline"))
 query("logit_turnaround", TURNAROUND_SQL + _COEF_SQL % "logistic_turnaround_interaction")(_coef("turnaround"))
-query("coefficients")(lambda spark, sf: suite_of(spark, sf)["coefficients"])
+_OLS_COEF_SQL = OLS_SQL + f"""select 'linear' as model, term, round(estimate, 6) as estimate,
+ round(sqrt(spread * rss / (n - k)), 6) as std_err,
+ round(estimate - {_t_sql('n - k')} * sqrt(spread * rss / (n - k)), 6) as ci_lower,
+ round(estimate + {_t_sql('n - k')} * sqrt(spread * rss / (n - k)), 6) as ci_upper,
+ cast(null as double) as odds_ratio from beta, fit"""
+query("coefficients", " union all ".join(f"select * from ({sql})" for sql in (
+    _OLS_COEF_SQL, LOGIT_SQL + _COEF_SQL % "logistic", AIRLINE_SQL + _COEF_SQL % "logistic_airline_interaction",
+    TURNAROUND_SQL + _COEF_SQL % "logistic_turnaround_interaction")))(_coef(*SU.MODELS))
 query("logistic_metrics", LOGIT_SQL + _AREA_SQL + """select 'logistic' as model, n as n_obs,
  round(dev + 2 * (select count(*) from beta), 4) as aic, round(dev, 4) as deviance, round(dev0, 4) as null_deviance,
  round(auc, 6) as roc_auc, round(ap, 6) as average_precision, round(rate, 6) as mean_target, true as converged
@@ -1094,6 +1101,22 @@ def periods_of(spark, sf, periods) -> DataFrame:
     return SU.fit_periods(spark, mf, periods(SU.years_of(mf)))
 
 
+def eliminated_sql(k: str, p: int) -> list[str]:
+    """CTEs that solve the system ``g{k}``, ``r{k}`` of every group; a column without a pivot gets the coefficient 0."""
+    unit = f"list_transform(range(1, {p + 1}), lambda j: case when j = i then 1.0::double else 0.0 end)"
+    return [f"""s{k} as (select grp, 0 as step, i, list_concat(list_concat(cells, [v]), {unit}) as cells
+  from g{k} join r{k} using (grp, i)
+ union all
+ select grp, step + 1, i, case when abs(lead_row[step + 1]) < 1e-9 then cells
+  when i = step + 1 then list_transform(cells, lambda v: v / cells[step + 1])
+  else list_transform(range(1, len(cells) + 1), lambda j: cells[j] - cells[step + 1] * lead_row[j] / lead_row[step + 1]) end
+ from (select *, max(case when i = step + 1 then cells end) over (partition by grp) as lead_row
+  from s{k} where step < {p}) t)""",
+            f"""b{k} as (select grp, list(case when abs(cells[i]) < 1e-9 then 0.0 else cells[{p + 1}] end order by i) as beta,
+  max(case when i = 2 then cells[{p + 3}] end) as spread, cast(count(*) filter (where abs(cells[i]) > 1e-9) as integer) as k
+  from s{k} where step = {p} group by grp)"""]
+
+
 def grouped_sql(terms: list[tuple[str, str]], grp: str, steps: int = 10) -> str:
     """CTEs of a linear model and a logit for every group at once; a column that is zero in a group drops out.
 
@@ -1102,22 +1125,11 @@ def grouped_sql(terms: list[tuple[str, str]], grp: str, steps: int = 10) -> str:
     p = len(terms)
 
     def solved(k: str, w: str, u: str) -> list[str]:
-        unit = f"list_transform(range(1, {p + 1}), lambda j: case when j = i then 1.0::double else 0.0 end)"
         return [f"""g{k} as (select grp, i, list(v order by j) as cells from (
   select grp, i, j, sum({w} * x[i] * x[j]) as v from w{k}, range(1, {p + 1}) a(i), range(1, {p + 1}) c(j)
   group by grp, i, j) t group by grp, i)""",
                 f"r{k} as (select grp, i, sum(x[i] * {u}) as v from w{k}, range(1, {p + 1}) a(i) group by grp, i)",
-                f"""s{k} as (select grp, 0 as step, i, list_concat(list_concat(cells, [v]), {unit}) as cells
-  from g{k} join r{k} using (grp, i)
- union all
- select grp, step + 1, i, case when abs(lead_row[step + 1]) < 1e-9 then cells
-  when i = step + 1 then list_transform(cells, lambda v: v / cells[step + 1])
-  else list_transform(range(1, len(cells) + 1), lambda j: cells[j] - cells[step + 1] * lead_row[j] / lead_row[step + 1]) end
- from (select *, max(case when i = step + 1 then cells end) over (partition by grp) as lead_row
-  from s{k} where step < {p}) t)""",
-                f"""b{k} as (select grp, list(case when abs(cells[i]) < 1e-9 then 0.0 else cells[{p + 1}] end order by i) as beta,
-  max(case when i = 2 then cells[{p + 3}] end) as spread, cast(count(*) filter (where abs(cells[i]) > 1e-9) as integer) as k
-  from s{k} where step = {p} group by grp)"""]
+                *eliminated_sql(k, p)]
 
     parts = [f"design as (select {grp} as grp, [" + ", ".join(f"cast({c} as double)" for _, c in terms)
              + "] as x, cast(current_dep_delayed_15 as double) as y, cast(current_DEP_DELAY as double) as d from mf)",
@@ -1159,7 +1171,13 @@ def _periods(table: DataFrame) -> DataFrame:
 
 query("fit_by_year", YEAR_SQL + f"""select cast(grp as varchar) as period, grp as start_year, grp as end_year,
  'ok' as status, {_YEAR_FIT}""")(lambda spark, sf: _periods(periods_of(spark, sf, SU.yearly_periods)))
-query("fit_by_window")(lambda spark, sf: periods_of(spark, sf, SU.window_periods))
+# Windows of three years from the first; years count from the window's own first one.
+_WINDOW_TERMS = terms_of("OP_UNIQUE_CARRIER", *M.CALENDAR_FACTORS) + [
+    (f"year {k} of the window", f"((current_year - 1995) % 3 = {k})") for k in (1, 2)]
+WINDOW_SQL = grouped_sql(_WINDOW_TERMS, "1995 + (current_year - 1995) // 3 * 3")
+query("fit_by_window", WINDOW_SQL + f"""select case when grp < 2001 then grp || '-' || (grp + 2) else '2001' end as period,
+ cast(grp as integer) as start_year, cast(least(grp + 2, 2001) as integer) as end_year, 'ok' as status, {_YEAR_FIT}""")(
+    lambda spark, sf: _periods(periods_of(spark, sf, SU.window_periods)))
 
 
 @query("year_comparison", YEAR_SQL + f"select * exclude (linear_ci_lower, linear_ci_upper, logistic_or10_ci_lower, "
@@ -1279,11 +1297,47 @@ from tls join bw using (TAIL_NUM)"""))(
         "replicate", "TAIL_NUM", "leg_index", "n_obs", "bootstrap_count",
         (F.col("n_obs") * F.col("bootstrap_count")).alias("weight")))
 
-# Iterative parts (least squares per replicate with the full design, lambda fits): rows only.
-@query("bootstrap_beta")
+def resampled_sql(terms: list[tuple[str, str]]) -> str:
+    """CTE ``bbeta`` (replicate, beta_prev_arr_delay): sums of products by tail, weighted and solved by replicate."""
+    p = len(terms)
+    cells = ", ".join(f"cast({c} as double)" for _, c in terms)
+    return ",\n".join([
+        f"bx as (select TAIL_NUM, [{cells}] as x, cast(current_DEP_DELAY as double) as y from mf where TAIL_NUM is not null)",
+        f"""btg as (select TAIL_NUM, i, j, sum(x[i] * x[j]) as v from bx, range(1, {p + 1}) a(i), range(1, {p + 1}) c(j)
+  group by all)""",
+        f"btr as (select TAIL_NUM, i, sum(x[i] * y) as v from bx, range(1, {p + 1}) a(i) group by all)",
+        """gb as (select grp, i, list(v order by j) as cells from (select replicate as grp, i, j, sum(bootstrap_count * v) as v
+  from btg join bw using (TAIL_NUM) group by all) t group by grp, i)""",
+        "rb as (select replicate as grp, i, sum(bootstrap_count * v) as v from btr join bw using (TAIL_NUM) group by all)",
+        *eliminated_sql("b", p),
+        "bbeta as (select cast(grp as integer) as replicate, beta[2] as beta_prev_arr_delay from bb)"])
+
+
+def resampled_table_sql(fx: str, terms: list[tuple[str, str]]) -> str:
+    """CTE ``boot`` (replicate, seed, beta_prev_arr_delay, lambda_decay) with the full design."""
+    return recursive(boot_sql(legs_sql(fx, upto="mf"), ", " + resampled_sql(terms) + f""",
+blm as (select replicate, leg_index, sum(n_obs * bootstrap_count * mean_remaining_delay) / sum(n_obs * bootstrap_count)
+  as mean_remaining_delay from tls join bw using (TAIL_NUM) group by replicate, leg_index),
+{fit_sql("blm", "replicate")},
+boot as (select replicate, {SEED} as seed, beta_prev_arr_delay, lam as lambda_decay
+  from bbeta left join fitted using (replicate))
+"""))
+
+
+_BOOT_CI = ", ".join(f"round(quantile_cont({c}, {q}), 6) as {c}_ci_{side}" for c in ("beta_prev_arr_delay", "lambda_decay")
+                     for q, side in ((0.025, "lower"), (0.975, "upper")))
+# The one-month fixture has five carriers and one year and month.
+_FL_TERMS = ([("Intercept", "1.0"), (M.PREV, M.PREV)]
+             + [(v, f"(OP_UNIQUE_CARRIER = '{v}')") for v in ("error", "purchase", "signup", "view")]
+             + [t for t in terms_of("current_day_of_week", "dep_period") if t[0] not in ("Intercept", M.PREV)])
+BOOT_SQL = resampled_table_sql("flights", _FL_TERMS)
+
+
+@query("bootstrap_beta", recursive(boot_sql(W_LI_MF, ", " + resampled_sql(terms_of(*_CONTROLS))
+                                            + " select replicate, round(beta_prev_arr_delay, 6) as beta_prev_arr_delay from bbeta")))
 def q_bootstrap_beta(spark, sf):
     mf = materialize(mf_of(spark, sf, "lineitem"), "mf")
-    return B.bootstrap_beta(mf, B.cluster_weights(mf.where(F.col("TAIL_NUM").isNotNull()), N_REPS, SEED))
+    return rounded(B.bootstrap_beta(mf, B.cluster_weights(mf.where(F.col("TAIL_NUM").isNotNull()), N_REPS, SEED)))
 
 
 query("bootstrap_lambda", recursive(boot_sql(legs_sql("flights", upto="mf"), """,
@@ -1324,9 +1378,10 @@ query("bootstrap_ci_single", BOOT_SINGLE_SQL + "select " + ", ".join(
     f"round(quantile_cont({c}, {q}), 6) as {c}_ci_{side}" for c in ("beta_prev_arr_delay", "lambda_decay")
     for q, side in ((0.025, "lower"), (0.975, "upper"))) + " from boot")(
     lambda spark, sf: rounded(B.bootstrap_ci(boot_single_of(spark, sf), ["beta_prev_arr_delay", "lambda_decay"])))
-query("bootstrap_table")(boot_table_of)
-query("bootstrap_ci")(lambda spark, sf: B.bootstrap_ci(boot_table_of(spark, sf),
-                                                       ["beta_prev_arr_delay", "lambda_decay"]))
+query("bootstrap_table", BOOT_SQL + """select replicate, seed, round(beta_prev_arr_delay, 6) as beta_prev_arr_delay,
+ round(lambda_decay, 6) as lambda_decay from boot""")(lambda spark, sf: rounded(boot_table_of(spark, sf)))
+query("bootstrap_ci", BOOT_SQL + f"select {_BOOT_CI} from boot")(
+    lambda spark, sf: rounded(B.bootstrap_ci(boot_table_of(spark, sf), ["beta_prev_arr_delay", "lambda_decay"])))
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -1616,7 +1671,24 @@ def q_summary_assemble(spark, sf):
     return R._one_row_join(t, m)
 
 
-@query("final_summary")
+_SUMMARY_CURVE = recursive(legs_sql("lineitem").rstrip() + ", one as (select 1 as grp, * from dbl), " + fit_sql("one"))
+
+
+@query("final_summary", f"""select t.*, m.*, b.*, d.* from
+ ({W_LI_P}select cast((select count(distinct strftime(FL_DATE, '%Y-%m')) from clean) as bigint) as total_raw_files_used,
+  cast((select count(*) from clean) as bigint) as total_cleaned_flights,
+  cast((select count(*) from pairs) as bigint) as total_flight_pairs) t,
+ ({BOTH_SQL}select round(l, 6) as main_carryover_coefficient, round(g, 6) as logistic_prev_delay_coefficient,
+  round(exp(g), 6) as logistic_prev_delay_odds_ratio, round(exp(10 * g), 5) as logistic_odds_ratio_per_10_min,
+  round(exp(10 * (g - {Z} * gse)), 5) as logistic_or10_ci_lower,
+  round(exp(10 * (g + {Z} * gse)), 5) as logistic_or10_ci_upper from pair_fit) m,
+ ({resampled_table_sql("lineitem", terms_of(*_CONTROLS))}select
+  round(quantile_cont(beta_prev_arr_delay, 0.025), 6) as bootstrap_ci_lower,
+  round(quantile_cont(beta_prev_arr_delay, 0.975), 6) as bootstrap_ci_upper,
+  round(quantile_cont(lambda_decay, 0.025), 6) as decay_lambda_ci_lower,
+  round(quantile_cont(lambda_decay, 0.975), 6) as decay_lambda_ci_upper from boot) b,
+ ({_SUMMARY_CURVE} select round(lam, 6) as decay_lambda,
+  case when lam > 0 then round(ln(2) / lam, 5) end as decay_half_life_legs from fitted) d""")
 def q_final_summary(spark, sf):
     """Totals, models, decay and bootstrap from one clean table and one chain pass."""
     clean = stage_of(spark, sf, "lineitem")
@@ -1628,7 +1700,9 @@ def q_final_summary(spark, sf):
     params = D.decay_parameters(D.decay_by_leg(tls))
     boot = B.run_bootstrap(spark, mf, tls, N_REPS, SEED)
     ci = B.bootstrap_ci(boot, ["beta_prev_arr_delay", "lambda_decay"])
-    return R.final_summary(R.dataset_totals(clean, pairs), suite["coefficients"], suite["main_result"], params, ci)
+    out = R.final_summary(R.dataset_totals(clean, pairs), suite["coefficients"], suite["main_result"], params, ci)
+    return out.select(*[F.round(c, 5 if "10" in c or "half_life" in c else 6).alias(c) if k == "double" else F.col(c)
+                        for c, k in out.dtypes])
 
 
 # ---------------------------------------------------------------- chain order, decay curve evaluation
