@@ -1819,6 +1819,59 @@ def q_clean_summary_by_file(spark, sf):
     return C.clean_summary(raw, by=[month], keep=["source_path"])
 
 
+# ---------------------------------------------------------------- counts and guards of the writing pass
+from knockon.sources import counted as CO  # noqa: E402
+
+
+@query("write_clean_counted", ORACLES["clean_summary"])
+def q_write_clean_counted(spark, sf):
+    """The clean summary from the pass that writes the clean table."""
+    path = scratch_path(spark, "clean_counted")
+    return CO.clean_summary(spark, path, CO.write_clean(raw_flights(spark, sf), path, keep=ids()))
+
+
+@query("write_pairs_counted", ORACLES["pair_summary"].replace("select OP_UNIQUE_CARRIER, cast", "select cast")
+       .replace("from cand group by OP_UNIQUE_CARRIER", "from cand"))
+def q_write_pairs_counted(spark, sf):
+    """The pair summary from the pass that writes the pairs."""
+    counts = CO.write_pairs(stage_of(spark, sf), scratch_path(spark, "pairs_counted"), tiebreak=ids(), keep=ids())
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+
+
+@query("require_rows", W_FL_P + """select name, n, least, n >= least as enough from (
+ select 'output_rows' as name, cast((select count(*) from clean) as bigint) as n, cast(1 as bigint) as least
+ union all select 'output_pairs', cast((select count(*) from pairs) as bigint), 1
+ union all select 'output_pairs', cast((select count(*) from pairs) as bigint), 1000000000) t""")
+def q_require_rows(spark, sf):
+    """The guards on the counts of both writes; the last asks for more pairs than there are."""
+    cleaned, paired = (scratch_path(spark, n) for n in ("clean_counted", "pairs_counted"))
+    counts = CO.write_clean(raw_flights(spark, sf), cleaned, keep=ids())
+    counts |= CO.write_pairs(spark.read.parquet(cleaned), paired, tiebreak=ids(), keep=ids())
+
+    def held(name: str, least: int) -> tuple:
+        try:
+            return name, CO.require_rows(counts, name, least), least, True
+        except CO.TooFewRowsError:
+            return name, counts[name], least, False
+    return spark.createDataFrame([held("output_rows", 1), held("output_pairs", 1), held("output_pairs", 10 ** 9)],
+                                 "name string, n long, least long, enough boolean")
+
+
+@query("require_columns", cte_chain("lineitem", "clean") + """select strftime(FL_DATE, '%Y') as year,
+ case cast(year(FL_DATE) as integer) % 3 when 0 then 'DEP_DELAY' when 1 then 'ORIGIN,DEST' else '' end as missing
+from typed group by all""")
+def q_require_columns(spark, sf):
+    """Raw files by year, some without columns that a month needs; what each file's header lacks."""
+    path = scratch_path(spark, "raw_lacking")
+    raw = _raw_long(spark, sf).withColumn("year", F.substring("ym", 1, 4)).drop("ym")
+    for rest, lacking in ((0, ["DepDelay"]), (1, ["Origin", "Dest"]), (2, [])):
+        (raw.where(F.col("year").cast("int") % 3 == rest).drop(*lacking)
+         .write.partitionBy("year").option("header", True).csv(f"{path}/{rest}"))
+    return CO.missing_columns(spark, path).select(
+        F.regexp_extract("path", "year=([0-9]{4})", 1).alias("year"),
+        F.array_join("missing", ",").alias("missing")).distinct()
+
+
 @query("tail_leg_summary_shared_chain", legs_sql() + """
 select TAIL_NUM, leg_index, n_obs, round(mean_remaining_delay, 6) as mean_remaining_delay,
  round(median_remaining_delay, 6) as median_remaining_delay from tls""")

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knockon.operators import bootstrap as B
-from knockon.operators import clean as C
 from knockon.operators import decay as D
 from knockon.operators import features as FE
 from knockon.operators import pairs as P
 from knockon.operators import reports as R
 from knockon.plans import suite as SU
 from knockon.session import scratch_path
+from knockon.sources import counted as CO
 from knockon.sources import files as SRC
 from knockon.sources import layout as LAY
 
@@ -65,11 +65,13 @@ def run_job(spark: SparkSession, root: str, out: str, start: str | None = None,
     """
     months = chosen_months(spark, start, end)
     raw = read_sources(spark, chosen_sources(spark, root, months))
-    SRC.write_clean(C.clean_flights(raw), f"{out}/clean")
+    cleaned = CO.write_clean(raw, f"{out}/clean")
+    CO.require_rows(cleaned, "output_rows")
     clean = spark.read.parquet(f"{out}/clean").drop("year")
     path = scratch_path(spark, "by_tail")
     by_tail = LAY.write_chain_layout(clean, path, "by_tail_" + path[-12:], P.chain_order(TIE_BREAK))
-    SRC.write_pairs(P.flight_pairs(by_tail, tiebreak=TIE_BREAK, split=LAY.BUCKET), f"{out}/pairs")
+    paired = CO.write_pairs(by_tail, f"{out}/pairs", tiebreak=TIE_BREAK, split=LAY.BUCKET)
+    CO.require_rows(paired, "output_pairs")
     pairs = SRC.read_pairs(spark, f"{out}/pairs", start_year=start_year, end_year=end_year).drop("current_year")
     frame = FE.model_frame(pairs)
     suite = SU.fit_suite(spark, frame, models=models)
@@ -78,7 +80,9 @@ def run_job(spark: SparkSession, root: str, out: str, start: str | None = None,
     parameters = D.decay_parameters(by_leg)
     totals = R.dataset_totals(clean, pairs)
     interval = None
-    reports = {"decay_by_leg": D.decay_table(by_leg), "decay_parameters": parameters,
+    reports = {"clean_summary": CO.clean_summary(spark, f"{out}/clean", cleaned),
+               "pair_summary": spark.createDataFrame([tuple(paired.values())], ", ".join(f"{c} long" for c in paired)),
+               "decay_by_leg": D.decay_table(by_leg), "decay_parameters": parameters,
                "coefficients": suite["coefficients"]}
     if replicates:
         reports["bootstrap"] = B.run_bootstrap(spark, frame, legs, replicates, seed)

@@ -111,7 +111,7 @@ def _strip_bom(df: DataFrame) -> DataFrame:
     return df
 
 
-def _expand(spark: SparkSession, paths: list[str] | str) -> list[str]:
+def expand(spark: SparkSession, paths: list[str] | str) -> list[str]:
     """The files behind files, folders and globs (a listing; nothing is read)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
@@ -145,7 +145,7 @@ def read_month_csv(spark: SparkSession, paths: list[str] | str, with_source: boo
     flight date.  Unnamed trailing columns are dropped.  ``with_source`` adds
     ``source_path`` (the file each row came from).
     """
-    files = _expand(spark, paths)
+    files = expand(spark, paths)
     if not files:
         raise FileNotFoundError(f"no monthly files under {paths}")
     keep = ["source_path"] if with_source else []

@@ -66,7 +66,7 @@ def test_headers_of_many_files_in_one_job(spark, tmp_path):
         write(f"{tmp_path}/f{i:02d}.csv", HEADER if i % 3 else swapped(), [ROW] * (i % 4))
     with open(f"{tmp_path}/f99.csv", "w") as blank:
         blank.write("\n")
-    files = SRC._expand(spark, str(tmp_path))
+    files = SRC.expand(spark, str(tmp_path))
     spark.sparkContext.setJobGroup("headers", "headers")
     groups = SRC.headers_of(spark, files)
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
