@@ -152,9 +152,9 @@ def tail_grams(mf: DataFrame, design, key: str = "TAIL_NUM", label: str = "curre
     """
     p = len(design.names) + 1
     means = mf.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(design.exprs)]).first()
-    centred = [e - F.lit(float(means[f"m{i}"] or 0.0)) for i, e in enumerate(design.exprs)]
+    centre = np.array([0.0, *[float(means[f"m{i}"] or 0.0) for i in range(len(design.exprs))]])
     rows = mf.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y"),
-                     F.array(*centred).alias("x")).where(F.col("k").isNotNull())
+                     design.packed().alias("x")).where(F.col("k").isNotNull())
     upper = np.triu_indices(p)
 
     def batch_of(done):
@@ -166,6 +166,7 @@ def tail_grams(mf: DataFrame, design, key: str = "TAIL_NUM", label: str = "curre
         done = []
         if tails is None:
             return batch_of(list(state.items())) if state else None
+        X -= centre
         for tail, at in G.by_group(tails):
             Xt, yt = X[at], y[at]
             v = np.concatenate([[len(at)], (Xt.T @ Xt)[upper], Xt.T @ yt, [yt @ yt]])
@@ -177,7 +178,7 @@ def tail_grams(mf: DataFrame, design, key: str = "TAIL_NUM", label: str = "curre
                 state[tail] = v
         return batch_of(done) if done else None
 
-    return G.design_batches(gathered_by_tail(rows).select("k", "y", "x"), p, run,
+    return G.design_batches(gathered_by_tail(rows).select("k", "y", "x"), design, run,
                             "k string, s array<double>").withColumnRenamed("k", key)
 
 

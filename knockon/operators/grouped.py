@@ -1,13 +1,13 @@
 """Grouped (per-period) OLS and logistic fits: all groups at once.
 
 Refitting the pooled models per year or per window of years is a loop of fits
-in the reference (one job per year).  Here every group is solved together: a
-pass over the rows accumulates, per group, the Gram matrix and moment vectors
-(one vector per group and partition, added up cell by cell with partial
-aggregation), and the driver solves one p x p system per group.  OLS takes one
-pass; the logit takes one pass per IRLS step (the current coefficients of every
-group travel in the task closure: groups x p numbers).  Driver state is
-O(groups * p^2).
+in the reference (one job per year).  Here every group is solved together.  OLS
+takes one aggregation without Python: rows fold into contingency cells (equal
+levels), and sums of products by pairs of levels make up each group's Gram
+matrix.  The logit takes one pass per IRLS step (the current coefficients of
+every group travel in the task closure: groups x p numbers): one vector per
+group and partition, added up cell by cell with partial aggregation.  The driver
+solves one p x p system per group; its state is O(groups * p^2).
 
 Each group keeps the column space a separate fit on that group would have:
 columns that are all zero, constant or otherwise dependent in the group are
@@ -18,6 +18,7 @@ coefficients and says why in its status; it never stops the others.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -108,19 +109,22 @@ def solve_kept(gram: np.ndarray, moments: np.ndarray, keep: np.ndarray) -> tuple
     return inverse @ (moments[keep] / scale) / scale, np.diag(inverse) / scale ** 2
 
 
-def design_batches(rows: DataFrame, p: int, run, schema: str) -> DataFrame:
-    """``run(groups, X, y)`` per Arrow batch and, with None, once at the end of a partition.
+def design_batches(rows: DataFrame, design: M.Design, run, schema: str) -> DataFrame:
+    """``run(state, groups, X, y)`` per Arrow batch and, with None, once at the end of a partition.
 
-    The rows' arrays are one flat Arrow buffer, so a batch becomes a matrix without
-    a Python object per row.  ``run`` returns a RecordBatch or None.
+    Rows bring their numerics and one level code per factor (``Design.packed``), one
+    flat Arrow buffer a batch; the indicator columns are set in the task, so what
+    crosses to Python does not grow with the levels.  ``run`` returns a RecordBatch or None.
     """
+    shape = M.Design(numerics=design.numerics, coded=design.coded, names=design.names, parts=design.parts)
+    width = len(design.numerics) + len(design.coded)
+
     def part(batches):
         state: dict = {}
         for batch in batches:
             if batch.num_rows:
-                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, p - 1)
-                X = np.column_stack([np.ones(batch.num_rows), flat])
-                out = run(state, batch.column(0), X, batch.column(1).to_numpy(zero_copy_only=False))
+                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+                out = run(state, batch.column(0), shape.matrix(flat), batch.column(1).to_numpy(zero_copy_only=False))
                 if out is not None:
                     yield out
         out = run(state, None, None, None)
@@ -131,7 +135,7 @@ def design_batches(rows: DataFrame, p: int, run, schema: str) -> DataFrame:
 
 def _rows(df: DataFrame, group: str, design: M.Design, label: str) -> DataFrame:
     return df.select(F.col(group).cast("string").alias("g"), F.col(label).cast("double").alias("y"),
-                     F.array(*design.exprs).alias("x"))
+                     design.packed().alias("x"))
 
 
 def by_group(groups: pa.Array):
@@ -142,10 +146,61 @@ def by_group(groups: pa.Array):
         yield name, np.flatnonzero(codes == i)
 
 
-def _accumulate(df: DataFrame, group: str, design: M.Design, label: str, betas: dict | None,
-                p: int) -> dict:
-    """One pass: per group packed sums.  Without betas: [n, X'X, X'y, y'y, sum y].
-    With betas (logit IRLS): [n, X'WX, X'Wz, deviance, sum y]."""
+def cell_sums(df: DataFrame, group: str, design: M.Design, label: str) -> DataFrame:
+    """Sums of products by group and by the levels of no, one or two factors (null: over all levels).
+
+    ``m<i>_<j>`` is the sum of value i times value j, where the values are 1, the
+    numerics and the label.  Rows first fold into cells of equal levels, before the
+    shuffle, so what is shuffled is bounded by the levels; grouping sets then add up the cells.
+    Rows with a null numeric or label are left out.
+    """
+    factors = [f"f{i}" for i in range(len(design.coded))]
+    numbers = [*design.numerics, label]
+    rows = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in numbers))).select(
+        F.col(group).cast("string").alias("g"), *[design.code(f).alias(n) for f, n in zip(design.coded, factors)],
+        *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(numbers, start=1)])
+    size = len(numbers) + 1
+    value = [F.lit(1.0), *[F.col(f"v{i}") for i in range(1, size)]]
+    names = [f"m{i}_{j}" for i in range(size) for j in range(i, size)]
+    cells = rows.groupBy("g", *factors).agg(
+        *[F.sum(value[i] * value[j] if i else value[j]).alias(f"m{i}_{j}") for i in range(size) for j in range(i, size)])
+    sets = [["g", *chosen] for k in range(3) for chosen in itertools.combinations(factors, k)]
+    return cells.groupingSets([[F.col(c) for c in s] for s in sets], F.col("g"), *map(F.col, factors)).agg(
+        *[F.sum(n).alias(n) for n in names])
+
+
+def gram_sums(df: DataFrame, group: str, design: M.Design, label: str) -> dict:
+    """Per group: n, X'X, X'y, y'y, sum y, put together from ``cell_sums`` without a matrix of rows.
+
+    An entry of X'X is the sum of a product of two numerics over the rows that have both columns' levels.
+    """
+    size = len(design.numerics) + 2
+    slot = {None: 0, **{c: i for i, c in enumerate(design.numerics, start=1)}}
+    at: dict[str, dict] = {}
+    for r in cell_sums(df, group, design, label).collect():  # groups x pairs of levels
+        levels = frozenset((f, r[f"f{i}"]) for i, f in enumerate(design.coded) if r[f"f{i}"] is not None)
+        sums = np.zeros((size, size))
+        for i in range(size):
+            for j in range(i, size):
+                sums[i, j] = sums[j, i] = r[f"m{i}_{j}"]
+        at.setdefault(r["g"], {})[levels] = sums
+    none = np.zeros((size, size))
+    columns = [(frozenset(), 0), *[(frozenset() if f is None else frozenset([(f, code)]), slot[c])
+                                   for f, code, c in design.parts]]
+    out = {}
+    for g, cells in at.items():
+        gram = np.zeros((len(columns), len(columns)))
+        for i, (mine, u) in enumerate(columns):
+            for j, (other, v) in enumerate(columns[:i + 1]):
+                gram[i, j] = gram[j, i] = cells.get(mine | other, none)[u, v]  # two levels of one factor: no rows
+        moments = np.array([cells.get(levels, none)[u, -1] for levels, u in columns])
+        whole = cells[frozenset()]
+        out[g] = (whole[0, 0], gram, moments, whole[-1, -1], whole[0, -1])
+    return out
+
+
+def _accumulate(df: DataFrame, group: str, design: M.Design, label: str, betas: dict, p: int) -> dict:
+    """One pass of IRLS: per group n, X'WX, X'Wz, deviance, sum y at the group's coefficients."""
     upper = np.triu_indices(p)
 
     def run(state, groups, X, y):
@@ -156,24 +211,21 @@ def _accumulate(df: DataFrame, group: str, design: M.Design, label: str, betas:
                 [pa.array(list(state)), pa.array([v.tolist() for v in state.values()], pa.list_(pa.float64()))],
                 names=["g", "s"])
         for g, at in by_group(groups):
-            Xg, yg = X[at], y[at]
-            if betas is None:
-                v = np.concatenate([[len(at)], (Xg.T @ Xg)[upper], Xg.T @ yg, [yg @ yg, yg.sum()]])
-            elif g not in betas:
+            if g not in betas:
                 continue
-            else:
-                eta = np.clip(Xg @ betas[g], -500, 500)
-                mu = 1.0 / (1.0 + np.exp(-eta))
-                w = np.clip(mu * (1 - mu), 1e-300, None)
-                mu_c = np.clip(mu, 1e-300, 1 - 1e-16)
-                deviance = -2.0 * np.sum(yg * np.log(mu_c) + (1 - yg) * np.log1p(-mu_c))
-                # X'Wz without z, whose residual part overflows where the weight vanishes
-                v = np.concatenate([[len(at)], (Xg.T @ (Xg * w[:, None]))[upper],
-                                    Xg.T @ (w * eta + yg - mu), [deviance, yg.sum()]])
+            Xg, yg = (X, y) if len(at) == len(y) else (X[at], y[at])
+            eta = np.clip(Xg @ betas[g], -500, 500)
+            mu = 1.0 / (1.0 + np.exp(-eta))
+            w = np.clip(mu * (1 - mu), 1e-300, None)
+            mu_c = np.clip(mu, 1e-300, 1 - 1e-16)
+            deviance = -2.0 * np.sum(yg * np.log(mu_c) + (1 - yg) * np.log1p(-mu_c))
+            # X'Wz without z, whose residual part overflows where the weight vanishes
+            v = np.concatenate([[len(at)], (Xg.T @ (Xg * w[:, None]))[upper],
+                                Xg.T @ (w * eta + yg - mu), [deviance, yg.sum()]])
             state[g] = state[g] + v if g in state else v
         return None
 
-    cells = (design_batches(_rows(df, group, design, label), p, run, "g string, s array<double>")
+    cells = (design_batches(_rows(df, group, design, label), design, run, "g string, s array<double>")
              .select("g", F.posexplode("s").alias("at", "v"))
              .groupBy("g", "at").agg(F.sum("v").alias("v")))
     sums: dict[str, np.ndarray] = {}
@@ -193,7 +245,7 @@ def grouped_ols(df: DataFrame, group: str, design: M.Design, label: str = "curre
     p = len(design.names) + 1
     factors = _factor_columns(design)
     res = {}
-    for g, (n, xtx, xty, yty, sy) in _accumulate(df, group, design, label, None, p).items():
+    for g, (n, xtx, xty, yty, sy) in gram_sums(df, group, design, label).items():
         keep = _keep_columns(xtx, n, factors)
         beta, se = np.full(p, np.nan), np.full(p, np.nan)
         beta[keep], spread = solve_kept(xtx, xty, keep)
@@ -211,24 +263,32 @@ def grouped_logit(df: DataFrame, group: str, design: M.Design, label: str = "cur
                   max_iter: int = 100, tol: float = 1e-10, keeps: dict | None = None) -> dict:
     """Per group: the same, with deviances and ``converged``.
 
-    ``keeps``: per-group column masks (e.g. from ``grouped_ols``) to skip the X'X
-    pass.  A step that raises a group's deviance is halved until it does not, so
-    Newton steps that overshoot still reach the maximum.  A group whose weights
-    vanish (perfect separation) stops unconverged.
+    ``keeps``: per-group column masks (e.g. from ``grouped_ols``).  Without them the
+    sums of X'X by level give the masks and also the first step, which starts at
+    zero, where every weight is a quarter.  A step that raises a group's deviance
+    is halved until it does not, so Newton steps that overshoot still reach the
+    maximum.  A group whose weights vanish (perfect separation) stops unconverged.
+    Errors come from the weights of the last pass, a step below ``tol`` from the estimates.
     """
     p = len(design.names) + 1
     factors = _factor_columns(design)
+    start = None
     if keeps is None:
-        first = _accumulate(df, group, design, label, None, p)
-        keeps = {g: _keep_columns(v[1], v[0], factors) for g, v in first.items()}
+        start = gram_sums(df, group, design, label)
+        keeps = {g: _keep_columns(v[1], v[0], factors) for g, v in start.items()}
     betas = {g: np.zeros(p) for g in keeps}  # to be tried in the next pass
-    best: dict[str, tuple[float, np.ndarray]] = {}  # least deviance so far, and its coefficients
+    best: dict[str, tuple] = {}  # least deviance so far, its coefficients, rows, X'WX and sum y
     halved = dict.fromkeys(keeps, 0)
     going, converged = set(keeps), dict.fromkeys(keeps, False)
-    for _ in range(max_iter):
+    for step in range(max_iter):
         if not going:
             break
-        for g, (n, xwx, xwz, dev, sy) in _accumulate(df, group, design, label, {g: betas[g] for g in going}, p).items():
+        if step == 0 and start is not None:
+            sums = {g: (n, gram / 4, xty - gram[0] / 2, 2 * n * math.log(2), sy)
+                    for g, (n, gram, xty, _, sy) in start.items()}
+        else:
+            sums = _accumulate(df, group, design, label, {g: betas[g] for g in going}, p)
+        for g, (n, xwx, xwz, dev, sy) in sums.items():
             k, tried = keeps[g], betas[g]
             if g in best and not dev <= best[g][0] + 1e-9 * (abs(best[g][0]) + 0.1):
                 halved[g] += 1  # the step raised the deviance: go half of it
@@ -236,7 +296,7 @@ def grouped_logit(df: DataFrame, group: str, design: M.Design, label: str = "cur
                     going.discard(g)
                 betas[g] = (best[g][1] + tried) / 2
                 continue
-            best[g], halved[g] = (dev, tried), 0
+            best[g], halved[g] = (dev, tried, n, xwx, sy), 0
             new = np.zeros(p)
             try:
                 new[k] = solve_kept(xwx, xwz, k)[0]
@@ -250,7 +310,7 @@ def grouped_logit(df: DataFrame, group: str, design: M.Design, label: str = "cur
                 going.discard(g)
             betas[g] = new
     res = {}
-    for g, (n, xwx, _, dev, sy) in _accumulate(df, group, design, label, betas, p).items():
+    for g, (dev, _, n, xwx, sy) in best.items():
         k = keeps[g]
         beta, cov = np.full(p, np.nan), np.full((p, p), np.nan)
         if converged[g]:
@@ -311,7 +371,7 @@ def grouped_scores(df: DataFrame, group: str, design: M.Design, betas: dict,
                                           names=["g", "score", "label"])
 
     rows = _rows(df, group, design, label).where(F.col("g").isin(list(filled)))
-    return design_batches(rows, len(design.names) + 1, run, "g string, score double, label double")
+    return design_batches(rows, design, run, "g string, score double, label double")
 
 
 PERIOD_TABLE = (

@@ -17,6 +17,7 @@ import math
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +69,52 @@ def levels_from_row(row, factors: list[str]) -> dict[str, list]:
 
 @dataclass
 class Design:
-    """Column expressions of one design matrix and their term names."""
+    """A design matrix: term names, column expressions, and what they are made of.
+
+    Every column is a product of at most one numeric and at most one level
+    indicator (``parts``), so a row is known by its numerics and one level code per
+    factor (``packed``, ``matrix``), and sums of products by level are enough for
+    normal equations (``grouped.cell_sums``).
+    """
+    numerics: list[str] = field(default_factory=list)
+    coded: dict[str, list] = field(default_factory=dict)  # factor -> levels with a column
     names: list[str] = field(default_factory=list)
     exprs: list = field(default_factory=list)
+    parts: list[tuple] = field(default_factory=list)  # (factor or None, level code, numeric or None)
 
-    def add(self, name, expr):
+    def add(self, name, expr, factor=None, code=0, numeric=None):
         self.names.append(name)
         self.exprs.append(expr.cast("double"))
+        self.parts.append((factor, code, numeric))
+        if numeric is not None and numeric not in self.numerics:
+            self.numerics.append(numeric)
+
+    def code(self, factor: str):
+        """Number of the row's level among those with a column, from 1; else 0 (the base, null)."""
+        levels = self.coded[factor]
+        if not levels:
+            return F.lit(0).cast("long")
+        return F.coalesce(F.array_position(F.array(*map(F.lit, levels)), F.col(factor)), F.lit(0)).cast("long")
+
+    def packed(self):
+        """The row's numerics and level codes as one array."""
+        return F.array(*[F.col(c).cast("double") for c in self.numerics],
+                       *[self.code(f).cast("double") for f in self.coded]).cast("array<double>")
+
+    def matrix(self, packed: np.ndarray) -> np.ndarray:
+        """Intercept and design columns of packed rows."""
+        numeric = {c: packed[:, i] for i, c in enumerate(self.numerics)}
+        codes = {f: packed[:, len(self.numerics) + i] for i, f in enumerate(self.coded)}
+        out = np.empty((len(packed), len(self.names) + 1), order="F")
+        out[:, 0] = 1.0
+        for at, (factor, code, name) in enumerate(self.parts, start=1):
+            if factor is None:
+                out[:, at] = numeric[name]
+            else:
+                np.equal(codes[factor], code, out=out[:, at])
+                if name is not None:
+                    out[:, at] *= numeric[name]
+        return out
 
 
 def _dummy(f, lv):
@@ -87,17 +127,17 @@ def build_design(levels: dict[str, list], factors: list[str], numerics: list[str
 
     ``slope_by``: also one ``prev:level`` column per level of that factor but the first.
     """
-    d = Design()
+    d = Design(coded={f: levels[f][1:] for f in [*factors, slope_by] if f is not None})
     if include_prev:
-        d.add(PREV, F.col(PREV))
+        d.add(PREV, F.col(PREV), numeric=PREV)
     for f in factors:
-        for lv in levels[f][1:]:
-            d.add(f"C({f})[T.{lv}]", _dummy(f, lv))
+        for code, lv in enumerate(d.coded[f], start=1):
+            d.add(f"C({f})[T.{lv}]", _dummy(f, lv), f, code)
     for c in numerics:
-        d.add(c, F.col(c))
+        d.add(c, F.col(c), numeric=c)
     if slope_by is not None:
-        for lv in levels[slope_by][1:]:
-            d.add(slope_term(slope_by, lv), F.col(PREV) * _dummy(slope_by, lv))
+        for code, lv in enumerate(d.coded[slope_by], start=1):
+            d.add(slope_term(slope_by, lv), F.col(PREV) * _dummy(slope_by, lv), slope_by, code, PREV)
     return d
 
 

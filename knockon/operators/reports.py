@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from knockon import schema as S
 from knockon.functions import scalar as X
+from knockon.operators.quantiles import exact_quantiles
 from knockon.session import materialize
 
 
@@ -202,12 +203,11 @@ def quantile_range(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99,
                    exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """The (lo, hi) quantiles of ``col`` (the plotting range of the previous delay).
 
-    ``exact`` uses the interpolated percentile, whose buffer is a value->count map
-    (bounded by distinct values, fine for minute delays); ``exact=False`` uses the
-    mergeable approximate sketch for inputs with unbounded distinct values."""
+    ``exact`` narrows the ranks down by counting (``quantiles``), so no task holds the
+    distinct values; ``exact=False`` uses one mergeable sketch."""
     if exact:
-        q = F.percentile(F.col(col), [lo, hi])
-    else:
-        q = F.percentile_approx(F.col(col), [lo, hi], accuracy)
+        found = exact_quantiles(df, col, [lo, hi])
+        return df.sparkSession.createDataFrame([tuple(found)], "q_lo double, q_hi double")
+    q = F.percentile_approx(F.col(col), [lo, hi], accuracy)
     return df.agg(q.alias("q")).select(F.col("q")[0].cast("double").alias("q_lo"),
                                        F.col("q")[1].cast("double").alias("q_hi"))

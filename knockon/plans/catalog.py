@@ -17,6 +17,7 @@ from knockon.functions import scalar as X
 from knockon.operators import clean as C
 from knockon.operators import features as FE
 from knockon.operators import pairs as P
+from knockon.operators.quantiles import exact_quantiles
 from knockon.plans.oracle import cte_chain
 from knockon.session import materialize, scratch_path
 from knockon.sources import fixtures as FX
@@ -479,6 +480,21 @@ select round(quantile_cont(prev_ARR_DELAY, 0.01), 6) as q01, round(quantile_cont
 from mf""")(lambda spark, sf: R.quantile_range(
     mf_of(spark, sf), "prev_ARR_DELAY").select(r6(F.col("q_lo")).alias("q01"), r6(F.col("q_hi")).alias("q99")))
 
+QUANTILES = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
+
+
+# net prices are nearly all distinct, so a map of values would hold the whole table
+@query("exact_quantiles", " union all ".join(
+    f"select cast({p} as double) as prob, round(quantile_cont(l_extendedprice * (1 - l_discount), {p}), 6) as net_price "
+    "from lineitem" for p in QUANTILES))
+def q_exact_quantiles(spark, sf):
+    net = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_price"))
+    rows = spark.createDataFrame(list(zip(QUANTILES, exact_quantiles(net, "net_price", QUANTILES))),
+                                 "prob double, net_price double")
+    return rows.select("prob", r6(F.col("net_price")).alias("net_price"))
+
+
 
 @query("group_n_obs", W_LI_MF + """
 select 'airline' as grouping, OP_UNIQUE_CARRIER as level, cast(count(*) as bigint) as n_obs
