@@ -102,7 +102,7 @@ def with_bucket(df: DataFrame, entity: str, order: list[str], bounds: DataFrame
             .withColumn(column, F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(place + 1)).drop("_bounds"))
 
 
-def _fixed_bucket(df: DataFrame, order: list[str], split) -> Column:
+def _bucket_expr(df: DataFrame, order: list[str], split) -> Column:
     """Bucket number of a fixed split, rising with the order.
 
     Rows without a time have only the tie-break: a whole-number one is cut into
@@ -158,7 +158,7 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
     elif isinstance(split, str) and split in df.columns:
         bk = split
     else:
-        df, bk, hot_only = df.withColumn(BK, _fixed_bucket(df, order, split)), BK, False
+        df, bk, hot_only = df.withColumn(BK, _bucket_expr(df, order, split)), BK, False
 
     w = Window.partitionBy(entity, bk).orderBy(*ordering)
     w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -758,7 +758,7 @@ query("yearly_summary_binary", cells_sql("current_year") + f"""
  select grp as year, cast(n as bigint) as n_modeling_pairs, round(10 * g, 4) as ln_or10,
  round(10 * (g - {Z} * se), 4) as ln_or10_ci_lower, round(10 * (g + {Z} * se), 4) as ln_or10_ci_upper,
  round(10 * lb, 4) as minutes_carried_per_10min from odds""")(
-    lambda spark, sf: rounded(yearly_summary(periods_binary(spark, sf, SU.yearly_periods)).select(
+    lambda spark, sf: rounded(R.yearly_summary(periods_binary(spark, sf, SU.yearly_periods)).select(
         "year", "n_modeling_pairs", F.log("logistic_or_per_10min").alias("ln_or10"),
         F.log("logistic_or10_ci_lower").alias("ln_or10_ci_lower"),
         F.log("logistic_or10_ci_upper").alias("ln_or10_ci_upper"), "minutes_carried_per_10min"), 4))
