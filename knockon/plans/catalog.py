@@ -1447,8 +1447,9 @@ ranked as (select *, row_number() over (partition by year, month order by priori
   from parsed where year is not null)
 select year, month, path from ranked where rk = 1""")
 def q_source_pick(spark, sf):
-    months = clean_of(spark, sf, "lineitem").select(
-        F.year("FL_DATE").cast("int").alias("y"), F.month("FL_DATE").cast("int").alias("m")).distinct()
+    # written once: the spellings would each clean the flights again, and the name patterns run on every flight
+    months = materialize(clean_of(spark, sf, "lineitem").select(
+        F.year("FL_DATE").cast("int").alias("y"), F.month("FL_DATE").cast("int").alias("m")).distinct(), "months")
     cands = None
     for expr, cond in _CANDIDATES_SPARK:
         e = expr.replace("|| y ||", "|| cast(y as string) ||").replace("|| m ||", "|| cast(m as string) ||")
