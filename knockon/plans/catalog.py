@@ -1625,10 +1625,27 @@ def q_trim_columns(spark, sf):
                       F.col("TAIL_NUM").alias("Tail_Number"), F.lit("x").alias("Div1Airport"))
     path = scratch_path(spark, "wide_csv")
     wide.write.option("header", True).csv(path)
-    t = SRC.trim_columns(spark.read.option("header", True).csv(path))
-    return t.agg(F.count(F.lit(1)).alias("n_rows"), *[
-        f(c).alias(f"{name}_{c}") for c in C.S.TRIM_COLUMNS
-        for name, f in (("n", F.count_distinct), ("len", lambda c: F.sum(F.length(c))), ("min", F.min), ("max", F.max))])
+    return column_values(SRC.trim_columns(spark.read.option("header", True).csv(path)), C.S.TRIM_COLUMNS)
+
+
+def column_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows, and for every text column its distinct values, total length, least and greatest value, in one row.
+
+    Rows turn into (column, value) and are counted by both before the shuffle; distinct
+    counts side by side would copy the wide row for every column instead.
+    """
+    cells = df.select(F.posexplode(F.array(*columns)).alias("at", "value"))
+    values = cells.groupBy("at", "value").agg(F.count(F.lit(1)).alias("times"))
+    each = values.groupBy("at").agg(
+        F.sum("times").alias("rows"), F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.sum(F.col("times") * F.length("value")).alias("len"))
+
+    def of(i: int, name: str):
+        return F.max(F.when(F.col("at") == i, F.col(name)))
+    none = F.lit(0).cast("long")
+    return each.agg(F.coalesce(of(0, "rows"), none).alias("n_rows"), *[
+        (F.coalesce(of(i, name), none) if name == "n" else of(i, name)).alias(f"{name}_{c}")
+        for i, c in enumerate(columns) for name in ("n", "len", "min", "max")])
 
 
 # ---------------------------------------------------------------- streaming ingest, summaries
