@@ -41,20 +41,21 @@ def coerce_double(c, dtype=None) -> Column:
 _DATE = (r"^(?:([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})|([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})"
          r"|([0-9]{4})([0-9]{2})([0-9]{2})|([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}))"
          r"(?:[T ]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?: ?[AaPp][Mm])?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$")
+_OTHER = r"|(?s:^.*$)"  # any other text: no group is set
 _ISO = "$1$4$7$12-$2$5$8$10-$3$6$9$11"
 
 
 def parse_date(c, dtype=None) -> Column:
     """Flight date from text or a date/timestamp column; bad values -> null.
 
-    One pattern rewrites every layout to ISO, so the generated code stays small
-    enough to be compiled.
+    Text of the form yyyy-mm-dd, the usual one, is cast as it is.  One pattern
+    rewrites the other layouts to ISO, and what is no date to text without digits.
     """
     col = _c(c)
     if dtype is not None and not isinstance(dtype, StringType):
         return col.cast("date")
-    text = strip(col)
-    return F.when(text.rlike(_DATE), F.regexp_replace(text, _DATE, _ISO).try_cast("date"))
+    plain = ((F.length(col) == 10) & col.like("____-__-__") & F.substring(col, 10, 1).between("0", "9"))
+    return F.when(plain, col).otherwise(F.regexp_replace(strip(col), _DATE + _OTHER, _ISO)).try_cast("date")
 
 
 def hhmm_whole(hhmm) -> Column:
