@@ -6,7 +6,8 @@ linear classifier names the language family; one linear SVM for each pair of
 languages of that family votes for the language.
 
 The classifiers are fitted on a bounded sample: at most ``PER_LANGUAGE``
-labelled texts of each language, the lowest by hash of their id.
+labelled texts of each language, the lowest by hash of their id.  Each machine is
+trained by a task of its own; only names and weights reach the driver.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter,
 and all texts if nothing is labelled; rows with a null label are not learned
@@ -102,10 +103,17 @@ def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, rounds: int
     return np.append(weights, bias)
 
 
-def one_versus_one(x: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> dict[tuple[str, str], np.ndarray]:
-    """One SVM for each pair of labels among ``rows`` (a mask)."""
-    return {(a, b): linear_svm(x, np.where(rows & (labels == a), 1.0, np.where(rows & (labels == b), -1.0, 0.0)))
-            for a, b in combinations(sorted(set(labels[rows])), 2)}
+def family_of(lang: str, families: dict[str, str]) -> str:
+    return families.get(lang, f"only {lang}")
+
+
+def machines_of(langs: list[str], families: dict[str, str]) -> list[tuple[str | None, str, str]]:
+    """(family, a, b) for each pair of languages of a family, and (None, a, b) for each pair of families."""
+    within = {}
+    for lang in sorted(set(langs)):
+        within.setdefault(family_of(lang, families), []).append(lang)
+    return [(None, a, b) for a, b in combinations(sorted(within), 2)] + [
+        (f, a, b) for f in sorted(within) for a, b in combinations(within[f], 2)]
 
 
 def vote(machines: dict[tuple[str, str], np.ndarray], x: np.ndarray, alone: str) -> tuple[str, float]:
@@ -126,12 +134,29 @@ class LanguageModel:
     """Family classifier and the pairwise machines inside each family."""
 
     def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, str]):
-        langs = np.array(langs, dtype=object)
-        family = np.array([families.get(lang, f"only {lang}") for lang in langs], dtype=object)
-        self.families = one_versus_one(x, family, np.ones(len(x), bool))
-        self.alone = family[0] if len(family) else None
-        self.within = {f: (one_versus_one(x, langs, family == f), langs[family == f][0])
-                       for f in sorted(set(family))}
+        names = np.array(langs, dtype=object)
+        family = np.array([family_of(lang, families) for lang in langs], dtype=object)
+        weights = {}
+        for f, a, b in machines_of(langs, families):
+            of = family if f is None else names
+            weights[f, a, b] = linear_svm(x, np.where(of == a, 1.0, np.where(of == b, -1.0, 0.0)))
+        self._assemble(langs, families, weights)
+
+    @classmethod
+    def trained(cls, langs: list[str], families: dict[str, str], weights: dict) -> LanguageModel:
+        """The model of machines that are trained already."""
+        model = cls.__new__(cls)
+        model._assemble(langs, families, weights)
+        return model
+
+    def _assemble(self, langs: list[str], families: dict[str, str], weights: dict) -> None:
+        self.families = {(a, b): w for (f, a, b), w in weights.items() if f is None}
+        self.alone = family_of(langs[0], families) if langs else None
+        self.within = {}
+        for lang in langs:
+            own = family_of(lang, families)
+            if own not in self.within:
+                self.within[own] = ({(a, b): w for (f, a, b), w in weights.items() if f == own}, lang)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         letters = letters_of(text)
@@ -161,19 +186,35 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).select("lang", "text")
 
 
+def train_machine(rows: pd.DataFrame) -> pd.DataFrame:
+    """The weights of one machine from its rows (machine, side, lang, x), taken in the order of (lang, x)."""
+    rows = rows.iloc[sorted(range(len(rows)), key=list(zip(rows["lang"], rows["x"])).__getitem__)]
+    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, DIMENSIONS)
+    weights = linear_svm(x, rows["side"].to_numpy())
+    return pd.DataFrame({"machine": rows["machine"].iloc[:1], "weights": [weights.astype(np.float64).tobytes()]})
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         limit: int = PER_LANGUAGE, families: dict[str, str] | None = None) -> LanguageModel:
-    """Fit on the bounded sample: tasks make the features, the driver trains on their table (26 MB at most
-    for four languages)."""
+    """Fit on the bounded sample: tasks make the features and train a machine each (26 MB of features at most
+    for four languages); the driver gets the weights (33 KB a machine)."""
+    families = FAMILIES if families is None else families
     rows = shared_table(labelled_sample(docs, id_col, text_col, lang_col, limit), "langid-sample")
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    machines = machines_of(langs, families)
+    if not machines:
+        return LanguageModel.trained(langs, families, {})
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: features(letters_of(t)).astype(np.float32).tobytes())
 
-    known = rows.select("lang", packed("text").alias("x")).orderBy("lang", "x").collect()
-    x = np.frombuffer(b"".join(r.x for r in known), np.float32).reshape(-1, DIMENSIONS)
-    return LanguageModel(x, [r.lang for r in known], FAMILIES if families is None else families)
+    sides = [(lang, i, side) for i, (f, a, b) in enumerate(machines) for lang in langs for name, side in ((a, 1.0), (b, -1.0))
+             if (family_of(lang, families) if f is None else lang) == name]
+    members = docs.sparkSession.createDataFrame(sides, "lang string, machine int, side double")
+    got = (rows.select("lang", packed("text").alias("x")).join(F.broadcast(members), "lang")  # a few rows a language
+           .groupBy("machine").applyInPandas(train_machine, "machine int, weights binary").collect())
+    return LanguageModel.trained(langs, families, {machines[r.machine]: np.frombuffer(r.weights) for r in got})
 
 
 def language_column(docs: DataFrame, model: LanguageModel, text: Column) -> Column:

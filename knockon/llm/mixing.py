@@ -46,18 +46,20 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _sums_table(shares: DataFrame, exponents: list[float]) -> DataFrame:
+    """One row (i, z, e, m) per exponent, as ``_sums`` gives them; the plan is the same for all exponents."""
+    a, below = F.col("a"), F.col("below")
+    power = F.exp(a * below)
+    return (shares.select("log_share", "below", F.posexplode(F.lit(exponents).cast("array<double>")).alias("i", "a")).groupBy("i")
+            .agg(F.sum(power).alias("z"), F.sum(power * below).alias("e"), F.max(F.exp(a * below - F.col("log_share"))).alias("m")))
+
+
 def _sums(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
     """For each exponent a: the sums of q^a and q^a ln q, and the largest q^a / p.
 
     q is a share p over the largest share, so no exponent makes all powers vanish.
     """
-    cells = []
-    for i, a in enumerate(exponents):
-        power = F.exp(F.lit(a) * F.col("below"))
-        cells += [F.sum(power).alias(f"z{i}"), F.sum(power * F.col("below")).alias(f"e{i}"),
-                  F.max(F.exp(F.lit(a) * F.col("below") - F.col("log_share"))).alias(f"m{i}")]
-    row = shares.agg(*cells).first()
-    return [(row[f"z{i}"], row[f"e{i}"], row[f"m{i}"]) for i in range(len(exponents))]
+    return [(r["z"], r["e"], r["m"]) for r in sorted(_sums_table(shares, exponents).collect(), key=lambda r: r["i"])]
 
 
 def _smallest(shares: DataFrame, top: float, fits) -> float:

@@ -99,3 +99,18 @@ def test_number_characters_are_no_letters():
         assert langid.letters_of(text) == ""
     assert langid.letters_of("x½y Ⅷ é①") == " x y é "
     assert langid.letters_of("文字 ª") == " 文字 ª "
+
+
+def test_machines_are_trained_by_tasks_with_the_same_weights(spark, monkeypatch):
+    table = labelled(spark)
+    sample = sorted((r.lang, langid.features(langid.letters_of(r.text)).astype(np.float32).tobytes())
+                    for r in langid.labelled_sample(table, "doc_id", "text", "lang", 400).collect())
+    x = np.frombuffer(b"".join(b for _, b in sample), np.float32).reshape(-1, langid.DIMENSIONS)
+    want = langid.LanguageModel(x, [lang for lang, _ in sample], langid.FAMILIES)
+    monkeypatch.setattr(langid, "linear_svm", None)  # the driver can't train
+    got = langid.fit(table)
+    assert got.alone == want.alone == "germanic" and set(got.within) == set(want.within)
+    for (ours, alone), (theirs, name) in [((got.families, ""), (want.families, "")),
+                                          *[(got.within[f], want.within[f]) for f in want.within]]:
+        assert alone == name and set(ours) == set(theirs)
+        assert all(np.allclose(ours[k], theirs[k], rtol=1e-6, atol=1e-9) for k in ours)

@@ -168,3 +168,15 @@ def test_repetition_limit_binds(spark):
     total = sum(tokens.values())
     passes = {s: next(r.weight for r in rows if r.source == s) * total / n for s, n in tokens.items() if n}
     assert abs(max(passes.values()) - 1.1) < 1e-6
+
+
+def test_passes_of_other_exponents_have_the_same_plan(spark):
+    p = [0.5, 0.3, 0.2]
+    table = spark.createDataFrame([(math.log(x), math.log(x / 0.5)) for x in p], "log_share double, below double")
+    exponents = [0.0, 0.25, 1.0, 3.0]
+    for (z, e, m), a in zip(mixing._sums(table, exponents), exponents, strict=True):
+        q = [x / 0.5 for x in p]
+        assert z == pytest.approx(sum(x ** a for x in q)) and m == pytest.approx(max(x ** a / s for x, s in zip(q, p)))
+        assert e == pytest.approx(sum(x ** a * math.log(x) for x in q))
+    passes = [mixing._sums_table(table, exponents[:n]).columns for n in (1, 4)]
+    assert passes[0] == passes[1] == ["i", "z", "e", "m"]
