@@ -54,7 +54,8 @@ def parse_date(c, dtype=None) -> Column:
     col = _c(c)
     if dtype is not None and not isinstance(dtype, StringType):
         return col.cast("date")
-    plain = ((F.length(col) == 10) & col.like("____-__-__") & F.substring(col, 10, 1).between("0", "9"))
+    plain = ((F.length(col) == 10) & (F.substring(col, 5, 1) == "-") & (F.substring(col, 8, 1) == "-")
+             & F.substring(col, 10, 1).between("0", "9"))
     return F.when(plain, col).otherwise(F.regexp_replace(strip(col), _DATE + _OTHER, _ISO)).try_cast("date")
 
 
@@ -96,11 +97,32 @@ def hhmm_hour(date_col, hhmm) -> Column:
     return F.when(hhmm_valid(whole, hours, minutes, date_col), hours).cast("int")
 
 
-def overnight_fix(dep_ts, arr_ts) -> Column:
-    """Push the arrival a day later when it is before the departure."""
-    dep, arr = _c(dep_ts), _c(arr_ts)
+def hhmm_minutes(date_col, hhmm) -> Column:
+    """Minutes from midnight (2400: 1440) of the same parse; null when the time or date is invalid."""
+    num = _c(hhmm)
+    whole = num.try_cast("int")
+    return F.when((num > -1) & (num < 2401) & (whole % 100 < 60) & _c(date_col).isNotNull(),
+                  (whole / 100).cast("int") * 60 + whole % 100)
+
+
+def minutes_hour(minutes) -> Column:
+    """Hour of day of minutes from midnight (1440 -> 0)."""
+    return (_c(minutes) / 60).cast("int") % 24
+
+
+def minutes_timestamp(date_col, minutes) -> Column:
+    """Naive local timestamp (timestamp_ntz) so many minutes after the date begins."""
+    return F.timestamp_add("MINUTE", _c(minutes), _c(date_col).cast("timestamp_ntz"))
+
+
+def overnight_fix(dep, arr, day=None) -> Column:
+    """Push the arrival a day later when it is before the departure.
+
+    Both are timestamps, or numbers with ``day`` in their unit.
+    """
+    dep, arr = _c(dep), _c(arr)
     return F.when(dep.isNotNull() & arr.isNotNull() & (arr < dep),
-                  arr + F.expr("INTERVAL 1 DAY")).otherwise(arr)
+                  arr + (F.expr("INTERVAL 1 DAY") if day is None else F.lit(day))).otherwise(arr)
 
 
 def iso_weekday(date_col) -> Column:

@@ -44,3 +44,20 @@ def test_dates_are_those_of_the_pattern(spark):
     text = X.strip("t")
     want = F.when(text.rlike(X._DATE), F.regexp_replace(text, X._DATE, X._ISO).try_cast("date"))
     assert rows.where(~X.parse_date("t").eqNullSafe(want)).collect() == []
+
+
+def test_schedule_is_derived_in_few_steps(spark):
+    from knockon.operators import clean as C
+    clocks = [None, -5.0, -1.0, -0.5, 0.0, 5.0, 59.0, 60.0, 100.9, 1275.0, 2359.0, 2360.0, 2399.5, 2400.0, 2400.5, 2401.0, 1e12,
+              float("nan"), float("inf"), float("-inf")]
+    rows = spark.createDataFrame([(d, a, b) for d in ("2024-02-28", None) for a in clocks for b in clocks],
+                                 "d string, CRS_DEP_TIME double, CRS_ARR_TIME double").select(
+        F.col("d").cast("date").alias("FL_DATE"), "CRS_DEP_TIME", "CRS_ARR_TIME", F.lit("A").alias("ORIGIN"), F.lit("B").alias("DEST"))
+    got = C.derive_schedule(rows)
+    dep, arr = (X.hhmm_timestamp("FL_DATE", c) for c in ("CRS_DEP_TIME", "CRS_ARR_TIME"))
+    same = (F.col("sched_dep_timestamp").eqNullSafe(dep) & F.col("sched_arr_timestamp").eqNullSafe(X.overnight_fix(dep, arr))
+            & F.col("sched_dep_hour").eqNullSafe(X.hhmm_hour("FL_DATE", "CRS_DEP_TIME"))
+            & F.col("sched_arr_hour").eqNullSafe(X.hhmm_hour("FL_DATE", "CRS_ARR_TIME")))
+    assert got.where(~same).collect() == [] and got.where("sched_arr_timestamp is not null").count() == 160
+    assert dict(got.dtypes)["sched_dep_hour"] == "int" and dict(got.dtypes)["sched_arr_timestamp"] == "timestamp_ntz"
+    assert _plan(got).count("Project") <= 3
