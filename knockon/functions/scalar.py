@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegralType, StringType
 
 from knockon import schema as S
 
@@ -34,6 +34,8 @@ def coerce_double(c, dtype=None) -> Column:
         col = F.when(text.rlike(_NUMBER), text).try_cast("double")
     else:
         col = col.cast("double")
+        if isinstance(dtype, IntegralType):
+            return col
     return F.nanvl(col, F.lit(None).cast("double"))
 
 
@@ -41,6 +43,7 @@ def coerce_double(c, dtype=None) -> Column:
 _DATE = (r"^(?:([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})|([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})"
          r"|([0-9]{4})([0-9]{2})([0-9]{2})|([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}))"
          r"(?:[T ]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?: ?[AaPp][Mm])?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$")
+_PLAIN = r"(?s)^.{4}-.{2}-.[0-9]\z"
 _OTHER = r"|(?s:^.*$)"  # any other text: no group is set
 _ISO = "$1$4$7$12-$2$5$8$10-$3$6$9$11"
 
@@ -48,15 +51,14 @@ _ISO = "$1$4$7$12-$2$5$8$10-$3$6$9$11"
 def parse_date(c, dtype=None) -> Column:
     """Flight date from text or a date/timestamp column; bad values -> null.
 
-    Text of the form yyyy-mm-dd, the usual one, is cast as it is.  One pattern
+    Text of the form yyyy-mm-dd, the usual one, is cast as it is; it is named twice
+    at most, because a filter on the date derives the text again at each mention.  One pattern
     rewrites the other layouts to ISO, and what is no date to text without digits.
     """
     col = _c(c)
     if dtype is not None and not isinstance(dtype, StringType):
         return col.cast("date")
-    plain = ((F.length(col) == 10) & (F.substring(col, 5, 1) == "-") & (F.substring(col, 8, 1) == "-")
-             & F.substring(col, 10, 1).between("0", "9"))
-    return F.when(plain, col).otherwise(F.regexp_replace(strip(col), _DATE + _OTHER, _ISO)).try_cast("date")
+    return F.when(col.rlike(_PLAIN), col).otherwise(F.regexp_replace(strip(col), _DATE + _OTHER, _ISO)).try_cast("date")
 
 
 def hhmm_whole(hhmm) -> Column:
@@ -99,10 +101,9 @@ def hhmm_hour(date_col, hhmm) -> Column:
 
 def hhmm_minutes(date_col, hhmm) -> Column:
     """Minutes from midnight (2400: 1440) of the same parse; null when the time or date is invalid."""
-    num = _c(hhmm)
-    whole = num.try_cast("int")
-    return F.when((num > -1) & (num < 2401) & (whole % 100 < 60) & _c(date_col).isNotNull(),
-                  (whole / 100).cast("int") * 60 + whole % 100)
+    whole = _c(hhmm).try_cast("int")
+    return F.when(whole.between(0, 2400) & (whole % 100 < 60) & _c(date_col).isNotNull(),
+                  whole - (whole / 100).cast("int") * 40)
 
 
 def minutes_hour(minutes) -> Column:
@@ -121,8 +122,7 @@ def overnight_fix(dep, arr, day=None) -> Column:
     Both are timestamps, or numbers with ``day`` in their unit.
     """
     dep, arr = _c(dep), _c(arr)
-    return F.when(dep.isNotNull() & arr.isNotNull() & (arr < dep),
-                  arr + (F.expr("INTERVAL 1 DAY") if day is None else F.lit(day))).otherwise(arr)
+    return F.when(arr < dep, arr + (F.expr("INTERVAL 1 DAY") if day is None else F.lit(day))).otherwise(arr)
 
 
 def iso_weekday(date_col) -> Column:

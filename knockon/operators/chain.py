@@ -123,27 +123,42 @@ def _bucket_expr(df: DataFrame, order: list[str], split) -> Column:
     return F.coalesce(expr, late)
 
 
-def _whole(df: DataFrame, entity: str, ordering: list, payload: Column, lead_col, max_lead: int,
+def previous(column: str) -> str:
+    """The column of ``chain_links`` with the previous row's value of ``column``."""
+    return f"_previous_{column}"
+
+
+def _prev_struct(first: Column, prev_cols) -> Column:
+    """The previous row's values as one struct, null for the first row of an entity."""
+    return F.when(~first, F.struct(*[F.col(previous(c)).alias(c) for c in prev_cols]))
+
+
+def _whole(df: DataFrame, entity: str, ordering: list, prev_cols, lead_col, max_lead: int,
            position: bool) -> DataFrame:
     """The chain with one window partition per entity."""
     w = Window.partitionBy(entity).orderBy(*ordering)
-    out = df.withColumn("_prev", F.lag(payload, 1).over(w))
-    for k in range(1, max_lead + 1):
-        out = out.withColumn(f"_next_{k}", F.lead(lead_col, k).over(w))
-    return out.withColumn("_pos", F.row_number().over(w).cast("long")) if position else out
+    added = {previous(c): F.lag(c, 1).over(w) for c in prev_cols}
+    added |= {f"_next_{k}": F.lead(lead_col, k).over(w) for k in range(1, max_lead + 1)}
+    out = df.withColumns(added | {"_pos": F.row_number().over(w).cast("long")})
+    out = out.withColumn("_prev", _prev_struct(F.col("_pos") == 1, prev_cols))
+    return out if position else out.drop("_pos")
 
 
 def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead_col=None,
                 max_lead: int = 0, split="auto", position: bool = False) -> DataFrame:
     """Add ``_prev`` (struct of ``prev_cols`` of the previous row, null for the first
-    row of an entity) and ``_next_1.._next_k`` (``lead_col`` k rows later); with
-    ``position`` also ``_pos``, the 1-based place of the row in its entity's chain
+    row of an entity), the same values as columns (``previous``) and
+    ``_next_1.._next_k`` (``lead_col`` k rows later); with ``position`` also ``_pos``, the 1-based place of the row in its entity's chain
     (bucket sizes prefix-summed over the stitch table plus the rank in the bucket).
 
     ``order[0]`` is the event time (ascending, nulls last); the rest break ties.
     ``split`` is "auto" (hot entities by their own quantiles), "day", "hour", a
     Column monotone in ``order[0]``, the name of a bucket column of ``df`` (a laid
     out table), or None (one window partition per entity).
+
+    Each column is lagged by itself: a lagged struct would travel through the
+    shuffle and the sort beside the columns it is made of, and Spark cannot leave
+    out the fields that nobody reads.
     """
     ordering = [F.col(c).asc_nulls_last() for c in order]
     payload = F.struct(*[F.col(c).alias(c) for c in prev_cols])
@@ -151,10 +166,10 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
     if split == "auto":
         bounds = hot_bounds(df, entity, order)
         if bounds is None:
-            return _whole(df, entity, ordering, payload, lead_col, max_lead, position)
+            return _whole(df, entity, ordering, prev_cols, lead_col, max_lead, position)
         df, bk = with_bucket(df, entity, order, bounds), BK
     elif split is None:
-        return _whole(df, entity, ordering, payload, lead_col, max_lead, position)
+        return _whole(df, entity, ordering, prev_cols, lead_col, max_lead, position)
     elif isinstance(split, str) and split in df.columns:
         bk = split
     else:
@@ -162,7 +177,7 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
 
     w = Window.partitionBy(entity, bk).orderBy(*ordering)
     w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = (df.withColumn("_lag", F.lag(payload, 1).over(w))
+    rows = (df.withColumns({f"_lag_{c}": F.lag(c, 1).over(w) for c in prev_cols})
               .withColumn("_rn", F.row_number().over(w))
               .withColumn("_n", F.count(F.lit(1)).over(w_all).cast("int")))
     for k in range(1, max_lead + 1):
@@ -198,7 +213,10 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
         links = F.broadcast(links)  # one row per bucket of a hot entity: bounded like the bounds
 
     out = rows.join(links, on=[entity, bk], how="left")
-    out = out.withColumn("_prev", F.coalesce(F.col("_lag"), F.col("_prev_last")))
+    starts = F.col("_rn") == 1
+    out = out.withColumns({previous(c): F.when(starts, F.col("_prev_last")[c]).otherwise(F.col(f"_lag_{c}"))
+                           for c in prev_cols})
+    out = out.withColumn("_prev", _prev_struct(starts & F.col("_prev_last").isNull(), prev_cols))
     for k in range(1, max_lead + 1):
         out = out.withColumn(
             f"_next_{k}",
@@ -206,7 +224,7 @@ def chain_links(df: DataFrame, entity: str, order: list[str], prev_cols=(), lead
                 F.try_element_at(F.col("_next_heads"), (F.col("_rn") + k - F.col("_n")).cast("int"))))
     if position:
         out = out.withColumn("_pos", F.coalesce(F.col("_before"), F.lit(0)) + F.col("_rn")).drop("_before")
-    drop = ["_lag", "_rn", "_n", "_prev_last"] + [f"_ld_{k}" for k in range(1, max_lead + 1)]
+    drop = ["_rn", "_n", "_prev_last", *[f"_lag_{c}" for c in prev_cols], *[f"_ld_{k}" for k in range(1, max_lead + 1)]]
     if bk == BK:
         drop.append(BK)
     if max_lead:

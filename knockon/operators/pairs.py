@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from knockon import schema as S
 from knockon.functions import scalar as X
-from knockon.operators.chain import chain_links
+from knockon.operators.chain import chain_links, previous
 
+#: The cleaned columns that pairs are made of; row ids come on top.
+PAIR_INPUTS = ["TAIL_NUM", "OP_UNIQUE_CARRIER", "FL_DATE", "ORIGIN", "DEST", "route", "DEP_DELAY", "ARR_DELAY", "DISTANCE",
+               "sched_dep_hour", "sched_dep_timestamp", "sched_arr_timestamp"]
 PREV_FIELDS = ["ORIGIN", "DEST", "route", "ARR_DELAY", "DEP_DELAY", "DISTANCE", "sched_arr_timestamp"]
 
 
@@ -24,7 +27,6 @@ def pair_candidates(clean: DataFrame, tiebreak=(), split="auto", keep=(), max_le
     so pairs and later-leg views share one shuffle."""
     linked = chain_links(clean, "TAIL_NUM", chain_order(tiebreak), prev_cols=PREV_FIELDS,
                          lead_col="DEP_DELAY" if max_lead else None, max_lead=max_lead, split=split)
-    p = F.col("_prev")
     leads = [F.col(f"_next_{k}").alias(f"next_dep_delay_{k}") for k in range(1, max_lead + 1)]
     out = linked.select(
         *[F.col(k) for k in keep], *leads,
@@ -38,13 +40,13 @@ def pair_candidates(clean: DataFrame, tiebreak=(), split="auto", keep=(), max_le
         F.col("DEP_DELAY").alias("current_DEP_DELAY"),
         F.col("ARR_DELAY").alias("current_ARR_DELAY"),
         F.col("DISTANCE").alias("current_DISTANCE"),
-        p["ORIGIN"].alias("prev_ORIGIN"),
-        p["DEST"].alias("prev_DEST"),
-        p["route"].alias("prev_route"),
-        p["ARR_DELAY"].alias("prev_ARR_DELAY"),
-        p["DEP_DELAY"].alias("prev_DEP_DELAY"),
-        p["DISTANCE"].alias("prev_DISTANCE"),
-        p["sched_arr_timestamp"].alias("prev_sched_arr_timestamp"),
+        F.col(previous("ORIGIN")).alias("prev_ORIGIN"),
+        F.col(previous("DEST")).alias("prev_DEST"),
+        F.col(previous("route")).alias("prev_route"),
+        F.col(previous("ARR_DELAY")).alias("prev_ARR_DELAY"),
+        F.col(previous("DEP_DELAY")).alias("prev_DEP_DELAY"),
+        F.col(previous("DISTANCE")).alias("prev_DISTANCE"),
+        F.col(previous("sched_arr_timestamp")).alias("prev_sched_arr_timestamp"),
         F.col("sched_dep_timestamp").alias("current_sched_dep_timestamp"),
     )
     return (out

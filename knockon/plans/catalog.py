@@ -49,9 +49,13 @@ def clean_of(spark, sf, fx="flights") -> DataFrame:
     return C.clean_flights(raw_flights(spark, sf, fx), keep=ids(fx))
 
 
-def stage_of(spark, sf, fx="flights") -> DataFrame:
-    """Cleaned flights as a written table, for chains, which read their input more than once."""
-    return materialize(clean_of(spark, sf, fx), "clean")
+def stage_of(spark, sf, fx="flights", columns=None) -> DataFrame:
+    """Cleaned flights as a written table, for chains, which read their input more than once.
+
+    ``columns``: those that the chain reads besides the row ids; by default all are written.
+    """
+    clean = clean_of(spark, sf, fx)
+    return materialize(clean if columns is None else clean.select(*ids(fx), *columns), "clean")
 
 
 def typed_of(spark, sf, fx="flights") -> DataFrame:
@@ -59,11 +63,11 @@ def typed_of(spark, sf, fx="flights") -> DataFrame:
 
 
 def cand_of(spark, sf, fx="flights") -> DataFrame:
-    return P.pair_candidates(stage_of(spark, sf, fx), tiebreak=ids(fx), keep=ids(fx))
+    return P.pair_candidates(stage_of(spark, sf, fx, P.PAIR_INPUTS), tiebreak=ids(fx), keep=ids(fx))
 
 
 def pairs_of(spark, sf, fx="flights") -> DataFrame:
-    return P.flight_pairs(stage_of(spark, sf, fx), tiebreak=ids(fx), keep=ids(fx))
+    return P.flight_pairs(stage_of(spark, sf, fx, P.PAIR_INPUTS), tiebreak=ids(fx), keep=ids(fx))
 
 
 def mf_of(spark, sf, fx="lineitem") -> DataFrame:
@@ -521,7 +525,7 @@ select (select cast(count(*) as bigint) from clean) as total_cleaned_flights,
  (select cast(count(distinct strftime(FL_DATE, '%Y-%m')) as bigint) from clean) as total_months_used""")
 def q_dataset_totals(spark, sf):
     from knockon.operators import reports as R
-    clean = stage_of(spark, sf, "lineitem")
+    clean = stage_of(spark, sf, "lineitem", P.PAIR_INPUTS)
     return R.dataset_totals(clean, P.flight_pairs(clean, tiebreak=ids("lineitem")))
 
 
@@ -1682,7 +1686,7 @@ query("later_legs_from_layout", ORACLES["later_legs"])(
 @query("pairs_by_append", ORACLES["flight_pairs_multi_year"])
 def q_pairs_by_append(spark, sf):
     """Years added one after the other, each reading its own flights and the last legs before it."""
-    clean = stage_of(spark, sf, "lineitem")
+    clean = stage_of(spark, sf, "lineitem", P.PAIR_INPUTS)
     store = AP.PairStore(spark, scratch_path(spark, "pair_store"), ids("lineitem"), ids("lineitem"))
     for year in SU.years_of(clean.select(F.year("FL_DATE").alias("current_year"))):
         store.add(f"{year}-12", clean.where(F.year("FL_DATE") == year))
@@ -1696,7 +1700,7 @@ from (select (select cast(count(*) as bigint) from clean) as total_cleaned_fligh
      (select cast(count(*) as bigint) as n_obs, round(avg(current_DEP_DELAY), 6) as mean_dep_delay from mf) m,
      (select round(regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6) as slope from mf) s""")
 def q_summary_assemble(spark, sf):
-    clean = stage_of(spark, sf, "lineitem")
+    clean = stage_of(spark, sf, "lineitem", P.PAIR_INPUTS)
     pairs = P.flight_pairs(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"))
     mf = FE.model_frame(pairs, keep=ids("lineitem"))
     t = R.dataset_totals(clean, pairs).select("total_cleaned_flights", "total_flight_pairs")
@@ -1725,7 +1729,7 @@ _SUMMARY_CURVE = recursive(legs_sql("lineitem").rstrip() + ", one as (select 1 a
   case when lam > 0 then round(ln(2) / lam, 5) end as decay_half_life_legs from fitted) d""")
 def q_final_summary(spark, sf):
     """Totals, models, decay and bootstrap from one clean table and one chain pass."""
-    clean = stage_of(spark, sf, "lineitem")
+    clean = stage_of(spark, sf, "lineitem", P.PAIR_INPUTS)
     cand = materialize(P.pair_candidates(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"), max_lead=5), "chain")
     pairs = cand.where(P.connection_filter()).select(*ids("lineitem"), *C.S.PAIR_COLUMNS)
     mf = FE.model_frame(pairs, keep=ids("lineitem"))

@@ -1,8 +1,12 @@
 """Plans and session settings that keep the queries' work in step with their input."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from knockon.functions import scalar as X
+from knockon.operators import features as FE
+from knockon.operators import pairs as P
 from knockon.plans import catalog as K
 from knockon.session import COMPILED_BYTES, METHOD_LIMIT, ensure_compiled
 
@@ -61,3 +65,28 @@ def test_schedule_is_derived_in_few_steps(spark):
     assert got.where(~same).collect() == [] and got.where("sched_arr_timestamp is not null").count() == 160
     assert dict(got.dtypes)["sched_dep_hour"] == "int" and dict(got.dtypes)["sched_arr_timestamp"] == "timestamp_ntz"
     assert _plan(got).count("Project") <= 3
+
+
+def test_clean_step_of_the_pairs_is_small_enough_to_be_compiled(spark, sf_dir):
+    kept = K.clean_of(spark, sf_dir, "lineitem").select(*K.ids("lineitem"), *P.PAIR_INPUTS)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) <= int(COMPILED_BYTES)
+
+
+def test_model_frames_shuffle_only_what_they_read(spark):
+    day = F.lit("2024-01-01").cast("timestamp_ntz")
+    clean = spark.range(10).select(
+        "id", *[F.lit("A").alias(c) for c in ("TAIL_NUM", "OP_UNIQUE_CARRIER", "ORIGIN", "DEST", "route")],
+        *[F.lit(1.0).alias(c) for c in ("DEP_DELAY", "ARR_DELAY", "DISTANCE")], F.lit(1).alias("sched_dep_hour"),
+        day.cast("date").alias("FL_DATE"), F.timestamp_add("HOUR", F.col("id") * 2, day).alias("sched_dep_timestamp"),
+        F.timestamp_add("HOUR", F.col("id") * 2 + 1, day).alias("sched_arr_timestamp"))
+    frame = FE.model_frame(P.flight_pairs(K.materialize(clean), ["id"], split=None))
+    plan = _plan(frame)
+    assert frame.count() == 9 and "Window" in plan and "struct(" not in plan.replace("ReadSchema: struct", "")
+    assert "route" not in plan
