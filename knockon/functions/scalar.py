@@ -27,11 +27,17 @@ def strip(c) -> Column:
 
 
 def coerce_double(c, dtype=None) -> Column:
-    """Text or number -> double; text that is no plain number, and NaN, become null."""
+    """Text or number -> double; text that is no plain number, and NaN, become null.
+
+    Text from a sign, point or digit to a digit, without an x, is left to the cast, which
+    takes nothing else there than the pattern does; other text is held against the pattern.
+    """
     col = _c(c)
     if dtype is None or isinstance(dtype, StringType):
         text = strip(col)
-        col = F.when(text.rlike(_NUMBER), text).try_cast("double")
+        plain = (F.substring(col, 1, 1).between("+", "9") & F.substring(col, -1, 1).between("0", "9")
+                 & ~F.contains(col, F.lit("x")) & ~F.contains(col, F.lit("X")))
+        col = F.when(plain, col).when(text.rlike(_NUMBER), text).try_cast("double")
     else:
         col = col.cast("double")
         if isinstance(dtype, IntegralType):

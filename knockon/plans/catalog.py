@@ -1521,7 +1521,7 @@ def _write_mixed(spark, sf) -> str:
     """One folder, three header layouts: plain; origin/destination and the delays swapped with dates that carry a
     clock; canonical names with month and weekday columns."""
     path = scratch_path(spark, "raw_mixed")
-    long = _raw_long(spark, sf)
+    long = materialize(_raw_long(spark, sf), "raw-long")  # read by three writes
     kind = F.substring("ym", 6, 2).cast("int") % 3
     long.where(kind == 0).drop("ym").write.option("header", True).csv(f"{path}/plain")
     order = [c for c in long.columns if c != "ym"]

@@ -8,7 +8,7 @@ from knockon.functions import scalar as X
 from knockon.operators import features as FE
 from knockon.operators import pairs as P
 from knockon.plans import catalog as K
-from knockon.session import COMPILED_BYTES, METHOD_LIMIT, ensure_compiled
+from knockon.session import COMPILED_BYTES, METHOD_LIMIT, ensure_compiled, materialize
 
 
 def _plan(df) -> str:
@@ -90,3 +90,22 @@ def test_model_frames_shuffle_only_what_they_read(spark):
     plan = _plan(frame)
     assert frame.count() == 9 and "Window" in plan and "struct(" not in plan.replace("ReadSchema: struct", "")
     assert "route" not in plan
+
+
+def test_numbers_are_those_of_the_pattern(spark):
+    texts = ["5", "-3.50", "+7", ".5", "5.", "1e5", "1E-3", "1e400", "-.5e2", "5D", "5f", "0x10", "0X1p3", "-0x1P3", "1d5", "5 5", " 5", "5 ",
+             "\x005", "5\x00", "\t5", "5\n", ",5", "/5", "1,000", "1_000", "--5", "+-5", "-", ".", "+", "", " ", "٥", "5٥", "１", "　5",
+             "nan", "inf", "-Infinity", "+inf", "infinity5", "NaN5", "5e", "e5", "1.2.3", "-0", "1" * 400, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    text = X.strip("t")
+    want = F.when(text.rlike(X._NUMBER), text).try_cast("double")
+    assert rows.where(~X.coerce_double("t").eqNullSafe(F.nanvl(want, F.lit(None).cast("double")))).collect() == []
+    plan = _plan(rows.select(X.coerce_double("t").alias("n")))
+    assert "substring(t" in plan and plan.index("substring(t") < plan.index("RLIKE")  # usual numbers skip the pattern
+
+
+def test_mixed_layouts_are_written_from_one_reading_of_the_fixture(spark, sf_dir, monkeypatch):
+    stages = []
+    monkeypatch.setattr(K, "materialize", lambda df, name="stage": stages.append(name) or materialize(df, name))
+    K._write_mixed(spark, sf_dir)
+    assert stages == ["raw-long"]
