@@ -22,8 +22,10 @@ _NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:ini
 
 
 def strip(c) -> Column:
-    """Text without white space at either end."""
-    return F.btrim(_c(c).cast("string"), F.lit(SPACES))
+    """Text without white space at either end; text between two visible ASCII characters is left as it is."""
+    text = _c(c).cast("string")
+    plain = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(plain, text).otherwise(F.btrim(text, F.lit(SPACES)))
 
 
 def coerce_double(c, dtype=None) -> Column:
@@ -122,6 +124,21 @@ def minutes_timestamp(date_col, minutes) -> Column:
     return F.timestamp_add("MINUTE", _c(minutes), _c(date_col).cast("timestamp_ntz"))
 
 
+def epoch_minutes(date_col, minutes) -> Column:
+    """Minutes from 1970-01-01 00:00 to so many minutes after the date begins."""
+    return F.unix_date(_c(date_col)).cast("long") * 1440 + _c(minutes)
+
+
+def epoch_hour(minutes) -> Column:
+    """Hour of day of minutes from 1970-01-01 00:00."""
+    return (F.pmod(_c(minutes), F.lit(1440)) / 60).cast("int")
+
+
+def epoch_timestamp(minutes) -> Column:
+    """Naive local timestamp (timestamp_ntz) of minutes from 1970-01-01 00:00."""
+    return F.timestamp_add("MINUTE", _c(minutes), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
 def overnight_fix(dep, arr, day=None) -> Column:
     """Push the arrival a day later when it is before the departure.
 

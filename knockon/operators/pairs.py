@@ -13,21 +13,38 @@ from knockon.operators.chain import chain_links, previous
 PAIR_INPUTS = ["TAIL_NUM", "OP_UNIQUE_CARRIER", "FL_DATE", "ORIGIN", "DEST", "route", "DEP_DELAY", "ARR_DELAY", "DISTANCE",
                "sched_dep_hour", "sched_dep_timestamp", "sched_arr_timestamp"]
 PREV_FIELDS = ["ORIGIN", "DEST", "route", "ARR_DELAY", "DEP_DELAY", "DISTANCE", "sched_arr_timestamp"]
+#: The same with the scheduled times as minutes (``clean_flights(epoch=True)``), which sort and subtract as numbers; route,
+#: hour and timestamps are then derived from the pairs.
+EPOCH_INPUTS = ["TAIL_NUM", "OP_UNIQUE_CARRIER", "FL_DATE", "ORIGIN", "DEST", "DEP_DELAY", "ARR_DELAY", "DISTANCE",
+                "sched_dep_minute", "sched_arr_minute"]
+EPOCH_PREV_FIELDS = ["ORIGIN", "DEST", "ARR_DELAY", "DEP_DELAY", "DISTANCE", "sched_arr_minute"]
 
 
-def chain_order(tiebreak=()) -> list[str]:
+def chain_order(tiebreak=(), epoch: bool = False) -> list[str]:
     """Sort of one tail's flights: scheduled departure (nulls last), then row id."""
-    return ["sched_dep_timestamp", *tiebreak]
+    return ["sched_dep_minute" if epoch else "sched_dep_timestamp", *tiebreak]
 
 
 def pair_candidates(clean: DataFrame, tiebreak=(), split="auto", keep=(), max_lead: int = 0) -> DataFrame:
     """Every cleaned flight with its previous flight's fields and the pair flags
     (before the connection filter).  ``max_lead`` > 0 also carries the departure
     delays of the next k flights (``next_dep_delay_k``) from the same chain pass,
-    so pairs and later-leg views share one shuffle."""
-    linked = chain_links(clean, "TAIL_NUM", chain_order(tiebreak), prev_cols=PREV_FIELDS,
+    so pairs and later-leg views share one shuffle.  ``clean`` has the scheduled times
+    as timestamps (``PAIR_INPUTS``) or as minutes (``EPOCH_INPUTS``)."""
+    epoch = "sched_dep_minute" in clean.columns
+    linked = chain_links(clean, "TAIL_NUM", chain_order(tiebreak, epoch),
+                         prev_cols=EPOCH_PREV_FIELDS if epoch else PREV_FIELDS,
                          lead_col="DEP_DELAY" if max_lead else None, max_lead=max_lead, split=split)
     leads = [F.col(f"_next_{k}").alias(f"next_dep_delay_{k}") for k in range(1, max_lead + 1)]
+    if epoch:
+        dep, arr = F.col("sched_dep_minute"), F.col(previous("sched_arr_minute"))
+        route, prev_route = X.route("ORIGIN", "DEST"), X.route(previous("ORIGIN"), previous("DEST"))
+        hour, dep_at, arr_at = X.epoch_hour(dep), X.epoch_timestamp(dep), X.epoch_timestamp(arr)
+        turnaround = (dep - arr).cast("double")
+    else:
+        route, prev_route, hour = F.col("route"), F.col(previous("route")), F.col("sched_dep_hour")
+        dep_at, arr_at = F.col("sched_dep_timestamp"), F.col(previous("sched_arr_timestamp"))
+        turnaround = X.minutes_between(arr_at, dep_at)
     out = linked.select(
         *[F.col(k) for k in keep], *leads,
         F.col("TAIL_NUM"),
@@ -35,23 +52,22 @@ def pair_candidates(clean: DataFrame, tiebreak=(), split="auto", keep=(), max_le
         F.col("FL_DATE").alias("current_FL_DATE"),
         F.col("ORIGIN").alias("current_ORIGIN"),
         F.col("DEST").alias("current_DEST"),
-        F.col("route").alias("current_route"),
-        F.col("sched_dep_hour").alias("current_sched_dep_hour"),
+        route.alias("current_route"),
+        hour.alias("current_sched_dep_hour"),
         F.col("DEP_DELAY").alias("current_DEP_DELAY"),
         F.col("ARR_DELAY").alias("current_ARR_DELAY"),
         F.col("DISTANCE").alias("current_DISTANCE"),
         F.col(previous("ORIGIN")).alias("prev_ORIGIN"),
         F.col(previous("DEST")).alias("prev_DEST"),
-        F.col(previous("route")).alias("prev_route"),
+        prev_route.alias("prev_route"),
         F.col(previous("ARR_DELAY")).alias("prev_ARR_DELAY"),
         F.col(previous("DEP_DELAY")).alias("prev_DEP_DELAY"),
         F.col(previous("DISTANCE")).alias("prev_DISTANCE"),
-        F.col(previous("sched_arr_timestamp")).alias("prev_sched_arr_timestamp"),
-        F.col("sched_dep_timestamp").alias("current_sched_dep_timestamp"),
+        arr_at.alias("prev_sched_arr_timestamp"),
+        dep_at.alias("current_sched_dep_timestamp"),
+        turnaround.alias("scheduled_turnaround_minutes"),
     )
     return (out
-            .withColumn("scheduled_turnaround_minutes",
-                        X.minutes_between("prev_sched_arr_timestamp", "current_sched_dep_timestamp"))
             .withColumn("same_airport_connection", X.same_value_flag("prev_DEST", "current_ORIGIN"))
             .withColumn("current_dep_delayed_15", X.flag_over("current_DEP_DELAY"))
             .withColumn("prev_arr_delayed_15", X.flag_over("prev_ARR_DELAY")))

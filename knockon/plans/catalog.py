@@ -58,16 +58,22 @@ def stage_of(spark, sf, fx="flights", columns=None) -> DataFrame:
     return materialize(clean if columns is None else clean.select(*ids(fx), *columns), "clean")
 
 
+def pair_stage_of(spark, sf, fx="flights") -> DataFrame:
+    """What pairs are made of, as a written table with the scheduled times as minutes."""
+    clean = C.clean_flights(raw_flights(spark, sf, fx), keep=ids(fx), epoch=True)
+    return materialize(clean.select(*ids(fx), *P.EPOCH_INPUTS), "clean")
+
+
 def typed_of(spark, sf, fx="flights") -> DataFrame:
     return C.coerce_types(raw_flights(spark, sf, fx), keep=ids(fx))
 
 
 def cand_of(spark, sf, fx="flights") -> DataFrame:
-    return P.pair_candidates(stage_of(spark, sf, fx, P.PAIR_INPUTS), tiebreak=ids(fx), keep=ids(fx))
+    return P.pair_candidates(pair_stage_of(spark, sf, fx), tiebreak=ids(fx), keep=ids(fx))
 
 
 def pairs_of(spark, sf, fx="flights") -> DataFrame:
-    return P.flight_pairs(stage_of(spark, sf, fx, P.PAIR_INPUTS), tiebreak=ids(fx), keep=ids(fx))
+    return P.flight_pairs(pair_stage_of(spark, sf, fx), tiebreak=ids(fx), keep=ids(fx))
 
 
 def mf_of(spark, sf, fx="lineitem") -> DataFrame:
@@ -525,7 +531,7 @@ select (select cast(count(*) as bigint) from clean) as total_cleaned_flights,
  (select cast(count(distinct strftime(FL_DATE, '%Y-%m')) as bigint) from clean) as total_months_used""")
 def q_dataset_totals(spark, sf):
     from knockon.operators import reports as R
-    clean = stage_of(spark, sf, "lineitem", P.PAIR_INPUTS)
+    clean = pair_stage_of(spark, sf, "lineitem")
     return R.dataset_totals(clean, P.flight_pairs(clean, tiebreak=ids("lineitem")))
 
 
@@ -1700,7 +1706,7 @@ from (select (select cast(count(*) as bigint) from clean) as total_cleaned_fligh
      (select cast(count(*) as bigint) as n_obs, round(avg(current_DEP_DELAY), 6) as mean_dep_delay from mf) m,
      (select round(regr_slope(current_DEP_DELAY, prev_ARR_DELAY), 6) as slope from mf) s""")
 def q_summary_assemble(spark, sf):
-    clean = stage_of(spark, sf, "lineitem", P.PAIR_INPUTS)
+    clean = pair_stage_of(spark, sf, "lineitem")
     pairs = P.flight_pairs(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"))
     mf = FE.model_frame(pairs, keep=ids("lineitem"))
     t = R.dataset_totals(clean, pairs).select("total_cleaned_flights", "total_flight_pairs")
@@ -1729,7 +1735,7 @@ _SUMMARY_CURVE = recursive(legs_sql("lineitem").rstrip() + ", one as (select 1 a
   case when lam > 0 then round(ln(2) / lam, 5) end as decay_half_life_legs from fitted) d""")
 def q_final_summary(spark, sf):
     """Totals, models, decay and bootstrap from one clean table and one chain pass."""
-    clean = stage_of(spark, sf, "lineitem", P.PAIR_INPUTS)
+    clean = pair_stage_of(spark, sf, "lineitem")
     cand = materialize(P.pair_candidates(clean, tiebreak=ids("lineitem"), keep=ids("lineitem"), max_lead=5), "chain")
     pairs = cand.where(P.connection_filter()).select(*ids("lineitem"), *C.S.PAIR_COLUMNS)
     mf = FE.model_frame(pairs, keep=ids("lineitem"))

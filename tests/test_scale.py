@@ -109,3 +109,32 @@ def test_mixed_layouts_are_written_from_one_reading_of_the_fixture(spark, sf_dir
     monkeypatch.setattr(K, "materialize", lambda df, name="stage": stages.append(name) or materialize(df, name))
     K._write_mixed(spark, sf_dir)
     assert stages == ["raw-long"]
+
+
+def test_tail_and_date_are_derived_once(spark, sf_dir):
+    plan = _plan(K.clean_of(spark, sf_dir, "lineitem"))
+    assert plan.count("RLIKE(") == 1 and plan.count("date_trunc(") == 1
+    assert "trim(concat" not in plan  # the filter names the derived columns, not what they are made of
+
+
+def test_visible_ends_keep_their_text(spark):
+    ends = [*X.SPACES, "a", "!", "~", "\x7f", "\x00", "é", "中", ""]
+    rows = spark.createDataFrame([(a + m + b,) for a in ends for m in ("", "N 1", " ") for b in ends] + [(None,)], "t string")
+    assert rows.where(~X.strip("t").eqNullSafe(F.btrim("t", F.lit(X.SPACES)))).collect() == []
+
+
+def test_pairs_from_minutes_are_those_from_timestamps(spark):
+    from knockon.operators import clean as C
+    days, clocks = ["2024-02-28", "2024-02-29", "1969-12-31", None], [None, 0.0, 30.0, 915.0, 1130.0, 1275.0, 2359.0, 2400.0]
+    flights = [(f"N{i % 2}" if i % 9 else None, day, "C1", "A" if i % 3 else None, "A" if i % 4 else "B", dep, arr, float(i % 40), 3.0, 100.0)
+               for i, (day, dep, arr) in enumerate((d, a, b) for d in days for a in clocks for b in clocks)]
+    rows = spark.createDataFrame(flights, "TAIL_NUM string, d string, OP_UNIQUE_CARRIER string, ORIGIN string, DEST string, "
+                                 "CRS_DEP_TIME double, CRS_ARR_TIME double, DEP_DELAY double, ARR_DELAY double, DISTANCE double")
+    rows = rows.withColumn("FL_DATE", F.col("d").cast("date")).withColumn("id", F.monotonically_increasing_id())
+    rows = K.materialize(rows)
+    for split in (None, "auto"):
+        want, got = (P.pair_candidates(C.derive_schedule(rows, epoch), ["id"], split, ["id"], 2) for epoch in (False, True))
+        assert want.schema == got.schema and want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+    assert got.where("scheduled_turnaround_minutes is not null and prev_sched_arr_timestamp < timestamp_ntz'1970-01-02'").count()
+    plan = _plan(FE.model_frame(P.flight_pairs(C.derive_schedule(rows, True), ["id"], None)))
+    assert "timestampdiff" not in plan and "timestampadd" not in plan
