@@ -5,8 +5,8 @@ in the reference (one job per year).  Here every group is solved together.  OLS
 takes one aggregation without Python: rows fold into contingency cells (equal
 levels), and sums of products by pairs of levels make up each group's Gram
 matrix.  The logit takes one pass per IRLS step (the current coefficients of
-every group travel in the task closure: groups x p numbers): one vector per
-group and partition, added up cell by cell with partial aggregation.  The driver
+every group travel in the task closure: groups x p numbers) over the rows, which are
+packed into blocks once (``row_blocks``): one vector per group and partition, added up cell by cell with partial aggregation.  The driver
 solves one p x p system per group; its state is O(groups * p^2).
 
 Each group keeps the column space a separate fit on that group would have:
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from knockon import schema as S
 from knockon.operators import metrics as ME
 from knockon.operators import models as M
+from knockon.session import materialize
 
 
 #: Halvings of one step before a fit is given up.
@@ -199,33 +200,55 @@ def gram_sums(df: DataFrame, group: str, design: M.Design, label: str) -> dict:
     return out
 
 
-def _accumulate(df: DataFrame, group: str, design: M.Design, label: str, betas: dict, p: int) -> dict:
-    """One pass of IRLS: per group n, X'WX, X'Wz, deviance, sum y at the group's coefficients."""
+def row_blocks(df: DataFrame, group: str, design: M.Design, label: str, groups) -> DataFrame:
+    """The rows of ``groups`` as a written table of blocks: group, labels and packed rows as bytes of doubles, by column.
+
+    IRLS reads all rows once a step.  A block goes through the JVM as it is, where rows
+    would be decoded, packed and copied one by one in every step.
+    """
+    width, wanted = len(design.numerics) + len(design.coded), set(groups)
+
+    def part(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            cut = [(g, y[at].tobytes(), x[at].tobytes(order="F")) for g, at in by_group(batch.column(0)) if g in wanted]
+            names, labels, packed = zip(*cut) if cut else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(labels, pa.binary()),
+                                              pa.array(packed, pa.binary())], names=["g", "y", "x"])
+    return materialize(_rows(df, group, design, label).mapInArrow(part, "g string, y binary, x binary"), "row-blocks")
+
+
+def _accumulate(blocks: DataFrame, design: M.Design, betas: dict, p: int) -> dict:
+    """One pass of IRLS over ``row_blocks``: per group n, X'WX, X'Wz, deviance, sum y at the group's coefficients."""
     upper = np.triu_indices(p)
+    shape = M.Design(numerics=design.numerics, coded=design.coded, names=design.names, parts=design.parts)
+    width = len(design.numerics) + len(design.coded)
 
-    def run(state, groups, X, y):
-        if groups is None:
-            if not state:
-                return None
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(state)), pa.array([v.tolist() for v in state.values()], pa.list_(pa.float64()))],
-                names=["g", "s"])
-        for g, at in by_group(groups):
+    def part(batches):
+        state: dict = {}
+        for g, labels, packed in (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1), b.column(2))):
             if g not in betas:
                 continue
-            Xg, yg = (X, y) if len(at) == len(y) else (X[at], y[at])
+            yg = np.frombuffer(labels.as_buffer())
+            Xg = shape.matrix(np.frombuffer(packed.as_buffer()).reshape(len(yg), width, order="F"))
             eta = np.clip(Xg @ betas[g], -500, 500)
             mu = 1.0 / (1.0 + np.exp(-eta))
             w = np.clip(mu * (1 - mu), 1e-300, None)
             mu_c = np.clip(mu, 1e-300, 1 - 1e-16)
             deviance = -2.0 * np.sum(yg * np.log(mu_c) + (1 - yg) * np.log1p(-mu_c))
             # X'Wz without z, whose residual part overflows where the weight vanishes
-            v = np.concatenate([[len(at)], (Xg.T @ (Xg * w[:, None]))[upper],
+            v = np.concatenate([[len(yg)], (Xg.T @ (Xg * w[:, None]))[upper],
                                 Xg.T @ (w * eta + yg - mu), [deviance, yg.sum()]])
             state[g] = state[g] + v if g in state else v
-        return None
+        if state:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(state), pa.string()), pa.array([v.tolist() for v in state.values()], pa.list_(pa.float64()))],
+                names=["g", "s"])
 
-    cells = (design_batches(_rows(df, group, design, label), design, run, "g string, s array<double>")
+    cells = (blocks.mapInArrow(part, "g string, s array<double>")
              .select("g", F.posexplode("s").alias("at", "v"))
              .groupBy("g", "at").agg(F.sum("v").alias("v")))
     sums: dict[str, np.ndarray] = {}
@@ -280,6 +303,7 @@ def grouped_logit(df: DataFrame, group: str, design: M.Design, label: str = "cur
     best: dict[str, tuple] = {}  # least deviance so far, its coefficients, rows, X'WX and sum y
     halved = dict.fromkeys(keeps, 0)
     going, converged = set(keeps), dict.fromkeys(keeps, False)
+    blocks = None
     for step in range(max_iter):
         if not going:
             break
@@ -287,7 +311,9 @@ def grouped_logit(df: DataFrame, group: str, design: M.Design, label: str = "cur
             sums = {g: (n, gram / 4, xty - gram[0] / 2, 2 * n * math.log(2), sy)
                     for g, (n, gram, xty, _, sy) in start.items()}
         else:
-            sums = _accumulate(df, group, design, label, {g: betas[g] for g in going}, p)
+            if blocks is None:
+                blocks = row_blocks(df, group, design, label, keeps)
+            sums = _accumulate(blocks, design, {g: betas[g] for g in going}, p)
         for g, (n, xwx, xwz, dev, sy) in sums.items():
             k, tried = keeps[g], betas[g]
             if g in best and not dev <= best[g][0] + 1e-9 * (abs(best[g][0]) + 0.1):

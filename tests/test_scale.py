@@ -138,3 +138,25 @@ def test_pairs_from_minutes_are_those_from_timestamps(spark):
     assert got.where("scheduled_turnaround_minutes is not null and prev_sched_arr_timestamp < timestamp_ntz'1970-01-02'").count()
     plan = _plan(FE.model_frame(P.flight_pairs(C.derive_schedule(rows, True), ["id"], None)))
     assert "timestampdiff" not in plan and "timestampadd" not in plan
+
+
+def test_logit_packs_its_rows_once(spark, monkeypatch):
+    from knockon.operators import grouped as G
+    from knockon.operators import models as M
+    rows = K.materialize(spark.range(400).select(
+        F.concat(F.lit("g"), (F.col("id") % 4).cast("string")).alias("g"),
+        ((F.col("id") * 37) % 101).cast("double").alias(M.PREV), (F.col("id") % 5).cast("string").alias("f"),
+        ((F.col("id") * 29) % 7 < 3).cast("int").alias("current_dep_delayed_15")))
+    design = M.build_design({"f": list("01234")}, ["f"], [])
+    calls, packed = [], M.Design.packed
+    monkeypatch.setattr(M.Design, "packed", lambda self: calls.append(1) or packed(self))
+    fits = G.grouped_logit(rows, "g", design)
+    assert set(fits) == {"g0", "g1", "g2", "g3"} and all(f["converged"] and f["n"] == 100 for f in fits.values())
+    assert len(calls) == 1  # several steps, one packing
+    for g, fit in fits.items():  # the maximum: the score is zero
+        at = [r for r in rows.collect() if r.g == g]
+        x = [[1.0, r[M.PREV], *[float(r.f == v) for v in "1234"]] for r in at]
+        p = [1 / (1 + 2.718281828459045 ** -sum(b * v for b, v in zip(fit["beta"], row))) for row in x]
+        assert all(abs(sum(row[j] * (r.current_dep_delayed_15 - q) for row, r, q in zip(x, at, p))) < 1e-6 for j in range(6))
+    blocks = G.row_blocks(rows, "g", M.Design(), "current_dep_delayed_15", ["g1"]).collect()  # no columns: labels alone
+    assert sum(len(b.y) for b in blocks) == 800 and {b.g for b in blocks} == {"g1"} and not any(b.x for b in blocks)
