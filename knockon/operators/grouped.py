@@ -34,6 +34,11 @@ from knockon.session import materialize
 
 #: Halvings of one step before a fit is given up.
 MOST_HALVINGS = 30
+#: Bytes of a block of packed rows.  Readers hold many blocks at once: Parquet's up to 4,096 (or a row group's), Arrow's
+#: up to 10,000 or 64 MB.
+BLOCK_BYTES = 2048
+#: Bytes of a row group of blocks, and rows that a step makes a matrix of at a time.
+ROW_GROUP, STEP_ROWS = 16 << 20, 4096
 
 
 def separated_levels(df: DataFrame, factors: list[str], label: str = "current_dep_delayed_15") -> list[tuple]:
@@ -200,13 +205,20 @@ def gram_sums(df: DataFrame, group: str, design: M.Design, label: str) -> dict:
     return out
 
 
+def _block_rows(width: int) -> int:
+    """Rows of a block: label and ``width`` numbers each."""
+    return max(1, BLOCK_BYTES // (8 * (width + 1)))
+
+
 def row_blocks(df: DataFrame, group: str, design: M.Design, label: str, groups) -> DataFrame:
-    """The rows of ``groups`` as a written table of blocks: group, labels and packed rows as bytes of doubles, by column.
+    """The rows of ``groups`` as a written table of blocks: group, labels and packed rows as bytes of doubles, row by row.
 
     IRLS reads all rows once a step.  A block goes through the JVM as it is, where rows
-    would be decoded, packed and copied one by one in every step.
+    would be decoded, packed and copied one by one in every step.  A block has at most
+    ``BLOCK_BYTES`` (one row at least), so tasks hold as much of a large table as of a small one.
     """
     width, wanted = len(design.numerics) + len(design.coded), set(groups)
+    most = _block_rows(width)
 
     def part(batches):
         for batch in batches:
@@ -214,11 +226,25 @@ def row_blocks(df: DataFrame, group: str, design: M.Design, label: str, groups)
                 continue
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
             y = batch.column(1).to_numpy(zero_copy_only=False)
-            cut = [(g, y[at].tobytes(), x[at].tobytes(order="F")) for g, at in by_group(batch.column(0)) if g in wanted]
+            cut = [(g, y[rows].tobytes(), x[rows].tobytes()) for g, at in by_group(batch.column(0)) if g in wanted
+                   for rows in (at[i:i + most] for i in range(0, len(at), most))]
             names, labels, packed = zip(*cut) if cut else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(labels, pa.binary()),
                                               pa.array(packed, pa.binary())], names=["g", "y", "x"])
-    return materialize(_rows(df, group, design, label).mapInArrow(part, "g string, y binary, x binary"), "row-blocks")
+    return materialize(_rows(df, group, design, label).mapInArrow(part, "g string, y binary, x binary"), "row-blocks",
+                       row_group=ROW_GROUP)
+
+
+def _runs(batches, width: int):
+    """(group, labels, packed rows) of neighbouring blocks of a group, about ``STEP_ROWS`` rows at a time."""
+    blocks = max(1, STEP_ROWS // _block_rows(width))
+    for batch in batches:
+        for low in range(0, batch.num_rows, blocks):
+            held = zip(*[column.to_pylist() for column in batch.slice(low, blocks).columns])
+            for g, run in itertools.groupby(held, key=lambda block: block[0]):
+                _, labels, packed = zip(*run)
+                y = np.frombuffer(b"".join(labels))
+                yield g, y, np.frombuffer(b"".join(packed)).reshape(len(y), width)
 
 
 def _accumulate(blocks: DataFrame, design: M.Design, betas: dict, p: int) -> dict:
@@ -229,11 +255,10 @@ def _accumulate(blocks: DataFrame, design: M.Design, betas: dict, p: int) -> dic
 
     def part(batches):
         state: dict = {}
-        for g, labels, packed in (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1), b.column(2))):
+        for g, yg, packed in _runs(batches, width):
             if g not in betas:
                 continue
-            yg = np.frombuffer(labels.as_buffer())
-            Xg = shape.matrix(np.frombuffer(packed.as_buffer()).reshape(len(yg), width, order="F"))
+            Xg = shape.matrix(packed)
             eta = np.clip(Xg @ betas[g], -500, 500)
             mu = 1.0 / (1.0 + np.exp(-eta))
             w = np.clip(mu * (1 - mu), 1e-300, None)

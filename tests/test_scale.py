@@ -160,3 +160,44 @@ def test_logit_packs_its_rows_once(spark, monkeypatch):
         assert all(abs(sum(row[j] * (r.current_dep_delayed_15 - q) for row, r, q in zip(x, at, p))) < 1e-6 for j in range(6))
     blocks = G.row_blocks(rows, "g", M.Design(), "current_dep_delayed_15", ["g1"]).collect()  # no columns: labels alone
     assert sum(len(b.y) for b in blocks) == 800 and {b.g for b in blocks} == {"g1"} and not any(b.x for b in blocks)
+
+
+def test_blocks_of_a_large_partition_stay_small(spark, monkeypatch):
+    import numpy as np
+    import pyarrow.parquet as pq
+    from knockon.operators import grouped as G
+    from knockon.operators import models as M
+    rows = spark.range(30_000, numPartitions=1).select(
+        F.when(F.col("id") % 50 == 0, "few").when(F.col("id") % 3 == 0, "some").otherwise("many").alias("g"),
+        F.rand(7).alias(M.PREV), F.rand(8).alias("v"), (F.col("id") % 4).cast("string").alias("f"),
+        (F.rand(9) < 0.4).cast("int").alias("current_dep_delayed_15")).cache()
+    design = M.build_design({"f": list("0123")}, ["f"], ["v"])
+    monkeypatch.setattr(G, "ROW_GROUP", 1 << 16, raising=False)
+    table = G.row_blocks(rows, "g", design, "current_dep_delayed_15", ["few", "many"])
+    blocks = table.collect()
+    assert max(len(b.x) + len(b.y) for b in blocks) <= 4096  # readers hold thousands of blocks at once
+    assert max(pq.ParquetFile(f.removeprefix("file:")).num_row_groups for f in table.inputFiles()) > 1
+    kept = [r for r in rows.collect() if r.g != "some"]
+    want = {g: np.array([(r.current_dep_delayed_15, r[M.PREV], r.v, int(r.f)) for r in kept if r.g == g]) for g in ("few", "many")}
+    for g, w in want.items():  # every row once, label and numbers together
+        got = np.concatenate([np.column_stack([np.frombuffer(b.y), np.frombuffer(b.x).reshape(-1, 3)]) for b in blocks if b.g == g])
+        assert np.array_equal(got[np.lexsort(got.T)], w[np.lexsort(w.T)])
+    beta = {"few": np.linspace(-1, 1, 6), "many": np.linspace(0.5, -0.5, 6)}
+    sums = G._accumulate(table, design, beta, 6)
+    assert set(sums) == set(want)
+    for g, (n, xwx, xwz, deviance, ones) in sums.items():
+        y, x = want[g][:, 0], design.matrix(want[g][:, 1:])
+        mu = 1 / (1 + np.exp(-x @ beta[g]))
+        w = mu * (1 - mu)
+        assert n == len(y) and ones == y.sum() and np.isclose(deviance, -2 * np.sum(np.where(y == 1, np.log(mu), np.log(1 - mu))))
+        assert np.allclose(xwx, x.T @ (x * w[:, None])) and np.allclose(xwz, x.T @ (w * (x @ beta[g]) + y - mu))
+
+
+def test_rows_wider_than_a_block_are_blocks_of_their_own(spark):
+    from knockon.operators import grouped as G
+    from knockon.operators import models as M
+    rows = spark.range(300).select(F.lit("g").alias("g"), F.lit(1).alias("y"),
+                                   *[(F.col("id") * i).cast("double").alias(f"c{i}") for i in range(600)])
+    design = M.build_design({}, [], [f"c{i}" for i in range(600)], include_prev=False)
+    blocks = G.row_blocks(rows, "g", design, "y", ["g"]).collect()
+    assert len(blocks) == 300 and {len(b.x) for b in blocks} == {4800} and {len(b.y) for b in blocks} == {8}
